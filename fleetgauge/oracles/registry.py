@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from fleetgauge.oracles import servers, sessions, storage, waiting
+from fleetgauge.oracles import history, indexes, servers, sessions, storage, waiting, workload
 
 ORACLES: dict[str, str] = {
     **sessions.ORACLES, **waiting.ORACLES, **servers.ORACLES, **storage.ORACLES,
+    **workload.ORACLES, **indexes.ORACLES, **history.ORACLES,
 }

@@ -3,22 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.plans import servers, sessions, storage, waiting
+from fleetgauge.plans import (
+    baseline, history, indexes, query_store, servers, sessions, statistics, storage, waiting, workload,
+)
 from fleetgauge.session import prepare
 from fleetgauge.sources.telemetry import Telemetry
 
 EVENTS_NOW = datetime(2024, 1, 31)
 ORDERS_NOW = datetime(2001, 8, 2)
+DAY = timedelta(hours=24)
+MONTH = timedelta(days=30)
+
+
+
+def _age(phase: str) -> str:
+    """Captures of the first phase read the earlier state of the counters."""
+    return "_earlier" if phase == baseline.BEFORE else ""
+
+
+def _usage_capture(t: Telemetry, phase: str) -> DataFrame:
+    return baseline.capture_index_usage(t, phase, EVENTS_NOW, usage=f"index_usage{_age(phase)}")
+
+
+def _fragmentation_capture(t: Telemetry, phase: str) -> DataFrame:
+    return baseline.capture_fragmentation(
+        t, phase, EVENTS_NOW, physical=f"index_physical{_age(phase)}", operational=f"index_operational{_age(phase)}"
+    )
+
+
+def _wait_capture(t: Telemetry, phase: str) -> DataFrame:
+    return baseline.capture_waits(t, phase, EVENTS_NOW, waits=f"wait_snapshot{_age(phase)}")
+
+
+def _both_phases(capture: Callable[[Telemetry, str], DataFrame], t: Telemetry) -> DataFrame:
+    return capture(t, baseline.BEFORE).unionByName(capture(t, baseline.AFTER_7D))
+
 
 REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q01_uptime_confidence": lambda t: servers.uptime_confidence(t, EVENTS_NOW),
     "q02_activity_log_latest": sessions.activity_log_latest,
     "q03_active_requests": sessions.active_requests,
+    "q04a_query_cpu": workload.query_cpu,
+    "q04b_proc_cpu": workload.procedure_cpu,
     "q04c_wait_capture": lambda t: waiting.capture_waits(t, "wait_snapshot_earlier"),
     "q04d_wait_delta": lambda t: waiting.wait_delta(
         waiting.capture_waits(t, "wait_snapshot_earlier"), t["wait_snapshot"]
@@ -28,7 +60,16 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q07a_session_groups": lambda t: sessions.session_groups(t, EVENTS_NOW),
     "q07b_idle_sessions": lambda t: sessions.idle_sessions(t, EVENTS_NOW),
     "q07c_connections_per_db": sessions.connections_per_database,
+    "q08_missing_indexes": indexes.missing_indexes,
+    "q09a_fragmentation": indexes.fragmentation,
+    "q09b_maintenance_log": history.maintenance_log,
+    "q10_unused_indexes": indexes.unused_indexes,
+    "q11_proc_ranking": workload.procedure_ranking,
+    "q12a_trigger_cpu": workload.trigger_cpu,
+    "q12b_trigger_inventory": workload.trigger_inventory,
     "q13a_qs_capacity": servers.query_store_capacity,
+    "q13b_qs_top_duration": lambda t: query_store.top_duration(t, EVENTS_NOW),
+    "q13c_plan_regression_pairs": lambda t: query_store.regression_pairs(t, EVENTS_NOW, DAY, MONTH),
     "q14a_memory_grants": servers.memory_grants,
     "q14b_grant_summary": servers.grant_summary,
     "q15a_temp_space": servers.temp_space,
@@ -39,25 +80,64 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q16d_buffer_by_db": servers.buffer_by_database,
     "q17a_file_latency": storage.file_latency,
     "q17b_volume_space": storage.volume_space,
+    "q18_stale_stats": lambda t: statistics.stale_statistics(t, EVENTS_NOW),
+    "q19a_cached_plans": workload.cached_plans,
+    "q19b_single_use_ratio": workload.single_use_ratio,
+    "q20a_backup_age": lambda t: history.backup_age(t, ORDERS_NOW),
     "q20b_log_reuse": storage.log_reuse,
     "q20c_log_vs_data": storage.log_versus_data,
+    "q21_integrity_age": lambda t: history.integrity_age(t, EVENTS_NOW),
+    "q22_job_failures": lambda t: history.job_failures(t, EVENTS_NOW),
     "q23a_config_audit": servers.config_audit,
     "q23b_database_options": servers.database_options,
     "q23c_server_uptime": lambda t: servers.server_uptime(t, EVENTS_NOW),
     "q24a_vlf_by_db": storage.log_segments,
     "q24b_vlf_size": storage.log_segment_size,
     "q25_autogrowth": storage.growth_settings,
+    "q26a_collect_sessions": lambda t: sessions.collected_sessions(t, EVENTS_NOW, own_session=51),
     "q26b_collect_waits": lambda t: waiting.collected_waits(t, EVENTS_NOW),
+    "q26c_collect_blocks": lambda t: sessions.collected_blocks(t, EVENTS_NOW),
+    "q26d_hourly_history": lambda t: history.hourly_sessions(t, EVENTS_NOW),
+    "q27_maintenance_log": history.maintenance_log,
+    "q28a_capture_index_usage": lambda t: _usage_capture(t, baseline.BEFORE),
+    "q28b_capture_fragmentation": lambda t: _fragmentation_capture(t, baseline.BEFORE),
+    "q28c_capture_waits": lambda t: _wait_capture(t, baseline.BEFORE),
+    "q28d_capture_after": lambda t: _usage_capture(t, baseline.AFTER_7D),
+    "q28e_index_usage_delta": lambda t: baseline.index_usage_delta(_both_phases(_usage_capture, t)),
+    "q28f_fragmentation_delta": lambda t: baseline.fragmentation_delta(_both_phases(_fragmentation_capture, t)),
+    "q28g_wait_change": lambda t: baseline.wait_change(_both_phases(_wait_capture, t)),
+    "q28h_qs_reads_impact": lambda t: query_store.reads_impact(t, EVENTS_NOW, ["t1", "t2", "t3", "t4"]),
     "q29a_grant_queue": servers.grant_queue,
     "q29b_wait_actions": waiting.wait_actions,
+    "q29c_qs_recent": lambda t: query_store.recent_queries(t, EVENTS_NOW),
+    "q30a_stats_diagnosis": lambda t: statistics.statistics_diagnosis(t, EVENTS_NOW),
+    "q30e_filtered_stats": lambda t: statistics.filtered_statistics(t, EVENTS_NOW),
+    "q31a_backup_growth": lambda t: history.backup_growth(t, ORDERS_NOW),
+    "q31b_monthly_size": lambda t: history.monthly_size(t, ORDERS_NOW),
     "q32a_availability": lambda t: servers.availability(t, EVENTS_NOW),
+    "q32b_restart_events": lambda t: history.restart_events(t, ("license", "error")),
     "q33_io_share": storage.io_share,
+    # The derived load changes on the last day, so the day is compared with its month;
+    # the _1h entry keeps the default periods.
+    "q34a_regressions": lambda t: query_store.regressions(t, EVENTS_NOW, DAY, MONTH),
+    "q34a_regressions_1h": lambda t: query_store.regressions(t, EVENTS_NOW),
+    "q34b_plan_list": query_store.plan_list,
+    "q35_rows_per_table": statistics.rows_per_table,
     "x02_activity": lambda t: sessions.activity(
         t, include=("database", "DB_7"), exclude=("program", "signup"), sort_by="elapsed_time", top=10
     ),
     "x04_two_sample_delta": waiting.sampled_deltas,
     "x04b_delta_since_startup": lambda t: waiting.sampled_deltas(t, since_startup=True),
+    "x05_cache_topk": lambda t: reduce(
+        DataFrame.unionByName, [workload.cache_top(t, order) for order in workload.CACHE_ORDERS]
+    ),
+    "x07_index_review": indexes.index_review,
+    "x08_maintenance_plan": indexes.maintenance_plan,
+    "x17_safe_drop_gate": lambda t: indexes.safe_drop_gate(t, EVENTS_NOW),
+    "x18_scan_mode_gate": statistics.scan_mode_gate,
     "x19_wait_playbook": waiting.dominant_wait,
+    "x20_updatestats_scope": statistics.refresh_scope,
+    "x21_growth_forecast": lambda t: history.growth_forecast(t, ORDERS_NOW),
 }
 
 

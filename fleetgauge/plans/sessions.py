@@ -87,6 +87,27 @@ def blocking_pairs(t: Telemetry, query_length: int | None = 300) -> DataFrame:
     )
 
 
+def collected_sessions(t: Telemetry, collected_at: datetime, own_session: int | None = None) -> DataFrame:
+    """Rows for the collector's session log: all user requests but the collector's own."""
+    requests = user_requests(t)
+    if own_session is not None:
+        requests = requests.where(F.col("session_id") != own_session)
+    rows = with_database(with_text(requests, t), t)
+    return rows.select(
+        *snapshot_keys(rows), instant(collected_at).alias("collected_at"), "session_id", "status",
+        "blocking_session_id", "cpu_time", idiv("total_elapsed_time", 1000).alias("elapsed_seconds"),
+        "logical_reads", "writes", "wait_type", idiv("wait_time", 1000).alias("wait_seconds"),
+        "database_name", "login_name",
+        statement_slice("text", "statement_start_offset", "statement_end_offset").alias("statement"),
+    )
+
+
+def collected_blocks(t: Telemetry, collected_at: datetime) -> DataFrame:
+    """Rows for the collector's blocking log, with whole statements."""
+    pairs = blocking_pairs(t, query_length=None).drop("severity", "reason", "database_name")
+    return pairs.withColumn("collected_at", instant(collected_at))
+
+
 def session_groups(t: Telemetry, as_of: datetime) -> DataFrame:
     """Sessions counted by login, host, program and status."""
     sessions = user_sessions(t)
