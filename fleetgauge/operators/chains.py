@@ -1,0 +1,57 @@
+"""Chains in a graph where every node has at most one parent: roots, depths, cycles."""
+
+from __future__ import annotations
+
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetgauge.session import checkpoint_root
+
+
+def follow_chains(edges: DataFrame, keys, node: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """Follow every node to the end of its chain.
+
+    Returns (resolved, cyclic). Resolved rows: keys, node, root, depth. Cyclic rows are
+    the members of cycles: keys, node, cycle (its smallest node).
+
+    Each round doubles the distance followed: a node takes over the distance of the
+    node it points at. Rows that reach a root leave the active set, so a round joins
+    only what is still moving; joins are on (keys, node), never on a whole group. A
+    path that is longer than the nodes of its group must be in a cycle, which bounds
+    the rounds by the logarithm of the largest group. Every round ends in a reliable
+    checkpoint, which keeps the lineage short and survives lost executors.
+    """
+    keys = list(keys)
+    checkpoint_root(edges.sparkSession)
+    active = edges.select(
+        *keys, F.col(node).alias("node"), F.col(parent).alias("at"), F.lit(1).cast("bigint").alias("depth"),
+        F.least(node, parent).alias("low"),
+    ).checkpoint()
+    largest = active.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    done: list[DataFrame] = []
+    for _ in range(math.ceil(math.log2(largest + 1)) + 1):
+        table = reduce(DataFrame.unionByName, [*done, active])
+        jump = table.select(
+            *keys, F.col("node").alias("at"), F.col("at").alias("_to"),
+            F.col("depth").alias("_more"), F.col("low").alias("_low"),
+        )
+        stepped = active.join(jump, [*keys, "at"], "left").checkpoint()
+        done.append(stepped.where(F.col("_to").isNull()).select(*keys, "node", "at", "depth", "low"))
+        active = stepped.where(F.col("_to").isNotNull()).select(
+            *keys, "node", F.col("_to").alias("at"), (F.col("depth") + F.col("_more")).alias("depth"),
+            F.least("low", "_low").alias("low"),
+        )
+        if active.isEmpty():
+            break
+    resolved = reduce(DataFrame.unionByName, done) if done else active
+    # After that many steps every remaining walker stands on a cycle, and walkers that
+    # started on a cycle together cover it.
+    on_cycle = active.select(*keys, F.col("at").alias("node")).distinct()
+    cyclic = active.join(on_cycle, [*keys, "node"], "left_semi")
+    return (
+        resolved.select(*keys, "node", F.col("at").alias("root"), "depth"),
+        cyclic.select(*keys, "node", F.col("low").alias("cycle")),
+    )

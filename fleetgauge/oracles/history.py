@@ -50,7 +50,7 @@ FROM (SELECT server_id, database_name, CAST(year(backup_finish_date) AS INT) AS
     "q32b_restart_events": sql("""
 SELECT log_id, log_type, CAST(n - 1 AS INT) AS line_number, phrase, line FROM (
  SELECT log_id, log_type, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM error_log) l
-JOIN (VALUES ('license'), ('error')) p(phrase) ON contains(lower(line), phrase)""", "error_log"),
+JOIN (VALUES ('license'), ('and the')) p(phrase) ON contains(lower(line), phrase)""", "error_log"),
     "q26a_collect_sessions": sql(f"""
 SELECT r.server_id, r.snapshot_ts, {COLLECTED}, r.session_id, r.status, r.blocking_session_id, r.cpu_time,
  {idiv('r.total_elapsed_time', 1000)} AS elapsed_seconds, r.logical_reads, r.writes, r.wait_type, {idiv('r.wait_time', 1000)} AS wait_seconds,

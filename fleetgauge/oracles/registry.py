@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from fleetgauge.oracles import history, indexes, servers, sessions, storage, waiting, workload
+from fleetgauge.plans.findings import ENTITIES, PRIORITIES
+from fleetgauge.oracles import column_stats, history, indexes, servers, sessions, storage, waiting, workload
 
 ORACLES: dict[str, str] = {
     **sessions.ORACLES, **waiting.ORACLES, **servers.ORACLES, **storage.ORACLES,
-    **workload.ORACLES, **indexes.ORACLES, **history.ORACLES,
+    **workload.ORACLES, **indexes.ORACLES, **history.ORACLES, **column_stats.ORACLES,
 }
+
+
+def _feed() -> str:
+    parts = []
+    for name, entity in ENTITIES.items():
+        label = ", ".join(f"CAST({c} AS VARCHAR)" for c in entity)
+        parts.append(
+            f"SELECT server_id, '{name}' AS report, concat_ws('/', {label}) AS entity, severity, reason FROM ({ORACLES[name]}) r"
+        )
+    ranks = " ".join(f"WHEN '{severity}' THEN {rank}" for severity, rank in PRIORITIES.items())
+    return (
+        "SELECT *, CASE WHEN priority <= 10 THEN 'act_now' ELSE 'plan' END AS band FROM ("
+        f"SELECT *, CAST(CASE severity {ranks} END AS INT) AS priority FROM ({' UNION ALL '.join(parts)}) u) y WHERE priority <= 50"
+    )
+
+
+ORACLES["x01_findings_feed"] = _feed()

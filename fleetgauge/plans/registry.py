@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.plans import (
-    baseline, history, indexes, query_store, servers, sessions, statistics, storage, waiting, workload,
+    baseline, blocking, column_stats, findings, history, indexes, query_store, servers, sessions, statistics, storage, waiting, workload,
 )
+from fleetgauge.functions.timeunits import instant
+from fleetgauge.operators.running import frequencies
 from fleetgauge.session import prepare
+from fleetgauge.sources.base_tables import read_base
 from fleetgauge.sources.telemetry import Telemetry
 
 EVENTS_NOW = datetime(2024, 1, 31)
@@ -115,7 +118,7 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q31a_backup_growth": lambda t: history.backup_growth(t, ORDERS_NOW),
     "q31b_monthly_size": lambda t: history.monthly_size(t, ORDERS_NOW),
     "q32a_availability": lambda t: servers.availability(t, EVENTS_NOW),
-    "q32b_restart_events": lambda t: history.restart_events(t, ("license", "error")),
+    "q32b_restart_events": lambda t: history.restart_events(t, ("license", "and the")),
     "q33_io_share": storage.io_share,
     # The derived load changes on the last day, so the day is compared with its month;
     # the _1h entry keeps the default periods.
@@ -126,13 +129,18 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "x02_activity": lambda t: sessions.activity(
         t, include=("database", "DB_7"), exclude=("program", "signup"), sort_by="elapsed_time", top=10
     ),
+    "x03_block_leaders": blocking.block_leaders,
     "x04_two_sample_delta": waiting.sampled_deltas,
     "x04b_delta_since_startup": lambda t: waiting.sampled_deltas(t, since_startup=True),
     "x05_cache_topk": lambda t: reduce(
         DataFrame.unionByName, [workload.cache_top(t, order) for order in workload.CACHE_ORDERS]
     ),
+    "x06_deadlock_window": lambda t: blocking.mutual_waits(
+        t, datetime(2024, 1, 30, 19), datetime(2024, 1, 30, 23)
+    ),
     "x07_index_review": indexes.index_review,
     "x08_maintenance_plan": indexes.maintenance_plan,
+    "x16_parameter_spread": column_stats.parameter_spread,
     "x17_safe_drop_gate": lambda t: indexes.safe_drop_gate(t, EVENTS_NOW),
     "x18_scan_mode_gate": statistics.scan_mode_gate,
     "x19_wait_playbook": waiting.dominant_wait,
@@ -141,6 +149,36 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
 }
 
 
+REPORTS["x01_findings_feed"] = lambda t: findings.findings_feed(t, REPORTS)
+
+
+# Column statistics read a table itself, not telemetry.
+COLUMN_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "x09_histogram": lambda lines: column_stats.histogram(lines, "l_partkey"),
+    "x09b_histogram_dates": lambda lines: column_stats.histogram(lines, "l_shipdate", 50),
+    "x10_stat_header": lambda lines: reduce(
+        DataFrame.unionByName,
+        [column_stats.header(lines, c, EVENTS_NOW) for c in ("l_partkey", "l_suppkey", "l_returnflag")],
+    ),
+    "x11_density_vector": lambda lines: column_stats.density_vector(
+        lines, ["l_returnflag", "l_suppkey", "l_linenumber"]
+    ),
+    "x12_filtered_stats": lambda lines: column_stats.histogram(
+        lines, "l_suppkey", where=F.col("l_shipdate") >= instant(datetime(2000, 1, 1))
+    ),
+    "x13_sampled_stats": lambda lines: column_stats.sampled_histogram(
+        lines, "l_partkey", 30, (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 100
+    ),
+    "x14_estimate_vs_actual": lambda lines: column_stats.estimates(
+        column_stats.histogram(lines, "l_shipdate", where=F.col("l_shipdate") < instant(datetime(1999, 1, 1))),
+        frequencies(lines, [], "l_shipdate"),
+    ),
+    "x15_skew": lambda lines: column_stats.skew(
+        lines, ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_linenumber"]
+    ),
+}
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, so that results compare the same across engines."""
     return df.select(
@@ -159,5 +197,14 @@ def as_query(report: Callable[[Telemetry], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+def as_column_query(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return plain(report(read_base(prepare(spark), folder, "lineitem")))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: as_query(report) for name, report in REPORTS.items()}
+    named = {name: as_query(report) for name, report in REPORTS.items()}
+    named |= {name: as_column_query(report) for name, report in COLUMN_REPORTS.items()}
+    return dict(sorted(named.items()))
