@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def value_counts(df: DataFrame, keys, column: str) -> DataFrame:
+    """Rows per distinct value, combined map side; the null value counts negatively.
+
+    One aggregate serves the frequencies and the null count, so a report that needs
+    both reads the table once.
+    """
+    each = F.when(F.col(column).isNull(), -1).otherwise(1)
+    return df.groupBy(*keys, F.col(column).alias("value")).agg(F.sum(each).alias("rows"))
+
+
 def frequencies(df: DataFrame, keys, column: str) -> DataFrame:
-    """Rows per distinct non-null value, combined map side."""
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).alias("value"))
-        .agg(F.count("*").alias("rows"))
-    )
+    """Rows per distinct non-null value."""
+    return value_counts(df, keys, column).where(F.col("rows") > 0)
 
 
 def with_rows_below(freq: DataFrame, keys=(), slices: int = 256) -> DataFrame:
@@ -25,15 +31,19 @@ def with_rows_below(freq: DataFrame, keys=(), slices: int = 256) -> DataFrame:
     it. A key with very many values is spread over its slices.
     """
     keys = list(keys)
+    # The filter reads ``rows`` here too, which makes the subquery's aggregate the same as
+    # the main one: Spark runs the scan and its shuffle once and reuses it.
     cuts = (
-        freq.orderBy(F.xxhash64(*keys, "value"), *keys, "value")
+        freq.where(F.col("rows") > 0)
+        .orderBy(F.xxhash64(*keys, "value"), *keys, "value")
         .limit(slices - 1)
         .agg(F.array_sort(F.collect_set("value")).alias("cuts"))
         .scalar()
     )
-    sliced = freq.withColumn("_cuts", cuts).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut <= F.col("value")))
-    ).drop("_cuts")
+    # coalesce marks the slice as never null; otherwise Spark infers a not-null filter on
+    # it and evaluates the array for every raw row below the aggregate.
+    place = F.array_position(F.sort_array(F.array_append(cuts, F.col("value"))), F.col("value"))
+    sliced = freq.withColumn("_slice", F.coalesce(place, F.lit(0)))
     sums = sliced.groupBy(*keys, "_slice").agg(F.sum("rows").alias("_rows"))
     by_key = Window.partitionBy(*(keys or [F.lit(0)]))
     before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

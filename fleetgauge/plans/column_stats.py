@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.numbers import idiv, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
 from fleetgauge.functions.timeunits import instant
-from fleetgauge.operators.running import frequencies, with_rows_below
+from fleetgauge.operators.running import frequencies, value_counts, with_rows_below
 from fleetgauge.plans.indexes import FULL_SCAN_ROWS
 from fleetgauge.sources.telemetry import Telemetry
 
@@ -50,26 +51,24 @@ def header(
 ) -> DataFrame:
     """Rows, steps, density (1 / distinct values) and nulls of a column."""
     rows = df if where is None else df.where(where)
-    freq = frequencies(rows, [], column)
-    step_count = _steps(freq, steps).agg(F.count("*")).scalar()
-    distinct = F.approx_count_distinct(column) if approximate else F.count("value")
+    counts = value_counts(rows, [], column)
+    n = F.col("rows")
+    step_count = _steps(counts.where(n > 0), steps).agg(F.count("*")).scalar()
     if approximate:
         sums = rows.agg(
-            F.count("*").alias("rows"), F.count(column).alias("not_null"), distinct.alias("distinct_values")
+            F.count("*").alias("rows"), (F.count("*") - F.count(column)).alias("null_rows"),
+            F.approx_count_distinct(column).alias("distinct_values"),
         )
     else:
-        # One row per value, the null value included: counts come from the frequencies.
-        groups = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-        sums = groups.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("not_null"),
-            distinct.alias("distinct_values"),
+        sums = counts.agg(
+            F.coalesce(F.sum(F.abs(n)), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum(F.when(n < 0, -n)), F.lit(0)).alias("null_rows"),
+            F.count("value").alias("distinct_values"),
         )
     return sums.select(
         F.lit(column).alias("column_name"), instant(updated).alias("updated"), "rows",
-        F.col("rows").alias("rows_sampled"), (F.col("rows") - F.col("not_null")).alias("null_rows"),
-        "distinct_values", (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"),
-        step_count.alias("steps"),
+        F.col("rows").alias("rows_sampled"), "null_rows", "distinct_values",
+        (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"), step_count.alias("steps"),
     )
 
 
@@ -79,16 +78,19 @@ def density_vector(df: DataFrame, columns) -> DataFrame:
     Each shorter prefix is grouped from the next longer one, so only the longest
     prefix reads the table and later ones work on its distinct combinations.
     """
-    out, level = None, df.select(*columns)
+    n = F.col("n")
+    rows, level = [], df.groupBy(*columns).agg(F.count("*").alias("n"))
     for length in range(len(columns), 0, -1):
         prefix = list(columns[:length])
-        level = level.select(*prefix).distinct()
-        row = level.agg(F.count("*").alias("distinct_values")).select(
-            F.lit(", ".join(prefix)).alias("columns"), F.lit(length).alias("prefix_length"),
-            "distinct_values", (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"),
+        if length < len(columns):
+            level = level.groupBy(*prefix).agg(F.sum("n").alias("n"))
+        rows.append(
+            level.where(n > 0).agg(F.count("*").alias("distinct_values")).select(
+                F.lit(", ".join(prefix)).alias("columns"), F.lit(length).alias("prefix_length"),
+                "distinct_values", (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"),
+            )
         )
-        out = row if out is None else out.unionByName(row)
-    return out
+    return reduce(DataFrame.unionByName, rows)
 
 
 def sampled_histogram(
@@ -135,13 +137,14 @@ def estimates(steps: DataFrame, actual: DataFrame) -> DataFrame:
         "range_hi_key", "eq_rows", "avg_range_rows",
     )
     keys = steps.agg(F.array_sort(F.collect_list("range_hi_key")).alias("keys")).scalar()
-    position = F.size(F.filter("_keys", lambda k: k < F.col("value")))
+    place = F.array_position(F.sort_array(F.array_append(keys, F.col("value"))), F.col("value"))
+    position = F.coalesce(place, F.lit(0)) - 1
     estimate = (
         F.when(F.col("range_hi_key").isNull(), 1.0)
         .when(F.col("value") == F.col("range_hi_key"), F.col("eq_rows").cast("double"))
         .otherwise(F.col("avg_range_rows"))
     )
-    joined = actual.withColumn("_keys", keys).withColumn("_position", position).drop("_keys").join(F.broadcast(numbered), "_position", "left")
+    joined = actual.withColumn("_position", position).join(F.broadcast(numbered), "_position", "left")
     return graded_estimates(
         joined.select("value", F.col("rows").alias("actual_rows"), estimate.alias("estimated_rows"))
     )
