@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from fleetgauge.plans.findings import ENTITIES, PRIORITIES
-from fleetgauge.oracles import column_stats, history, indexes, servers, sessions, storage, waiting, workload
+from fleetgauge.oracles import column_stats, history, indexes, servers, sessions, storage, streaming, waiting, workload
 
 ORACLES: dict[str, str] = {
     **sessions.ORACLES, **waiting.ORACLES, **servers.ORACLES, **storage.ORACLES,
     **workload.ORACLES, **indexes.ORACLES, **history.ORACLES, **column_stats.ORACLES,
+    **streaming.ORACLES,
 }
 
 

@@ -17,6 +17,7 @@ from fleetgauge.operators.running import frequencies
 from fleetgauge.session import prepare
 from fleetgauge.sources.base_tables import read_base
 from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.streaming.registry import STREAMS
 
 EVENTS_NOW = datetime(2024, 1, 31)
 ORDERS_NOW = datetime(2001, 8, 2)
@@ -207,4 +208,4 @@ def as_column_query(report: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {name: as_query(report) for name, report in REPORTS.items()}
     named |= {name: as_column_query(report) for name, report in COLUMN_REPORTS.items()}
-    return dict(sorted(named.items()))
+    return dict(sorted((named | STREAMS).items()))
