@@ -7,7 +7,7 @@ GB = 1024**3
 MAINTENANCE = sql(f"""
 SELECT *, {case(("error_number IS NOT NULL", "CRITICAL", "error"), ("seconds > 3600", "ATTENTION", "over_1h"))} FROM (
  SELECT server_id, command_id, database_name, table_name, index_name, command_type, start_time, end_time,
-  date_diff('second', start_time, end_time) AS seconds, error_number, error_message
+  date_diff('second', start_time, end_time) AS seconds, CAST(error_number AS DOUBLE) AS error_number, error_message
  FROM command_log ORDER BY start_time DESC, server_id, command_id LIMIT 100) y""", "command_log")
 FULL = f"type = 'D' AND backup_finish_date >= {ORDERS_NOW} - INTERVAL 6 MONTH"
 RUN_AT = "strptime(CAST(run_date AS VARCHAR) || lpad(CAST(run_time AS VARCHAR), 6, '0'), '%Y%m%d%H%M%S')"
@@ -20,14 +20,14 @@ ORACLES = {
     "q20a_backup_age": sql(f"""
 SELECT *, {case(("last_full IS NULL", "CRITICAL", "never_full"), ("hours_since_full > 48", "CRITICAL", "full_over_48h"),
   ("hours_since_full > 24", "ATTENTION", "full_over_24h"))} FROM (
- SELECT *, {hours('last_full', ORDERS_NOW)} AS hours_since_full FROM (
+ SELECT *, CAST({hours('last_full', ORDERS_NOW)} AS DOUBLE) AS hours_since_full FROM (
   SELECT server_id, database_name, max(CASE WHEN type = 'D' THEN backup_finish_date END) AS last_full,
    max(CASE WHEN type = 'I' THEN backup_finish_date END) AS last_differential,
    max(CASE WHEN type = 'L' THEN backup_finish_date END) AS last_log FROM backupset GROUP BY ALL) g) y""", "backupset"),
     "q21_integrity_age": sql(f"""
 SELECT *, {case(("last_check IS NULL", "CRITICAL", "never_checked"), ("days_since_check > 30", "CRITICAL", "over_30d"),
   ("days_since_check > 7", "ATTENTION", "over_7d"))} FROM (
- SELECT server_id, name, last_good_check_time AS last_check, {days('last_good_check_time', EVENTS_NOW)} AS days_since_check
+ SELECT server_id, name, last_good_check_time AS last_check, CAST({days('last_good_check_time', EVENTS_NOW)} AS DOUBLE) AS days_since_check
  FROM database_dim WHERE state_desc = 'ONLINE' AND database_id > 4) y""", "database_dim"),
     "q22_job_failures": sql(f"""
 SELECT h.server_id, h.instance_id, j.name AS job, h.step_name, {RUN_AT} AS executed_at,
@@ -72,7 +72,7 @@ FROM (SELECT server_id, date_trunc('day', snapshot_ts) AS day, CAST(hour(snapsho
  FROM log_session WHERE snapshot_ts >= {EVENTS_NOW} - INTERVAL 24 HOUR GROUP BY ALL) y""", "log_session"),
     "x21_growth_forecast": sql(f"""
 SELECT server_id, database_name, backups, mb_per_day, mean_mb,
- CASE WHEN mb_per_day > 0 THEN CAST(ceil((500000 - mean_mb) / mb_per_day) AS BIGINT) END AS days_to_capacity
+ CASE WHEN mb_per_day > 0 THEN CAST(ceil((500000 - mean_mb) / mb_per_day) AS DOUBLE) END AS days_to_capacity
 FROM (SELECT server_id, database_name, n AS backups, CAST(n * sxy - sx * sy AS DOUBLE) / CAST(nullif(n * sxx - sx * sx, 0) AS DOUBLE) AS mb_per_day,
  CAST(sy AS DOUBLE) / n AS mean_mb FROM (
  SELECT server_id, database_name, count(*) AS n, sum(CAST(x AS HUGEINT)) AS sx, sum(CAST(y AS HUGEINT)) AS sy, sum(CAST(x AS HUGEINT) * y) AS sxy,

@@ -180,12 +180,17 @@ COLUMN_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+# Integers that may be missing; data frames of different engines type them differently.
+NULLABLE_INTEGERS = ("error_number", "hours_since_full", "days_since_check", "days_to_capacity")
+
+
 def plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that results compare the same across engines."""
+    """Decimals (and integers with gaps) as doubles, so that results compare the same
+    across engines."""
     return df.select(
         *[
             F.col(f.name).cast("double").alias(f.name)
-            if f.dataType.typeName() == "decimal" else F.col(f.name)
+            if f.dataType.typeName() == "decimal" or f.name in NULLABLE_INTEGERS else F.col(f.name)
             for f in df.schema.fields
         ]
     )
