@@ -20,12 +20,14 @@ RUN_RESULTS = {0: "FAILED", 1: "OK", 2: "RETRY", 3: "CANCELLED"}
 
 def maintenance_log(t: Telemetry, top: int = 100) -> DataFrame:
     """The latest maintenance commands."""
-    latest = top_overall(t["command_log"], [F.desc("start_time"), "server_id", "command_id"], top)
-    return latest.select(
+    # Durations come before the top-k: one projection above it is all that Spark folds
+    # into TakeOrderedAndProject; with more it would sort the whole log.
+    log = t["command_log"].select(
         "server_id", "command_id", "database_name", "table_name", "index_name", "command_type",
         "start_time", "end_time", boundaries("second", "start_time", "end_time").alias("seconds"),
         "error_number", "error_message",
-    ).withColumns(
+    )
+    return top_overall(log, [F.desc("start_time"), "server_id", "command_id"], top).withColumns(
         grade(
             (F.col("error_number").isNotNull(), CRITICAL, "error"),
             (F.col("seconds") > 3600, ATTENTION, "over_1h"),
@@ -111,7 +113,7 @@ def backup_growth(t: Telemetry, as_of: datetime, months: int = 6) -> DataFrame:
     """Full backups with their growth over the one before."""
     rows = with_previous(
         _full_backups(t, as_of, months), ["server_id", "database_name"],
-        ["backup_finish_date", "backup_set_id"], F.date_trunc("month", "backup_finish_date"), ["backup_size"],
+        ["backup_finish_date", "backup_set_id"], F.date_trunc("day", "backup_finish_date"), ["backup_size"],
     )
     growth = F.col("backup_size") - F.col("prev_backup_size")
     saved = F.col("backup_size") - F.col("compressed_backup_size")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.numbers import count_where, idiv, pages_to_mb, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
-from fleetgauge.operators.totals import with_totals
 from fleetgauge.plans.lookups import with_database
 from fleetgauge.sources.telemetry import Telemetry
 
@@ -171,7 +170,11 @@ def growth_settings(t: Telemetry) -> DataFrame:
 
 
 def io_share(t: Telemetry) -> DataFrame:
-    """Share of the server's reads and writes per database."""
+    """Share of the server's reads and writes per database.
+
+    The window runs over the aggregated rows, of which a server has one per database
+    (at most 32,767 by product limit), so no group grows with the file history.
+    """
     summed = with_database(
         t["file_io"]
         .groupBy("server_id", "database_id")
@@ -184,9 +187,11 @@ def io_share(t: Telemetry) -> DataFrame:
         t,
         "inner",
     )
-    totals = {"all_reads": F.sum("reads"), "all_writes": F.sum("writes")}
+    server = Window.partitionBy("server_id")
     return (
-        with_totals(summed, summed, ["server_id"], totals)
+        summed.withColumns(
+            {"all_reads": F.sum("reads").over(server), "all_writes": F.sum("writes").over(server)}
+        )
         .select(
             "server_id", "database_id", "database_name", "reads", "writes",
             ratio("bytes_read", F.lit(BYTES_PER_GB), 10, 2).alias("read_gb"),

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetgauge.functions.numbers import count_where, idiv
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
+from fleetgauge.operators.previous import counter_delta, with_previous
 from fleetgauge.plans.history import hourly_ladder
 
 
@@ -49,46 +47,60 @@ def hourly_sessions(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-DELTA_SCHEMA = (
-    "server_id long, wait_type string, prev_snapshot_ts timestamp, snapshot_ts timestamp, "
-    "delta_ms long, was_reset int"
-)
-STATE_SCHEMA = "snapshot_ts timestamp, wait_time_ms long"
+COUNTER = ("server_id", "wait_type")
+READING = ("snapshot_ts", "wait_time_ms")
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas of one counter's new readings against the last one seen.
+def delta_batch(batch: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(deltas, newest readings) of a micro-batch after the ``last`` known readings.
 
-    Readings that are not newer than the last one are dropped: their delta is gone.
+    Readings that are not newer than the last one of their counter are dropped: their
+    delta is gone. Deltas come from with_previous, so a counter with very many rows in
+    one batch is spread over its hours.
     """
-    readings = pd.concat(list(batches)).sort_values("snapshot_ts")
-    if state.exists:
-        last_ts, last_ms = state.get
-        readings = readings[readings["snapshot_ts"] > last_ts]
-        seen = pd.DataFrame({"snapshot_ts": [last_ts], "wait_time_ms": [last_ms]})
-        readings = pd.concat([seen, readings[["snapshot_ts", "wait_time_ms"]]])
-    if readings.empty:
-        return
-    was = readings[["snapshot_ts", "wait_time_ms"]].shift(1)
-    out = pd.DataFrame(
-        {
-            "server_id": key[0], "wait_type": key[1], "prev_snapshot_ts": was["snapshot_ts"],
-            "snapshot_ts": readings["snapshot_ts"], "delta_ms": readings["wait_time_ms"] - was["wait_time_ms"],
-        }
-    ).iloc[1:]
-    reset = out["delta_ms"] < 0
-    out.loc[reset, "delta_ms"] = readings["wait_time_ms"].iloc[1:][reset.to_numpy()].astype("float64").to_numpy()
-    out["delta_ms"] = out["delta_ms"].astype("int64")
-    out["was_reset"] = reset.astype("int32")
-    newest = readings.iloc[-1]
-    state.update((newest["snapshot_ts"], int(newest["wait_time_ms"])))
-    yield out
-
-
-def counter_deltas(readings: DataFrame) -> DataFrame:
-    """Change of every cumulative counter between readings, with resets after restarts."""
-    return readings.groupBy("server_id", "wait_type").applyInPandasWithState(
-        _step, DELTA_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+    rows = batch.select(*COUNTER, *READING).withColumn("is_new", F.lit(True))
+    if last is not None:
+        known = last.select(*COUNTER, F.col("snapshot_ts").alias("_known"))
+        rows = rows.join(known, list(COUNTER), "left").where(
+            F.col("_known").isNull() | (F.col("snapshot_ts") > F.col("_known"))
+        ).drop("_known")
+        rows = rows.unionByName(last.select(*COUNTER, *READING).withColumn("is_new", F.lit(False)))
+    chained = with_previous(rows, COUNTER, ["snapshot_ts"], F.date_trunc("hour", "snapshot_ts"), READING)
+    deltas = chained.where(F.col("is_new") & F.col("prev_snapshot_ts").isNotNull()).select(
+        *COUNTER, "prev_snapshot_ts", "snapshot_ts",
+        counter_delta("wait_time_ms", "prev_wait_time_ms").alias("delta_ms"),
+        (F.col("wait_time_ms") < F.col("prev_wait_time_ms")).cast("int").alias("was_reset"),
+    )
+    newest = rows.groupBy(*COUNTER).agg(
+        F.max("snapshot_ts").alias("snapshot_ts"), F.max_by("wait_time_ms", "snapshot_ts").alias("wait_time_ms")
+    )
+    return deltas, newest
+
+
+def start_counter_deltas(readings: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Change of every cumulative counter between readings, with resets after restarts.
+
+    The state is a table with one row per counter, written anew by every batch under
+    its number (a collection reads all counters, so all rows change anyway). A batch
+    that is replayed starts from the same state and overwrites its own output.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = spark.read.parquet(f"{state}/version={batch_id - 1}") if batch_id > 0 else None
+        batch = batch.persist()
+        try:
+            deltas, newest = delta_batch(batch, last)
+            deltas.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            newest.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (
+        readings.writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 

@@ -59,7 +59,9 @@ def counter_delta(spark: SparkSession, folder: str) -> DataFrame:
     landing = work_path(spark, "readings")
     series.write.parquet(landing)
     readings = spark.readStream.schema(series.schema).parquet(landing)
-    return _run(spark, live.counter_deltas(readings), "deltas")
+    out, state = work_path(spark, "deltas"), work_path(spark, "deltas-last")
+    live.start_counter_deltas(readings, out, state, work_path(spark, "deltas-state")).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
 
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +71,7 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def late(spark: SparkSession, folder: str) -> DataFrame:
-    """Events landed in four files that overlap in time, read one file per batch."""
+    """All events, landed in four files that overlap in time, read one file per batch."""
     landing, out = work_path(prepare(spark), "landing"), work_path(spark, "late")
     events = read_base(spark, folder, "events")
     for part in range(4):
