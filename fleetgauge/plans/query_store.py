@@ -240,7 +240,11 @@ def regression_pairs(
 
 
 def plan_list(t: Telemetry, query_id: int | None = None) -> DataFrame:
-    """Plans of a query (or of all queries) in the order they first ran."""
+    """Plans of a query (or of all queries) in the order they first ran.
+
+    The store keeps a bounded number of plans per query (200 unless configured), so the
+    window sees small groups.
+    """
     plans = t["qs_plan"]
     if query_id is not None:
         plans = plans.where(F.col("query_id") == query_id)

@@ -110,3 +110,20 @@ def test_shares_of_a_hot_server(spark, make):
     assert [r["wait_time_ms"] for r in hot[:3]] == [49_999, 49_997, 49_996] and len(hot) == 20
     total = waits.where("server_id = 1").agg(F.sum("wait_time_ms")).first()[0]
     assert float(hot[0]["share_pct"]) == round(100 * 49_999 / total, 2)
+
+
+def test_reading_order(telemetry):
+    from fleetgauge.plans.ordering import ORDERS, ordered
+    from fleetgauge.plans.registry import REPORTS
+
+    assert set(ORDERS) <= set(REPORTS)
+    for name in ORDERS:
+        report = REPORTS[name](telemetry)
+        assert {c.lstrip("-") for c in ORDERS[name]} <= set(report.columns), name
+    rows = ordered("q25_autogrowth", REPORTS["q25_autogrowth"](telemetry)).collect()
+    keys = [(r["server_id"], r["sort_bucket"], r["database_id"]) for r in rows]
+    assert keys == sorted(keys) and len({k[1] for k in keys}) == 3
+    ages = ordered("q21_integrity_age", REPORTS["q21_integrity_age"](telemetry)).where("server_id = 0").collect()
+    days = [r["days_since_check"] for r in ages]
+    known = [d for d in days if d is not None]
+    assert known == sorted(known, reverse=True) and days[len(known):] == [None] * (len(days) - len(known))
