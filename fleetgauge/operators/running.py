@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,40 @@ def frequencies(df: DataFrame, keys, column: str) -> DataFrame:
     return value_counts(df, keys, column).where(F.col("rows") > 0)
 
 
+CHUNK = 16
+
+
+def cut_points(values: DataFrame) -> Column:
+    """The distinct ``value``s of a small frame as a scalar: sorted, in chunks of sixteen.
+
+    The frame must be bounded by its maker (a limit, the steps of a histogram).
+    """
+    whole = values.agg(F.array_sort(F.collect_set("value")).alias("cuts"))
+    last = F.greatest(F.call_function("div", F.size("cuts") - 1, F.lit(CHUNK)), F.lit(0)).cast("int")
+    chunks = whole.select(
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("cuts", i * CHUNK + 1, CHUNK)).alias("chunks")
+    )
+    heads = F.transform("chunks", lambda chunk: F.get(chunk, F.lit(0)))
+    return chunks.select(F.struct(heads.alias("heads"), "chunks")).scalar()
+
+
+def cuts_below(cuts: Column, value: Column) -> Column:
+    """How many cut points lie below a value.
+
+    Two lookups in short arrays: among the heads of the chunks, then inside one chunk.
+    A value's place in a sorted array is found by sorting it in, for Spark admits no
+    subquery in a lambda. coalesce marks the result as never null; otherwise Spark
+    infers a not-null filter from it and evaluates it for raw rows below an aggregate.
+    """
+
+    def smaller(array: Column) -> Column:
+        return F.array_position(F.sort_array(F.array_append(array, value)), value) - 1
+
+    chunk = smaller(cuts["heads"])
+    inside = smaller(F.get(cuts["chunks"], (chunk - 1).cast("int")))
+    return F.coalesce(F.when(chunk > 0, (chunk - 1) * CHUNK + inside), F.lit(0))
+
+
 def with_rows_below(freq: DataFrame, keys=(), slices: int = 256) -> DataFrame:
     """Add ``below`` (rows of smaller values of the same key) and ``total`` (all its rows).
 
@@ -33,18 +67,17 @@ def with_rows_below(freq: DataFrame, keys=(), slices: int = 256) -> DataFrame:
     keys = list(keys)
     # The filter reads ``rows`` here too, which makes the subquery's aggregate the same as
     # the main one: Spark runs the scan and its shuffle once and reuses it.
-    cuts = (
+    cuts = cut_points(
         freq.where(F.col("rows") > 0)
         .orderBy(F.xxhash64(*keys, "value"), *keys, "value")
         .limit(slices - 1)
-        .agg(F.array_sort(F.collect_set("value")).alias("cuts"))
-        .scalar()
     )
-    # coalesce marks the slice as never null; otherwise Spark infers a not-null filter on
-    # it and evaluates the array for every raw row below the aggregate.
-    place = F.array_position(F.sort_array(F.array_append(cuts, F.col("value"))), F.col("value"))
-    sliced = freq.withColumn("_slice", F.coalesce(place, F.lit(0)))
-    sums = sliced.groupBy(*keys, "_slice").agg(F.sum("rows").alias("_rows"))
+    # Both the sums and the running counts start from this one shuffle: reading ``value``
+    # in both keeps their columns, and with them the exchange, the same.
+    sliced = freq.withColumn("_slice", cuts_below(cuts, F.col("value"))).repartition(*keys, "_slice")
+    sums = sliced.groupBy(*keys, "_slice").agg(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("rows"))).alias("_rows")
+    )
     by_key = Window.partitionBy(*(keys or [F.lit(0)]))
     before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -57,8 +90,9 @@ def with_rows_below(freq: DataFrame, keys=(), slices: int = 256) -> DataFrame:
     inside = (
         Window.partitionBy(*keys, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     )
+    running = sliced.withColumn("_before", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
     return (
-        sliced.join(offsets, [*keys, "_slice"])
-        .withColumn("below", F.col("_offset") + F.coalesce(F.sum("rows").over(inside), F.lit(0)))
-        .drop("_slice", "_offset")
+        running.join(offsets, [*keys, "_slice"])
+        .withColumn("below", F.col("_offset") + F.col("_before"))
+        .drop("_slice", "_offset", "_before")
     )

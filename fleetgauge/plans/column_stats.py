@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.numbers import idiv, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
 from fleetgauge.functions.timeunits import instant
-from fleetgauge.operators.running import frequencies, value_counts, with_rows_below
+from fleetgauge.operators.running import cut_points, cuts_below, frequencies, value_counts, with_rows_below
 from fleetgauge.plans.indexes import FULL_SCAN_ROWS
 from fleetgauge.sources.telemetry import Telemetry
 
@@ -136,9 +136,8 @@ def estimates(steps: DataFrame, actual: DataFrame) -> DataFrame:
         (F.row_number().over(Window.orderBy("range_hi_key")) - 1).alias("_position"),
         "range_hi_key", "eq_rows", "avg_range_rows",
     )
-    keys = steps.agg(F.array_sort(F.collect_list("range_hi_key")).alias("keys")).scalar()
-    place = F.array_position(F.sort_array(F.array_append(keys, F.col("value"))), F.col("value"))
-    position = F.coalesce(place, F.lit(0)) - 1
+    keys = cut_points(steps.select(F.col("range_hi_key").alias("value")))
+    position = cuts_below(keys, F.col("value"))
     estimate = (
         F.when(F.col("range_hi_key").isNull(), 1.0)
         .when(F.col("value") == F.col("range_hi_key"), F.col("eq_rows").cast("double"))
