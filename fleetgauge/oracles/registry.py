@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetgauge.plans.findings import ENTITIES, PRIORITIES
+from fleetgauge.plans.findings import DATABASES, ENTITIES, PRIORITIES
 from fleetgauge.oracles import column_stats, history, indexes, servers, sessions, storage, streaming, waiting, workload
 
 ORACLES: dict[str, str] = {
@@ -17,7 +17,7 @@ def _feed() -> str:
     for name, entity in ENTITIES.items():
         label = ", ".join(f"CAST({c} AS VARCHAR)" for c in entity)
         parts.append(
-            f"SELECT server_id, '{name}' AS report, concat_ws('/', {label}) AS entity, severity, reason FROM ({ORACLES[name]}) r"
+            f"SELECT server_id, '{name}' AS report, CAST({DATABASES.get(name, 'NULL')} AS VARCHAR) AS database, concat_ws('/', {label}) AS entity, severity, reason FROM ({ORACLES[name]}) r"
         )
     ranks = " ".join(f"WHEN '{severity}' THEN {rank}" for severity, rank in PRIORITIES.items())
     return (
@@ -27,3 +27,7 @@ def _feed() -> str:
 
 
 ORACLES["x01_findings_feed"] = _feed()
+ORACLES["x06b_deadlock_counts"] = (
+    "SELECT server_id, count(*) AS events, CAST(sum(sessions) AS BIGINT) AS sessions "
+    f"FROM ({ORACLES['x06_deadlock_window']}) m GROUP BY server_id"
+)

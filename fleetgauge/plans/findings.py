@@ -46,6 +46,15 @@ ENTITIES = {
     "q33_io_share": ("database_name",),
     "q34a_regressions": ("query_id",),
 }
+# Report -> the column that names the database, for reports about one.
+DATABASES = {
+    "q03_active_requests": "database_name", "q04a_query_cpu": "database_name", "q06_blocking_pairs": "database_name",
+    "q08_missing_indexes": "database_id", "q09a_fragmentation": "database_id", "q10_unused_indexes": "database_id",
+    "q11_proc_ranking": "database_name", "q12a_trigger_cpu": "database_name", "q17a_file_latency": "database_id",
+    "q18_stale_stats": "database_id", "q20a_backup_age": "database_name", "q20b_log_reuse": "name",
+    "q20c_log_vs_data": "name", "q21_integrity_age": "name", "q23b_database_options": "name",
+    "q24a_vlf_by_db": "database_name", "q25_autogrowth": "database_id", "q33_io_share": "database_name",
+}
 # Priority by severity: up to 10 act now, up to 50 plan, up to 200 note.
 PRIORITIES = {
     "CRITICAL": 1, "REMOVE": 10, "REBUILD": 10, "CREATE": 10, "ATTENTION": 11,
@@ -63,22 +72,26 @@ def band() -> Column:
 
 
 def as_findings(report: DataFrame, name: str, entity) -> DataFrame:
+    database = F.col(DATABASES[name]) if name in DATABASES else F.lit(None)
     return report.select(
-        "server_id", F.lit(name).alias("report"),
+        "server_id", F.lit(name).alias("report"), database.cast("string").alias("database"),
         F.concat_ws("/", *[F.col(c).cast("string") for c in entity]).alias("entity"), "severity", "reason",
     )
 
 
 def findings_feed(
     t: Telemetry, reports: dict[str, Callable[[Telemetry], DataFrame]],
-    max_priority: int = 50, server_id: int | None = None,
+    max_priority: int = 50, server_id: int | None = None, databases=None,
 ) -> DataFrame:
-    """All findings up to a priority. Every report filters before the union, and the
-    predicate on the server reaches each scan."""
+    """All findings up to a priority, of one server or of some databases (given by
+    the name or the id a report carries). The predicates move below the union, and the
+    one on the server reaches each scan."""
     parts = [as_findings(reports[name](t), name, entity) for name, entity in ENTITIES.items() if name in reports]
     feed = reduce(DataFrame.unionByName, parts)
     if server_id is not None:
         feed = feed.where(F.col("server_id") == server_id)
+    if databases is not None:
+        feed = feed.where(F.col("database").isin(*[str(d) for d in databases]))
     return (
         feed.withColumn("priority", priority())
         .where(F.col("priority") <= max_priority)

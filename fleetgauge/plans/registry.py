@@ -139,6 +139,9 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "x06_deadlock_window": lambda t: blocking.mutual_waits(
         t, datetime(2024, 1, 30, 19), datetime(2024, 1, 30, 23)
     ),
+    "x06b_deadlock_counts": lambda t: blocking.mutual_wait_counts(
+        t, datetime(2024, 1, 30, 19), datetime(2024, 1, 30, 23)
+    ),
     "x07_index_review": indexes.index_review,
     "x08_maintenance_plan": indexes.maintenance_plan,
     "x16_parameter_spread": column_stats.parameter_spread,

@@ -229,3 +229,17 @@ def activity(
     if top is None:
         return rows
     return top_per(rows, keys, [F.desc_nulls_last(sort_by), "session_id", "request_id"], top)
+
+
+def activity_log_rows(t: Telemetry, collected_at: datetime) -> DataFrame:
+    """Rows for the activity log that activity_log_latest reads."""
+    rows = activity(t)
+    keys = snapshot_keys(rows)
+    handles = t["request_snapshot"].select(*keys, "session_id", "request_id", "sql_handle")
+    rows = with_text(rows.join(handles, [*keys, "session_id", "request_id"], "left"), t, how="left")
+    return rows.select(
+        "server_id", instant(collected_at).alias("collection_time"), "session_id",
+        F.col("session_status").alias("status"), F.col("cpu_time").alias("cpu"), "reads", "elapsed_time",
+        F.col("wait_type").alias("wait_info"), "blocking_session_id", "database_name",
+        F.col("text").alias("sql_text"),
+    )

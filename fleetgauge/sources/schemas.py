@@ -177,4 +177,28 @@ TELEMETRY_SCHEMAS = {
         "server_id bigint, snapshot_ts timestamp, session_id bigint, blocking_session_id bigint, cpu_time "
         "bigint"
     ),
+    # Written by the collector and the baseline captures.
+    "log_wait": (
+        "server_id bigint, collected_at timestamp, rank int, wait_type string, waiting_tasks_count bigint, "
+        "wait_time_ms bigint, signal_wait_time_ms bigint, share_pct decimal(5,2)"
+    ),
+    "log_block": (
+        "server_id bigint, snapshot_ts timestamp, blocking_session_id bigint, blocker_query string, "
+        "blocked_session_id bigint, blocked_query string, wait_type string, wait_seconds bigint, "
+        "collected_at timestamp"
+    ),
+    "baseline_index": (
+        "phase string, captured_at timestamp, server_id bigint, database_id bigint, table_name string, "
+        "index_name string, seeks bigint, scans bigint, lookups bigint, updates bigint, "
+        "counters_since timestamp"
+    ),
+    "baseline_frag": (
+        "phase string, captured_at timestamp, server_id bigint, database_id bigint, table_name string, "
+        "index_name string, fragmentation_pct decimal(5,1), page_count bigint, record_count bigint, "
+        "page_splits bigint"
+    ),
+    "baseline_wait": (
+        "phase string, captured_at timestamp, server_id bigint, wait_type string, wait_time_ms bigint, "
+        "waiting_tasks bigint"
+    ),
 }

@@ -86,6 +86,31 @@ def test_feed_priorities(telemetry):
     assert findings.findings_feed(telemetry, {"q16b_page_life": REPORTS["q16b_page_life"]}, 200, server_id=3).count() == 1
 
 
+def test_feed_by_database(telemetry):
+    feed = findings.findings_feed(telemetry, {"q21_integrity_age": REPORTS["q21_integrity_age"]}, 200, databases=["DB_6"])
+    assert {r[0] for r in feed.select("database").distinct().collect()} == {"DB_6"}
+
+
+def test_written_tables_have_the_declared_schemas(spark, telemetry):
+    written = {
+        "log_wait": waiting.collected_waits(telemetry, NOW),
+        "log_block": sessions.collected_blocks(telemetry, NOW),
+        "baseline_index": baseline.capture_index_usage(telemetry, "before", NOW),
+        "baseline_frag": baseline.capture_fragmentation(telemetry, "before", NOW),
+        "baseline_wait": baseline.capture_waits(telemetry, "before", NOW),
+        "session_activity_log": sessions.activity_log_rows(telemetry, NOW),
+    }
+    for name, rows in written.items():
+        assert types(rows.schema) == types(spark.createDataFrame([], TELEMETRY_SCHEMAS[name]).schema), name
+
+
+def test_activity_log_written_and_read(spark, telemetry, tmp_path):
+    for minute in (0, 5):
+        append_by_date(sessions.activity_log_rows(telemetry, NOW.replace(minute=minute)), str(tmp_path / "session_activity_log"), "collection_time")
+    latest = sessions.activity_log_latest(Telemetry.from_files(spark, str(tmp_path)), top=20).collect()
+    assert len(latest) == 20 and {r["collection_time"].minute for r in latest} == {5}
+
+
 def test_activity_options(telemetry):
     rows = sessions.activity(telemetry, show_sleeping=sessions.SHOW_SLEEPING)
     hidden = sessions.activity(telemetry, show_sleeping=sessions.HIDE_SLEEPING)
