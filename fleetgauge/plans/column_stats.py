@@ -19,6 +19,8 @@ MAX_STEPS = 200
 
 
 def _steps(freq: DataFrame, steps: int) -> DataFrame:
+    if not 1 <= steps <= MAX_STEPS:
+        raise ValueError(f"a histogram has 1 to {MAX_STEPS} steps, not {steps}")
     placed = with_rows_below(freq).withColumn("step", idiv(F.col("below") * steps, "total"))
     grouped = placed.groupBy("step").agg(
         F.max("value").alias("range_hi_key"),

@@ -42,3 +42,11 @@ def save_capture(rows: DataFrame, path: str, capture_id: str) -> DataFrame:
 def schema_of(report: DataFrame) -> str:
     """The DDL column list a table for this report needs."""
     return report.schema.toDDL()
+
+
+def save_bucketed(rows: DataFrame, table: str, keys, buckets: int, path: str | None = None) -> None:
+    """Store a table bucketed and sorted by its join keys: tables bucketed alike join and
+    aggregate on these keys without a shuffle (the Query Store tables by server and plan,
+    requests and sessions by server, snapshot and session)."""
+    writer = rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -47,6 +47,12 @@ class Telemetry:
 
         return cls(spark, load)
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, prefix: str = "") -> "Telemetry":
+        """Catalog tables, bucketed ones included: ``prefix`` is a database with its dot,
+        or any other leading part of the names."""
+        return cls(spark, lambda name: spark.table(f"{prefix}{name}"))
+
     @classmethod
     def from_frames(cls, spark: SparkSession, **tables: DataFrame) -> "Telemetry":
         return cls(spark, tables.__getitem__)

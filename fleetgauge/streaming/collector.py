@@ -13,6 +13,7 @@ from fleetgauge.plans.sessions import collected_blocks, collected_sessions
 from fleetgauge.plans.waiting import collected_waits
 from fleetgauge.sources.sinks import write_batch
 from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.streaming.live import trigger_of
 
 LOGS = ("log_session", "log_wait", "log_block")
 
@@ -34,9 +35,9 @@ def collect_batch(t: Telemetry, collected_at: datetime, batch_id: int, root: str
 
 def start_collector(
     stream: DataFrame, telemetry_of: Callable[[DataFrame], Telemetry], event_time: str,
-    root: str, checkpoint: str,
+    root: str, checkpoint: str, every: str | None = None,
 ) -> StreamingQuery:
-    """Collect a stream. ``telemetry_of`` turns a micro-batch into telemetry tables.
+    """Collect a stream, ``every`` few minutes or once. ``telemetry_of`` turns a micro-batch into telemetry tables.
 
     The collection time is the latest event time of the batch: the same when a batch
     is replayed. The batch is kept while its three logs are written.
@@ -54,7 +55,7 @@ def start_collector(
     return (
         stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger_of(every))
         .start()
     )
 

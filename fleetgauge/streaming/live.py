@@ -14,14 +14,21 @@ from fleetgauge.operators.previous import counter_delta, with_previous
 from fleetgauge.plans.history import hourly_ladder
 
 
-def run_available(rows: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Write what has landed so far to parquet and stop; the checkpoint resumes later."""
+def trigger_of(every: str | None) -> dict:
+    """Run at an interval ("5 minutes"), or once over what has landed."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def write_stream(
+    rows: DataFrame, out: str, checkpoint: str, mode: str = "append", every: str | None = None
+) -> StreamingQuery:
+    """Write a streaming report to parquet; the checkpoint resumes it later."""
     return (
         rows.writeStream.format("parquet")
         .outputMode(mode)
         .option("path", out)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger_of(every))
         .start()
     )
 
@@ -77,29 +84,32 @@ def delta_batch(batch: DataFrame, last: DataFrame | None) -> tuple[DataFrame, Da
     return deltas, newest
 
 
-def start_counter_deltas(readings: DataFrame, out: str, state: str, checkpoint: str) -> StreamingQuery:
+def start_counter_deltas(
+    readings: DataFrame, out: str, state: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Change of every cumulative counter between readings, with resets after restarts.
 
-    The state is a table with one row per counter, written anew by every batch under
-    its number (a collection reads all counters, so all rows change anyway). A batch
-    that is replayed starts from the same state and overwrites its own output.
+    The state is a table with one row per counter, written anew by every batch (a
+    collection reads all counters, so all rows change anyway) into one of two slots in
+    turn. A batch that is replayed still finds the state before it in the other slot
+    and overwrites its own output.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = spark.read.parquet(f"{state}/version={batch_id - 1}") if batch_id > 0 else None
+        last = spark.read.parquet(f"{state}/slot={(batch_id - 1) % 2}") if batch_id > 0 else None
         batch = batch.persist()
         try:
             deltas, newest = delta_batch(batch, last)
             deltas.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-            newest.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+            newest.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
         finally:
             batch.unpersist()
 
     return (
         readings.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger_of(every))
         .start()
     )
 
@@ -123,20 +133,19 @@ def request_alerts(requests: DataFrame, databases: DataFrame) -> DataFrame:
 
 
 def start_late_counter(
-    stream: DataFrame, event_time: str, delay: timedelta, out: str, checkpoint: str
+    stream: DataFrame, event_time: str, delay: timedelta, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Count, per micro-batch, the rows a watermark with this delay would drop.
 
-    The statistics of earlier batches are the state: one small row per batch, kept
-    under its batch number so that a replayed batch overwrites its own row.
+    The row of the batch before is the state. Rows are kept under their batch number,
+    so a replayed batch overwrites its own.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = None
-        if batch_id > 0:
-            stats = spark.read.parquet(f"{out}/batch_id=*").where(F.col("batch") < batch_id)
-            earlier = stats.agg(F.max("latest")).first()[0]
+        if batch_id > 0:  # the row before holds the latest time so far
+            earlier = spark.read.parquet(f"{out}/batch_id={batch_id - 1}").first()["latest"]
         time = F.col(event_time)
         border = F.lit(None).cast("timestamp") if earlier is None else F.lit(str(earlier - delay)).cast("timestamp")
         batch.agg(
@@ -148,6 +157,6 @@ def start_late_counter(
     return (
         stream.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger_of(every))
         .start()
     )

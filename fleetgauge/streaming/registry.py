@@ -45,7 +45,7 @@ def collect(spark: SparkSession, folder: str) -> DataFrame:
 
 def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     out = work_path(spark, name)
-    live.run_available(rows, out, work_path(spark, f"{name}-state")).awaitTermination()
+    live.write_stream(rows, out, work_path(spark, f"{name}-state")).awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
 

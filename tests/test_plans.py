@@ -112,6 +112,22 @@ def test_shares_of_a_hot_server(spark, make):
     assert float(hot[0]["share_pct"]) == round(100 * 49_999 / total, 2)
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, telemetry, no_broadcast, tmp_path):
+    from fleetgauge.plans.sessions import user_requests
+    from fleetgauge.sources.sinks import save_bucketed
+
+    keys = ["server_id", "snapshot_ts", "session_id"]
+    try:
+        for name in ("request_snapshot", "session_snapshot"):
+            save_bucketed(telemetry[name], f"bucketed_{name}", keys, 4, str(tmp_path / name))
+        joined = user_requests(Telemetry.from_catalog(spark, "bucketed_"))
+        assert "Exchange" not in plan(joined)
+        assert joined.count() == user_requests(telemetry).count()
+    finally:
+        for name in ("request_snapshot", "session_snapshot"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
+
+
 def test_reading_order(telemetry):
     from fleetgauge.plans.ordering import ORDERS, ordered
     from fleetgauge.plans.registry import REPORTS

@@ -94,7 +94,7 @@ def test_hourly_stream_equals_batch(spark, landed, tmp_path):
 
     log = spark.sql(DERIVED["log_session"], events=landed)
     out = str(tmp_path / "hours")
-    live.run_available(live.hourly_sessions(log), out, str(tmp_path / "check")).awaitTermination()
+    live.write_stream(live.hourly_sessions(log), out, str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(out)
     rows = spark.sql(DERIVED["log_session"], events=read_base(spark, SMALL, "events"))
     want = rows.groupBy("server_id", F.date_trunc("hour", "snapshot_ts").alias("hour_start")).agg(F.countDistinct("session_id").alias("sessions"))
