@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from fleetgauge.oracles.common import EVENTS_NOW, case, days, mb, pct, rdiv, sql
+from fleetgauge.oracles.common import EVENTS_NOW, case, days, pct, rdiv, sql
 
 QN = "'[' || replace({0}, ']', ']]') || ']'"
 SCORE = "CAST(s.avg_total_user_cost * s.avg_user_impact * (s.user_seeks + s.user_scans) AS BIGINT)"

@@ -11,7 +11,7 @@ from fleetgauge.functions.numbers import count_where, idiv, pages_to_mb
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
 from fleetgauge.functions.timeunits import boundaries, instant
 from fleetgauge.operators.topk import top_per
-from fleetgauge.plans.lookups import having_text, with_database, with_text
+from fleetgauge.plans.lookups import with_database, with_text
 from fleetgauge.sources.telemetry import Telemetry, snapshot_keys
 
 # The audited settings, and the value that means "no memory limit".

@@ -3,7 +3,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import SMALL
 from pyspark.sql import functions as F
 
 from fleetgauge.plans import baseline, blocking, findings, history, sessions, waiting
