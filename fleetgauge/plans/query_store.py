@@ -198,27 +198,39 @@ def regression_pairs(
     Pairing every recent row with every historical row of a plan would multiply them.
     A pair among the first ``top`` can only join one of the plan's ``top`` slowest
     recent rows with one of its ``top`` fastest historical rows (zero durations, whose
-    factor is undefined, apart), so both sides are ranked first and the join is small.
+    factor is undefined, apart), so both sides are ranked first and few pairs are formed.
     The order (factor, then the slower recent row, then the faster historical row)
     makes that pruning exact.
     """
     border = instant(as_of - recent)
+    start, duration = F.col("start_time"), F.col("avg_duration")
+    # One pass over the facts: an interval on the border stands in both periods.
+    periods = F.array_compact(
+        F.array(F.when(start >= border, F.lit("recent")), F.when(start <= border, F.lit("history")))
+    )
     facts = runtime_since(t, as_of - history).select(
-        "server_id", "plan_id", "runtime_id", "avg_duration", "last_execution_time", "start_time"
+        "server_id", "plan_id", "runtime_id", "avg_duration", "last_execution_time",
+        (duration == 0).alias("is_zero"), F.explode(periods).alias("period"),
     )
-    plan = ["server_id", "plan_id"]
-    slow = top_per(
-        facts.where(F.col("start_time") >= border), plan, [F.desc("avg_duration"), "runtime_id"], top
-    ).select(
-        *plan, F.col("runtime_id").alias("recent_id"), F.col("avg_duration").alias("r_us"),
+    plan, is_recent = ["server_id", "plan_id"], F.col("period") == "recent"
+    extreme = F.when(is_recent, -duration).otherwise(duration)
+    ranked = top_per(facts, [*plan, "period", "is_zero"], [extreme, "runtime_id"], top)
+    recent_row = F.struct(
+        F.col("runtime_id").alias("recent_id"), duration.alias("r_us"),
         F.col("last_execution_time").alias("last_execution"),
     )
-    is_zero = (F.col("avg_duration") == 0).alias("is_zero")
-    fast = top_per(
-        facts.where(F.col("start_time") <= border).select("*", is_zero), [*plan, "is_zero"],
-        ["avg_duration", "runtime_id"], top,
-    ).select(*plan, F.col("runtime_id").alias("history_id"), F.col("avg_duration").alias("h_us"))
-    pairs = slow.join(fast, plan).where(F.col("r_us") > F.col("h_us") * 2)
+    history_row = F.struct(F.col("runtime_id").alias("history_id"), duration.alias("h_us"))
+    # The lists hold at most 2 * top rows of a plan each.
+    sides = ranked.groupBy(*plan).agg(
+        F.collect_list(F.when(is_recent, recent_row)).alias("slow"),
+        F.collect_list(F.when(~is_recent, history_row)).alias("fast"),
+    )
+    pairs = (
+        sides.select(*plan, F.explode("slow").alias("r"), "fast")
+        .select(*plan, "r.*", F.explode("fast").alias("h"))
+        .select(*plan, "recent_id", "r_us", "last_execution", "h.*")
+        .where(F.col("r_us") > F.col("h_us") * 2)
+    )
     pairs = pairs.withColumn("factor", ratio("r_us", "h_us", 20, 2))
     queries = t["qs_plan"].select("server_id", "plan_id", "query_id")
     rows = _with_query_text(t, pairs.join(queries, plan))
