@@ -110,7 +110,7 @@ def strings() -> T.ArrayType:
     return T.ArrayType(T.StringType())
 
 
-def structs(**kinds: str) -> T.ArrayType:
+def structs(**kinds) -> T.ArrayType:
     return T.ArrayType(T.StructType([field(n, k) for n, k in kinds.items()]))
 
 
@@ -118,3 +118,21 @@ def unpacked(df: DataFrame, *more) -> DataFrame:
     """The carried columns again, then the named ones."""
     names = df.schema["row"].dataType.names
     return df.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in names], *more)
+
+
+def with_text(rows: DataFrame, new: str, text: str = "text") -> DataFrame:
+    """The carried columns with the text replaced by the column `new`.
+
+    A column n_chars that held the length of the old text holds that of the new one.
+    """
+    old = F.col(f"row.{quoted(text)}")
+
+    def column(name: str):
+        value = F.col(f"row.{quoted(name)}")
+        if name == text:
+            return F.col(new).alias(name)
+        if name == "n_chars":
+            return F.when(value == F.length(old), F.length(new).cast("bigint")).otherwise(value).cast(rows.schema["row"].dataType["n_chars"].dataType).alias(name)
+        return value.alias(name)
+
+    return rows.select(*map(column, rows.schema["row"].dataType.names))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import language, license_scan, packing, quality, simhash
+from fleetgauge.llm import language, license_scan, line_dedup, packing, pii, quality, simhash
 from fleetgauge.llm.common import ready
 
 #: Place of the byte-level vocabulary; its parameter is a path that every executor has.
@@ -31,8 +31,10 @@ def over_documents(report: Callable[..., DataFrame], **parameters) -> Callable[[
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": over_documents(language.language_report),
+        "op3_pii_disclosure": over_documents(pii.pii_report),
         "op4_best_fit_packing": over_documents(packing.packing_report, tokenizer=tokenizer),
         "op5_simhash": over_documents(simhash.simhash_report),
+        "op6_line_dedup": over_documents(line_dedup.line_report),
         "op7_quality_rules": over_documents(quality.quality_report),
         "op10_license_scan": over_documents(license_scan.license_report),
     }
