@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import language, license_scan, line_dedup, packing, pii, quality, simhash
+from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pii, quality, simhash
 from fleetgauge.llm.common import ready
 
 #: Place of the byte-level vocabulary; its parameter is a path that every executor has.
@@ -28,6 +28,11 @@ def over_documents(report: Callable[..., DataFrame], **parameters) -> Callable[[
     return query
 
 
+def embeddings_report(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return ann.ann_report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": over_documents(language.language_report),
@@ -36,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": over_documents(simhash.simhash_report),
         "op6_line_dedup": over_documents(line_dedup.line_report),
         "op7_quality_rules": over_documents(quality.quality_report),
+        "op9_collision_ann": embeddings_report,
         "op10_license_scan": over_documents(license_scan.license_report),
     }
 
