@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pii, quality, simhash
+from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pii, quality, sharding, simhash
 from fleetgauge.llm.common import ready
 
 #: Place of the byte-level vocabulary; its parameter is a path that every executor has.
@@ -41,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": over_documents(simhash.simhash_report),
         "op6_line_dedup": over_documents(line_dedup.line_report),
         "op7_quality_rules": over_documents(quality.quality_report),
+        "op8_label_sharding": over_documents(sharding.sharding_report),
         "op9_collision_ann": embeddings_report,
         "op10_license_scan": over_documents(license_scan.license_report),
     }
