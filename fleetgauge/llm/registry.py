@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pii, quality, sharding, simhash
+from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pieces, pii, quality, sharding, simhash
 from fleetgauge.llm.common import ready
 
 #: Place of the byte-level vocabulary; its parameter is a path that every executor has.
@@ -36,6 +36,7 @@ def embeddings_report(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": over_documents(language.language_report),
+        "op2_sentencepiece": over_documents(pieces.pieces_report, model=lambda: tokenizer("piece_bpe_32k.model")),
         "op3_pii_disclosure": over_documents(pii.pii_report),
         "op4_best_fit_packing": over_documents(packing.packing_report, tokenizer=tokenizer),
         "op5_simhash": over_documents(simhash.simhash_report),

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import field, map_bodies, saved, unpacked
+from fleetgauge.llm.common import columns, field, map_bodies, quoted, saved, unpacked
 from fleetgauge.llm.components import components
 
 THRESHOLD, CROWD = 2, 64
@@ -157,17 +157,39 @@ def links(distinct: DataFrame) -> DataFrame:
     return compared.union(shared)
 
 
-def near_duplicates(docs: DataFrame, ids: str = "doc_id", carry: list[str] | None = None, text: str = "text") -> DataFrame:
-    """`row`, `fp` and `component_id`, the smallest id among all documents that links connect."""
+def near_duplicates(
+    docs: DataFrame, ids: str = "doc_id", carry: list[str] | None = None, text: str = "text", by_root: bool = False
+) -> DataFrame:
+    """`row`, `fp` and `component_id`, the smallest id among all documents that links connect.
+
+    With by_root a column `component` names the component by its smallest fingerprint, which is never null.
+    """
     marked = saved(fingerprints(docs, carry, text), "fingerprints")
     distinct = saved(marked.groupBy("fp").agg(F.min(F.col("row").getField(ids)).alias("first")), "distinct")
     rooted = saved(components(links(distinct), "left", "right"), "rooted")
     named = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("row", "fp", "component_id")
+    by_fp = named.select("fp", "root").join(smallest, "root")
+    rows = marked.join(by_fp, "fp").select("row", "fp", "component_id", F.col("root").alias("component"))
+    return rows if by_root else rows.drop("component")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id."""
     return unpacked(near_duplicates(docs, carry=["doc_id"]), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component the document with the smallest (id, text hash), a null id last; of rows that repeat it whole, one."""
+    source = docs.select(F.col(quoted(ids)).alias("id"), F.xxhash64(quoted(text)).alias("key"), F.col(quoted(text)).alias("body"))
+    grouped = near_duplicates(source, "id", ["id", "key"], "body", by_root=True)
+    order = F.struct(F.col("row.id").isNull(), F.col("row.id"), F.col("row.key"))
+    counted = grouped.groupBy("component", "row").agg(F.count("*").alias("n"))
+    first = counted.groupBy("component").agg(F.min_by(F.struct("row", "n"), order).alias("first"))
+    kept = saved(first.select(F.col("first.row.id").alias("_id"), F.col("first.row.key").alias("_key"), F.col("first.n").alias("n")), "kept")
+    held = docs.select(F.struct(*columns(docs)).alias("row"), F.col(quoted(ids)).alias("own"), F.xxhash64(quoted(text)).alias("own_key"))
+    joined = held.join(kept, F.col("own").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key")))
+    single = unpacked(joined.where("n = 1"))
+    if kept.where("n > 1").isEmpty():
+        return single
+    return single.union(unpacked(joined.where("n > 1").dropDuplicates(["_id", "_key"])))
