@@ -6,9 +6,11 @@ import pytest
 from compare import compare, connect
 from conftest import SMALL
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fleetgauge.oracles.registry import ORACLES
+from fleetgauge.plans.registry import queries
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES = queries()
 
 
 @pytest.fixture(scope="module")
