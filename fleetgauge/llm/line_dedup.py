@@ -69,7 +69,9 @@ def lines_of(body: bytes | None) -> list[dict]:
 def variants(words: list[bytes]) -> tuple[int, list[int]]:
     """Hash of the whole line, and of the line without each of its words."""
     w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
-    powers = np.cumprod(np.concatenate([[1], np.full(len(w) - 1, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    powers = np.full(len(w), BASE, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers, dtype=np.uint64)])
     without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(INVERSE)
     return int(sums[-1:].astype(np.int64)[0]), without.astype(np.int64).tolist()
