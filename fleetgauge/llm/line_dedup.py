@@ -159,16 +159,16 @@ def repeats(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFra
     places = marked.select("id", "text_key", F.explode("lines").alias("l")).select(
         F.struct("id", "text_key", F.col("l.no").alias("no")).alias("place"), "l.line", "l.halves"
     )
-    distinct = saved(places.groupBy("line").agg(F.min("place").alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n")), "lines")
+    distinct = saved(places.groupBy("line").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
     near = saved(near_repeats(distinct, docs, text), "near")
-    loose = distinct.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 or near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    dropped = places.select("line", "place").join(loose, "line").where("near or place != first")
-    removed = dropped.groupBy("place.id", "place.text_key").agg(F.sort_array(F.collect_set("place.no")).alias("removed"))  # of one document
-    same = marked.select("id", "text_key", "n_lines").join(
-        removed.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "removed"),
-        F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left",
+    # a line stays at its first place only, so the places that stay say which go
+    stays = distinct.join(near, "line", "left_anti").groupBy(F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key")).agg(
+        F.collect_list("first.no").alias("kept")  # of one document
     )
-    return same.select("id", "text_key", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    listed = marked.select("id", "text_key", "n_lines", F.col("lines.no").alias("nos")).join(stays, same, "left")
+    removed = F.array_except("nos", F.coalesce("kept", F.array().cast("array<int>")))
+    return listed.select("id", "text_key", "n_lines", removed.alias("removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def pack(pieces: DataFrame, group: int = GROUP, **capacities) -> DataFrame:
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col("row"), "piece", "ids_crc32"), F.lit(groups)))
     schema = T.StructType([f for f in salted.schema if f.name != "salt"] + [field("sequence_id", "bigint"), field("offset", "bigint")])
 
-    def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         order = rows.assign(_r=rows["row"].map(repr)).sort_values(["length", "_r", "piece", "start"], ascending=[False, True, True, True], kind="stable")
         rows = order.drop(columns=["_r", "salt"])
         sequence, offset = best_fit(rows["length"].to_numpy(), **capacities)
