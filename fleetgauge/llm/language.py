@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from fleetgauge.llm.common import field, map_bodies, quoted, unpacked
 
 PROFILE, UNKNOWN = 400, "und"
-GRAMS = (1, 2, 3)
+#: N-grams that a counting task holds before it adds them up.
+HELD = 1 << 20
 
 
 @functools.cache
@@ -76,20 +77,28 @@ def profiles(labelled: DataFrame, label: str = "lang", text: str = "text", size:
         import pyarrow as pa
 
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-        def add(name, codes, counts):
-            if name in totals:
-                codes, counts = np.concatenate([totals[name][0], codes]), np.concatenate([totals[name][1], counts])
-            values, place = np.unique(codes, return_inverse=True)
-            totals[name] = values, np.bincount(place, counts, len(values)).astype(np.int64)
+        pending: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def add():
+            for name, parts in pending.items():
+                codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+                if name in totals:
+                    codes, counts = np.concatenate([totals[name][0], codes]), np.concatenate([totals[name][1], counts])
+                    codes, place = np.unique(codes, return_inverse=True)
+                    counts = np.bincount(place, counts, len(codes)).astype(np.int64)
+                totals[name] = codes, counts
+            pending.clear()
 
         for batch in batches:
-            texts: dict[str, list[np.ndarray]] = {}
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts.setdefault(name, []).append(grams(normalised(body)))
-            for name, parts in texts.items():
-                codes = np.concatenate(parts)
-                add(name, codes, np.ones(len(codes), np.int64))
+                codes = grams(normalised(body))
+                pending.setdefault(name, []).append(codes)
+                held += len(codes)
+                if held > HELD:
+                    add()
+                    held = 0
+        add()
         for name, (codes, counts) in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["label", "gram", "n"])
 
