@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from fleetgauge.llm.common import columns, field, map_bodies, quoted, unpacked
 
 SPACE, LONGEST, CACHED, SLOTS = "▁", 16, 400_000, 1 << 21
+#: Words whose lattice is built at once, and characters of the texts that are gathered at once.
+WORDS, CHARACTERS = 1 << 15, 1 << 21
 
 
 def merges(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -262,8 +264,8 @@ class Vocabulary:
         if len(self.known) + len(fresh) > CACHED and self.known:
             self.forget()
             fresh = [p for p in parts if p]
-        for k in range(0, len(fresh), 1 << 17):
-            some = fresh[k : k + (1 << 17)]
+        for k in range(0, len(fresh), WORDS):
+            some = fresh[k : k + WORDS]
             flat, size = self.encode_words([p if p[0] == "\n" else SPACE + p for p in some])
             base = len(self.known)
             self.known.update(zip(some, range(base, base + len(some))))
@@ -272,6 +274,17 @@ class Vocabulary:
             self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, some texts at a time."""
+        out, some, held = [], [], 0
+        for text in texts:
+            some.append(text)
+            held += len(text)
+            if held > CHARACTERS:
+                out += self.encode_some(some)
+                some, held = [], 0
+        return out + self.encode_some(some)
+
+    def encode_some(self, texts: list[str]) -> list[np.ndarray]:
         parts = [text.replace(SPACE, " ").replace("\n", " \n").split(" ") if text else [] for text in texts]
         self.learn(set().union(*parts))
         out = []
