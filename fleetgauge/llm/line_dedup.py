@@ -14,9 +14,10 @@ equi-join. No pairs within a group are made. Variants are keyed by a 64-bit poly
 hash over word hashes, which gives all variants of a line in one pass; candidates are then
 verified on the words themselves.
 
-Variants are only emitted for lines that can have a partner: one edit leaves the first or
-the last half of the shorter line's words as they are, so a line none of whose halves is
-met in another line is out (pigeonhole, exact). A filter of `BUCKETS` bits (a fixed size)
+Variants are only emitted where a partner can be: one edit leaves the first or the last
+half of the shorter line's words as they are, so a line none of whose halves is met in
+another line is out, and with a half in common only the places beyond it are tried
+(pigeonhole, exact). A filter of `BUCKETS` bits (a fixed size)
 carries the remaining lines to the second reading of the texts; exact joins follow it.
 
 Cases. Null and empty texts have no lines to drop; a null text stays null. White-space
@@ -39,7 +40,8 @@ LEAST, NEAR, BUCKETS = 3, 8, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
-LINE = structs(line="binary", no="int", halves=T.ArrayType(T.LongType()))
+HALF = T.StructType([field("half", "bigint"), field("start", "int"), field("stop", "int")])
+LINE = structs(line="binary", no="int", halves=T.ArrayType(HALF))
 
 
 def signed(value: int) -> int:
@@ -50,11 +52,16 @@ def line_id(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Keys of the first and last half of the words, for lines of this length and one shorter as the shorter line."""
-    sizes = {len(words) // 2, (len(words) - 1) // 2}
-    parts = [(k, part) for k in sizes for part in (b"<" + b" ".join(words[:k]), b">" + b" ".join(words[-k:]))]
-    return [signed(xxhash.xxh3_64_intdigest(part, k)) for k, part in parts]
+def halves(words: list[bytes]) -> list[dict]:
+    """Keys of the first and last half of the words, for lines of this length and one shorter as the shorter line.
+
+    With a half in common, an edit is at the places from start to stop.
+    """
+    n, out = len(words), []
+    for k in {n // 2, (n - 1) // 2}:
+        for part, start, stop in ((b"<" + b" ".join(words[:k]), k, n), (b">" + b" ".join(words[-k:]), 0, n - k)):
+            out.append({"half": signed(xxhash.xxh3_64_intdigest(part, k)), "start": start, "stop": stop})
+    return out
 
 
 def lines_of(body: bytes | None) -> list[dict]:
@@ -87,11 +94,8 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-NEIGHBOURS = T.StructType([field("line", "binary"), field("body", "binary"), field("own", "bigint"), field("variants", T.ArrayType(T.LongType()))])
-
-
-def neighbourhoods(docs: DataFrame, wanted: np.ndarray, text: str) -> DataFrame:
-    """line, body, own, variants of the lines whose bucket is wanted, once for each task at least."""
+def bodies_of(docs: DataFrame, wanted: np.ndarray, text: str) -> DataFrame:
+    """line, body of the lines whose bucket is wanted, once for each task at least."""
 
     def emit(batches):
         seen: set[bytes] = set()
@@ -104,15 +108,35 @@ def neighbourhoods(docs: DataFrame, wanted: np.ndarray, text: str) -> DataFrame:
                         key = line_id(words)
                         if wanted[int.from_bytes(key[:8]) % BUCKETS] and key not in seen:
                             seen.add(key)
-                            rows.append((key, b" ".join(words), *variants(words)))
+                            rows.append((key, b" ".join(words)))
             if len(seen) > 200_000:
                 seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["line", "body"])
+
+    return docs.select(F.col(quoted(text)).cast("binary")).mapInArrow(emit, "line binary, body binary")
+
+
+def neighbourhoods(lines: DataFrame) -> DataFrame:
+    """variant, place and first (place of the line in the corpus), for each variant of each line; place -1 is the line itself.
+
+    `lines` has first, body, head and tail: variants are at the places from head on, and before tail.
+    """
+    out = T.StructType([field("variant", "bigint"), field("place", "int"), lines.schema["first"]])
+
+    def emit(batches):
+        for batch in batches:
+            rows, variant, place = [], [], []
+            for k, (body, head, tail) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                own, without = variants(body.split(b" "))
+                places = [-1, *(i for i in range(len(without)) if i >= head or i < tail)]
+                rows += [k] * len(places)
+                place += places
+                variant += [own, *(without[i] for i in places[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())))],
-                names=NEIGHBOURS.names,
+                [pa.array(variant, pa.int64()), pa.array(place, pa.int32()), batch.column(0).take(pa.array(rows, pa.int64()))], names=out.names
             )
 
-    return docs.select(F.col(quoted(text)).cast("binary")).mapInArrow(emit, NEIGHBOURS)
+    return lines.select("first", "body", "head", "tail").mapInArrow(emit, out)
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -126,26 +150,40 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 def near_repeats(distinct: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """`line` of the distinct lines (line, first, halves) with an earlier line one edit away."""
-    halved = distinct.select("line", F.explode("halves").alias("half"))
+    halved = distinct.select("line", F.inline("halves"))
     shared = halved.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    partners = saved(halved.join(shared, "half", "left_semi").select("line").distinct(), "partners")
+    tried = halved.join(shared, "half", "left_semi")
+    # the places to try: from the first common first half on, and up to the end before the last common last half
+    partners = tried.groupBy("line").agg(
+        F.coalesce(F.min(F.when(F.col("start") > 0, F.col("start"))), F.lit(1 << 30)).alias("head"),
+        F.coalesce(F.max(F.when(F.col("start") == 0, F.col("stop"))), F.lit(0)).alias("tail"),
+    )
+    partners = saved(partners.join(distinct.select("line", "first"), "line"), "partners")
     bucket = F.conv(F.substring(F.hex("line"), 1, 16), 16, 10).cast("decimal(20,0)") % BUCKETS
     wanted = np.zeros(BUCKETS, dtype=bool)
     wanted[[int(r["b"]) for r in partners.select(bucket.cast("int").alias("b")).distinct().collect()]] = True  # no more than BUCKETS
-    near = neighbourhoods(docs, wanted, text).groupBy("line").agg(F.first("body").alias("body"), F.first("own").alias("own"), F.first("variants").alias("variants"))
-    near = saved(near.join(partners, "line", "left_semi").join(distinct.select("line", "first"), "line"), "neighbourhoods")
-    spread = saved(near.select("line", "first", F.posexplode("variants").alias("place", "variant")), "variants")
-    earliest = spread.groupBy("variant", "place").agg(F.min_by("line", "first").alias("earlier"), F.count("*").alias("n")).where("n > 1")
-    replaced = spread.join(earliest, ["variant", "place"]).where("line != earlier").select("line", "earlier")
-    short = near.select(F.col("own").alias("variant"), F.col("line").alias("other"), F.col("first").alias("other_first"))
-    left_out = spread.join(short, "variant").where("line != other").select(
-        F.when(F.col("first") < F.col("other_first"), F.col("other")).otherwise(F.col("line")).alias("line"),
-        F.when(F.col("first") < F.col("other_first"), F.col("line")).otherwise(F.col("other")).alias("earlier"),
+    bodies = bodies_of(docs, wanted, text).groupBy("line").agg(F.first("body").alias("body"))
+    near = saved(bodies.join(partners, "line").withColumn("code", code("first")), "near-lines")
+    spread = saved(neighbourhoods(near), "variants")
+    cut = spread.where("place >= 0")
+    earliest = cut.groupBy("variant", "place").agg(F.min("first").alias("earlier"), F.count("*").alias("n")).where("n > 1").drop("n")
+    replaced = cut.join(earliest, ["variant", "place"]).where("first > earlier").select(F.col("first").alias("later"), "earlier")
+    whole = spread.where("place < 0").select("variant", F.col("first").alias("other"))
+    left_out = cut.join(whole, "variant").where("first != other").select(
+        F.greatest("first", "other").alias("later"), F.least("first", "other").alias("earlier")
     )
     pairs = replaced.union(left_out).distinct()
-    bodies = near.select("line", "body")
-    texts = pairs.join(bodies, "line").join(bodies.select(F.col("line").alias("earlier"), F.col("body").alias("earlier_body")), "earlier")
-    return verified(texts.select("line", "body", "earlier_body"))
+    at = lambda side: near.select(F.col("code").alias(f"{side}_code"), F.col("first").alias(f"{side}_first"), F.col("body").alias(f"{side}_body"), "line")
+    texts = (
+        pairs.join(at("later"), (code("later") == F.col("later_code")) & (F.col("later") == F.col("later_first"))).drop("later_code", "later_first")
+        .join(at("earlier").drop("line"), (code("earlier") == F.col("earlier_code")) & (F.col("earlier") == F.col("earlier_first")))
+    )
+    return verified(texts.select("line", "later_body", "earlier_body"))
+
+
+def code(place: str):
+    """A join key of a place in the corpus; places may hold a null id."""
+    return F.xxhash64(place)
 
 
 def repeats(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
