@@ -12,8 +12,14 @@ from fleetgauge.functions.numbers import as_col
 UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600}
 
 
-def instant(moment: datetime) -> Column:
-    """A timestamp literal in the session time zone (folded before the scan)."""
+def instant(moment: datetime | int) -> Column:
+    """A timestamp literal: a datetime in the session time zone, or microseconds since 1970.
+
+    Folded before the scan. Microseconds do not depend on the driver's time zone, as
+    datetimes collected from Spark do.
+    """
+    if isinstance(moment, int):
+        return F.timestamp_micros(F.lit(moment))
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
 
 

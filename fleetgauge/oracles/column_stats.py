@@ -26,8 +26,20 @@ def _prefix(columns: list[str]) -> str:
 VECTOR = ["l_returnflag", "l_suppkey", "l_linenumber"]
 SKEWED = ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_linenumber"]
 SAMPLE = "(l_orderkey * 7919 + l_linenumber * 104729) % 100 < 30"
-CHAIN = """requests_blocked AS (SELECT server_id, snapshot_ts, session_id, min(blocking_session_id) AS blocker
-  FROM request_snapshot WHERE blocking_session_id > 0 GROUP BY ALL)"""
+# Reachability in the graph of waits: a pair of sessions and the fewest hops between them. Paths are followed
+# as far as a snapshot has edges, which is the longest that a shortest path can be.
+REACH = """edge AS (SELECT DISTINCT server_id, snapshot_ts, session_id AS a, blocking_session_id AS b FROM request_snapshot
+  WHERE blocking_session_id > 0 AND blocking_session_id <> session_id),
+most AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM edge GROUP BY server_id, snapshot_ts) c),
+path AS (SELECT server_id, snapshot_ts, a, b, CAST(1 AS BIGINT) AS hops FROM edge
+ UNION SELECT p.server_id, p.snapshot_ts, p.a, e.b, p.hops + 1 FROM path p JOIN edge e
+  ON e.server_id = p.server_id AND e.snapshot_ts = p.snapshot_ts AND e.a = p.b WHERE p.hops < (SELECT n FROM most)),
+reach AS (SELECT server_id, snapshot_ts, a, b, min(hops) AS hops FROM path GROUP BY ALL),
+mutual AS (SELECT x.server_id, x.snapshot_ts, x.a, x.b FROM reach x JOIN reach y
+  ON y.server_id = x.server_id AND y.snapshot_ts = x.snapshot_ts AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b),
+node AS (SELECT server_id, snapshot_ts, a AS s FROM edge UNION SELECT server_id, snapshot_ts, b FROM edge),
+name AS (SELECT n.server_id, n.snapshot_ts, n.s, least(n.s, coalesce(min(m.b), n.s)) AS name, count(m.b) + 1 AS members FROM node n
+  LEFT JOIN mutual m ON m.server_id = n.server_id AND m.snapshot_ts = n.snapshot_ts AND m.a = n.s GROUP BY n.server_id, n.snapshot_ts, n.s)"""
 ORACLES = {
     "x09_histogram": sql(histogram("lineitem WHERE true", "l_partkey")),
     "x09b_histogram_dates": sql(histogram("lineitem WHERE true", "l_shipdate", 50)),
@@ -54,26 +66,23 @@ SELECT *, {pct('top_rows', 'rows')} AS top_share_pct, {case((f"{pct('top_rows',
     "x16_parameter_spread": sql(f"""
 SELECT *, {rdiv('max_us', 'median_us', 2)} AS max_over_median, {rdiv('max_us', 'min_us', 2)} AS max_over_min,
  {case((f"{rdiv('max_us', 'median_us', 2)} > 100", "CRITICAL", "very_unstable"), (f"{rdiv('max_us', 'median_us', 2)} > 10", "ATTENTION", "unstable"))}
-FROM (SELECT p.server_id, p.query_id, count(*) AS executions, min(r.avg_duration) AS min_us,
+FROM (SELECT p.server_id, p.query_id, CAST(sum(r.count_executions) AS BIGINT) AS executions, min(r.avg_duration) AS min_us,
  quantile_disc(r.avg_duration, 0.5) AS median_us, max(r.avg_duration) AS max_us
  FROM qs_runtime r JOIN qs_plan p ON p.server_id = r.server_id AND p.plan_id = r.plan_id GROUP BY ALL) y""", "qs_runtime", "qs_plan"),
     "x03_block_leaders": sql(f"""
-WITH RECURSIVE {CHAIN}, chain AS (
- SELECT DISTINCT e.server_id, e.snapshot_ts, e.blocker AS leader, e.blocker AS session_id, 0 AS depth FROM requests_blocked e
- WHERE NOT EXISTS (SELECT 1 FROM requests_blocked b WHERE b.server_id = e.server_id AND b.snapshot_ts = e.snapshot_ts AND b.session_id = e.blocker)
- UNION ALL SELECT e.server_id, e.snapshot_ts, c.leader, e.session_id, c.depth + 1 FROM chain c JOIN requests_blocked e
-  ON e.server_id = c.server_id AND e.snapshot_ts = c.snapshot_ts AND e.blocker = c.session_id)
-SELECT server_id, snapshot_ts, leader AS leader_session_id, count(*) AS blocked_sessions, CAST(max(depth) AS BIGINT) AS chain_depth
-FROM chain WHERE depth > 0 GROUP BY ALL""", "request_snapshot"),
+WITH RECURSIVE {REACH},
+away AS (SELECT DISTINCT x.server_id, x.snapshot_ts, x.name FROM edge e
+  JOIN name x ON x.server_id = e.server_id AND x.snapshot_ts = e.snapshot_ts AND x.s = e.a
+  JOIN name y ON y.server_id = e.server_id AND y.snapshot_ts = e.snapshot_ts AND y.s = e.b WHERE x.name <> y.name),
+behind AS (SELECT r.server_id, r.snapshot_ts, t.name, r.a, min(r.hops) AS hops FROM reach r
+  JOIN name t ON t.server_id = r.server_id AND t.snapshot_ts = r.snapshot_ts AND t.s = r.b
+  JOIN name f ON f.server_id = r.server_id AND f.snapshot_ts = r.snapshot_ts AND f.s = r.a
+  ANTI JOIN away w ON w.server_id = t.server_id AND w.snapshot_ts = t.snapshot_ts AND w.name = t.name
+  WHERE f.name <> t.name GROUP BY ALL)
+SELECT server_id, snapshot_ts, name AS leader_session_id, count(*) AS blocked_sessions, max(hops) AS chain_depth
+FROM behind GROUP BY ALL""", "request_snapshot"),
     "x06_deadlock_window": sql(f"""
-WITH RECURSIVE {CHAIN}, walk AS (
- SELECT server_id, snapshot_ts, session_id AS start, blocker AS cur, 1 AS depth FROM requests_blocked
- WHERE snapshot_ts BETWEEN TIMESTAMP '2024-01-30 19:00:00' AND TIMESTAMP '2024-01-30 23:00:00'
- UNION ALL SELECT w.server_id, w.snapshot_ts, w.start, e.blocker, w.depth + 1 FROM walk w JOIN requests_blocked e
-  ON e.server_id = w.server_id AND e.snapshot_ts = w.snapshot_ts AND e.session_id = w.cur WHERE w.cur <> w.start AND w.depth < 50),
-member AS (SELECT server_id, snapshot_ts, start FROM walk WHERE cur = start),
-low AS (SELECT w.server_id, w.snapshot_ts, w.start, min(w.cur) AS first_session_id FROM walk w JOIN member m
-  ON m.server_id = w.server_id AND m.snapshot_ts = w.snapshot_ts AND m.start = w.start GROUP BY ALL)
-SELECT server_id, snapshot_ts, first_session_id, count(*) AS sessions, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) AS members
-FROM low GROUP BY ALL""", "request_snapshot"),
+WITH RECURSIVE {REACH}
+SELECT server_id, snapshot_ts, name AS first_session_id, s AS session_id, members AS sessions FROM name
+WHERE members > 1 AND snapshot_ts BETWEEN TIMESTAMP '2024-01-30 19:00:00' AND TIMESTAMP '2024-01-30 23:00:00'""", "request_snapshot"),
 }

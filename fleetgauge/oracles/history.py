@@ -5,13 +5,14 @@ from fleetgauge.oracles.sessions import SLICE
 
 GB = 1024**3
 MAINTENANCE = sql(f"""
-SELECT *, {case(("error_number IS NOT NULL", "CRITICAL", "error"), ("seconds > 3600", "ATTENTION", "over_1h"))} FROM (
+SELECT * FROM (SELECT *, {case(("error_number IS NOT NULL", "CRITICAL", "error"), ("seconds > 3600", "ATTENTION", "over_1h"))} FROM (
  SELECT server_id, command_id, database_name, table_name, index_name, command_type, start_time, end_time,
-  date_diff('second', start_time, end_time) AS seconds, CAST(error_number AS DOUBLE) AS error_number, error_message
- FROM command_log ORDER BY start_time DESC, server_id, command_id LIMIT 100) y""", "command_log")
+  date_diff('second', start_time, end_time) AS seconds, CAST(error_number AS DOUBLE) AS error_number, error_message,
+  row_number() OVER (PARTITION BY server_id ORDER BY start_time DESC, command_id) AS rank
+ FROM command_log) y) z WHERE rank <= 100""", "command_log")
 FULL = f"type = 'D' AND backup_finish_date >= {ORDERS_NOW} - INTERVAL 6 MONTH"
 RUN_AT = "strptime(CAST(run_date AS VARCHAR) || lpad(CAST(run_time AS VARCHAR), 6, '0'), '%Y%m%d%H%M%S')"
-DAY = "date_diff('day', DATE '1995-01-01', CAST(backup_finish_date AS DATE))"
+DAY = f"date_diff('day', CAST({ORDERS_NOW} AS DATE), CAST(backup_finish_date AS DATE))"
 COLLECTED = f"{EVENTS_NOW} AS collected_at"
 
 ORACLES = {
@@ -72,10 +73,10 @@ FROM (SELECT server_id, date_trunc('day', snapshot_ts) AS day, CAST(hour(snapsho
  FROM log_session WHERE snapshot_ts >= {EVENTS_NOW} - INTERVAL 24 HOUR GROUP BY ALL) y""", "log_session"),
     "x21_growth_forecast": sql(f"""
 SELECT server_id, database_name, backups, mb_per_day, mean_mb,
- CASE WHEN mb_per_day > 0 THEN CAST(ceil((500000 - mean_mb) / mb_per_day) AS DOUBLE) END AS days_to_capacity
-FROM (SELECT server_id, database_name, n AS backups, CAST(n * sxy - sx * sy AS DOUBLE) / CAST(nullif(n * sxx - sx * sx, 0) AS DOUBLE) AS mb_per_day,
+ CASE WHEN mb_per_day > 0 THEN greatest(CAST(ceil((500000 - (CAST(sy AS DOUBLE) - mb_per_day * CAST(sx AS DOUBLE)) / backups) / mb_per_day) AS DOUBLE), 0) END AS days_to_capacity
+FROM (SELECT sx, sy, server_id, database_name, n AS backups, CAST(n * sxy - sx * sy AS DOUBLE) / CAST(nullif(n * sxx - sx * sx, 0) AS DOUBLE) AS mb_per_day,
  CAST(sy AS DOUBLE) / n AS mean_mb FROM (
  SELECT server_id, database_name, count(*) AS n, sum(CAST(x AS HUGEINT)) AS sx, sum(CAST(y AS HUGEINT)) AS sy, sum(CAST(x AS HUGEINT) * y) AS sxy,
   sum(CAST(x AS HUGEINT) * x) AS sxx
- FROM (SELECT server_id, database_name, {DAY} AS x, {idiv('backup_size', 1024**2)} AS y FROM backupset WHERE type = 'D') b GROUP BY ALL) s) y""", "backupset"),
+ FROM (SELECT server_id, database_name, {DAY} AS x, {idiv('backup_size', 1024**2)} AS y FROM backupset WHERE type = 'D' AND backup_finish_date <= {ORDERS_NOW}) b GROUP BY ALL) s) y""", "backupset"),
 }

@@ -85,8 +85,8 @@ UNION ALL SELECT server_id, database_id, 'index_usage', table_name, index_name,
         *MISSING_TABLES, "index_physical", "index_dim", "index_usage", "server_info"),
     "x08_maintenance_plan": sql(f"""
 SELECT p.server_id, p.database_id, i.table_name, i.index_name, p.page_count, {rdiv('p.fragmentation_tenths', '10', 1)} AS fragmentation_pct,
- CASE WHEN p.page_count >= 100 AND p.fragmentation_tenths > 300 THEN 'REBUILD'
-  WHEN p.page_count >= 100 AND p.fragmentation_tenths > 100 THEN 'REORGANIZE' ELSE 'NONE' END AS index_action,
+ CASE WHEN p.page_count >= 100 AND p.fragmentation_tenths >= 300 THEN 'REBUILD'
+  WHEN p.page_count >= 100 AND p.fragmentation_tenths >= 100 THEN 'REORGANIZE' ELSE 'NONE' END AS index_action,
  CASE WHEN s.modification_counter > 0 THEN 'UPDATE_STATISTICS' ELSE 'NONE' END AS stats_action, {MODE.format('s.total_rows')} AS scan_mode
 FROM index_physical p JOIN index_dim i ON i.server_id = p.server_id AND i.database_id = p.database_id AND i.index_id = p.index_id
 LEFT JOIN stats_properties s ON s.server_id = p.server_id AND s.database_id = p.database_id AND s.stats_id = p.index_id

@@ -11,7 +11,7 @@ IDLE_MINUTES = f"date_diff('minute', last_request_end_time, {EVENTS_NOW})"
 
 ORACLES = {
     "q02_activity_log_latest": sql(
-        "SELECT * FROM session_activity_log ORDER BY collection_time DESC, server_id, session_id LIMIT 100",
+        "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY collection_time DESC, session_id) AS rank FROM session_activity_log) y WHERE rank <= 100",
         "session_activity_log"),
     "q03_active_requests": sql(f"""
 SELECT *, {case(("blocking_session_id > 0", "CRITICAL", "blocked"), ("cpu_time > 60000", "ATTENTION", "high_cpu"),

@@ -7,8 +7,21 @@ from fleetgauge.oracles.waiting import _ranked
 
 NOW = "(SELECT max(ts) FROM events) AS collected_at"
 BLOCKED = "blocking_session_id > 0 AND wait_seconds > {0}"
-ORACLES = {
-    "st1_collect": sql(f"""
+# Events land in four slices of equal length in time, and each slice is collected by itself.
+SLICES = 4
+ENDS = "(SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) - epoch_us(min(ts)) + 1 AS length FROM main.events)"
+
+
+def by_slice(statement: str) -> str:
+    return " UNION ALL ".join(
+        "SELECT * FROM (" + statement.replace(
+            "WITH ", f"WITH events AS (SELECT v.* FROM main.events v, {ENDS} n WHERE floor((epoch_us(ts) - a) * {SLICES} / length) = {k}), ", 1
+        ) + f") s{k}"
+        for k in range(SLICES)
+    )
+
+
+COLLECTED = sql(f"""
 SELECT 'session' AS log, r.server_id, {NOW}, r.wait_type, r.session_id AS item, r.cpu_time AS measure
 FROM request_snapshot r JOIN session_snapshot s ON s.server_id = r.server_id AND s.snapshot_ts = r.snapshot_ts AND s.session_id = r.session_id
 JOIN sql_text x ON x.sql_handle = r.sql_handle WHERE s.is_user_process = 1
@@ -16,7 +29,9 @@ UNION ALL SELECT 'wait', server_id, {NOW}, wait_type, rank, wait_time_ms FROM {_
 UNION ALL SELECT 'block', b.server_id, {NOW}, b.wait_type, b.session_id, {idiv('b.wait_time', 1000)}
 FROM request_snapshot b JOIN request_snapshot g ON g.server_id = b.server_id AND g.snapshot_ts = b.snapshot_ts AND b.blocking_session_id = g.session_id
 JOIN sql_text bt ON bt.sql_handle = b.sql_handle JOIN sql_text gt ON gt.sql_handle = g.sql_handle WHERE b.blocking_session_id > 0""",
-        "request_snapshot", "session_snapshot", "sql_text", "wait_snapshot"),
+    "request_snapshot", "session_snapshot", "sql_text", "wait_snapshot")
+ORACLES = {
+    "st1_collect": by_slice(COLLECTED),
     "st2_hourly": sql(f"""
 SELECT *, {case(("blocked > 10", "CRITICAL", "over_10_blocked"), ("max_cpu_ms > 300000", "ATTENTION", "cpu_peak"), ("sessions > 100", "ATTENTION", "over_100_sessions"))}
 FROM (SELECT server_id, date_trunc('hour', snapshot_ts) AS hour_start, count(DISTINCT session_id) AS sessions,

@@ -8,44 +8,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.timeunits import instant
-from fleetgauge.operators.chains import follow_chains
+from fleetgauge.operators.waits_for import per_snapshot
 from fleetgauge.sources.telemetry import Telemetry, snapshot_keys
 
 
 def blocking_edges(t: Telemetry) -> DataFrame:
-    """One edge per blocked session (its requests may repeat it)."""
+    """Every distinct pair of a blocked session and one that blocks it.
+
+    A session that waits for itself (a usual display of latch waits) is no edge.
+    """
     requests = t["request_snapshot"]
     keys = snapshot_keys(requests)
+    blocker = F.col("blocking_session_id")
     return (
-        requests.where(F.col("blocking_session_id") > 0)
-        .groupBy(*keys, "session_id")
-        .agg(F.min("blocking_session_id").alias("blocker"))
+        requests.where((blocker > 0) & (blocker != F.col("session_id")))
+        .select(*keys, "session_id", blocker.alias("blocker")).distinct()
     )
 
 
 def block_leaders(t: Telemetry) -> DataFrame:
-    """Sessions at the head of blocking chains, with how many they block and how deep."""
+    """Heads of blocking chains, with how many sessions stand behind them and how far.
+
+    A session behind two leaders counts for both. A cycle leads the sessions that wait for
+    it from outside, under its smallest member; depth is in hops, by the shortest way.
+    """
     edges = blocking_edges(t)
     keys = snapshot_keys(edges)
-    resolved, _ = follow_chains(edges, keys, "session_id", "blocker")
-    return resolved.groupBy(*keys, F.col("root").alias("leader_session_id")).agg(
-        F.count("*").alias("blocked_sessions"), F.max("depth").alias("chain_depth")
+    return per_snapshot(edges, keys, "session_id", "blocker", leaders=True).select(
+        *keys, F.col("leader").alias("leader_session_id"), F.col("behind").alias("blocked_sessions"),
+        F.col("hops").alias("chain_depth"),
     )
 
 
 def mutual_waits(t: Telemetry, start: datetime, end: datetime) -> DataFrame:
-    """Cycles of sessions that wait for each other, in snapshots between two instants."""
+    """Members of cycles of two or more sessions that wait for each other, in snapshots between two instants.
+
+    A row for every member; ``first_session_id`` names the cycle.
+    """
     edges = blocking_edges(t).where(F.col("snapshot_ts").between(instant(start), instant(end)))
     keys = snapshot_keys(edges)
-    _, cyclic = follow_chains(edges, keys, "session_id", "blocker")
-    return cyclic.groupBy(*keys, F.col("cycle").alias("first_session_id")).agg(
-        F.count("*").alias("sessions"),
-        F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members"),
+    return per_snapshot(edges, keys, "session_id", "blocker", leaders=False).select(
+        *keys, F.col("cycle").alias("first_session_id"), F.col("member").alias("session_id"),
+        F.col("members").alias("sessions"),
     )
 
 
 def mutual_wait_counts(t: Telemetry, start: datetime, end: datetime) -> DataFrame:
-    """Events per server in the window."""
+    """Cycles and their sessions per server in the window."""
+    first = F.col("session_id") == F.col("first_session_id")
     return mutual_waits(t, start, end).groupBy("server_id").agg(
-        F.count("*").alias("events"), F.sum("sessions").alias("sessions")
+        F.count_if(first).alias("events"), F.count("*").alias("sessions")
     )

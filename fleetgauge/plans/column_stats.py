@@ -12,7 +12,6 @@ from fleetgauge.functions.numbers import idiv, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
 from fleetgauge.functions.timeunits import instant
 from fleetgauge.operators.running import cut_points, cuts_below, frequencies, value_counts, with_rows_below
-from fleetgauge.plans.indexes import FULL_SCAN_ROWS
 from fleetgauge.sources.telemetry import Telemetry
 
 MAX_STEPS = 200
@@ -49,27 +48,39 @@ def histogram(df: DataFrame, column: str, steps: int = MAX_STEPS, where: Column
 
 def header(
     df: DataFrame, column: str, updated: datetime, steps: int = MAX_STEPS,
-    where: Column | None = None, approximate: bool = False,
+    where: Column | None = None, approximate: bool = False, sample: Column | None = None, percent_rows: int = 100,
 ) -> DataFrame:
-    """Rows, steps, density (1 / distinct values) and nulls of a column."""
+    """Rows, rows sampled, steps, density (1 / distinct values) and nulls of a column.
+
+    With ``sample`` (an even hash of a row's key modulo 100) the statistic is of the rows
+    below ``percent_rows``, while ``rows`` still counts the table. The approximate form is
+    one pass of sketches: it groups nothing, and leaves the steps out, which need counts.
+    """
     rows = df if where is None else df.where(where)
-    counts = value_counts(rows, [], column)
-    n = F.col("rows")
-    step_count = _steps(counts.where(n > 0), steps).agg(F.count("*")).scalar()
+    whole = rows
+    if sample is not None:
+        rows = rows.where(sample < percent_rows)
     if approximate:
-        sums = rows.agg(
-            F.count("*").alias("rows"), (F.count("*") - F.count(column)).alias("null_rows"),
+        return rows.agg(
+            F.count("*").alias("rows_sampled"), (F.count("*") - F.count(column)).alias("null_rows"),
             F.approx_count_distinct(column).alias("distinct_values"),
+        ).select(
+            F.lit(column).alias("column_name"), instant(updated).alias("updated"),
+            (F.col("rows_sampled") if sample is None else whole.agg(F.count("*")).scalar()).alias("rows"), "rows_sampled",
+            "null_rows", "distinct_values", (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"),
+            F.lit(None).cast("bigint").alias("steps"),
         )
-    else:
-        sums = counts.agg(
-            F.coalesce(F.sum(F.abs(n)), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(n < 0, -n)), F.lit(0)).alias("null_rows"),
-            F.count("value").alias("distinct_values"),
-        )
+    counts = value_counts(rows, [], column)
+    n = F.col("rows")
+    step_count = _steps(counts.where(n > 0), steps).agg(F.count("*")).scalar()
+    sums = counts.agg(
+        F.coalesce(F.sum(F.abs(n)), F.lit(0)).alias("rows_sampled"),
+        F.coalesce(F.sum(F.when(n < 0, -n)), F.lit(0)).alias("null_rows"),
+        F.count("value").alias("distinct_values"),
+    )
+    total = F.col("rows_sampled") if sample is None else whole.agg(F.count("*")).scalar()
     return sums.select(
-        F.lit(column).alias("column_name"), instant(updated).alias("updated"), "rows",
-        F.col("rows").alias("rows_sampled"), "null_rows", "distinct_values",
+        F.lit(column).alias("column_name"), instant(updated).alias("updated"), total.alias("rows"), "rows_sampled", "null_rows", "distinct_values",
         (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"), step_count.alias("steps"),
     )
 
@@ -122,11 +133,6 @@ def row_bucket(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(100))
 
 
-def sample_percent(row_count: int, sample: int = 30) -> int:
-    """Full scan up to ten million rows, else a sample."""
-    return 100 if row_count <= FULL_SCAN_ROWS else sample
-
-
 def estimates(steps: DataFrame, actual: DataFrame) -> DataFrame:
     """Estimated against actual rows for every value of ``actual`` (value, rows).
 
@@ -193,20 +199,24 @@ def parameter_spread(t: Telemetry) -> DataFrame:
     The median is the smallest value that at least half of the rows do not exceed,
     found from running counts of the distinct durations.
     """
-    per_plan = frequencies(t["qs_runtime"], ["server_id", "plan_id"], "avg_duration")
+    per_plan = (
+        t["qs_runtime"].where(F.col("avg_duration").isNotNull())
+        .groupBy("server_id", "plan_id", F.col("avg_duration").alias("value"))
+        .agg(F.count("*").alias("rows"), F.sum("count_executions").alias("executions"))
+    )
     plans = t["qs_plan"].select("server_id", "plan_id", "query_id")
     keys = ["server_id", "query_id"]
     freq = (
         per_plan.join(plans, ["server_id", "plan_id"])
         .groupBy(*keys, "value")
-        .agg(F.sum("rows").alias("rows"))
+        .agg(F.sum("rows").alias("rows"), F.sum("executions").alias("executions"))
     )
     placed = with_rows_below(freq, keys)
     at_median = (F.col("below") + F.col("rows")) * 2 >= F.col("total")
     return (
         placed.groupBy(*keys)
         .agg(
-            F.sum("rows").alias("executions"), F.min("value").alias("min_us"),
+            F.sum("executions").alias("executions"), F.min("value").alias("min_us"),
             F.min(F.when(at_median, F.col("value"))).alias("median_us"), F.max("value").alias("max_us"),
         )
         .withColumns(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +12,21 @@ from fleetgauge.functions.numbers import count_where, idiv, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
 from fleetgauge.functions.timeunits import boundaries, coded_timestamp, instant
 from fleetgauge.operators.previous import with_previous
-from fleetgauge.operators.topk import top_overall
-from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.operators.topk import top_per
+from fleetgauge.sources.telemetry import Telemetry, since_date
 
 BYTES_PER_GB = 1024**3
 RUN_RESULTS = {0: "FAILED", 1: "OK", 2: "RETRY", 3: "CANCELLED"}
 
 
 def maintenance_log(t: Telemetry, top: int = 100) -> DataFrame:
-    """The latest maintenance commands."""
-    # Durations come before the top-k: one projection above it is all that Spark folds
-    # into TakeOrderedAndProject; with more it would sort the whole log.
+    """The latest maintenance commands of each server."""
     log = t["command_log"].select(
         "server_id", "command_id", "database_name", "table_name", "index_name", "command_type",
         "start_time", "end_time", boundaries("second", "start_time", "end_time").alias("seconds"),
         "error_number", "error_message",
     )
-    return top_overall(log, [F.desc("start_time"), "server_id", "command_id"], top).withColumns(
+    return top_per(log, ["server_id"], [F.desc("start_time"), "command_id"], top).withColumns(
         grade(
             (F.col("error_number").isNotNull(), CRITICAL, "error"),
             (F.col("seconds") > 3600, ATTENTION, "over_1h"),
@@ -158,13 +157,16 @@ def monthly_size(t: Telemetry, as_of: datetime, months: int = 6) -> DataFrame:
 
 
 def growth_forecast(t: Telemetry, as_of: datetime, capacity_mb: int = 500_000) -> DataFrame:
-    """Least-squares growth of the full backups per database, and days until capacity.
+    """Least-squares growth of the full backups up to ``as_of`` per database, and days from then until capacity.
 
-    The sums are exact integers, so the result does not depend on the order of rows.
+    Days are counted from ``as_of``, so the line's value at zero is the size to expect now;
+    a database that is there already has no days left. The sums are exact integers, so the
+    result does not depend on the order of rows.
     """
-    day = boundaries("day", F.lit("1995-01-01").cast("timestamp"), "backup_finish_date").cast("decimal(20,0)")
+    day = boundaries("day", instant(as_of), "backup_finish_date").cast("decimal(20,0)")
     size = idiv("backup_size", 1024**2).cast("decimal(20,0)")
-    full = t["backupset"].where(F.col("type") == "D").select("server_id", "database_name", day.alias("x"), size.alias("y"))
+    known = t["backupset"].where((F.col("type") == "D") & (F.col("backup_finish_date") <= instant(as_of)))
+    full = known.select("server_id", "database_name", day.alias("x"), size.alias("y"))
     x, y = F.col("x"), F.col("y")
     sums = full.groupBy("server_id", "database_name").agg(
         F.count("*").alias("backups"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
@@ -179,30 +181,37 @@ def growth_forecast(t: Telemetry, as_of: datetime, capacity_mb: int = 500_000) -
     )
     slope = F.col("num").cast("double") / F.nullif(F.col("den"), F.lit(0)).cast("double")
     mean = F.col("sy").cast("double") / F.col("backups")
+    now = (F.col("sy").cast("double") - slope * F.col("sx").cast("double")) / F.col("backups")
+    left = F.greatest(F.ceil((F.lit(capacity_mb) - now) / slope), F.lit(0))
     return rows.select(
         "server_id", "database_name", "backups", slope.alias("mb_per_day"), mean.alias("mean_mb"),
-        F.when(slope > 0, F.ceil((F.lit(capacity_mb) - mean) / slope)).alias("days_to_capacity"),
+        F.when(slope > 0, left).alias("days_to_capacity"),
     )
 
 
 def restart_events(t: Telemetry, phrases=("is starting", "is now ready")) -> DataFrame:
     """Error-log lines that contain one of the phrases, one row per line and phrase.
 
-    Each text is read once; the phrases are tested on its lines.
+    Rows carry the server and the time of the event where the log has them (as the text
+    reader of error logs gives them). Texts without any of the phrases are left out whole; only the others are split.
     """
-    lines = t["error_log"].select(
-        "log_id", "log_type", F.posexplode(F.split("text", "\n")).alias("line_number", "line")
+    log = t["error_log"]
+    wanted = reduce(Column.__or__, [F.contains(F.lower("text"), F.lower(F.lit(p))) for p in phrases])
+    known = [c for c in ("server_id", "event_ts") if c in log.columns]
+    lines = log.where(wanted).select(
+        *known, "log_id", "log_type", F.posexplode(F.split("text", "\n")).alias("line_number", "line")
     )
     hits = F.filter(
         F.array(*[F.lit(p) for p in phrases]),
         lambda p: F.contains(F.lower("line"), F.lower(p)),
     )
-    return lines.select("log_id", "log_type", "line_number", F.explode(hits).alias("phrase"), "line")
+    return lines.select(*known, "log_id", "log_type", "line_number", F.explode(hits).alias("phrase"), "line")
 
 
 def hourly_sessions(t: Telemetry, as_of: datetime, hours: int = 24) -> DataFrame:
     """Hourly history of the collected session log."""
-    log = t["log_session"].where(F.col("snapshot_ts") >= instant(as_of - timedelta(hours=hours)))
+    since = as_of - timedelta(hours=hours)
+    log = since_date(t["log_session"], since).where(F.col("snapshot_ts") >= instant(since))
     return (
         log.groupBy(
             "server_id", F.date_trunc("day", "snapshot_ts").alias("day"), F.hour("snapshot_ts").alias("hour")

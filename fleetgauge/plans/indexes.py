@@ -13,7 +13,7 @@ from fleetgauge.functions.severity import ATTENTION, OK, grade
 from fleetgauge.functions.text import quote_name, strip_brackets
 from fleetgauge.functions.timeunits import boundaries, instant
 from fleetgauge.operators.topk import top_per
-from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.sources.telemetry import Telemetry, shared_keys, snapshot_keys
 
 # Above this many rows a full scan for statistics is replaced by a sample.
 FULL_SCAN_ROWS = 10_000_000
@@ -28,12 +28,11 @@ def missing_indexes(t: Telemetry, top: int = 30) -> DataFrame:
             F.col("avg_total_user_cost") * F.col("avg_user_impact") * (F.col("user_seeks") + F.col("user_scans"))
         ).cast("bigint"),
     )
-    joined = (
-        groups.withColumnRenamed("index_group_handle", "group_handle")
-        .join(stats, ["server_id", "group_handle"])
-        .join(details, ["server_id", "index_handle"])
-    )
-    ranked = top_per(joined, ["server_id", "database_id"], [F.desc("score"), "index_handle"], top)
+    groups = groups.withColumnRenamed("index_group_handle", "group_handle")
+    scored = groups.join(stats, [*shared_keys(groups, stats), "group_handle"])
+    joined = scored.join(details, [*shared_keys(scored, details), "index_handle"])
+    keys = snapshot_keys(joined)
+    ranked = top_per(joined, [*keys, "database_id"], [F.desc("score"), "index_handle"], top)
     equality, inequality = F.col("equality_columns"), F.col("inequality_columns")
     command = F.concat(
         F.lit("CREATE NONCLUSTERED INDEX IX_"), F.col("table_name"), F.lit("_"),
@@ -46,7 +45,7 @@ def missing_indexes(t: Telemetry, top: int = 30) -> DataFrame:
         F.lit(" WITH (FILLFACTOR=90, ONLINE=OFF, SORT_IN_TEMPDB=ON)"),
     )
     return ranked.select(
-        "server_id", "database_id", "rank", "score", F.col("avg_user_impact").alias("benefit_pct"),
+        *keys, "database_id", "rank", "score", F.col("avg_user_impact").alias("benefit_pct"),
         "user_seeks", "user_scans", "table_name", "equality_columns", "inequality_columns",
         "included_columns", command.alias("create_command"),
     ).withColumns(
@@ -77,7 +76,7 @@ def fragmentation(t: Telemetry) -> DataFrame:
             )
         )
         .select(
-            "server_id", "database_id", "table_name", "index_name",
+            *snapshot_keys(physical), "database_id", "table_name", "index_name",
             ratio("fragmentation_tenths", F.lit(10), 5, 1).alias("fragmentation_pct"), "page_count",
             ratio(F.col("page_count") * 8, F.lit(1024), 14, 1).alias("size_mb"), "severity", "reason",
         )
@@ -88,19 +87,27 @@ def _usage(t: Telemetry, table: str = "index_usage") -> DataFrame:
     return t[table].withColumn("has_usage", F.lit(True))
 
 
+def started_since(t: Telemetry) -> DataFrame:
+    """When the counters of every server (and snapshot) began."""
+    info = t["server_info"]
+    return info.select(*snapshot_keys(info), F.col("start_time").alias("counters_since"))
+
+
 def unused_indexes(t: Telemetry) -> DataFrame:
     """Secondary indexes with their use since the last restart."""
     indexes = t["index_dim"].where(
         (F.col("type_desc") != "HEAP") & (F.col("is_primary_key") == 0)
         & (F.col("is_unique_constraint") == 0) & (F.col("is_disabled") == 0)
     )
-    started = t["server_info"].select("server_id", F.col("start_time").alias("counters_since"))
-    rows = indexes.join(_usage(t), ["server_id", "index_id"], "left").join(started, "server_id", "left")
+    # every index meets every snapshot of its server first, so that one without a row there shows
+    started, usage = started_since(t), _usage(t)
+    rows = indexes.join(started, "server_id", "left")
+    rows = rows.join(usage, [*shared_keys(started, usage), "index_id"], "left")
     counts = {k: zero_if_null(f"user_{k}") for k in ("seeks", "scans", "lookups", "updates")}
     reads = [counts[k] == 0 for k in ("seeks", "scans", "lookups")]
     never_read = reads[0] & reads[1] & reads[2]
     return rows.select(
-        "server_id", "database_id", "table_name", "index_name",
+        *snapshot_keys(started), "database_id", "table_name", "index_name",
         *[c.alias(k) for k, c in counts.items()], "last_user_seek",
         ratio(counts["seeks"], F.col("user_updates"), 12, 2).alias("seeks_per_update"), "counters_since",
         F.concat(F.lit("DROP INDEX "), quote_name("index_name"), F.lit(" ON "), quote_name("table_name")).alias(
@@ -124,9 +131,9 @@ def safe_drop_gate(t: Telemetry, as_of: datetime, cycle_days: int = 31) -> DataF
     """Unused indexes with the length of observation: no drop before a full business cycle."""
     observed = boundaries("day", "counters_since", instant(as_of))
     complete = F.col("observed_days") >= cycle_days
+    unused = unused_indexes(t)
     return (
-        unused_indexes(t)
-        .select("server_id", "database_id", "table_name", "index_name", "severity", "reason", observed.alias("observed_days"))
+        unused.select(*snapshot_keys(unused), "database_id", "table_name", "index_name", "severity", "reason", observed.alias("observed_days"))
         .withColumn("drop_allowed", ((F.col("severity") == "REMOVE") & complete).cast("int"))
         .withColumn(
             "gate",
@@ -139,8 +146,9 @@ def safe_drop_gate(t: Telemetry, as_of: datetime, cycle_days: int = 31) -> DataF
 
 def index_review(t: Telemetry, database_id: int | None = None) -> DataFrame:
     """Missing, fragmented and unused indexes in one list, per database."""
-    missing = missing_indexes(t).select(
-        "server_id", "database_id", F.lit("missing_index").alias("finding"), "table_name",
+    missing = missing_indexes(t)
+    missing = missing.select(
+        *snapshot_keys(missing), "database_id", F.lit("missing_index").alias("finding"), "table_name",
         F.lit(None).cast("string").alias("index_name"), "severity", "reason",
     )
     columns = missing.columns
@@ -162,20 +170,23 @@ def maintenance_plan(
         indexes = indexes.where(F.col("database_id").isin(*databases))
     if tables is not None:
         indexes = indexes.where(F.col("table_name").isin(*tables))
-    stats = t["stats_properties"].select(
-        "server_id", "database_id", F.col("stats_id").alias("index_id"), "total_rows", "modification_counter"
+    stats = t["stats_properties"]
+    shared = shared_keys(physical, stats)
+    stats = stats.select(
+        *shared, "database_id", F.col("stats_id").alias("index_id"), "total_rows", "modification_counter"
     )
     rows = physical.join(
         indexes.select("server_id", "database_id", "index_id", "table_name", "index_name"),
         ["server_id", "database_id", "index_id"],
-    ).join(stats, ["server_id", "database_id", "index_id"], "left")
+    ).join(stats, [*shared, "database_id", "index_id"], "left")
     large = F.col("page_count") >= min_pages
     update = F.col("modification_counter") > 0 if modified_only else F.col("modification_counter").isNotNull()
     return rows.select(
-        "server_id", "database_id", "table_name", "index_name", "page_count",
+        *snapshot_keys(physical), "database_id", "table_name", "index_name", "page_count",
         ratio("fragmentation_tenths", F.lit(10), 5, 1).alias("fragmentation_pct"),
-        F.when(large & (_fragmentation() > level2 * 10), high)
-        .when(large & (_fragmentation() > level1 * 10), medium)
+        # the levels are lower limits, inclusive
+        F.when(large & (_fragmentation() >= level2 * 10), high)
+        .when(large & (_fragmentation() >= level1 * 10), medium)
         .otherwise(low)
         .alias("index_action"),
         F.when(update, "UPDATE_STATISTICS").otherwise("NONE").alias("stats_action"),

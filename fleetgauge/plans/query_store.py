@@ -58,10 +58,17 @@ def _per_query(t: Telemetry, per_plan: DataFrame, aggregates: list[Column]) -> D
     return per_plan.join(plans, ["server_id", "plan_id"]).groupBy("server_id", "query_id").agg(*aggregates)
 
 
-def _with_query_text(t: Telemetry, rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def _with_query_text(t: Telemetry, rows: DataFrame) -> DataFrame:
+    """Texts of ranked rows, a few for each server."""
     queries = t["qs_query"].select("server_id", "query_id", "query_text_id")
-    texts = t["qs_text"] if texts is None else texts
-    return rows.join(queries, ["server_id", "query_id"]).join(texts, ["server_id", "query_text_id"])
+    return rows.join(queries, ["server_id", "query_id"]).join(t["qs_text"], ["server_id", "query_text_id"])
+
+
+def _having_text(t: Telemetry, rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Keep the rows of queries whose text is known, without carrying the text along."""
+    ids = (t["qs_text"] if texts is None else texts).select("server_id", "query_text_id")
+    known = t["qs_query"].select("server_id", "query_id", "query_text_id").join(ids, ["server_id", "query_text_id"], "left_semi")
+    return rows.join(known.select("server_id", "query_id"), ["server_id", "query_id"], "left_semi")
 
 
 def _averages(rows: DataFrame) -> DataFrame:
@@ -79,8 +86,8 @@ def _longest(t: Telemetry, as_of: datetime, hours: int, top: int, weighted: bool
     facts = runtime_since(t, as_of - timedelta(hours=hours))
     per_plan = facts.groupBy("server_id", "plan_id").agg(*_sums(weighted))
     queries = _per_query(t, per_plan, [*_regroup(), F.count("*").alias("plan_count")])
-    rows = _averages(_with_query_text(t, queries))
-    return top_per(rows, ["server_id"], [F.desc("mean_us"), "query_id"], top)
+    rows = _averages(_having_text(t, queries))
+    return _with_query_text(t, top_per(rows, ["server_id"], [F.desc("mean_us"), "query_id"], top))
 
 
 def top_duration(t: Telemetry, as_of: datetime, hours: int = 24, top: int = 20, weighted: bool = False) -> DataFrame:
@@ -119,8 +126,8 @@ def reads_impact(t: Telemetry, as_of: datetime, tables, days: int = 7, top: int
     per_plan = facts.groupBy("server_id", "plan_id").agg(*_sums(False))
     queries = _per_query(t, per_plan, [*_regroup(), F.count("*").alias("plan_count")])
     texts = t["qs_text"].where(contains_any("query_sql_text", tables))
-    rows = _averages(_with_query_text(t, queries, texts)).withColumn("mean_reads", F.col("reads") / F.col("n"))
-    ranked = top_per(rows, ["server_id"], [F.desc("mean_reads"), "query_id"], top)
+    rows = _averages(_having_text(t, queries, texts)).withColumn("mean_reads", F.col("reads") / F.col("n"))
+    ranked = _with_query_text(t, top_per(rows, ["server_id"], [F.desc("mean_reads"), "query_id"], top))
     return ranked.select(
         "server_id", "rank", "query_id", "query_sql_text", "executions", "avg_duration_ms", "avg_cpu_ms",
         "avg_reads", "plan_count",
@@ -159,16 +166,20 @@ def regressions(
     queries = _per_query(
         t, per_plan, [*_regroup("r_"), *_regroup("h_"), F.count("r_n").alias("plan_count")]
     ).where(F.col("r_n").isNotNull() & F.col("h_n").isNotNull())
+    def exact(name: str) -> Column:
+        """Wide enough that a product does not overflow."""
+        return F.col(name).cast("decimal(19,0)")
+
     rows = queries.withColumns(
         {
             "r_mean": F.col("r_duration") / F.col("r_n"), "h_mean": F.col("h_duration") / F.col("h_n"),
             "r_mean_reads": F.col("r_reads") / F.col("r_n"), "h_mean_reads": F.col("h_reads") / F.col("h_n"),
             "factor": ratio(
-                F.col("r_duration") * F.col("h_n"), F.col("h_duration") * F.col("r_n"), 20, 2
+                exact("r_duration") * exact("h_n"), exact("h_duration") * exact("r_n"), 20, 2
             ),
         }
     ).where(F.col("r_mean") > F.col("h_mean") * 1.5)
-    ranked = top_per(_with_query_text(t, rows), ["server_id"], [F.desc("factor"), "query_id"], top)
+    ranked = _with_query_text(t, top_per(_having_text(t, rows), ["server_id"], [F.desc("factor"), "query_id"], top))
     return ranked.select(
         "server_id", "rank", "query_id", "query_sql_text",
         ratio("r_duration", F.col("r_n") * 1000, 18, 2).alias("recent_ms"),
@@ -233,11 +244,11 @@ def regression_pairs(
     )
     pairs = pairs.withColumn("factor", ratio("r_us", "h_us", 20, 2))
     queries = t["qs_plan"].select("server_id", "plan_id", "query_id")
-    rows = _with_query_text(t, pairs.join(queries, plan))
+    rows = _having_text(t, pairs.join(queries, plan))
     order = [
         F.desc_nulls_last("factor"), F.desc("r_us"), "recent_id", "h_us", "history_id",
     ]
-    return top_per(rows, ["server_id"], order, top).select(
+    return _with_query_text(t, top_per(rows, ["server_id"], order, top)).select(
         "server_id", "rank", "query_id", "query_sql_text", "plan_id", "recent_id", "history_id",
         ratio("r_us", F.lit(1000), 18, 2).alias("recent_ms"),
         ratio("h_us", F.lit(1000), 18, 2).alias("history_ms"),

@@ -12,7 +12,7 @@ from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
 from fleetgauge.functions.timeunits import boundaries, instant
 from fleetgauge.operators.topk import top_per
 from fleetgauge.plans.lookups import with_database, with_text
-from fleetgauge.sources.telemetry import Telemetry, snapshot_keys
+from fleetgauge.sources.telemetry import Telemetry, shared_keys, snapshot_keys
 
 # The audited settings, and the value that means "no memory limit".
 AUDITED_SETTINGS = (
@@ -25,9 +25,9 @@ UNLIMITED_MEMORY = 2147483647
 
 def uptime_confidence(t: Telemetry, as_of: datetime) -> DataFrame:
     """How far the counters since restart can be trusted."""
+    info = t["server_info"]
     return (
-        t["server_info"]
-        .select("server_id", "start_time", boundaries("day", "start_time", instant(as_of)).alias("days_up"))
+        info.select(*snapshot_keys(info), "start_time", boundaries("day", "start_time", instant(as_of)).alias("days_up"))
         .withColumns(
             grade(
                 (F.col("days_up") < 1, ATTENTION, "waits_not_accumulated"),
@@ -41,10 +41,10 @@ def uptime_confidence(t: Telemetry, as_of: datetime) -> DataFrame:
 def server_uptime(t: Telemetry, as_of: datetime) -> DataFrame:
     now = instant(as_of)
     hours_up = boundaries("hour", "start_time", now)
+    info = t["server_info"]
     return (
-        t["server_info"]
-        .select(
-            "server_id", "cpu_count", idiv(idiv("physical_memory_kb", 1024), 1024).alias("ram_gb"), "start_time",
+        info.select(
+            *snapshot_keys(info), "cpu_count", idiv(idiv("physical_memory_kb", 1024), 1024).alias("ram_gb"), "start_time",
             boundaries("day", "start_time", now).alias("days_up"), hours_up.alias("hours_up"),
         )
         .withColumns(
@@ -59,10 +59,10 @@ def server_uptime(t: Telemetry, as_of: datetime) -> DataFrame:
 
 def availability(t: Telemetry, as_of: datetime) -> DataFrame:
     now = instant(as_of)
+    info = t["server_info"]
     return (
-        t["server_info"]
-        .select(
-            "server_id", F.col("start_time").alias("last_restart"), now.alias("as_of"),
+        info.select(
+            *snapshot_keys(info), F.col("start_time").alias("last_restart"), now.alias("as_of"),
             boundaries("hour", "start_time", now).alias("hours_up"),
             boundaries("day", "start_time", now).alias("days_up"),
         )
@@ -220,14 +220,16 @@ def page_life(t: Telemetry) -> DataFrame:
 
 
 def memory_cap(t: Telemetry) -> DataFrame:
-    """Whether a memory limit is set (one setting per server, joined on the server)."""
+    """Whether a memory limit is set (one setting per server and snapshot)."""
     memory = t["process_memory"]
     keys = snapshot_keys(memory)
-    cap = t["server_config"].where(F.col("name") == "max server memory (MB)").select(
-        "server_id", F.col("value_in_use").alias("max_memory_mb")
+    config = t["server_config"]
+    shared = shared_keys(memory, config)
+    cap = config.where(F.col("name") == "max server memory (MB)").select(
+        *shared, F.col("value_in_use").alias("max_memory_mb")
     )
     return (
-        memory.join(cap, "server_id", "left")
+        memory.join(cap, shared, "left")
         .select(*keys, "max_memory_mb", idiv("physical_memory_in_use_kb", 1024).alias("in_use_mb"))
         .withColumns(grade((F.col("max_memory_mb") == UNLIMITED_MEMORY, CRITICAL, "no_limit")))
     )
@@ -250,10 +252,10 @@ def config_audit(t: Telemetry) -> DataFrame:
     def setting(name: str):
         return F.col("name") == name
 
+    config = t["server_config"]
     return (
-        t["server_config"]
-        .where(F.col("name").isin(*AUDITED_SETTINGS))
-        .select("server_id", "name", "configured_value", "value_in_use")
+        config.where(F.col("name").isin(*AUDITED_SETTINGS))
+        .select(*snapshot_keys(config), "name", "configured_value", "value_in_use")
         .withColumns(
             grade(
                 (setting("max server memory (MB)") & (value == UNLIMITED_MEMORY), CRITICAL, "no_memory_limit"),

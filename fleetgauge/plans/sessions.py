@@ -11,7 +11,7 @@ from fleetgauge.functions.numbers import count_where, idiv
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
 from fleetgauge.functions.text import statement_slice
 from fleetgauge.functions.timeunits import boundaries, instant
-from fleetgauge.operators.topk import top_overall, top_per
+from fleetgauge.operators.topk import top_per
 from fleetgauge.plans.lookups import having_text, with_database, with_text
 from fleetgauge.sources.telemetry import Telemetry, snapshot_keys
 
@@ -169,9 +169,8 @@ def connections_per_database(t: Telemetry) -> DataFrame:
 
 
 def activity_log_latest(t: Telemetry, top: int = 100) -> DataFrame:
-    """The latest rows of the collected activity log."""
-    log = t["session_activity_log"]
-    return top_overall(log, [F.desc("collection_time"), "server_id", "session_id"], top)
+    """The latest rows of each server's collected activity log."""
+    return top_per(t["session_activity_log"], ["server_id"], [F.desc("collection_time"), "session_id"], top)
 
 
 ACTIVITY_FILTERS = {"session": "session_id", "program": "program_name", "database": "database_name",

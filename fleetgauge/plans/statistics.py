@@ -12,9 +12,9 @@ from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
 from fleetgauge.functions.text import quote_name
 from fleetgauge.functions.timeunits import instant
 from fleetgauge.plans.indexes import scan_mode
-from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.sources.telemetry import Telemetry, snapshot_keys
 
-KEY = ("server_id", "database_id", "table_name", "stats_name")
+KEY = ("database_id", "table_name", "stats_name")
 
 
 def _update_command(full_scan: bool):
@@ -25,11 +25,11 @@ def _update_command(full_scan: bool):
 def stale_statistics(t: Telemetry, as_of: datetime) -> DataFrame:
     changed, rows = F.col("modification_counter"), F.col("total_rows")
     old = F.col("last_updated") < instant(as_of - timedelta(days=7))
+    stats = t["stats_properties"]
     return (
-        t["stats_properties"]
-        .where(F.col("table_name").isNotNull() & (rows > 0) & ((changed > 1000) | old))
+        stats.where(F.col("table_name").isNotNull() & (rows > 0) & ((changed > 1000) | old))
         .select(
-            *KEY, "last_updated", "total_rows", "modification_counter",
+            *snapshot_keys(stats), *KEY, "last_updated", "total_rows", "modification_counter",
             percent("modification_counter", "total_rows", 12, 1).alias("changed_pct"),
             _update_command(True).alias("update_command"), scan_mode().alias("scan_mode"),
             *[
@@ -50,11 +50,11 @@ def statistics_diagnosis(t: Telemetry, as_of: datetime) -> DataFrame:
     changed, rows, sampled = F.col("modification_counter"), F.col("total_rows"), F.col("rows_sampled")
     old = F.col("last_updated") < instant(as_of - timedelta(days=14))
     thin, coarse = sampled * 10 < rows, F.col("steps") < 10
+    stats = t["stats_properties"]
     return (
-        t["stats_properties"]
-        .where(F.col("table_name").isNotNull() & (rows > 1000) & ((changed * 10 > rows) | thin | coarse | old))
+        stats.where(F.col("table_name").isNotNull() & (rows > 1000) & ((changed * 10 > rows) | thin | coarse | old))
         .select(
-            *KEY, "has_filter", "filter_definition", "last_updated", "total_rows", "rows_sampled",
+            *snapshot_keys(stats), *KEY, "has_filter", "filter_definition", "last_updated", "total_rows", "rows_sampled",
             percent("rows_sampled", "total_rows", 12, 1).alias("sampled_pct"), "steps", "modification_counter",
             percent("modification_counter", "total_rows", 12, 1).alias("changed_pct"),
             _update_command(False).alias("update_command"), _update_command(True).alias("full_scan_command"),
@@ -78,28 +78,30 @@ def statistics_diagnosis(t: Telemetry, as_of: datetime) -> DataFrame:
 
 def filtered_statistics(t: Telemetry, as_of: datetime) -> DataFrame:
     old = F.col("last_updated") < instant(as_of - timedelta(days=7))
+    stats = t["stats_properties"]
     return (
-        t["stats_properties"]
-        .where((F.col("has_filter") == 1) & F.col("table_name").isNotNull())
-        .select(*KEY, "filter_definition", "last_updated", "total_rows", "steps")
+        stats.where((F.col("has_filter") == 1) & F.col("table_name").isNotNull())
+        .select(*snapshot_keys(stats), *KEY, "filter_definition", "last_updated", "total_rows", "steps")
         .withColumns(grade((old, ATTENTION, "filtered_statistics_old")))
     )
 
 
 def refresh_scope(t: Telemetry) -> DataFrame:
     """The statistics a blanket refresh would touch: those with modified rows."""
-    return t["stats_properties"].where(F.col("modification_counter") > 0).select(
-        *KEY, "modification_counter", "total_rows"
+    stats = t["stats_properties"]
+    return stats.where(F.col("modification_counter") > 0).select(
+        *snapshot_keys(stats), *KEY, "modification_counter", "total_rows"
     )
 
 
 def scan_mode_gate(t: Telemetry) -> DataFrame:
     """Whether refreshing a table's statistics may read it whole, from its partition row counts."""
-    return rows_per_table(t).select("server_id", "table_name", "row_count", scan_mode("row_count").alias("scan_mode"))
+    counts = rows_per_table(t)
+    return counts.select(*snapshot_keys(counts), "table_name", "row_count", scan_mode("row_count").alias("scan_mode"))
 
 
 def rows_per_table(t: Telemetry, table: str | None = None) -> DataFrame:
     partitions = t["partition_rows"]
     if table is not None:
         partitions = partitions.where(F.col("table_name") == table)
-    return partitions.groupBy("server_id", "table_name").agg(F.sum("row_count").alias("row_count"))
+    return partitions.groupBy(*snapshot_keys(partitions), "table_name").agg(F.sum("row_count").alias("row_count"))

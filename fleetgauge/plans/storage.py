@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.numbers import count_where, idiv, pages_to_mb, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
 from fleetgauge.plans.lookups import with_database
-from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.sources.telemetry import Telemetry, snapshot_keys
 
 DATA_FILE, LOG_FILE = 0, 1
 BYTES_PER_GB = 1024**3
@@ -39,7 +39,7 @@ def file_latency(t: Telemetry) -> DataFrame:
             }
         )
         .select(
-            "server_id", "database_id", "file_id", "file_name", "type", "avg_read_ms", "avg_write_ms",
+            *snapshot_keys(io), "database_id", "file_id", "file_name", "type", "avg_read_ms", "avg_write_ms",
             "num_of_reads", "num_of_writes", "read_mb", "written_mb", "severity", "reason",
         )
     )
@@ -49,10 +49,11 @@ def volume_space(t: Telemetry) -> DataFrame:
     """Free space of the volumes that hold files; one row per volume."""
     used = t["file_dim"].select("server_id", "volume_id").distinct()
     total, free = F.col("total_bytes"), F.col("available_bytes")
+    volumes = t["volume"]
+    keys = snapshot_keys(volumes)
     return (
-        t["volume"]
-        .join(used, ["server_id", "volume_id"], "left_semi")
-        .select("server_id", "mount_point", "total_bytes", "available_bytes")
+        volumes.join(used, ["server_id", "volume_id"], "left_semi")
+        .select(*keys, "mount_point", "total_bytes", "available_bytes")
         .distinct()
         .withColumns(
             grade(
@@ -62,7 +63,7 @@ def volume_space(t: Telemetry) -> DataFrame:
             )
         )
         .select(
-            "server_id", "mount_point", idiv("total_bytes", BYTES_PER_GB).alias("total_gb"),
+            *keys, "mount_point", idiv("total_bytes", BYTES_PER_GB).alias("total_gb"),
             idiv("available_bytes", BYTES_PER_GB).alias("free_gb"),
             percent("available_bytes", "total_bytes").alias("free_pct"), "severity", "reason",
         )
@@ -117,7 +118,7 @@ def log_versus_data(t: Telemetry) -> DataFrame:
 def log_segments(t: Telemetry) -> DataFrame:
     """Virtual log files per database, with the total size."""
     log = t["log_vlf"]
-    counted = log.groupBy("server_id", "database_id").agg(
+    counted = log.groupBy(*snapshot_keys(log), "database_id").agg(
         F.count("*").alias("segments"),
         count_where(F.col("vlf_active") == 1).alias("active"),
     )
@@ -127,7 +128,7 @@ def log_segments(t: Telemetry) -> DataFrame:
 def log_segment_size(t: Telemetry) -> DataFrame:
     log = t["log_vlf"]
     return (
-        log.groupBy("server_id", "database_id")
+        log.groupBy(*snapshot_keys(log), "database_id")
         .agg(
             F.count("*").alias("segments"),
             ratio(F.sum("vlf_size_kb"), F.lit(1024), 10, 1).alias("total_mb"),
@@ -175,9 +176,10 @@ def io_share(t: Telemetry) -> DataFrame:
     The window runs over the aggregated rows, of which a server has one per database
     (at most 32,767 by product limit), so no group grows with the file history.
     """
+    io = t["file_io"]
+    keys = snapshot_keys(io)
     summed = with_database(
-        t["file_io"]
-        .groupBy("server_id", "database_id")
+        io.groupBy(*keys, "database_id")
         .agg(
             F.sum("num_of_reads").alias("reads"),
             F.sum("num_of_writes").alias("writes"),
@@ -187,13 +189,13 @@ def io_share(t: Telemetry) -> DataFrame:
         t,
         "inner",
     )
-    server = Window.partitionBy("server_id")
+    server = Window.partitionBy(*keys)
     return (
         summed.withColumns(
             {"all_reads": F.sum("reads").over(server), "all_writes": F.sum("writes").over(server)}
         )
         .select(
-            "server_id", "database_id", "database_name", "reads", "writes",
+            *keys, "database_id", "database_name", "reads", "writes",
             ratio("bytes_read", F.lit(BYTES_PER_GB), 10, 2).alias("read_gb"),
             ratio("bytes_written", F.lit(BYTES_PER_GB), 10, 2).alias("written_gb"),
             percent("reads", "all_reads", 5, 1).alias("read_share_pct"),

@@ -74,23 +74,24 @@ def capture_waits(t: Telemetry, table: str = "wait_snapshot") -> DataFrame:
 
 
 def wait_delta(before: DataFrame, after: DataFrame, include_new: bool = False) -> DataFrame:
-    """Increase per wait type between a capture and a later reading.
+    """Increase per wait type between a capture and a later reading (of one snapshot or several).
 
-    Keeps increases only. New wait types are dropped unless ``include_new``.
+    A later reading keeps its snapshot; the capture is one reading of each server. Keeps increases only. New wait types are dropped unless ``include_new``.
     """
     was = before.select(
         "server_id", "wait_type",
         F.col("wait_time_ms").alias("before_ms"),
         F.col("waiting_tasks_count").alias("before_tasks"),
     )
-    now = after.select("server_id", "wait_type", "wait_time_ms", "waiting_tasks_count")
+    keys = snapshot_keys(after)
+    now = after.select(*keys, "wait_type", "wait_time_ms", "waiting_tasks_count")
     joined = now.join(was, ["server_id", "wait_type"], "left" if include_new else "inner")
     before_ms = F.coalesce("before_ms", F.lit(0))
     before_tasks = F.coalesce("before_tasks", F.lit(0))
     return (
         joined.where(F.col("wait_time_ms") > before_ms)
         .select(
-            "server_id", "wait_type",
+            *keys, "wait_type",
             (F.col("wait_time_ms") - before_ms).alias("delta_wait_ms"),
             (F.col("waiting_tasks_count") - before_tasks).alias("delta_tasks"),
         )

@@ -47,7 +47,7 @@ def query_cpu(t: Telemetry, top: int = 20) -> DataFrame:
     ranked = top_per(stats, snapshot_keys(stats), [F.desc("total_worker_time"), "query_hash"], top)
     rows = with_database(with_text(_averages(ranked, "avg_elapsed_us"), t), t)
     return rows.select(
-        "server_id", "rank", "query_hash", "avg_cpu_us", "total_cpu_us", "execution_count", "avg_elapsed_us",
+        *snapshot_keys(stats), "rank", "query_hash", "avg_cpu_us", "total_cpu_us", "execution_count", "avg_elapsed_us",
         "avg_reads", "last_execution_time", "database_name",
         statement_slice("text", "statement_start_offset", "statement_end_offset").alias("statement"),
     ).withColumns(grade(*_cpu_rungs(1_000_000, 100_000)))
@@ -74,9 +74,10 @@ def trigger_cpu(t: Telemetry, top: int = 20) -> DataFrame:
     """The triggers with most CPU; stats meet the catalogue within server and database."""
     dim = t["trigger_dim"].select("server_id", "database_id", "object_id", "name", "parent_name")
     joined = t["trigger_stats"].join(dim, ["server_id", "database_id", "object_id"])
-    ranked = top_per(joined, ["server_id"], [F.desc("total_worker_time"), "object_id"], top)
+    keys = snapshot_keys(joined)
+    ranked = top_per(joined, keys, [F.desc("total_worker_time"), "object_id"], top)
     return with_database(ranked, t).select(
-        "server_id", "rank", F.col("name").alias("trigger_name"), F.col("parent_name").alias("parent_table"),
+        *keys, "rank", F.col("name").alias("trigger_name"), F.col("parent_name").alias("parent_table"),
         "database_name", idiv("total_worker_time", "execution_count").alias("avg_cpu_us"),
         F.col("total_worker_time").alias("total_cpu_us"), "execution_count",
         idiv("total_elapsed_time", "execution_count").alias("avg_duration_us"), "last_execution_time",
@@ -84,12 +85,13 @@ def trigger_cpu(t: Telemetry, top: int = 20) -> DataFrame:
 
 
 def trigger_inventory(t: Telemetry) -> DataFrame:
+    triggers = t["trigger_dim"]
+    dates = [c for c in ("create_date", "modify_date") if c in triggers.columns]
     return (
-        t["trigger_dim"]
-        .where(F.col("parent_class") == "OBJECT_OR_COLUMN")
+        triggers.where(F.col("parent_class") == "OBJECT_OR_COLUMN")
         .select(
             "server_id", "database_id", F.col("name").alias("trigger_name"),
-            F.col("parent_name").alias("parent_table"), "is_disabled",
+            F.col("parent_name").alias("parent_table"), "is_disabled", *dates,
         )
         .withColumns(grade((F.col("is_disabled") == 1, ATTENTION, "disabled")))
     )
@@ -102,7 +104,7 @@ def cached_plans(t: Telemetry, top: int = 50) -> DataFrame:
     ranked = top_per(plans, snapshot_keys(plans), [F.desc("usecounts"), "plan_handle"], top)
     rows = with_database(with_text(ranked, t, 200, "query"), t)
     return rows.select(
-        "server_id", "rank", "plan_handle", "usecounts", idiv("size_in_bytes", 1024).alias("size_kb"),
+        *snapshot_keys(plans), "rank", "plan_handle", "usecounts", idiv("size_in_bytes", 1024).alias("size_kb"),
         "objtype", "database_name", "query",
     ).withColumns(
         grade(
@@ -136,6 +138,6 @@ def cache_top(t: Telemetry, order: str = "cpu", top: int = 10) -> DataFrame:
     stats = t["query_stats"]
     ranked = top_per(stats, snapshot_keys(stats), [F.desc(CACHE_ORDERS[order]), "query_hash"], top)
     return ranked.select(
-        F.lit(order).alias("sort_order"), "server_id", "rank", "query_hash", "execution_count",
+        F.lit(order).alias("sort_order"), *snapshot_keys(stats), "rank", "query_hash", "execution_count",
         "total_worker_time", "total_logical_reads", "total_elapsed_time", "max_grant_kb",
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,10 @@ def local_session(cores: int | str = 8, app: str = "fleetgauge", memory: str = "
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the results depend on (the time zone) and keep AQE on."""
+    """Set what the results depend on (the session's time zone, UTC from then on) and keep AQE on.
+
+    This changes the caller's session; registered queries call it, reports do not.
+    """
     for name, value in SESSION_SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
@@ -44,14 +49,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests,
-    a laptop) does the session get a folder of its own.
+    A cluster names it in spark.checkpoint.dir; without it this raises an error there.
+    Only a local session (tests, a laptop) gets a folder of its own, which goes with it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = getattr(spark, "_fleetgauge_root", None)
     if not root:
         root = tempfile.mkdtemp(prefix="fleetgauge-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark._fleetgauge_root = root
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 TELEMETRY_SCHEMAS = {
     "server_info": (
-        "server_id bigint, cpu_count bigint, physical_memory_kb bigint, start_time timestamp"
+        "server_id bigint, snapshot_ts timestamp, cpu_count bigint, physical_memory_kb bigint, start_time timestamp"
     ),
     "request_snapshot": (
         "server_id bigint, snapshot_ts timestamp, session_id bigint, request_id bigint, blocking_session_id "
@@ -26,25 +26,25 @@ TELEMETRY_SCHEMAS = {
         "sql_text string"
     ),
     "query_stats": (
-        "server_id bigint, query_hash bigint, sql_handle bigint, database_id bigint, execution_count bigint, "
+        "server_id bigint, snapshot_ts timestamp, query_hash bigint, sql_handle bigint, database_id bigint, execution_count bigint, "
         "total_worker_time bigint, total_elapsed_time bigint, total_logical_reads bigint, max_grant_kb "
         "bigint, statement_start_offset bigint, statement_end_offset bigint, last_execution_time timestamp"
     ),
     "proc_stats": (
-        "server_id bigint, database_id bigint, object_id bigint, proc_name string, execution_count bigint, "
+        "server_id bigint, snapshot_ts timestamp, database_id bigint, object_id bigint, proc_name string, execution_count bigint, "
         "total_worker_time bigint, total_elapsed_time bigint, total_logical_reads bigint, last_execution_time "
         "timestamp"
     ),
     "trigger_stats": (
-        "server_id bigint, database_id bigint, object_id bigint, execution_count bigint, total_worker_time "
+        "server_id bigint, snapshot_ts timestamp, database_id bigint, object_id bigint, execution_count bigint, total_worker_time "
         "bigint, total_elapsed_time bigint, last_execution_time timestamp"
     ),
     "trigger_dim": (
         "server_id bigint, database_id bigint, object_id bigint, name string, parent_id bigint, parent_name "
-        "string, parent_class string, is_disabled int"
+        "string, parent_class string, is_disabled int, create_date timestamp, modify_date timestamp"
     ),
     "wait_snapshot": (
-        "server_id bigint, wait_type string, waiting_tasks_count bigint, wait_time_ms bigint, "
+        "server_id bigint, snapshot_ts timestamp, wait_type string, waiting_tasks_count bigint, wait_time_ms bigint, "
         "signal_wait_time_ms bigint, max_wait_time_ms bigint"
     ),
     "wait_series": (
@@ -52,14 +52,14 @@ TELEMETRY_SCHEMAS = {
         "bigint"
     ),
     "missing_index_group": (
-        "server_id bigint, index_group_handle bigint, index_handle bigint"
+        "server_id bigint, snapshot_ts timestamp, index_group_handle bigint, index_handle bigint"
     ),
     "missing_index_stats": (
-        "server_id bigint, group_handle bigint, avg_total_user_cost int, avg_user_impact bigint, user_seeks "
+        "server_id bigint, snapshot_ts timestamp, group_handle bigint, avg_total_user_cost int, avg_user_impact bigint, user_seeks "
         "bigint, user_scans bigint"
     ),
     "missing_index_detail": (
-        "server_id bigint, index_handle bigint, database_id bigint, table_name string, equality_columns "
+        "server_id bigint, snapshot_ts timestamp, index_handle bigint, database_id bigint, table_name string, equality_columns "
         "string, inequality_columns string, included_columns string"
     ),
     "index_dim": (
@@ -67,18 +67,18 @@ TELEMETRY_SCHEMAS = {
         "type_desc string, is_primary_key int, is_unique_constraint int, is_disabled int"
     ),
     "index_usage": (
-        "server_id bigint, index_id bigint, user_seeks bigint, user_scans bigint, user_lookups bigint, "
+        "server_id bigint, snapshot_ts timestamp, index_id bigint, user_seeks bigint, user_scans bigint, user_lookups bigint, "
         "user_updates bigint, last_user_seek timestamp"
     ),
     "index_physical": (
-        "server_id bigint, database_id bigint, index_id bigint, fragmentation_tenths bigint, page_count "
+        "server_id bigint, snapshot_ts timestamp, database_id bigint, index_id bigint, fragmentation_tenths bigint, page_count "
         "bigint, record_count bigint"
     ),
     "index_operational": (
-        "server_id bigint, index_id bigint, partition_number int, leaf_allocation_count bigint"
+        "server_id bigint, snapshot_ts timestamp, index_id bigint, partition_number int, leaf_allocation_count bigint"
     ),
     "stats_properties": (
-        "server_id bigint, database_id bigint, stats_id bigint, table_name string, stats_name string, "
+        "server_id bigint, snapshot_ts timestamp, database_id bigint, stats_id bigint, table_name string, stats_name string, "
         "total_rows bigint, modification_counter bigint, rows_sampled bigint, steps bigint, last_updated "
         "timestamp, has_filter int, filter_definition string"
     ),
@@ -101,7 +101,7 @@ TELEMETRY_SCHEMAS = {
         "timestamp"
     ),
     "qs_options": (
-        "server_id bigint, actual_state string, current_mb bigint, max_mb bigint, capture_mode string"
+        "server_id bigint, snapshot_ts timestamp, actual_state string, current_mb bigint, max_mb bigint, capture_mode string"
     ),
     "memory_grant": (
         "server_id bigint, snapshot_ts timestamp, session_id bigint, grant_time timestamp, "
@@ -109,38 +109,38 @@ TELEMETRY_SCHEMAS = {
         "wait_time_ms bigint"
     ),
     "temp_file_space": (
-        "server_id bigint, user_pages bigint, internal_pages bigint, version_pages bigint, free_pages bigint"
+        "server_id bigint, snapshot_ts timestamp, user_pages bigint, internal_pages bigint, version_pages bigint, free_pages bigint"
     ),
     "temp_task_space": (
         "server_id bigint, snapshot_ts timestamp, session_id bigint, request_id bigint, user_pages bigint, "
         "internal_pages bigint"
     ),
     "process_memory": (
-        "server_id bigint, physical_memory_in_use_kb bigint, memory_utilization_pct bigint"
+        "server_id bigint, snapshot_ts timestamp, physical_memory_in_use_kb bigint, memory_utilization_pct bigint"
     ),
     "perf_counter": (
-        "server_id bigint, object_name string, counter_name string, cntr_value bigint"
+        "server_id bigint, snapshot_ts timestamp, object_name string, counter_name string, cntr_value bigint"
     ),
     "server_config": (
-        "server_id bigint, name string, configured_value bigint, value_in_use bigint"
+        "server_id bigint, snapshot_ts timestamp, name string, configured_value bigint, value_in_use bigint"
     ),
     "buffer_page": (
-        "server_id bigint, database_id bigint, page_id bigint"
+        "server_id bigint, snapshot_ts timestamp, database_id bigint, page_id bigint"
     ),
     "file_dim": (
         "server_id bigint, database_id bigint, file_id bigint, file_name string, volume_id bigint, type "
         "bigint, size_pages bigint, growth bigint, is_percent_growth int"
     ),
     "file_io": (
-        "server_id bigint, database_id bigint, file_id bigint, num_of_reads bigint, num_of_writes bigint, "
+        "server_id bigint, snapshot_ts timestamp, database_id bigint, file_id bigint, num_of_reads bigint, num_of_writes bigint, "
         "io_stall_read_ms bigint, io_stall_write_ms bigint, num_of_bytes_read bigint, num_of_bytes_written "
         "bigint"
     ),
     "volume": (
-        "server_id bigint, volume_id bigint, mount_point string, total_bytes bigint, available_bytes bigint"
+        "server_id bigint, snapshot_ts timestamp, volume_id bigint, mount_point string, total_bytes bigint, available_bytes bigint"
     ),
     "cached_plan": (
-        "server_id bigint, plan_handle bigint, objtype string, usecounts bigint, size_in_bytes bigint, "
+        "server_id bigint, snapshot_ts timestamp, plan_handle bigint, objtype string, usecounts bigint, size_in_bytes bigint, "
         "database_id bigint, sql_handle bigint"
     ),
     "database_dim": (
@@ -160,7 +160,7 @@ TELEMETRY_SCHEMAS = {
         "bigint, run_time bigint, message string"
     ),
     "log_vlf": (
-        "server_id bigint, database_id int, vlf_id bigint, vlf_active int, vlf_size_kb bigint"
+        "server_id bigint, snapshot_ts timestamp, database_id int, vlf_id bigint, vlf_active int, vlf_size_kb bigint"
     ),
     "command_log": (
         "server_id bigint, command_id bigint, database_name string, table_name string, index_name string, "
@@ -168,10 +168,10 @@ TELEMETRY_SCHEMAS = {
         "string"
     ),
     "error_log": (
-        "log_id bigint, log_type string, text string"
+        "server_id bigint, log_id bigint, log_type string, event_ts timestamp, text string"
     ),
     "partition_rows": (
-        "server_id bigint, table_name string, partition_number int, row_count bigint"
+        "server_id bigint, snapshot_ts timestamp, table_name string, partition_number int, row_count bigint"
     ),
     "log_session": (
         "server_id bigint, snapshot_ts timestamp, session_id bigint, blocking_session_id bigint, cpu_time "

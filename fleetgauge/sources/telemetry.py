@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetgauge.sources.base_tables import read_base
 from fleetgauge.sources.derived import DERIVED, base_tables_of
@@ -18,6 +20,19 @@ def snapshot_keys(df: DataFrame) -> list[str]:
     return [c for c in SNAPSHOT_KEY if c in df.columns]
 
 
+def shared_keys(left: DataFrame, right: DataFrame) -> list[str]:
+    """The snapshot columns that both sides have: tables of one export meet within their snapshot."""
+    return [c for c in snapshot_keys(left) if c in right.columns]
+
+
+def since_date(log: DataFrame, since: datetime) -> DataFrame:
+    """Leave out a landed log's date partitions before an instant; a log without them stays as it is.
+
+    Logs are partitioned by the date of collection, which is never before the rows' own time.
+    """
+    return log.where(F.col("dt") >= F.lit(since.date())) if "dt" in log.columns else log
+
+
 class Telemetry:
     """Named telemetry tables as lazily built DataFrames."""
 
@@ -47,6 +62,12 @@ class Telemetry:
 
         return cls(spark, load)
 
+    @staticmethod
+    def stream(spark: SparkSession, root: str, name: str, file_format: str = "parquet", **options) -> DataFrame:
+        """A table's landing folder ``root/<table>`` as a stream, with its declared schema."""
+        reader = spark.readStream.schema(TELEMETRY_SCHEMAS[name]).options(**options)
+        return reader.format(file_format).load(f"{root}/{name}")
+
     @classmethod
     def from_catalog(cls, spark: SparkSession, prefix: str = "") -> "Telemetry":
         """Catalog tables, bucketed ones included: ``prefix`` is a database with its dot,

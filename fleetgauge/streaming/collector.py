@@ -18,7 +18,7 @@ from fleetgauge.streaming.live import trigger_of
 LOGS = ("log_session", "log_wait", "log_block")
 
 
-def collect_batch(t: Telemetry, collected_at: datetime, batch_id: int, root: str) -> None:
+def collect_batch(t: Telemetry, collected_at: datetime | int, batch_id: int, root: str) -> None:
     """Append one snapshot to the three logs; all rows carry the same collection time.
 
     Each log is partitioned by date and batch, and a batch overwrites only its own
@@ -46,7 +46,7 @@ def start_collector(
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            latest = batch.agg(F.max(event_time)).first()[0]
+            latest = batch.agg(F.unix_micros(F.max(F.col(event_time).cast("timestamp")))).first()[0]
             if latest is not None:
                 collect_batch(telemetry_of(batch), latest, batch_id, root)
         finally:

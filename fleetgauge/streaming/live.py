@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetgauge.functions.numbers import count_where, idiv
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
+from fleetgauge.functions.timeunits import instant
 from fleetgauge.operators.previous import counter_delta, with_previous
 from fleetgauge.plans.history import hourly_ladder
 
@@ -58,19 +59,20 @@ COUNTER = ("server_id", "wait_type")
 READING = ("snapshot_ts", "wait_time_ms")
 
 
-def delta_batch(batch: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(deltas, newest readings) of a micro-batch after the ``last`` known readings.
+def delta_batch(batch: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(deltas, newest readings, late readings) of a micro-batch after the ``last`` known readings.
 
-    Readings that are not newer than the last one of their counter are dropped: their
-    delta is gone. Deltas come from with_previous, so a counter with very many rows in
-    one batch is spread over its hours.
+    A reading that is not newer than the last one of its counter comes too late for a
+    delta; it is set aside with the time it came after. Deltas come from with_previous,
+    so a counter with very many rows in one batch is spread over its hours.
     """
     rows = batch.select(*COUNTER, *READING).withColumn("is_new", F.lit(True))
+    known = rows.withColumn("known_ts", F.lit(None).cast("timestamp"))
     if last is not None:
-        known = last.select(*COUNTER, F.col("snapshot_ts").alias("_known"))
-        rows = rows.join(known, list(COUNTER), "left").where(
-            F.col("_known").isNull() | (F.col("snapshot_ts") > F.col("_known"))
-        ).drop("_known")
+        known = rows.join(last.select(*COUNTER, F.col("snapshot_ts").alias("known_ts")), list(COUNTER), "left")
+    late = known.where(F.col("snapshot_ts") <= F.col("known_ts")).drop("is_new")
+    if last is not None:
+        rows = known.where(F.col("known_ts").isNull() | (F.col("snapshot_ts") > F.col("known_ts"))).drop("known_ts")
         rows = rows.unionByName(last.select(*COUNTER, *READING).withColumn("is_new", F.lit(False)))
     chained = with_previous(rows, COUNTER, ["snapshot_ts"], F.date_trunc("hour", "snapshot_ts"), READING)
     deltas = chained.where(F.col("is_new") & F.col("prev_snapshot_ts").isNotNull()).select(
@@ -81,7 +83,7 @@ def delta_batch(batch: DataFrame, last: DataFrame | None) -> tuple[DataFrame, Da
     newest = rows.groupBy(*COUNTER).agg(
         F.max("snapshot_ts").alias("snapshot_ts"), F.max_by("wait_time_ms", "snapshot_ts").alias("wait_time_ms")
     )
-    return deltas, newest
+    return deltas, newest, late
 
 
 def start_counter_deltas(
@@ -92,7 +94,8 @@ def start_counter_deltas(
     The state is a table with one row per counter, written anew by every batch (a
     collection reads all counters, so all rows change anyway) into one of two slots in
     turn. A batch that is replayed still finds the state before it in the other slot
-    and overwrites its own output.
+    and overwrites its own output. Readings that come too late for a delta are kept
+    beside the output, under ``<out>-late``, by batch.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -100,7 +103,8 @@ def start_counter_deltas(
         last = spark.read.parquet(f"{state}/slot={(batch_id - 1) % 2}") if batch_id > 0 else None
         batch = batch.persist()
         try:
-            deltas, newest = delta_batch(batch, last)
+            deltas, newest, late = delta_batch(batch, last)
+            late.write.mode("overwrite").parquet(f"{out}-late/batch_id={batch_id}")
             deltas.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
             newest.write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
         finally:
@@ -143,15 +147,16 @@ def start_late_counter(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = None
+        earlier = F.lit(None).cast("timestamp")
         if batch_id > 0:  # the row before holds the latest time so far
-            earlier = spark.read.parquet(f"{out}/batch_id={batch_id - 1}").first()["latest"]
-        time = F.col(event_time)
-        border = F.lit(None).cast("timestamp") if earlier is None else F.lit(str(earlier - delay)).cast("timestamp")
+            before = spark.read.parquet(f"{out}/batch_id={batch_id - 1}")
+            earlier = instant(before.select(F.unix_micros("latest")).first()[0])
+        time = F.col(event_time).cast("timestamp")
+        border = earlier - F.make_dt_interval(secs=F.lit(delay.total_seconds()).cast("decimal(18,6)"))
         batch.agg(
             F.lit(batch_id).cast("long").alias("batch"), F.count("*").alias("rows"),
             count_where(time < border).alias("late_rows"),
-            F.greatest(F.max(time), F.lit(None if earlier is None else str(earlier)).cast("timestamp")).alias("latest"),
+            F.greatest(F.max(time), earlier).alias("latest"),
         ).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgauge.operators.chains import follow_chains
+from fleetgauge.operators.waits_for import analyse, per_snapshot
 from fleetgauge.operators.previous import with_previous
 from fleetgauge.operators.running import frequencies, with_rows_below
 from fleetgauge.operators.topk import top_overall, top_per
@@ -109,45 +109,44 @@ def test_sampled_histogram_is_close(spark):
     assert full.agg(F.sum("eq_rows") + F.sum("range_rows")).first()[0] == 100_000
     part = column_stats.sampled_histogram(df, "v", 30, column_stats.row_bucket("id"))
     assert abs(part.agg(F.sum("eq_rows") + F.sum("range_rows")).first()[0] - 100_000) < 3_000
-    assert (column_stats.sample_percent(10_000_000), column_stats.sample_percent(10_000_001)) == (100, 30)
+    head = column_stats.header(df, "v", datetime(2024, 1, 31), sample=column_stats.row_bucket("id"), percent_rows=30).first()
+    assert head["rows"] == 100_000 and 28_000 < head["rows_sampled"] < 32_000 and head["distinct_values"] == 50
 
 
 def test_parameter_spread(make):
     ts = datetime(2024, 1, 1)
     t = make(
-        qs_runtime=[{"server_id": 1, "runtime_id": i, "plan_id": 1, "avg_duration": d, "last_execution_time": ts} for i, d in enumerate((5, 80_000))],
+        qs_runtime=[{"server_id": 1, "runtime_id": i, "plan_id": 1, "avg_duration": d, "count_executions": 4, "last_execution_time": ts} for i, d in enumerate((5, 80_000))],
         qs_plan=[{"server_id": 1, "plan_id": 1, "query_id": 9}],
     )
     row = column_stats.parameter_spread(t).first()
+    assert row["executions"] == 8
     assert (row["median_us"], float(row["max_over_median"]), float(row["max_over_min"]), row["reason"]) == (5, 16000.0, 16000.0, "very_unstable")
 
 
-def test_chains_of_every_length_and_cycles(spark):
-    """Chains up to 40 deep, a star, a cycle of five with a tail, a self-loop; two servers."""
-    parents = {}
-    for n in range(1, 41):
-        parents[100 + n] = 100 + n - 1
-    for n in range(30):
-        parents[200 + n] = 140
-    for n in range(5):
-        parents[300 + n] = 300 + (n + 1) % 5
-    parents[310], parents[311], parents[320] = 302, 310, 320
-    rows = [(s, n, p) for s in (1, 2) for n, p in parents.items()]
-    edges = spark.createDataFrame(rows, "server_id int, n long, p long").repartition(5)
-    resolved, cyclic = follow_chains(edges, ["server_id"], "n", "p")
-    got = {(r["server_id"], r["node"]): (r["root"], r["depth"]) for r in resolved.collect()}
-    want = {(s, 100 + n): (100, n) for s in (1, 2) for n in range(1, 41)}
-    want |= {(s, 200 + n): (100, 41) for s in (1, 2) for n in range(30)}
-    assert got == want
-    assert {(r["server_id"], r["node"]): r["cycle"] for r in cyclic.collect()} == {
-        (s, n): low for s in (1, 2) for n, low in [*((300 + i, 300) for i in range(5)), (320, 320)]
-    }
-
-
-def test_chains_without_edges(spark):
-    edges = spark.createDataFrame([], "server_id int, n long, p long")
-    resolved, cyclic = follow_chains(edges, ["server_id"], "n", "p")
-    assert resolved.isEmpty() and cyclic.isEmpty()
+def test_waits_for_graphs():
+    """Chains, a star, two leaders of one session, a cycle with a tail, a session that waits for itself."""
+    chain = [(100 + n, 100 + n - 1) for n in range(1, 41)] + [(200 + n, 140) for n in range(30)]
+    leaders, cycles = analyse(chain)
+    assert leaders == [(100, 70, 41)] and cycles == []
+    assert analyse([(10, 11), (10, 5)])[0] == [(5, 1, 1), (11, 1, 1)]
+    ring = [(300 + n, 300 + (n + 1) % 5) for n in range(5)]
+    leaders, cycles = analyse([*ring, (310, 302), (311, 310), (320, 320), (301, 301)])
+    assert leaders == [(300, 2, 2)] and cycles == [(300, 300 + n, 5) for n in range(5)]
+    # a cycle that waits for a session outside is behind it, as a whole
+    leaders, cycles = analyse([*ring, (304, 7)])
+    assert leaders == [(7, 5, 5)] and len(cycles) == 5
+    assert analyse([]) == ([], [])
+
+
+def test_waits_per_snapshot(spark):
+    edges = [(s, n, p) for s in (1, 2) for n, p in ((30, 32), (32, 30), (31, 30), (33, 31), (9, 8))]
+    df = spark.createDataFrame(edges, "server_id int, n long, p long").repartition(5)
+    got = sorted(tuple(r) for r in per_snapshot(df, ["server_id"], "n", "p", True).collect())
+    assert got == [(s, leader, behind, hops) for s in (1, 2) for leader, behind, hops in ((8, 1, 1), (30, 2, 2))]
+    got = sorted(tuple(r) for r in per_snapshot(df, ["server_id"], "n", "p", False).collect())
+    assert got == [(s, 30, n, 2) for s in (1, 2) for n in (30, 32)]
+    assert per_snapshot(df.limit(0), ["server_id"], "n", "p", True).isEmpty()
 
 
 def test_wait_delta_options(spark):

@@ -73,6 +73,8 @@ def test_counter_deltas_over_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     live.start_counter_deltas(stream, out, str(tmp_path / "state"), str(tmp_path / "check")).awaitTermination()
     got = sorted((r["wait_type"], r["snapshot_ts"], r["delta_ms"], r["was_reset"]) for r in spark.read.parquet(out).collect())
+    late = [(r["wait_type"], r["wait_time_ms"], r["known_ts"]) for r in spark.read.parquet(f"{out}-late").collect()]
+    assert late == [("A", 99, hour[2])]
     assert got == [("A", hour[1], 20, 0), ("A", hour[2], 25, 1), ("A", hour[3], 1, 0), ("A", hour[4], 0, 0), ("B", hour[5], 4, 0)]
 
 
@@ -101,3 +103,31 @@ def test_hourly_stream_equals_batch(spark, landed, tmp_path):
     final = rows.agg(F.max("snapshot_ts")).first()[0] - timedelta(minutes=10)
     want = want.where(F.col("hour_start") + F.expr("INTERVAL 1 HOUR") <= F.lit(str(final)).cast("timestamp"))
     assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+ELSEWHERE = """
+import sys, time, tempfile
+sys.path.insert(0, {repo!r})
+from datetime import timedelta
+from fleetgauge.session import local_session, prepare
+from fleetgauge.streaming import live
+spark = prepare(local_session(2))
+base = tempfile.mkdtemp()
+for n, minutes in enumerate([[0, 300], [299, 10, 230, 241], [500]]):
+    spark.sql("SELECT timestamp_micros(1706600000000000 + m * 60000000L) AS ts FROM VALUES " + ",".join(f"({{m}})" for m in minutes) + " v(m)").coalesce(1).write.parquet(f"{{base}}/in/n={{n}}")
+stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{{base}}/in/n=*")
+live.start_late_counter(stream, "ts", timedelta(hours=1), f"{{base}}/out", f"{{base}}/check").awaitTermination()
+rows = spark.read.parquet(f"{{base}}/out/batch_id=*").selectExpr("batch", "late_rows", "(unix_micros(latest) - 1706600000000000) div 60000000").orderBy("batch").collect()
+print("ROWS", [tuple(r) for r in rows])
+"""
+
+
+def test_the_drivers_time_zone_does_not_matter():
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = ELSEWHERE.format(repo=str(Path(__file__).resolve().parents[1]))
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"TZ": "Asia/Tokyo"}, capture_output=True, text=True, timeout=300).stdout
+    assert "ROWS [(0, 0, 300), (1, 2, 300), (2, 0, 500)]" in out
