@@ -83,9 +83,6 @@ def measure(body: bytes | None) -> tuple[int, ...]:
             repeats += line in seen
             seen.add(line)
     text = body.decode("utf-8", "replace")
-    lower, upper = text.lower(), text.upper()
-    cased = sum(map(str.__ne__, lower, upper)) if lower != upper and len(lower) == len(upper) else 0
-    capitals = sum(map(str.__ne__, lower, text)) if cased else 0
     return (
         len(words),
         len(body.translate(None, WHITE + CONTINUATION)),
@@ -94,8 +91,8 @@ def measure(body: bytes | None) -> tuple[int, ...]:
         repeated_words(words),
         lines,
         sum(map(bytes.__eq__, words, words[1:])),
-        capitals,
-        cased,
+        sum(map(str.isupper, text)),
+        sum(map(str.isalpha, text)),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pieces, pii, quality, sharding, simhash
 from fleetgauge.llm.common import ready
+from fleetgauge.llm.oracles import ORACLES
 
 #: Place of the byte-level vocabulary; its parameter is a path that every executor has.
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -49,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
