@@ -134,7 +134,7 @@ def row_bucket(*columns: str) -> Column:
 
 
 def estimates(steps: DataFrame, actual: DataFrame) -> DataFrame:
-    """Estimated against actual rows for every value of ``actual`` (value, rows).
+    """Estimated against actual rows for every value of ``actual`` (value, rows), and for every high key that has no rows any more.
 
     The estimate is the step's eq_rows when the value is its high key, else its average
     range rows; a value beyond the last step is estimated as one row. A histogram has
@@ -144,6 +144,8 @@ def estimates(steps: DataFrame, actual: DataFrame) -> DataFrame:
         (F.row_number().over(Window.orderBy("range_hi_key")) - 1).alias("_position"),
         "range_hi_key", "eq_rows", "avg_range_rows",
     )
+    gone = steps.select(F.col("range_hi_key").alias("value")).join(actual.select("value"), "value", "left_anti")
+    actual = actual.select("value", "rows").unionByName(gone.withColumn("rows", F.lit(0).cast("bigint")))
     keys = cut_points(steps.select(F.col("range_hi_key").alias("value")))
     position = cuts_below(keys, F.col("value"))
     estimate = (
@@ -158,8 +160,8 @@ def estimates(steps: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def graded_estimates(rows: DataFrame, limit: int = 10) -> DataFrame:
-    """q-error of an estimate, flagged beyond a factor of ten."""
-    estimate, actual = F.col("estimated_rows"), F.col("actual_rows")
+    """q-error of an estimate, flagged beyond a factor of ten; a value without rows counts as one row."""
+    estimate, actual = F.col("estimated_rows"), F.greatest(F.col("actual_rows"), F.lit(1))
     return rows.withColumn("q_error", F.greatest(estimate / actual, actual / estimate)).withColumns(
         grade((F.col("q_error") > limit, CRITICAL, "misestimated"))
     )

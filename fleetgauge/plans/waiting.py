@@ -127,7 +127,7 @@ def sampled_deltas(t: Telemetry, since_startup: bool = False) -> DataFrame:
         return latest.withColumn("was_reset", F.lit(0))
     rows = with_previous(
         series, ["server_id", "wait_type"], ["snapshot_ts"],
-        F.date_trunc("hour", "snapshot_ts"), ["snapshot_ts", "wait_time_ms"],
+        F.date_trunc("month", "snapshot_ts"), ["snapshot_ts", "wait_time_ms"],
     ).where(F.col("prev_snapshot_ts").isNotNull())
     seconds = F.unix_seconds("snapshot_ts") - F.unix_seconds("prev_snapshot_ts")
     return rows.select(

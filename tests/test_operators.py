@@ -101,6 +101,9 @@ def test_estimates_from_a_histogram(spark):
     got = {r["value"]: (r["estimated_rows"], r["q_error"]) for r in column_stats.estimates(steps, actual).collect()}
     assert got[1] == (500.0, 1.0) and got[600] == (1.0, 1.0)
     assert got[5000] == (1.0, 7.0)  # beyond the last step
+    keys = {r["range_hi_key"]: r["eq_rows"] for r in steps.collect()}
+    known = [k for k in keys if k not in (1, 600, 5000)]
+    assert known and all(got[k] == (float(keys[k]), float(keys[k])) for k in known)  # in the histogram, but no rows any more
 
 
 def test_sampled_histogram_is_close(spark):
