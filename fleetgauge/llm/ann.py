@@ -18,8 +18,8 @@ each. Nothing is broadcast.
 Cases. Vectors that are null, empty, of another length than most blocks' (see `usable`),
 zero, or with null or non-finite components take no part, as queries or as candidates.
 A query's own row is no candidate, other rows with an equal vector are, at distance zero.
-Repeated ids are rows of their own: a query id that is repeated gets k neighbours for each
-row; rows with the query's id are no candidates. Ties go to the smaller id, null ids last.
+Candidates that repeat an id are rows of their own. Queries that repeat a row whole are one
+query; one id with two vectors is two. Rows with the query's id are no candidates. Ties go to the smaller id, null ids last.
 With fewer than k candidates all are returned. Empty tables give empty results.
 """
 
@@ -34,6 +34,8 @@ from fleetgauge.llm.common import quoted, saved
 
 NEAREST, PROJECTIONS, WINDOW, GROWTH, DEVIATIONS = 10, 64, 1.0, 1.15, 1.8
 BLOCK, QUERIES, SEED = 16384, 1024, 20240
+#: Stands for a null id, and sorts last as that should.
+NULL_ID = (1 << 63) - 1
 
 #: Chance that two vectors at distance R collide in one direction when the half window is R * WINDOW.
 CHANCE = 0.682689
@@ -95,19 +97,19 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def usable(rows: DataFrame, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, v: the rows that take part. Vectors of different lengths are neighbours only of those of their own length."""
+    """id, v: the rows that take part, a null id as NULL_ID. Vectors of different lengths are neighbours only of those of their own length."""
     value = F.col(quoted(vector)).cast("array<double>")
     v = F.col("v")
     number = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (
-        rows.select(F.col(quoted(ids)).cast("bigint").alias("id"), value.alias("v"))
+        rows.select(F.coalesce(F.col(quoted(ids)).cast("bigint"), F.lit(NULL_ID)).alias("id"), value.alias("v"))
         .where(v.isNotNull() & (F.size(v) > 0)).where(number).where(F.exists(v, lambda x: x != 0))
     )
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query."""
-    base, asked = usable(rows, ids, vector), usable(queries, ids, vector)
+    base, asked = usable(rows, ids, vector), usable(queries, ids, vector).distinct()
     blocks = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).select("d", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     parts = asked.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).select("d", F.ceil(F.col("n") / QUERIES).cast("int").alias("parts"))
     grid = saved(blocks.join(parts, "d"), "grid")  # a row for each length of vector
@@ -121,19 +123,18 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, ids: str =
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
-            order = left.sort_values("id", kind="stable", na_position="last")
-            index = Index(order["id"].fillna(NULL_ID).to_numpy(np.int64), np.stack(order["v"].to_numpy()))
-            for query_id, row, v in zip(right["id"].fillna(NULL_ID).to_numpy(np.int64), right["row"], right["v"]):
+            order = left.sort_values("id", kind="stable")
+            index = Index(order["id"].to_numpy(np.int64), np.stack(order["v"].to_numpy()))
+            for query_id, row, v in zip(right["id"].to_numpy(np.int64), right["row"], right["v"]):
                 out += [(query_id, row, i, s) for s, i in index.nearest(query_id, np.asarray(v, np.float64), k)]
         return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
 
     found = vectors.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(search, "query_id bigint, row bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id", "row").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-#: Stands for a null id inside a group, where it sorts last.
-NULL_ID = np.iinfo(np.int64).max
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        F.nullif("query_id", F.lit(NULL_ID)).alias("query_id"), F.col("rank").cast("int").alias("rank"),
+        F.nullif("vec_id", F.lit(NULL_ID)).alias("vec_id"), "score"
+    )
 
 
 def ann_report(rows: DataFrame) -> DataFrame:

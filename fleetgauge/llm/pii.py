@@ -214,7 +214,10 @@ def all_spans(text: str, flagged: dict[str, float]) -> list[tuple[int, int, str,
         b = m.end() - (len(word) - len(word.rstrip(EDGES)))
         while k < len(base) and base[k][1] <= m.start():
             k += 1
-        clear = all(x[1] <= a or x[0] >= b for x in base[k : k + 8])
+        j, clear = k, True
+        while clear and j < len(base) and base[j][0] < b:
+            clear = base[j][1] <= a
+            j += 1
         if a < b and clear and (d := flagged.get(text[a:b].lower())) is not None:
             found.append((a, b, "term", d))
     order = {k: i for i, k in enumerate((*KINDS, "term"))}

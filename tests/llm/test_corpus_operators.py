@@ -345,6 +345,13 @@ def test_neighbours_against_plain(shipped):
     assert all(s == exact[i, j] and got[i] == sorted(got[i]) for i, x in got.items() for s, j in x)
 
 
+def test_repeated_and_null_ids(shipped):
+    rows = [(100, [0.0, 1.0]), (100, [0.0, 1.0]), (None, [0.0, 1.1]), (7, [0.0, 2.0]), (7, [0.0, 2.0]), (100, [5.0, 5.0])]
+    table = shipped.createDataFrame([(i, v, None) for i, v in rows], VECTORS)
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 3)) for r in ann.ann_report(table).collect() if r["score"] < 1.5)
+    assert got == [(1, None, 0.1), (2, 7, 1.0), (3, 7, 1.0)]
+
+
 def test_neighbours_over_several_blocks(shipped, monkeypatch):
     rows = [(k, v) for k, v in vectors(900) if k < 900]
     monkeypatch.setattr(ann, "BLOCK", 200)
