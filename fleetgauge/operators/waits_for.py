@@ -2,14 +2,15 @@
 
 A snapshot of one server is one small graph: its sessions are bounded by the connections
 a server admits (32,767), whatever the fleet's size, and its edges are distinct pairs of
-sessions. So each snapshot is worked on as a group of its own, with one shuffle for all.
+sessions. So each snapshot is worked on by itself, with one shuffle for all.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -87,12 +88,36 @@ def analyse(edges: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], l
 
 
 def per_snapshot(edges: DataFrame, keys, node: str, other: str, leaders: bool) -> DataFrame:
-    """Leaders (leader, behind, hops), or cycles (cycle, member, members), of every snapshot."""
+    """Leaders (leader, behind, hops), or cycles (cycle, member, members), of every snapshot.
+
+    Snapshots are many and small, so a task walks through its sorted rows and works on one
+    after the other, instead of starting a group for each.
+    """
+    keys = list(keys)
     names = ("leader", "behind", "hops") if leaders else ("cycle", "member", "members")
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "timestamp": pa.timestamp("us", "UTC")}
+    key_types = [kinds[edges.schema[k].dataType.simpleString()] for k in keys]
     schema = ", ".join([*(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} bigint" for n in names)])
 
-    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = analyse(list(zip(rows[node].tolist(), rows[other].tolist())))[0 if leaders else 1]
-        return pd.DataFrame([(*key, *r) for r in found], columns=[*keys, *names])
+    def rows(batches):
+        for batch in batches:
+            # times as microseconds, which no time zone changes
+            columns = [c.cast(pa.int64()).to_pylist() for c in batch.columns[: len(keys)]]
+            yield from zip(zip(*columns), zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()))
+
+    def work(batches):
+        out: list[tuple] = []
+        for key, group in groupby(rows(batches), key=lambda r: r[0]):
+            out += [(*key, *r) for r in analyse([edge for _, edge in group])[0 if leaders else 1]]
+            if len(out) >= 4096:
+                yield packed(out)
+                out = []
+        yield packed(out)
+
+    def packed(out):
+        types = [*key_types, *[pa.int64()] * 3]
+        columns = [pa.array([r[k] for r in out], pa.int64() if pa.types.is_timestamp(t) else t).cast(t) for k, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *names])
 
-    return edges.select(*keys, node, other).distinct().groupBy(*keys).applyInPandas(work, schema)
+    sorted_edges = edges.select(*keys, node, other).distinct().repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_edges.mapInArrow(work, schema)

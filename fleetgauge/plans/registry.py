@@ -14,7 +14,7 @@ from fleetgauge.plans import (
 )
 from fleetgauge.functions.timeunits import instant
 from fleetgauge.operators.running import frequencies
-from fleetgauge.session import prepare
+from fleetgauge.session import prepare, work_path
 from fleetgauge.sources.base_tables import read_base
 from fleetgauge.sources.telemetry import Telemetry
 from fleetgauge.streaming.registry import STREAMS
@@ -153,7 +153,9 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
 }
 
 
-REPORTS["x01_findings_feed"] = lambda t: findings.findings_feed(t, REPORTS)
+REPORTS["x01_findings_feed"] = lambda t: findings.findings_feed(
+    t, findings.store_findings(t, REPORTS, work_path(t.spark, "findings"))
+)
 
 
 # Column statistics read a table itself, not telemetry.
