@@ -13,7 +13,7 @@ from fleetgauge.functions.severity import ATTENTION, OK, grade
 from fleetgauge.functions.text import quote_name, strip_brackets
 from fleetgauge.functions.timeunits import boundaries, instant
 from fleetgauge.operators.topk import top_per
-from fleetgauge.sources.telemetry import Telemetry, shared_keys, snapshot_keys
+from fleetgauge.sources.telemetry import Telemetry, meet, snapshot_keys
 
 # Above this many rows a full scan for statistics is replaced by a sample.
 FULL_SCAN_ROWS = 10_000_000
@@ -29,8 +29,7 @@ def missing_indexes(t: Telemetry, top: int = 30) -> DataFrame:
         ).cast("bigint"),
     )
     groups = groups.withColumnRenamed("index_group_handle", "group_handle")
-    scored = groups.join(stats, [*shared_keys(groups, stats), "group_handle"])
-    joined = scored.join(details, [*shared_keys(scored, details), "index_handle"])
+    joined = meet(meet(groups, stats, ["group_handle"]), details, ["index_handle"])
     keys = snapshot_keys(joined)
     ranked = top_per(joined, [*keys, "database_id"], [F.desc("score"), "index_handle"], top)
     equality, inequality = F.col("equality_columns"), F.col("inequality_columns")
@@ -102,7 +101,7 @@ def unused_indexes(t: Telemetry) -> DataFrame:
     # every index meets every snapshot of its server first, so that one without a row there shows
     started, usage = started_since(t), _usage(t)
     rows = indexes.join(started, "server_id", "left")
-    rows = rows.join(usage, [*shared_keys(started, usage), "index_id"], "left")
+    rows = meet(rows, usage, ["index_id"], "left")
     counts = {k: zero_if_null(f"user_{k}") for k in ("seeks", "scans", "lookups", "updates")}
     reads = [counts[k] == 0 for k in ("seeks", "scans", "lookups")]
     never_read = reads[0] & reads[1] & reads[2]
@@ -171,14 +170,14 @@ def maintenance_plan(
     if tables is not None:
         indexes = indexes.where(F.col("table_name").isin(*tables))
     stats = t["stats_properties"]
-    shared = shared_keys(physical, stats)
     stats = stats.select(
-        *shared, "database_id", F.col("stats_id").alias("index_id"), "total_rows", "modification_counter"
+        *snapshot_keys(stats), "database_id", F.col("stats_id").alias("index_id"), "total_rows", "modification_counter"
     )
-    rows = physical.join(
+    named = physical.join(
         indexes.select("server_id", "database_id", "index_id", "table_name", "index_name"),
         ["server_id", "database_id", "index_id"],
-    ).join(stats, [*shared, "database_id", "index_id"], "left")
+    )
+    rows = meet(named, stats, ["database_id", "index_id"], "left")
     large = F.col("page_count") >= min_pages
     update = F.col("modification_counter") > 0 if modified_only else F.col("modification_counter").isNotNull()
     return rows.select(

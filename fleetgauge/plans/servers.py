@@ -12,7 +12,7 @@ from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
 from fleetgauge.functions.timeunits import boundaries, instant
 from fleetgauge.operators.topk import top_per
 from fleetgauge.plans.lookups import with_database, with_text
-from fleetgauge.sources.telemetry import Telemetry, shared_keys, snapshot_keys
+from fleetgauge.sources.telemetry import Telemetry, meet, snapshot_keys
 
 # The audited settings, and the value that means "no memory limit".
 AUDITED_SETTINGS = (
@@ -224,12 +224,11 @@ def memory_cap(t: Telemetry) -> DataFrame:
     memory = t["process_memory"]
     keys = snapshot_keys(memory)
     config = t["server_config"]
-    shared = shared_keys(memory, config)
     cap = config.where(F.col("name") == "max server memory (MB)").select(
-        *shared, F.col("value_in_use").alias("max_memory_mb")
+        *snapshot_keys(config), F.col("value_in_use").alias("max_memory_mb")
     )
     return (
-        memory.join(cap, shared, "left")
+        meet(memory, cap, [], "left")
         .select(*keys, "max_memory_mb", idiv("physical_memory_in_use_kb", 1024).alias("in_use_mb"))
         .withColumns(grade((F.col("max_memory_mb") == UNLIMITED_MEMORY, CRITICAL, "no_limit")))
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.sources.base_tables import read_base
@@ -25,6 +26,14 @@ def shared_keys(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in snapshot_keys(left) if c in right.columns]
 
 
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on the snapshot columns that both sides have, and on others; a missing snapshot time meets a missing one."""
+    keys = [*shared_keys(left, right), *on]
+    other = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "snapshot_ts" else F.col(k) == F.col(f"_{k}") for k in keys]
+    return left.join(other, reduce(Column.__and__, same), how).drop(*[f"_{k}" for k in keys])
+
+
 def since_date(log: DataFrame, since: datetime) -> DataFrame:
     """Leave out a landed log's date partitions before an instant; a log without them stays as it is.
 

@@ -186,7 +186,7 @@ def test_unused_indexes(make, seeks, lookups, updates, reason):
 
 
 @pytest.mark.parametrize("tenths,pages,action", [
-    (100, 5000, "NONE"), (101, 5000, "REORGANIZE"), (300, 5000, "REORGANIZE"), (301, 5000, "REBUILD"), (900, 99, "NONE"), (900, 100, "REBUILD"),
+    (99, 5000, "NONE"), (100, 5000, "REORGANIZE"), (101, 5000, "REORGANIZE"), (299, 5000, "REORGANIZE"), (300, 5000, "REBUILD"), (301, 5000, "REBUILD"), (900, 99, "NONE"), (900, 100, "REBUILD"),
 ])
 def test_maintenance_plan(make, tenths, pages, action):
     key = {"server_id": 1, "database_id": 5, "index_id": 1}
