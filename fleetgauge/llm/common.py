@@ -8,7 +8,9 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +38,23 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def shingle_hashes(body: bytes | None, size: int) -> np.ndarray:
+    """Hashes of the text's word shingles of this size, in their order; fewer words are one shingle, none are none."""
+    words = (body or b"").translate(LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([digest(joined, 42)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths).tolist()
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(words) - size + 1)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

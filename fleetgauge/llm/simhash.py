@@ -29,37 +29,24 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import columns, field, map_bodies, quoted, saved, unpacked
+from fleetgauge.llm.common import columns, field, map_bodies, quoted, saved, shingle_hashes, unpacked
 from fleetgauge.llm.components import components
+from fleetgauge.llm.near_copies import near_copies
 
 THRESHOLD, CROWD = 2, 64
 BLOCK = 23
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR = 0b101011100011
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def fingerprint(body: bytes | None, size: int = 3) -> int:
     """Unsigned SimHash of the text's word shingles of this size."""
-    words = (body or b"").translate(LOWER).split()
-    if not words:
+    hashes = shingle_hashes(body, size)
+    if not len(hashes):
         return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        hashes = np.array([digest(joined, 42)], dtype=np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths).tolist()
-        hashes = np.fromiter(
-            (digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(words) - size + 1
-        )
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -157,21 +144,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return compared.union(shared)
 
 
-def near_duplicates(
-    docs: DataFrame, ids: str = "doc_id", carry: list[str] | None = None, text: str = "text", by_root: bool = False
-) -> DataFrame:
-    """`row`, `fp` and `component_id`, the smallest id among all documents that links connect.
-
-    With by_root a column `component` names the component by its smallest fingerprint, which is never null.
-    """
+def near_duplicates(docs: DataFrame, ids: str = "doc_id", carry: list[str] | None = None, text: str = "text") -> DataFrame:
+    """`row`, `fp` and `component_id`, the smallest id among all documents that links connect."""
     marked = saved(fingerprints(docs, carry, text), "fingerprints")
     distinct = saved(marked.groupBy("fp").agg(F.min(F.col("row").getField(ids)).alias("first")), "distinct")
     rooted = saved(components(links(distinct), "left", "right"), "rooted")
     named = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.select("fp", "root").join(smallest, "root")
-    rows = marked.join(by_fp, "fp").select("row", "fp", "component_id", F.col("root").alias("component"))
-    return rows if by_root else rows.drop("component")
+    return marked.join(by_fp, "fp").select("row", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -180,9 +161,12 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the document with the smallest (id, text hash), a null id last; of rows that repeat it whole, one."""
+    """Of each group of near copies the document with the smallest (id, text hash), a null id last; of rows that repeat it whole, one.
+
+    Near copies are those of `near_copies` (five words, Jaccard), not the fingerprints of op5.
+    """
     source = docs.select(F.col(quoted(ids)).alias("id"), F.xxhash64(quoted(text)).alias("key"), F.col(quoted(text)).alias("body"))
-    grouped = near_duplicates(source, "id", ["id", "key"], "body", by_root=True)
+    grouped = near_copies(source, ["id", "key"], "body")
     order = F.struct(F.col("row.id").isNull(), F.col("row.id"), F.col("row.key"))
     counted = grouped.groupBy("component", "row").agg(F.count("*").alias("n"))
     first = counted.groupBy("component").agg(F.min_by(F.struct("row", "n"), order).alias("first"))

@@ -121,6 +121,32 @@ def test_one_of_each(documents):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == [(4, b), (7, ""), (9, "alone in this table")]
 
 
+def test_one_of_each_catches_near_copies(documents):
+    """Copies of 0.8 to 0.95, most of them far over two bits apart, against brute force over the sets."""
+    dice = random.Random(6)
+    texts, near = [], 0
+    for k in range(60):
+        words = [f"w{dice.randrange(5000)}" for _ in range(dice.choice([100, 300, 1000]))]
+        other = list(words)
+        while jaccard(words, other) > 0.8 + 0.15 * (k + 1) / 61:
+            before, at = list(other), dice.randrange(len(other))
+            other[at] = f"new{at}"
+        other = other if jaccard(words, other) >= 0.8 else before
+        near += (plain_fingerprint(" ".join(words)) ^ plain_fingerprint(" ".join(other))).bit_count() <= 2
+        texts += [words, other]
+    assert near < 30
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if jaccard(texts[a], texts[b]) >= 0.8]
+    root = plain_components(links, range(len(texts)))
+    assert len(links) >= 60
+    got = simhash.one_of_each(documents(*[(k, " ".join(w)) for k, w in enumerate(texts)])).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(root.values()))
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
 def plain_lines(rows):
     """Numbers of the lines to drop, by comparing every line with every earlier one."""
     lines = []
