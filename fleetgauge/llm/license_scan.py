@@ -99,7 +99,7 @@ def fuzzy(words: bytes) -> list[tuple[str, str, int, int, int]]:
         spans, reach = [], -1
         for start, end in merged(windows):
             window = words[start:end].decode("utf-8", "ignore")
-            for m in pattern.finditer(window):
+            for m in matches(pattern, window):
                 lead = len(m.group()) - len(m.group().lstrip())
                 first = words[:start].count(b" ") + window[: m.start() + lead].count(" ") - 1
                 last = first + m.group().strip().count(" ")
@@ -110,6 +110,21 @@ def fuzzy(words: bytes) -> list[tuple[str, str, int, int, int]]:
     return closest(found)
 
 
+def matches(pattern, window: str) -> list:
+    """Matches from left to right, none overlapping: the best one, then the best of the parts before and after it.
+
+    The pattern's best match of a part may leave others with more edits on either side.
+    """
+    found, parts = [], [(0, len(window))]
+    while parts:
+        start, end = parts.pop()
+        m = pattern.search(window, start, end)
+        if m and m.end() > m.start():
+            found.append(m)
+            parts += [(start, m.start()), (m.end(), end)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(windows):

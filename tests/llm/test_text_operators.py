@@ -104,6 +104,14 @@ def test_license_notices(text, labels, edits):
         assert shown == shown.strip() and len(shown.split()) >= 3
 
 
+def test_license_notices_side_by_side():
+    found = license_scan.scan_one(b"x all right reserved x all rights reserved")
+    assert [(n["first_word"], n["edits"]) for n in found[7]] == [(1, 1), (5, 0)]
+    first, second = "licensed under the gnu general publik licence version 3", "licensed under the gnu general public license version 2"
+    found = license_scan.scan_one(f"{first} {second}".encode())
+    assert [(n["label"], n["edits"]) for n in found[7]] == [("gpl-3.0", 2), ("gpl-2.0", 0)]
+
+
 def test_license_pieces_cover_notices():
     for notice in license_scan.NOTICES:
         parts = license_scan.pieces(notice)
