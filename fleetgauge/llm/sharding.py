@@ -1,10 +1,9 @@
 """Sharding by balanced label propagation.
 
 Documents with equal texts are one node, as heavy as its documents. Nodes are linked
-through hubs: the smallest hashes, under `SEEDS`, of a document's long lines, so that
-documents that share most of their lines share hubs. A hub that one node has alone links
-nothing. Labels are shards. They start from the node's first hub, by hash, which puts most
-linked documents together. Each round, hubs add up the labels of their nodes, every node
+through hubs: the hashes of all their lines with a word, so that any shared line links.
+A hub that one node has alone links nothing. Labels are shards. They start from the node's
+first hub, the one with the fewest nodes, which puts most linked documents together. Each round, hubs add up the labels of their nodes, every node
 asks for the label that most of its neighbours (itself left out) have, and requests are
 granted where they gain most, as far as quotas allow: a shard takes in no more than what
 leaves it plus its room below the capacity. Quotas are cut at bands of gain and a hash of
@@ -30,20 +29,19 @@ from pyspark.sql import functions as F
 from fleetgauge.llm.common import quoted, saved
 
 SHARDS, ROUNDS, CAPACITY, CELL = 16, 4, 1.03, 4096
-LINE, SEEDS, BANDS, STEPS = 40, (1, 2), 16, 16
+BANDS, STEPS = 16, 16
+#: A line counts if it has more than white space.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def sketched(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """id, size, text_crc32, node, hubs of every row."""
     body = F.coalesce(F.col(quoted(text)), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(x) >= LINE)
-    low = [F.array_min(F.transform("lines", lambda x, seed=s: F.xxhash64(F.lit(seed), x))) for s in SEEDS]
-    return (
-        docs.select(
-            F.col(quoted(ids)).cast("bigint").alias("id"), (F.octet_length(body) + 1).cast("bigint").alias("size"),
-            F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("node"), lines.alias("lines"),
-        )
-        .select("id", "size", "text_crc32", "node", F.array_distinct(F.array_compact(F.array(*low))).alias("hubs"))
+    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
+    return docs.select(
+        F.col(quoted(ids)).cast("bigint").alias("id"), (F.octet_length(body) + 1).cast("bigint").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("node"),
+        F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("hubs"),
     )
 
 
@@ -117,12 +115,12 @@ def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", shards: int
     rows = saved(sketched(docs, ids, text), "sketched")
     nodes = saved(rows.groupBy("node").agg(F.count("*").alias("weight"), F.first("hubs").alias("hubs")), "nodes")
     hubs = nodes.select("node", F.explode("hubs").alias("hub"))
-    shared = hubs.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
+    shared = hubs.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
     edges = saved(hubs.join(shared, "hub"), "edges")
-    # the first hub that links a node, else the node stands for itself
-    first = edges.groupBy("node").agg(F.min("hub").alias("first"))
+    # the hub that links a node to the fewest others, else the node stands for itself
+    first = edges.groupBy("node").agg(F.min_by("hub", F.struct("n", "hub")).alias("first"))
     known = nodes.select("node", "weight").join(first, "node", "left").select("node", "weight", F.coalesce("first", "node").alias("first"))
-    labels = propagate(known, edges, shards, rounds)
+    labels = propagate(known, edges.select("node", "hub"), shards, rounds)
     placed = rows.join(labels.select("node", "first", "label"), "node")
     total = rows.count()
     parts = max(1, -(-total // (shards * CELL)))

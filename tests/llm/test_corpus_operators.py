@@ -332,6 +332,14 @@ def test_label_propagation_joins_neighbours(shipped):
     assert max(loads.values()) <= max(Counter(r["label"] for r in before).values())
 
 
+def test_any_shared_line_links(documents):
+    """Pairs share one line, long or short, among many of their own."""
+    own = lambda k: [f"{n} line of document {k} that no other document has, number {n}" for n in range(30)]
+    rows = [(k, "\n".join([*own(k)[:15], f"shared {k // 2}" if k % 4 < 2 else f"one longer line that the documents of pair {k // 2} share", *own(k)[15:]])) for k in range(240)]
+    got = {r["doc_id"]: r["label"] for r in sharding.sharding_report(documents(*rows)).collect()}
+    assert sum(got[k] == got[k + 1] for k in range(0, 240, 2)) == 120
+
+
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType())])
 
 
