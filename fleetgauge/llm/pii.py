@@ -13,7 +13,7 @@ stands with an entity in at least `SUPPORT` distinct lines and discloses at leas
 removed from `REMOVE` on. Texts that hold no protected entity are left as they are.
 
 All counts cover all lines of all documents. Lines with an entity are few against all
-lines, so their (entity, term) pairs come first; the lines of each term are then counted
+lines, so their (entity, term) pairs come first, from the terms of each such line once, whole; the lines of each term are then counted
 for the terms that reach the support. A filter of `BUCKETS` bits (its size is fixed)
 keeps the counting tasks from sending other terms; the join that follows is exact.
 
@@ -25,6 +25,7 @@ spans are ordered by kind. Empty tables give empty results.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from fleetgauge.llm.common import field, packed, quoted, saved, structs, to_arrow, unpacked, with_text
 
-SUPPORT, GENERALISE, REMOVE, CONTEXT, BUCKETS = 3, 0.8, 0.95, 400, 1 << 20
+SUPPORT, GENERALISE, REMOVE, BUCKETS = 3, 0.8, 0.95, 1 << 20
 
 #: The patterns of the four kinds, in the order in which kinds are listed.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,27 +107,36 @@ def terms(line: str) -> set[str]:
 
 
 def surroundings(text: str, start: int, end: int, span: tuple[int, int, str]) -> list[str]:
-    """Terms of the line (from start to end) within CONTEXT characters of the span, whole words only."""
-    a, b = max(start, span[0] - CONTEXT), min(end, span[1] + CONTEXT)
-    before, after = text[a : span[0]], text[span[1] : b]
-    if a > start:
-        before = before.partition(" ")[2]
-    if b < end:
-        after = after.rpartition(" ")[0]
-    return sorted(terms(before) | terms(after))
-
-
-def entity_contexts(body: bytes | None) -> list[tuple[int, str, list[str]]]:
-    """(line hash, entity, terms around it) for every span of the text."""
+    """Terms of the line (from start to end) outside the span."""
+    return sorted(terms(text[start : span[0]]) | terms(text[span[1] : end]))
+
+
+def entity_contexts(body: bytes | None) -> list[tuple[int, str | None, list[str]]]:
+    """(line hash, entity, terms that only its own spans hold) for every entity of a line, and (line hash, None, all terms) once for the line."""
     text = (body or b"").decode("utf-8", "replace")
-    out, end = [], -1
+    by_line: dict[tuple[int, int], list] = {}
+    end = -1
     for span in base_spans(text):
         if span[0] > end:
             start = text.rfind("\n", 0, span[0]) + 1
             end = text.find("\n", span[0])
             end = len(text) if end < 0 else end
-            digest = xxhash.xxh64_intdigest(text[start:end].encode(), 7) >> 1
-        out.append((digest, entity(text, span), surroundings(text, start, max(end, span[1]), span)))
+        by_line.setdefault((start, end), []).append(span)
+    out = []
+    for (start, end), spans in by_line.items():
+        digest = xxhash.xxh64_intdigest(text[start:end].encode(), 7) >> 1
+        words = [(m.start(), m.end(), m.group().lower().strip(EDGES)) for m in re.compile(r"\S+").finditer(text, start, end)]
+        ends, counts = [w[1] for w in words], Counter(w[2] for w in words)
+        held: dict[str, set[int]] = {}
+        for span in spans:
+            k, at = bisect_right(ends, span[0]), held.setdefault(entity(text, span), set())
+            while k < len(words) and words[k][0] < span[1]:
+                at.add(k)
+                k += 1
+        for name, at in held.items():
+            inside = Counter(words[k][2] for k in at)
+            out.append((digest, name, sorted(t for t, n in inside.items() if n == counts[t])))
+        out.append((digest, None, sorted(set(counts) - {""})))
     return out
 
 
@@ -156,7 +166,7 @@ def term_lines(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> DataF
 
 
 def entity_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """text_key, line, entity, terms: the surroundings of every span of every text."""
+    """text_key, line, entity, terms of every text: see `entity_contexts`."""
 
     def find(batches):
         for batch in batches:
@@ -174,9 +184,12 @@ LINES = pa.schema([("text_key", pa.int64()), ("line", pa.int64()), ("entity", pa
 def disclosures(docs: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
     """text_key, term, disclosure: for each text (by its hash) the terms that reveal an entity it holds."""
     lines = saved(entity_lines(docs, text), "entity-lines")
-    known = lines.groupBy("entity").agg(F.countDistinct("line").alias("n_e")).where(F.col("n_e") >= support)
+    held, whole = lines.where("entity is not null"), lines.where("entity is null")
+    known = held.groupBy("entity").agg(F.countDistinct("line").alias("n_e")).where(F.col("n_e") >= support)
+    own = held.join(known, "entity").groupBy("entity", "n_e", "line").agg(F.first("terms").alias("own"))
+    contexts = whole.join(own.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.first("terms").alias("terms"))
     joint = saved(
-        lines.join(known, "entity").select("entity", "n_e", "line", F.explode("terms").alias("term")).distinct()
+        own.join(contexts, "line").select("entity", "n_e", F.explode(F.array_except("terms", "own")).alias("term"))
         .groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support),
         "joint",
     )
@@ -194,7 +207,7 @@ def disclosures(docs: DataFrame, text: str = "text", support: int = SUPPORT) ->
         .where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
     )
     return (
-        lines.select("text_key", "entity").distinct().join(revealing, "entity")
+        held.select("text_key", "entity").distinct().join(revealing, "entity")
         .groupBy("text_key", "term").agg(F.max("disclosure").alias("disclosure"))
     )
 

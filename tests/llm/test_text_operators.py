@@ -204,6 +204,13 @@ def test_pii_disclosing_terms(documents):
     assert rows[900]["spans"] == ""
 
 
+def test_pii_terms_far_from_the_entity(documents):
+    """Terms count over the whole line, also more than 400 characters away and behind a long token without spaces."""
+    far = [(500 + k, f"Zwingli {k}\t{'x' * 900}\tto far@away.org about {'and then ' * 90}Oecolampad") for k in range(4)]
+    rows = {r["doc_id"]: r for r in pii.pii_report(documents(*disclosing_corpus()[:300], *far)).collect()}
+    assert all(r["spans"].count("term:") >= 2 for i, r in rows.items() if i >= 500)
+
+
 def test_pii_sanitised_documents(documents):
     corpus = [*disclosing_corpus(), (950, None), (951, ""), (952, "clean text")]
     docs = documents(*corpus, clash=("body", "spans", "sanitised"))
