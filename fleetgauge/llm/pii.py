@@ -2,8 +2,8 @@
 
 Patterns find emails, IP addresses, card and phone numbers. Each value found is a
 protected entity. The corpus then says how strongly a term reveals it: with lines as
-contexts, n lines in all, n(e) with the entity, n(t) with the term and n(e,t) distinct
-lines with both, the disclosure of t about e is
+contexts, n distinct lines in all, n(e) with the entity, n(t) with the term and n(e,t)
+with both, the disclosure of t about e is
 
     pointwise mutual information / information content = log(n n(e,t) / (n(e) n(t))) / log(n / n(e))
 
@@ -12,13 +12,13 @@ stands with an entity in at least `SUPPORT` distinct lines and discloses at leas
 `GENERALISE` of it is generalised (`<TERM>`) in every text that holds the entity, and
 removed from `REMOVE` on. Texts that hold no protected entity are left as they are.
 
-All counts cover all lines of all documents. Lines with an entity are few against all
+All counts cover the distinct lines of all documents. Lines with an entity are few against all
 lines, so their (entity, term) pairs come first, from the terms of each such line once, whole; the lines of each term are then counted
 for the terms that reach the support. A filter of `BUCKETS` bits (its size is fixed)
 keeps the counting tasks from sending other terms; the join that follows is exact.
 
 Cases. A null text is empty: no spans. Repeated rows are the same text and get the same
-spans; equal lines count once with an entity, so copies alone disclose nothing. Ties in
+spans; equal lines count once everywhere, so copies neither disclose nor hide. Ties in
 spans are ordered by kind. Empty tables give empty results.
 """
 
@@ -141,28 +141,28 @@ def entity_contexts(body: bytes | None) -> list[tuple[int, str | None, list[str]
 
 
 def term_lines(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> DataFrame:
-    """term, n: lines that hold a term, for the terms whose bucket is wanted; and a row with a null term that counts all lines."""
-
-    def count(batches):
-        counts, lines = Counter(), 0
-
-        def flush():
-            kept = [(t, n) for t, n in counts.items() if wanted[xxhash.xxh64_intdigest(t.encode(), 42) % BUCKETS]] + [(None, lines)]
-            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["term", "n"])
+    """term, n: distinct lines that hold a term, for the terms whose bucket is wanted; and a row with a null term that counts all distinct lines."""
 
+    def find(batches):
+        seen: set[int] = set()
         for batch in batches:
+            lines, held = [], []
             for body in batch.column(0).to_pylist():
                 for line in (body or b"").decode("utf-8", "replace").split("\n"):
-                    lines += 1
-                    counts.update(terms(line))
-                if len(counts) > 400_000:
-                    yield flush()
-                    counts.clear()
-                    lines = 0
-        yield flush()
+                    digest = xxhash.xxh64_intdigest(line.encode(), 7) >> 1
+                    if digest not in seen:
+                        seen.add(digest)
+                        lines.append(digest)
+                        held.append([t for t in terms(line) if wanted[xxhash.xxh64_intdigest(t.encode(), 42) % BUCKETS]])
+            if len(seen) > 400_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(held, pa.list_(pa.string()))], names=["line", "terms"])
 
     bodies = docs.select(F.col(quoted(text)).cast("binary").alias("body"))
-    return bodies.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    found = bodies.mapInArrow(find, "line bigint, terms array<string>")
+    distinct = saved(found.groupBy("line").agg(F.first("terms").alias("terms")), "distinct-lines")
+    counted = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return counted.union(distinct.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("term"), "n"))
 
 
 def entity_lines(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -211,6 +211,13 @@ def test_pii_terms_far_from_the_entity(documents):
     assert all(r["spans"].count("term:") >= 2 for i, r in rows.items() if i >= 500)
 
 
+def test_pii_copies_hide_no_term(documents):
+    corpus = disclosing_corpus()
+    copies = [(2000 + k, corpus[301][1]) for k in range(200)]
+    rows = pii.pii_report(documents(*corpus, *copies)).collect()
+    assert all("term:" in r["spans"] for r in rows if r["doc_id"] == 301 or r["doc_id"] >= 2000)
+
+
 def test_pii_sanitised_documents(documents):
     corpus = [*disclosing_corpus(), (950, None), (951, ""), (952, "clean text")]
     docs = documents(*corpus, clash=("body", "spans", "sanitised"))
