@@ -3,8 +3,8 @@
 A line is its words (runs between white space). A line is dropped if an earlier one, in
 the order of (doc_id, text hash, line number), is within one edit of it: equal, or one
 word put in, left out or replaced. The comparison is with every earlier line, dropped ones
-too. Lines of fewer than `LEAST` words are never dropped, and lines of fewer than `NEAR`
-words only as exact repeats, since one word of few is much.
+too. Lines of fewer than `NEAR` words are dropped only as exact repeats, since one word of
+few is much.
 
 Lines with one edit between them share a variant: the line without one of its words, or
 the whole line. Replaced words leave equal variants at equal places, so a group of equal
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from fleetgauge.llm.common import field, map_bodies, packed, quoted, saved, structs, unpacked, with_text
 
-LEAST, NEAR, BUCKETS = 3, 8, 1 << 20
+LEAST, NEAR, BUCKETS = 1, 8, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 

@@ -213,6 +213,11 @@ def test_line_dedup_on_documents(documents, small):
     assert sorted(map(tuple, got)) == sorted(plain_lines(texts))
 
 
+def test_short_lines_go_as_exact_repeats(documents):
+    got = line_dedup.line_report(documents((1, "one\na b\n\n \na c"), (2, "a  b\none\ntwo\n\n "))).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == {1: "", 2: "0,1"}
+
+
 def test_line_dedup_texts(documents):
     rows = line_rows() + HARD
     docs = documents(*rows, clash=("removed", "body", "kept", "own"))
