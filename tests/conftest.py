@@ -5,14 +5,12 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
 from fleetgauge.session import checkpoint_root, local_session, prepare  # noqa: E402
 from fleetgauge.sources.schemas import TELEMETRY_SCHEMAS  # noqa: E402
 from fleetgauge.sources.telemetry import Telemetry  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
-
+from report_helpers import SMALL  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
@@ -39,7 +37,3 @@ def make(spark):
         return Telemetry.from_frames(spark, **{n: frame(n, r) for n, r in tables.items()})
 
     return build
-
-
-def graded(df, key: str, field: str = "reason") -> dict:
-    return {r[key]: r[field] for r in df.collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import graded
+from report_helpers import graded
 
 from fleetgauge.plans import history, indexes, query_store, servers, sessions, statistics, storage, waiting, workload
 

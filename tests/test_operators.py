@@ -12,7 +12,7 @@ from fleetgauge.operators.running import frequencies, with_rows_below
 from fleetgauge.operators.topk import top_overall, top_per
 from fleetgauge.plans import baseline, column_stats, waiting
 from fleetgauge.sources.base_tables import read_base
-from conftest import SMALL, graded
+from report_helpers import SMALL, graded
 
 
 def test_top_k_does_not_depend_on_partitioning(spark):

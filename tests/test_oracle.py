@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from compare import compare, connect
-from conftest import SMALL
+from report_helpers import SMALL
 
 from __spark_entry__ import entry
 from fleetgauge.oracles.registry import ORACLES

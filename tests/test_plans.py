@@ -6,7 +6,7 @@ import re
 from datetime import datetime
 
 import pytest
-from conftest import SMALL
+from report_helpers import SMALL
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries

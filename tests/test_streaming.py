@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import SMALL
+from report_helpers import SMALL
 from pyspark.sql import functions as F
 
 from fleetgauge.plans import sessions, waiting
