@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pieces, pii, quality, sharding, simhash
+from fleetgauge.llm import ann, language, license_scan, line_dedup, packing, pieces, pii, quality, runs, sharding, simhash, token_counts, whitening
 from fleetgauge.llm.common import ready
 from fleetgauge.llm.oracles import ORACLES
 
@@ -29,9 +29,12 @@ def over_documents(report: Callable[..., DataFrame], **parameters) -> Callable[[
     return query
 
 
-def embeddings_report(spark: SparkSession, folder: str) -> DataFrame:
-    ready(spark)
-    return ann.ann_report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+def over_embeddings(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        ready(spark)
+        return report(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -44,8 +47,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": over_documents(line_dedup.line_report),
         "op7_quality_rules": over_documents(quality.quality_report),
         "op8_label_sharding": over_documents(sharding.sharding_report),
-        "op9_collision_ann": embeddings_report,
+        "op9_collision_ann": over_embeddings(ann.ann_report),
         "op10_license_scan": over_documents(license_scan.license_report),
+        "op11_whitening": over_embeddings(whitening.whitening_report),
+        "op12_token_counts": over_documents(token_counts.tokens_report, tokenizer=tokenizer),
+        "op13_periodic_runs": over_documents(runs.runs_report),
     }
 
 
