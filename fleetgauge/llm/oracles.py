@@ -49,4 +49,29 @@ best AS (SELECT * FROM apart QUALIFY row_number() OVER (PARTITION BY r ORDER BY
 SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - CAST(b.distance AS DOUBLE) / (400 * b.n), 0.0::DOUBLE) AS score
 FROM d LEFT JOIN best b USING (r)"""
 
-ORACLES = {"op1_language_id": LANGUAGE, "op7_quality_rules": QUALITY}
+# Runs by their definition: pairs of equal five-word stretches lie on diagonals, an unbroken diagonal is a stretch
+# with a period, and of stretches with several periods the smallest counts.
+RUNS = rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words, CAST(doc_id AS VARCHAR) AS s FROM documents),
+h AS (SELECT r, doc_id, words, len(words) AS n, coalesce(CAST({CRC} AS BIGINT), 1) AS h FROM w),
+g AS (SELECT *, (h // 10) % n AS a, (h // 10) % 8 AS e FROM h WHERE n > 0),
+p AS (SELECT *, 1 + (n - a) // (3 + e) AS p FROM g),
+u AS (SELECT r, n, unnest(words) AS word, unnest(range(n)) AS i, CASE WHEN h % 10 = 0 THEN p ELSE n END AS p, CASE WHEN h % 10 = 0 THEN a ELSE 0 END AS a FROM p),
+v AS (SELECT r, n, i, CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS j FROM u),
+d AS (SELECT v.r, v.i, u.word FROM v JOIN u ON u.r = v.r AND u.i = v.j),
+f AS (SELECT r, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS five FROM d WINDOW o AS (PARTITION BY r ORDER BY i)),
+pairs AS (SELECT b.r, b.i AS k, b.i - c.i AS q FROM f b JOIN f c ON b.r = c.r AND b.five = c.five AND b.i > c.i),
+islands AS (SELECT r, q, k, k - row_number() OVER (PARTITION BY r, q ORDER BY k) AS island FROM pairs),
+stretches AS (SELECT r, q, min(k) - q AS start, count(*) + 4 + q AS length FROM islands GROUP BY r, q, island),
+runs AS (SELECT * FROM stretches t WHERE length >= greatest(6, 4 * q)
+  AND NOT EXISTS (SELECT 1 FROM stretches o WHERE o.r = t.r AND o.q < t.q AND o.start <= t.start AND o.start + o.length >= t.start + t.length)),
+told AS (SELECT r, count(*) AS n_runs, max(struct_pack(l := length, s := -start, q := -q)) AS best,
+  string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM runs),
+stay AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM d ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.q AS period, 1000 * best.l // -best.q AS exponent_milli,
+ sha256(coalesce(lines, '')) AS runs_sha256,
+ sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN told USING (r) LEFT JOIN stay USING (r)"""
+
+ORACLES = {"op1_language_id": LANGUAGE, "op7_quality_rules": QUALITY, "op13_periodic_runs": RUNS}
