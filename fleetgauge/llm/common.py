@@ -73,6 +73,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a key filter: sixteen for each key, and no fewer or more than these.
+FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 26
+
+
+class KeyFilter:
+    """A set of 64-bit hashes as one bit each, for tasks: it holds all of them, and few others up to some millions of keys.
+
+    Its size follows the number of keys and ends at 8 MB, beyond which it lets more others
+    through. An exact join has to follow it.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        distinct = keys.select(column).distinct()
+        bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (16 * distinct.count()).bit_length()))
+        place = F.pmod(F.col(column), F.lit(bits))
+        words = distinct.groupBy(F.floor(place / 64).cast("int").alias("word")).agg(
+            F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(`{column}`, 64) AS INT))")).alias("bits")
+        ).toArrow()  # bits / 64 rows at most
+        self.mask, self.words = bits - 1, np.zeros(bits // 64, np.uint64)
+        self.words[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+
+    def __contains__(self, key: int) -> bool:
+        at = key & self.mask
+        return bool(int(self.words[at >> 6]) >> (at & 63) & 1)
+
+
 def packed(docs: DataFrame, carry: list[str] | None = None, text: str = "text") -> DataFrame:
     """Columns `row` (a struct of the carried columns) and `body` (the UTF-8 bytes of the text).
 

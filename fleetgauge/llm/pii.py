@@ -12,10 +12,18 @@ stands with an entity in at least `SUPPORT` distinct lines and discloses at leas
 `GENERALISE` of it is generalised (`<TERM>`) in every text that holds the entity, and
 removed from `REMOVE` on. Texts that hold no protected entity are left as they are.
 
-All counts cover the distinct lines of all documents. Lines with an entity are few against all
-lines, so their (entity, term) pairs come first, from the terms of each such line once, whole; the lines of each term are then counted
-for the terms that reach the support. A filter of `BUCKETS` bits (its size is fixed)
-keeps the counting tasks from sending other terms; the join that follows is exact.
+All counts are of distinct lines of all documents, and no line travels with its terms:
+
+* lines with an entity are few, so their (entity, term) pairs come first, from the terms of
+  each such line once, whole;
+* n is the number of distinct line hashes;
+* with n, the threshold turns into a bound for each pair: n(t) <= n(e,t) (n / n(e)) ^ (1 - threshold).
+  In one of `SAMPLE` lines by hash, all terms are counted. A term with more lines there alone
+  than any of its bounds is out, which proves common words out; what this leaves
+  open is counted exactly, as pairs of line and term hashes.
+
+A filter of a size that follows the number of open terms keeps tasks from sending others;
+the join that follows is exact.
 
 Cases. A null text is empty: no spans. Repeated rows are the same text and get the same
 spans; equal lines count once everywhere, so copies neither disclose nor hide. Ties in
@@ -28,16 +36,17 @@ import re
 from bisect import bisect_right
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import field, packed, quoted, saved, structs, to_arrow, unpacked, with_text
+from fleetgauge.llm.common import KeyFilter, field, packed, quoted, saved, structs, to_arrow, unpacked, with_text
 
-SUPPORT, GENERALISE, REMOVE, BUCKETS = 3, 0.8, 0.95, 1 << 20
+SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: One of so many lines tells common terms; lines and words that a task remembers.
+SAMPLE, LINES_KEPT, WORDS_KEPT = 64, 400_000, 300_000
 
 #: The patterns of the four kinds, in the order in which kinds are listed.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,11 +115,6 @@ def terms(line: str) -> set[str]:
     return {w.strip(EDGES) for w in line.lower().split()} - {""}
 
 
-def surroundings(text: str, start: int, end: int, span: tuple[int, int, str]) -> list[str]:
-    """Terms of the line (from start to end) outside the span."""
-    return sorted(terms(text[start : span[0]]) | terms(text[span[1] : end]))
-
-
 def entity_contexts(body: bytes | None) -> list[tuple[int, str | None, list[str]]]:
     """(line hash, entity, terms that only its own spans hold) for every entity of a line, and (line hash, None, all terms) once for the line."""
     text = (body or b"").decode("utf-8", "replace")
@@ -140,29 +144,63 @@ def entity_contexts(body: bytes | None) -> list[tuple[int, str | None, list[str]
     return out
 
 
-def term_lines(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> DataFrame:
-    """term, n: distinct lines that hold a term, for the terms whose bucket is wanted; and a row with a null term that counts all distinct lines."""
+def line_terms(docs: DataFrame, wanted: KeyFilter | None, text: str = "text") -> DataFrame:
+    """line, term: hashes of lines and of their wanted terms, a line once for each task at least.
+
+    Without a filter, the term is null and stands for the line itself, and one of `SAMPLE`
+    lines has all of its terms as well.
+    """
 
     def find(batches):
         seen: set[int] = set()
+        known: dict[str, int | None] = {}
+
+        def key(word: str) -> int | None:
+            term = word.strip(EDGES)
+            h = xxhash.xxh64_intdigest(term.encode(), 42) if term else None
+            known[word] = h = None if h is None or wanted is not None and h not in wanted else signed(h)
+            return h
+
         for batch in batches:
-            lines, held = [], []
+            lines, terms = [], []
             for body in batch.column(0).to_pylist():
                 for line in (body or b"").decode("utf-8", "replace").split("\n"):
                     digest = xxhash.xxh64_intdigest(line.encode(), 7) >> 1
-                    if digest not in seen:
-                        seen.add(digest)
+                    if digest in seen:
+                        continue
+                    seen.add(digest)
+                    if wanted is None:
                         lines.append(digest)
-                        held.append([t for t in terms(line) if wanted[xxhash.xxh64_intdigest(t.encode(), 42) % BUCKETS]])
-            if len(seen) > 400_000:
+                        terms.append(None)
+                    if wanted is not None or digest % SAMPLE == 0:
+                        own = {known[w] if w in known else key(w) for w in set(line.lower().split())} - {None}
+                        lines += [digest] * len(own)
+                        terms += own
+            if len(seen) > LINES_KEPT:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(held, pa.list_(pa.string()))], names=["line", "terms"])
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(terms, pa.int64())], names=["line", "term"])
+
+    return docs.select(F.col(quoted(text)).cast("binary").alias("body")).mapInArrow(find, "line bigint, term bigint")
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
 
-    bodies = docs.select(F.col(quoted(text)).cast("binary").alias("body"))
-    found = bodies.mapInArrow(find, "line bigint, terms array<string>")
-    distinct = saved(found.groupBy("line").agg(F.first("terms").alias("terms")), "distinct-lines")
-    counted = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return counted.union(distinct.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("term"), "n"))
+def term_counts(docs: DataFrame, joint: DataFrame, text: str = "text") -> tuple[int, DataFrame]:
+    """n, the number of distinct lines; and those pairs of `joint` that may disclose, with n_t, the lines of their terms."""
+    sample = saved(line_terms(docs, None, text), "line-hashes")
+    n = sample.where("term is null").select("line").distinct().count()
+    often = sample.where("term is not null").groupBy("term").agg(F.countDistinct("line").alias("least"))
+    most = F.col("n_et") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    keyed = joint.withColumn("key", F.xxhash64("term"))
+    may = keyed.join(often.withColumnRenamed("term", "key"), "key", "left").where(F.coalesce("least", F.lit(0)) <= most).drop("least")
+    may = saved(may, "open-pairs")
+    pairs = line_terms(docs, KeyFilter(may, "key"), text).distinct()
+    counted = pairs.groupBy(F.col("term").alias("key")).agg(F.count("*").alias("n_t"))
+    return n, may.join(counted, "key").drop("key")
 
 
 def entity_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -193,17 +231,12 @@ def disclosures(docs: DataFrame, text: str = "text", support: int = SUPPORT) ->
         .groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support),
         "joint",
     )
-    buckets = joint.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
-    wanted = np.zeros(BUCKETS, dtype=bool)
-    wanted[[r["bucket"] for r in buckets.collect()]] = True  # no more than BUCKETS small numbers
-    counted = saved(term_lines(docs, wanted, text), "term-lines")
-    total = counted.where("term is null").select("n").first()
-    n_all = F.lit(float(total["n"] if total else 0))
+    n, counted = term_counts(docs, joint, text)
+    n_all = F.lit(float(n))
     information = F.log(n_all / F.col("n_e"))
-    mutual = F.log(n_all * F.col("n_et") / F.col("n_e") / F.col("n"))
+    mutual = F.log(n_all * F.col("n_et") / F.col("n_e") / F.col("n_t"))
     revealing = (
-        joint.join(counted, "term")
-        .withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0))
+        counted.withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0))
         .where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
     )
     return (
@@ -277,12 +310,12 @@ def protect(docs: DataFrame, carry: list[str] | None = None, text: str = "text",
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and all spans as kind:start:end."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, all spans as kind:start:end, and their number."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "term")
     return unpacked(
         protect(docs, ["doc_id"], sanitised=False), *[f"n_{k}" for k in KINDS],
-        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -168,42 +170,92 @@ def disclosing_corpus():
     return docs + [(900, "Zwingli alone, without an address"), (901, "again Zwingli and a.b@c.org here")]
 
 
-def plain_disclosures(texts):
-    lines, with_entity, n_term = 0, defaultdict(set), Counter()
-    pairs = defaultdict(set)
-    for text in texts:
-        for line in text.split("\n"):
-            lines += 1
-            n_term.update(pii.terms(line))
-            for span in pii.base_spans(line):
-                e = pii.entity(line, span)
-                with_entity[e].add(line)
-                for t in pii.surroundings(line, 0, len(line), span):
-                    pairs[e, t].add(line)
-    import math
-
+def plain_words(line):
+    """Words in lower case without these signs at their ends, and where they stand."""
+    found = []
+    for m in re.finditer(r"\S+", line):
+        word = m.group().lower().strip(".,;:!?()[]{}<>\"'|*#$%&")
+        if word:
+            found.append((m.start(), m.end(), word))
+    return found
+
+
+def plain_entities(line):
+    for a, b, kind in plain_spans(line):
+        value = line[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", line[a:b])
+        yield f"{kind}:{value}", a, b
+
+
+def plain_disclosures(texts, support=3, least=0.8):
+    """(entity, term) of what discloses, from the definition: distinct lines as contexts."""
+    lines = {line for text in texts for line in text.split("\n")}
+    n_term = Counter(t for line in lines for t in {w for _, _, w in plain_words(line)})
+    with_entity, pairs = defaultdict(set), defaultdict(set)
+    for line in lines:
+        words = plain_words(line)
+        spans = defaultdict(list)
+        for e, a, b in plain_entities(line):
+            spans[e].append((a, b))
+        for e, places in spans.items():
+            with_entity[e].add(line)
+            for t in {w for x, y, w in words if not any(x < b and y > a for a, b in places)}:
+                pairs[e, t].add(line)
     out = {}
     for (e, t), own in pairs.items():
-        if len(own) >= pii.SUPPORT and len(with_entity[e]) >= pii.SUPPORT:
-            d = math.log(lines * len(own) / len(with_entity[e]) / n_term[t]) / math.log(lines / len(with_entity[e]))
-            if d >= pii.GENERALISE:
+        n_e = len(with_entity[e])
+        if len(own) >= support and len(lines) > n_e:
+            d = math.log(len(lines) * len(own) / n_e / n_term[t]) / math.log(len(lines) / n_e)
+            if d >= least:
                 out[e, t] = d
     return out
 
 
+def check_disclosures(corpus, rows):
+    want = plain_disclosures([t or "" for _, t in corpus])
+    for i, text in corpus:
+        text = text or ""
+        held = {e for line in text.split("\n") for e, _, _ in plain_entities(line)}
+        flagged = {t for e, t in want if e in held}
+        base = plain_spans(text)
+        expect = sorted((x, y) for x, y, w in plain_words(text) if w in flagged and not any(x < b and y > a for a, b, _ in base))
+        shown = sorted((int(a), int(b)) for k, a, b in (s.split(":") for s in rows[i]["spans"].split(",") if s) if k == "term")
+        assert len(shown) == len(expect) and all(x <= a < b <= y for (a, b), (x, y) in zip(shown, expect))
+        assert rows[i]["n_spans"] == len(shown) + len(base)
+    return want
+
+
 def test_pii_disclosing_terms(documents):
     corpus = disclosing_corpus()
-    want = plain_disclosures([t for _, t in corpus])
-    assert ("email:a.b@c.org", "zwingli") in want and all(t != "item" for _, t in want)
     rows = {r["doc_id"]: r for r in pii.pii_report(documents(*corpus)).collect()}
-    for i, text in corpus:
-        held = {pii.entity(text, s) for s in pii.base_spans(text)}
-        flagged = {t for e, t in want if e in held}
-        shown = {text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in rows[i]["spans"].split(",") if s) if k == "term"}
-        assert shown == {t for t in pii.terms(text) if t in flagged}
+    want = check_disclosures(corpus, rows)
+    assert ("email:a.b@c.org", "zwingli") in want and all(t != "item" for _, t in want)
     assert rows[900]["spans"] == ""
 
 
+@pytest.mark.parametrize(("seed", "sample"), [(1, 64), (2, 1), (3, 2)])
+def test_pii_disclosures_of_random_lines(documents, monkeypatch, seed, sample):
+    """Lines with several entities, copies, common words and words of one entity; also where all lines are in the sample."""
+    monkeypatch.setattr(pii, "SAMPLE", sample)
+    rng = random.Random(seed)
+    common, entities = [f"w{k}" for k in range(60)], [f"p{k}@q.org" for k in range(6)] + ["10.0.0.7", "+1 386 555 3733"]
+    texts = []
+    for k in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choices(common, k=rng.randrange(3, 12))
+            if rng.random() < 0.35:
+                e = rng.randrange(len(entities))
+                words.insert(rng.randrange(len(words)), entities[e])
+                words += [f"own{e}"] * (rng.random() < 0.8) + [f"half{e % 3}"] * (rng.random() < 0.5)
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+    texts += rng.choices(texts, k=60)
+    corpus = list(enumerate(texts))
+    rows = {r["doc_id"]: r for r in pii.pii_report(documents(*corpus)).collect()}
+    want = check_disclosures(corpus, rows)
+    assert {f"own{k}" for k in range(8)} <= {t for _, t in want} and not any(t.startswith("w") for _, t in want)
+
+
 def test_pii_terms_far_from_the_entity(documents):
     """Terms count over the whole line, also more than 400 characters away and behind a long token without spaces."""
     far = [(500 + k, f"Zwingli {k}\t{'x' * 900}\tto far@away.org about {'and then ' * 90}Oecolampad") for k in range(4)]
