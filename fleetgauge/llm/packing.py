@@ -20,8 +20,6 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-import functools
-import json
 import zlib
 
 import numpy as np
@@ -30,38 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.llm.bytelevel import encoder
 from fleetgauge.llm.common import field, map_bodies, saved, structs, unpacked
 
 SEQUENCE, END, GROUP = 2048, 0, 4096
 
 
-@functools.cache
-def encoder(path: str):
-    """Byte-level BPE of a tokenizer file. Its ids are those of the tokenizers library; a special token's text counts as that token.
-
-    The file's characters stand for bytes: printable ones for themselves, the rest, in
-    order, for the characters from 256 on.
-    """
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    for content in special:
-        ranks.pop(content.encode(), None)
-    return tiktoken.Encoding(
-        path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special
-    )
-
-
-#: Fixed value: the splitting pattern of this byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def cut(length: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: full ones, and a shorter one in front."""
     first = length % size

@@ -16,10 +16,8 @@ the left chunk's tokens count up to it, the right one's from it on. Where an ove
 such position (a word longer than it), it is widened to the whole next chunk and the next
 overlap, again until all neighbours are spliced. The rounds follow the longest word.
 
-Texts of up to `HUGE` characters are not cut. They are counted by pieces, each a word with
-the white space before it: what stands between a character that is no white space and a
-blank is never one word, so that pieces can be encoded on their own; a worker keeps the
-counts of `KEPT` short pieces at most. Every count is the library's own.
+Texts of up to `HUGE` characters are not cut, and need no offsets: their ids come from the
+faster of two libraries with equal ids (`bytelevel.py`).
 
 Cases. Null and empty texts have no bytes and no tokens. Copies of a huge text are encoded
 once. Repeated rows give equal rows. Empty tables give empty results. The carried columns
@@ -29,85 +27,18 @@ proven (a normalizer, another splitting, special strings that take spaces) is an
 
 from __future__ import annotations
 
-import functools
-import json
-import os
-import re
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgauge.llm.bytelevel import encoder, library
 from fleetgauge.llm.common import columns, field, quoted, saved, structs, to_arrow, unpacked
 
 HUGE, CHUNK, OVERLAP, LIMIT = 32_768, 16_384, 512, 512
-#: Short pieces that a worker remembers, and the characters of one at most.
-KEPT, SHORT = 300_000, 48
 #: Chunks in one Arrow batch.
 SOME = 32
 
-#: From one blank that follows other than white space to the next.
-PIECES = re.compile(r"(?s).[^ ]*(?:(?<=\s) [^ ]*)*")
-
-
-def proven(spec: dict) -> str | None:
-    """Why the file's tokenizer is not one that this module is proven for, or None."""
-    splitting, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-    if spec.get("normalizer") is not None:
-        return "it has a normalizer"
-    if splitting.get("type") != "ByteLevel" or not splitting.get("use_regex", True) or splitting.get("add_prefix_space"):
-        return "its words are not those of the byte-level pattern"
-    if model.get("type") != "BPE" or model.get("dropout") or model.get("unk_token"):
-        return "its model is not byte-level BPE without unknown tokens"
-    for token in spec.get("added_tokens") or []:
-        if token["single_word"] or token["lstrip"] or token["rstrip"] or re.search(r"\s", token["content"]):
-            return f"the added token {token['content']!r} looks at what stands around it"
-    return None
-
-
-@functools.cache
-def library(path: str):
-    """The file's tokenizer, and how far before a chunk's end a word has to begin."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    if why := proven(spec):
-        raise ValueError(f"{path}: {why}")
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, max(3, *(len(t["content"]) for t in spec.get("added_tokens") or []), 3)
-
-
-class Counter:
-    """Tokens of texts that are not huge."""
-
-    def __init__(self, path: str):
-        self.tokenizer, _ = library(path)
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str) -> int:
-        pieces = PIECES.findall(text)
-        counts = list(map(self.known.get, pieces))
-        if None not in counts:
-            return sum(counts)
-        new = list({p for p, n in zip(pieces, counts) if n is None})
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            return self.fresh(pieces)
-        made = dict(zip(new, map(len, self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        self.known.update((p, n) for p, n in made.items() if len(p) <= SHORT)
-        return sum(made[p] if n is None else n for p, n in zip(pieces, counts))
-
-    def fresh(self, pieces: list[str]) -> int:
-        new = list(set(pieces))
-        made = dict(zip(new, map(len, self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        self.known.update((p, n) for p, n in made.items() if len(p) <= SHORT and len(new) <= KEPT)
-        return sum(map(made.__getitem__, pieces))
-
 
 def beginnings(encoding, first: int) -> list[tuple[int, int]]:
     """(position, tokens before it) of every word of an encoded chunk that begins at `first`."""
@@ -230,9 +161,9 @@ def token_counts(
     schema = T.StructType([*source.schema.fields[:3], field("n_tokens", "bigint")])
 
     def count(batches):
-        counter = Counter(tokenizer)
+        ids = encoder(tokenizer).encode_to_numpy
         for batch in batches:
-            n = [None if b is None else counter(b.decode("utf-8", "replace")) for b in batch.column(3).to_pylist()]
+            n = [None if b is None else len(ids(b.decode("utf-8", "replace"), allowed_special="all")) for b in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=schema.names)
 
     counted = saved(source.mapInArrow(count, schema), "counted")

@@ -15,7 +15,7 @@ from hard_rows import HARD
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm import runs, token_counts, whitening
+from fleetgauge.llm import bytelevel, runs, token_counts, whitening
 from fleetgauge.llm.registry import tokenizer
 
 # ---- periodic runs
@@ -113,7 +113,7 @@ def test_runs_over_lines_and_collapsed_text(documents):
 
 
 def plain_count(text):
-    return len(token_counts.library(tokenizer())[0].encode(text or "", add_special_tokens=False))
+    return len(bytelevel.library(tokenizer())[0].encode(text or "", add_special_tokens=False))
 
 
 def mixed_texts(n=150, seed=3):
@@ -125,7 +125,7 @@ def mixed_texts(n=150, seed=3):
     return ["".join(rng.choice([*parts, "x" * rng.randint(1, 200)]) for _ in range(rng.randrange(400))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("chunk", "overlap", "huge"), [(16_384, 512, 32_768), (64, 16, 64), (200, 8, 300)])
+@pytest.mark.parametrize(("chunk", "overlap", "huge"), [(16_384, 512, 32_768), (64, 40, 64), (200, 30, 300), (50, 9, 100)])
 def test_token_counts_are_the_librarys(documents, chunk, overlap, huge):
     texts = [*mixed_texts(), "x" * 5000, "word " * 2000, " " * 3000, "\n" * 3000 + "a", "<|endoftext|>" * 300, "x" * 5000]
     docs = documents(*enumerate(texts))
@@ -137,13 +137,12 @@ def test_overlaps_without_a_common_word_are_widened(shipped):
     """A word over many chunks: its chunks join, those around it stay."""
     path, text = tokenizer(), "some words here " * 20 + "y" * 3000 + " and more words after it" * 20
     docs = shipped.createDataFrame([(text,)], "text string")
-    before = token_counts.OVERLAP
-    got = token_counts.huge_counts(docs, path, "text", 100, 10, 100).collect()
-    assert [r["n_tokens"] for r in got] == [plain_count(text)] and before == token_counts.OVERLAP
-    rows = [("k", s, s + 100 if s + 100 < len(text) else None, min(len(text), s + 110), len(text), text[s : s + 110]) for s in range(0, len(text), 100)]
-    parts = token_counts.encoded(shipped.createDataFrame(rows, token_counts.CHUNKS), path, 10)
+    got = token_counts.huge_counts(docs, path, "text", 100, 40, 100).collect()
+    assert [r["n_tokens"] for r in got] == [plain_count(text)]
+    rows = [("k", s, s + 100 if s + 100 < len(text) else None, min(len(text), s + 140), len(text), text[s : s + 140]) for s in range(0, len(text), 100)]
+    parts = token_counts.encoded(shipped.createDataFrame(rows, token_counts.CHUNKS), path, 40)
     state = {r["start"]: r["pos"] for r in token_counts.spliced(parts).collect()}
-    inside = [s for s in state if 320 < s + 100 < 3320]
+    inside = [s for s in state if 320 < s + 100 < 3280]
     assert inside and all(state[s] is None for s in inside) and state[0] is not None
     assert all(text[p] == " " for s, p in state.items() if p is not None and s not in inside)
 
@@ -166,7 +165,19 @@ def test_unproven_tokenizers_are_refused(tmp_path):
         path = tmp_path / f"{k}.json"
         path.write_text(json.dumps(spec | change))
         with pytest.raises(ValueError, match="it has|its words|the added token"):
-            token_counts.library(str(path))
+            bytelevel.library(str(path))
+        with pytest.raises(ValueError):
+            bytelevel.encoder(str(path))
+
+
+def test_both_libraries_class_every_character_alike():
+    """The splitting pattern sees a character's class alone: equal ids around every character prove equal classes."""
+    library, encoder = bytelevel.library(tokenizer())[0], bytelevel.encoder(tokenizer())
+    points = [c for c in range(0x32400) if not 0xD800 <= c < 0xE000] + list(range(0xE0000, 0xE0200)) + [0x10FFFF]
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}a 1{chr(c)}1,{chr(c)} {chr(c)}b" for c in points[k : k + 20_000]]
+        both = zip(library.encode_batch_fast(texts, add_special_tokens=False), encoder.encode_batch(texts, allowed_special="all", num_threads=1))
+        assert all(a.ids == b for a, b in both)
 
 
 # ---- whitening
