@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetgauge.llm.common import quoted
+from fleetgauge.llm.common import field, quoted
 
 COMPONENTS, SCALE, SHIFT, BOUND = 8, 1024, 100_000, float(1 << 52)
 #: Entries that one step of a task multiplies at once, so that dimension and batch bound its memory.
@@ -229,10 +230,8 @@ def principal(matrix: np.ndarray, k: int = COMPONENTS) -> tuple[np.ndarray, np.n
 def whitened(rows: DataFrame, ids: str = "vec_id", vector: str = "embedding", k: int = COMPONENTS) -> DataFrame:
     """id, component, n, deviation, whitened, explained, identity_error, a row for each vector and component."""
     vectors, size = taking_part(rows, ids, vector)
-    schema = vectors.select(
-        "id", F.lit(0).alias("component"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("deviation"),
-        F.lit(0.0).alias("whitened"), F.lit(0.0).alias("explained"), F.lit(0.0).alias("identity_error"),
-    ).schema
+    kinds = {"component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
+    schema = T.StructType([vectors.schema["id"], *(field(name, kind) for name, kind in kinds.items())])
     if not size:
         return rows.sparkSession.createDataFrame([], schema)
     n, total = sums(vectors, size)
