@@ -64,3 +64,14 @@ def hours(start: str, end: str) -> str:
 
 def days(start: str, end: str) -> str:
     return f"date_diff('day', CAST({start} AS DATE), CAST({end} AS DATE))"
+
+
+def exports(table: str, counters: tuple[str, ...], readings: tuple[tuple[int, int], ...]) -> str:
+    """A table as exported on several days of January 2024: (day, times the counts)."""
+    values = ", ".join(f"(TIMESTAMP '2024-01-{day:02d} 00:00:00', {n})" for day, n in readings)
+    scaled = ", ".join(f"{c} * x.n AS {c}" for c in counters)
+    return f"(SELECT t.* REPLACE ({scaled}), x.ts AS snapshot_ts FROM {table} t CROSS JOIN (VALUES {values}) x(ts, n))"
+
+
+#: A capture was taken on the 10th and the 20th, readings on the 15th, 20th and 25th.
+CAPTURES, READINGS = ((10, 1), (20, 2)), ((15, 2), (20, 3), (25, 4))

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from fleetgauge.oracles.common import EVENTS_NOW, case, days, pct, rdiv, sql
+from fleetgauge.oracles.common import CAPTURES, EVENTS_NOW, READINGS, case, days, exports, pct, rdiv, sql
 
 QN = "'[' || replace({0}, ']', ']]') || ']'"
 SCORE = "CAST(s.avg_total_user_cost * s.avg_user_impact * (s.user_seeks + s.user_scans) AS BIGINT)"
@@ -72,6 +72,35 @@ def wait_capture(phase: str, table: str) -> str:
  AND wait_time_ms > 0"""
 
 
+def usage_case() -> str:
+    return case(
+        ("delta_seeks > 1000 AND delta_lookups < 1000", "OK", "works_well"), ("delta_seeks > 100", "OK", "used"),
+        ("delta_lookups > 10000", "ATTENTION", "many_lookups"), ("delta_scans > delta_seeks AND delta_scans > 1000", "ATTENTION", "scans_dominate"),
+        ("delta_seeks = 0 AND delta_updates > 0", "CRITICAL", "write_cost_only"), ("delta_seeks = 0 AND delta_updates = 0", "ATTENTION", "no_activity"),
+        otherwise=("ATTENTION", "little_used"),
+    )
+
+
+def wait_change_case() -> str:
+    return case(
+        ("wait_type IN ('PAGEIOLATCH_SH', 'PAGEIOLATCH_EX') AND delta_ms < 0", "OK", "io_improved"),
+        ("wait_type = 'CXPACKET' AND delta_ms < 0", "OK", "parallelism_reduced"),
+        ("wait_type IN ('PAGEIOLATCH_SH', 'PAGEIOLATCH_EX') AND delta_ms > 0", "ATTENTION", "io_worse"),
+        ("wait_type = 'WRITELOG' AND delta_ms > 0", "ATTENTION", "log_grew"),
+        ("wait_type LIKE 'LCK_M_%' AND delta_ms > 0", "ATTENTION", "lock_contention_grew"), otherwise=("OK", "no_significant_change"),
+    )
+
+
+def exported_usage(table: str, readings) -> str:
+    """Counts of every enabled index in every snapshot of its server, zero where a snapshot has no row for it."""
+    rows = exports(table, ("user_seeks", "user_scans", "user_lookups", "user_updates"), readings)
+    counts = ", ".join(f"coalesce(u.user_{k}, 0) AS {k}" for k in ("seeks", "scans", "lookups", "updates"))
+    return f"""(SELECT i.server_id, i.database_id, i.table_name, i.index_name, s.snapshot_ts, {counts}
+ FROM index_dim i JOIN (SELECT DISTINCT server_id, snapshot_ts FROM {rows} r) s ON s.server_id = i.server_id
+ LEFT JOIN {rows} u ON u.server_id = i.server_id AND u.index_id = i.index_id AND u.snapshot_ts = s.snapshot_ts
+ WHERE i.type_desc <> 'HEAP' AND i.is_disabled = 0)"""
+
+
 SAME_INDEX = " AND ".join(f"d.{k} = a.{k}" for k in ("server_id", "database_id", "table_name", "index_name"))
 D = "d.{0} - a.{0}"
 ORACLES = {
@@ -129,10 +158,7 @@ SELECT server_id, table_name, row_count, {MODE.format('row_count')} AS scan_mode
     "q28e_index_usage_delta": sql(f"""
 WITH a AS ({usage_capture("before", "index_usage_earlier")}), d AS ({usage_capture("7d", "index_usage")})
 SELECT *, {rdiv('delta_seeks', 'delta_updates', 2)} AS seeks_per_update,
- {case(("delta_seeks > 1000 AND delta_lookups < 1000", "OK", "works_well"), ("delta_seeks > 100", "OK", "used"),
-  ("delta_lookups > 10000", "ATTENTION", "many_lookups"), ("delta_scans > delta_seeks AND delta_scans > 1000", "ATTENTION", "scans_dominate"),
-  ("delta_seeks = 0 AND delta_updates > 0", "CRITICAL", "write_cost_only"), ("delta_seeks = 0 AND delta_updates = 0", "ATTENTION", "no_activity"),
-  otherwise=("ATTENTION", "little_used"))}
+ {usage_case()}
 FROM (SELECT d.server_id, d.database_id, d.table_name, d.index_name, {D.format('seeks')} AS delta_seeks, {D.format('scans')} AS delta_scans,
  {D.format('lookups')} AS delta_lookups, {D.format('updates')} AS delta_updates FROM d JOIN a ON {SAME_INDEX}) y""",
         "index_dim", "index_usage", "index_usage_earlier", "server_info"),
@@ -147,11 +173,22 @@ FROM (SELECT d.server_id, d.database_id, d.table_name, d.index_name, a.fragmenta
     "q28g_wait_change": sql(f"""
 WITH a AS ({wait_capture("before", "wait_snapshot_earlier")}), d AS ({wait_capture("7d", "wait_snapshot")})
 SELECT *, {pct('delta_ms', 'before_ms', 1)} AS change_pct,
- {case(("wait_type IN ('PAGEIOLATCH_SH', 'PAGEIOLATCH_EX') AND delta_ms < 0", "OK", "io_improved"),
-  ("wait_type = 'CXPACKET' AND delta_ms < 0", "OK", "parallelism_reduced"),
-  ("wait_type IN ('PAGEIOLATCH_SH', 'PAGEIOLATCH_EX') AND delta_ms > 0", "ATTENTION", "io_worse"),
-  ("wait_type = 'WRITELOG' AND delta_ms > 0", "ATTENTION", "log_grew"),
-  ("wait_type LIKE 'LCK_M_%' AND delta_ms > 0", "ATTENTION", "lock_contention_grew"), otherwise=("OK", "no_significant_change"))}
+ {wait_change_case()}
 FROM (SELECT d.server_id, d.wait_type, a.wait_time_ms AS before_ms, d.wait_time_ms AS after_ms, d.wait_time_ms - a.wait_time_ms AS delta_ms
  FROM d JOIN a ON d.server_id = a.server_id AND d.wait_type = a.wait_type) y""", "wait_snapshot", "wait_snapshot_earlier"),
+    "q28i_index_usage_exports": sql(f"""
+SELECT *, {rdiv('delta_seeks', 'delta_updates', 2)} AS seeks_per_update, {usage_case()}
+FROM (SELECT d.server_id, d.snapshot_ts, d.database_id, d.table_name, d.index_name, {D.format('seeks')} AS delta_seeks, {D.format('scans')} AS delta_scans,
+ {D.format('lookups')} AS delta_lookups, {D.format('updates')} AS delta_updates
+ FROM {exported_usage("index_usage", READINGS)} d JOIN {exported_usage("index_usage_earlier", CAPTURES)} a ON {SAME_INDEX} AND a.snapshot_ts <= d.snapshot_ts
+ QUALIFY row_number() OVER (PARTITION BY d.server_id, d.database_id, d.table_name, d.index_name, d.snapshot_ts ORDER BY a.snapshot_ts DESC) = 1) y""",
+        "index_dim", "index_usage", "index_usage_earlier"),
+    "q28j_wait_change_exports": sql(f"""
+SELECT *, {pct('delta_ms', 'before_ms', 1)} AS change_pct, {wait_change_case()}
+FROM (SELECT d.server_id, d.snapshot_ts, d.wait_type, a.wait_time_ms AS before_ms, d.wait_time_ms AS after_ms, d.wait_time_ms - a.wait_time_ms AS delta_ms
+ FROM {exports("wait_snapshot", ("wait_time_ms",), READINGS)} d JOIN {exports("wait_snapshot_earlier", ("wait_time_ms",), CAPTURES)} a
+  ON d.server_id = a.server_id AND d.wait_type = a.wait_type AND a.snapshot_ts <= d.snapshot_ts
+ WHERE d.wait_type IN ('PAGEIOLATCH_SH', 'PAGEIOLATCH_EX', 'WRITELOG', 'LCK_M_S', 'LCK_M_X', 'LCK_M_U', 'CXPACKET') AND d.wait_time_ms > 0 AND a.wait_time_ms > 0
+ QUALIFY row_number() OVER (PARTITION BY d.server_id, d.wait_type, d.snapshot_ts ORDER BY a.snapshot_ts DESC) = 1) y""",
+        "wait_snapshot", "wait_snapshot_earlier"),
 }

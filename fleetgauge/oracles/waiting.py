@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from fleetgauge.functions.waits import IDLE_COLLECTOR, IDLE_FULL, IDLE_PLAYBOOK
-from fleetgauge.oracles.common import case, pct, sql
+from fleetgauge.oracles.common import CAPTURES, READINGS, case, exports, pct, sql
 
 
 def names(values) -> str:
@@ -35,12 +35,23 @@ DELTA = f"""SELECT *, {case(("delta_wait_ms > 60000", "CRITICAL", "over_1min"),
  WHERE a.wait_type NOT LIKE 'SLEEP%' AND a.wait_type NOT LIKE '%IDLE%' AND a.wait_type NOT LIKE '%QUEUE%'
   AND n.wait_time_ms > a.wait_time_ms) y"""
 
+WAITS = ("wait_time_ms", "waiting_tasks_count")
+DELTA_EXPORTS = f"""SELECT *, {case(("delta_wait_ms > 60000", "CRITICAL", "over_1min"), ("delta_wait_ms > 10000", "ATTENTION", "relevant"))} FROM (
+ SELECT server_id, snapshot_ts, wait_type, wait_time_ms - before_ms AS delta_wait_ms, waiting_tasks_count - before_tasks AS delta_tasks FROM (
+  SELECT n.server_id, n.snapshot_ts, n.wait_type, n.wait_time_ms, n.waiting_tasks_count, a.wait_time_ms AS before_ms, a.waiting_tasks_count AS before_tasks
+  FROM {exports("wait_snapshot_earlier", WAITS, CAPTURES)} a
+  JOIN {exports("wait_snapshot", WAITS, READINGS)} n ON n.server_id = a.server_id AND n.wait_type = a.wait_type AND a.snapshot_ts <= n.snapshot_ts
+  WHERE a.wait_type NOT LIKE 'SLEEP%' AND a.wait_type NOT LIKE '%IDLE%' AND a.wait_type NOT LIKE '%QUEUE%'
+  QUALIFY row_number() OVER (PARTITION BY n.server_id, n.wait_type, n.snapshot_ts ORDER BY a.snapshot_ts DESC) = 1) m
+ WHERE wait_time_ms > before_ms) y"""
+
 ORACLES = {
     "q04c_wait_capture": sql("""
 SELECT server_id, wait_type, waiting_tasks_count, wait_time_ms, signal_wait_time_ms FROM wait_snapshot_earlier
 WHERE wait_type NOT LIKE 'SLEEP%' AND wait_type NOT LIKE '%IDLE%' AND wait_type NOT LIKE '%QUEUE%'""",
         "wait_snapshot_earlier"),
     "q04d_wait_delta": sql(DELTA, "wait_snapshot_earlier", "wait_snapshot"),
+    "q04e_wait_delta_exports": sql(DELTA_EXPORTS, "wait_snapshot_earlier", "wait_snapshot"),
     "q05_wait_ranking": sql(f"""
 SELECT server_id, wait_type, waiting_tasks_count, wait_time_ms, signal_wait_time_ms, max_wait_time_ms, rank,
  share_pct, signal_pct, {_cause(True)} AS cause, {SHARE} FROM {_ranked(IDLE_FULL, 20)}""", "wait_snapshot"),

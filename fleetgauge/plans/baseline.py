@@ -1,4 +1,8 @@
-"""Before/after comparison: capture a phase, compare two phases."""
+"""Before/after comparison: capture a phase, compare two phases.
+
+Captures keep the snapshots of what they read; each reading of a later phase is compared
+with the latest capture of the first that is not after it.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,9 @@ from fleetgauge.functions.numbers import percent, ratio, zero_if_null
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, OK, grade
 from fleetgauge.functions.timeunits import instant
 from fleetgauge.functions.waits import BASELINE_WAITS, IO_LATCH, LOCK_PATTERN
-from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.operators.asof import as_of_join, time_of
+from fleetgauge.plans.indexes import started_since
+from fleetgauge.sources.telemetry import Telemetry, meet, snapshot_keys
 
 BEFORE, AFTER_1D, AFTER_7D = "before", "24h", "7d"
 
@@ -26,10 +32,11 @@ def capture_index_usage(
     indexes = t["index_dim"].where((F.col("type_desc") != "HEAP") & (F.col("is_disabled") == 0))
     if tables is not None:
         indexes = indexes.where(F.col("table_name").isin(*tables))
-    started = t["server_info"].select("server_id", F.col("start_time").alias("counters_since"))
-    rows = indexes.join(t[usage], ["server_id", "index_id"], "left").join(started, "server_id", "left")
+    # every index meets every snapshot of its server first, so that one without a row there shows
+    rows = indexes.join(snapshots(t[usage]), "server_id", "left") if "snapshot_ts" in t[usage].columns else indexes
+    rows = meet(meet(rows, t[usage], ["index_id"], "left"), started_since(t), [], "left")
     return rows.select(
-        *_stamp(phase, captured_at), "server_id", "database_id", "table_name", "index_name",
+        *_stamp(phase, captured_at), *snapshot_keys(rows), "database_id", "table_name", "index_name",
         *[zero_if_null(f"user_{k}").alias(k) for k in ("seeks", "scans", "lookups", "updates")],
         "counters_since",
     )
@@ -43,19 +50,16 @@ def capture_fragmentation(
     indexes = t["index_dim"].where(F.col("index_name").isNotNull())
     if tables is not None:
         indexes = indexes.where(F.col("table_name").isin(*tables))
-    splits = t[operational].groupBy("server_id", "index_id").agg(
+    splits = t[operational].groupBy(*snapshot_keys(t[operational]), "index_id").agg(
         F.sum("leaf_allocation_count").alias("page_splits")
     )
-    rows = (
-        t[physical].where(F.col("page_count") > 1000)
-        .join(
-            indexes.select("server_id", "database_id", "index_id", "table_name", "index_name"),
-            ["server_id", "database_id", "index_id"],
-        )
-        .join(splits, ["server_id", "index_id"], "left")
+    named = t[physical].where(F.col("page_count") > 1000).join(
+        indexes.select("server_id", "database_id", "index_id", "table_name", "index_name"),
+        ["server_id", "database_id", "index_id"],
     )
+    rows = meet(named, splits, ["index_id"], "left")
     return rows.select(
-        *_stamp(phase, captured_at), "server_id", "database_id", "table_name", "index_name",
+        *_stamp(phase, captured_at), *snapshot_keys(rows), "database_id", "table_name", "index_name",
         ratio("fragmentation_tenths", F.lit(10), 5, 1).alias("fragmentation_pct"), "page_count",
         "record_count", zero_if_null("page_splits").alias("page_splits"),
     )
@@ -66,17 +70,37 @@ def capture_waits(t: Telemetry, phase: str, captured_at: datetime, waits: str =
         t[waits]
         .where(F.upper("wait_type").isin(*BASELINE_WAITS) & (F.col("wait_time_ms") > 0))
         .select(
-            *_stamp(phase, captured_at), "server_id", "wait_type", "wait_time_ms",
+            *_stamp(phase, captured_at), *snapshot_keys(t[waits]), "wait_type", "wait_time_ms",
             F.col("waiting_tasks_count").alias("waiting_tasks"),
         )
     )
 
 
+def snapshots(counters: DataFrame) -> DataFrame:
+    """The snapshots of every server."""
+    return counters.select("server_id", "snapshot_ts").distinct()
+
+
 def _phases(baseline: DataFrame, phase: str, keys, measures) -> DataFrame:
-    """Rows of a phase (a_*: before, d_*: after) for the same entity, from one stored table."""
-    before = baseline.where(F.col("phase") == BEFORE).select(*keys, *[F.col(m).alias(f"a_{m}") for m in measures])
-    after = baseline.where(F.col("phase") == phase).select(*keys, *[F.col(m).alias(f"d_{m}") for m in measures])
-    return after.join(before, list(keys))
+    """Readings of a phase (d_*) with the latest earlier capture (a_*) of the same entity, from one stored table.
+
+    The time of a reading is its snapshot's, else that of the capture. A table without
+    snapshots gives one result for each entity, of the phase's last capture.
+    """
+    before = baseline.where(F.col("phase") == BEFORE)
+    after = baseline.where(F.col("phase") == phase)
+    if "snapshot_ts" not in baseline.columns and "captured_at" in baseline.columns:
+        latest = after.groupBy("server_id").agg(F.max("captured_at").alias("captured_at"))
+        after = after.join(latest, ["server_id", "captured_at"], "left_semi")
+    times = [c for c in ("snapshot_ts", "captured_at") if c in baseline.columns]
+    was = before.select(*keys, *times, *[F.col(m).alias(f"a_{m}") for m in measures])
+    now = after.select(*keys, *times, *[F.col(m).alias(f"d_{m}") for m in measures])
+    return as_of_join(now, was, keys, time_of(now, *times), time_of(was, *times), [f"a_{m}" for m in measures], prefix="")
+
+
+def _entity(rows: DataFrame, keys) -> list[str]:
+    """The columns that name a result: its keys, and the snapshot where there is one."""
+    return [*snapshot_keys(rows), *[k for k in keys if k != "server_id"]]
 
 
 def _change(measure: str) -> Column:
@@ -91,7 +115,7 @@ def index_usage_delta(baseline: DataFrame, phase: str = AFTER_7D) -> DataFrame:
     rows = _phases(baseline, phase, INDEX_KEY, measures)
     seeks, scans, lookups, updates = (F.col(f"delta_{m}") for m in measures)
     return rows.select(
-        *INDEX_KEY, *[_change(m).alias(f"delta_{m}") for m in measures]
+        *_entity(rows, INDEX_KEY), *[_change(m).alias(f"delta_{m}") for m in measures]
     ).withColumn("seeks_per_update", ratio("delta_seeks", "delta_updates", 12, 2)).withColumns(
         grade(
             ((seeks > 1000) & (lookups < 1000), OK, "works_well"),
@@ -109,7 +133,7 @@ def fragmentation_delta(baseline: DataFrame, phase: str = AFTER_7D) -> DataFrame
     rows = _phases(baseline, phase, INDEX_KEY, ("fragmentation_pct", "page_splits", "page_count"))
     after = F.col("after_pct")
     return rows.select(
-        *INDEX_KEY, F.col("a_fragmentation_pct").alias("before_pct"),
+        *_entity(rows, INDEX_KEY), F.col("a_fragmentation_pct").alias("before_pct"),
         F.col("d_fragmentation_pct").alias("after_pct"), _change("fragmentation_pct").alias("delta_pct"),
         _change("page_splits").alias("delta_page_splits"), F.col("d_page_count").alias("page_count"),
     ).withColumns(
@@ -126,7 +150,7 @@ def wait_change(baseline: DataFrame, phase: str = AFTER_7D) -> DataFrame:
     wait, delta = F.upper("wait_type"), F.col("delta_ms")
     io = wait.isin(*IO_LATCH)
     return rows.select(
-        "server_id", "wait_type", F.col("a_wait_time_ms").alias("before_ms"),
+        *_entity(rows, ("wait_type",)), F.col("a_wait_time_ms").alias("before_ms"),
         F.col("d_wait_time_ms").alias("after_ms"), _change("wait_time_ms").alias("delta_ms"),
     ).withColumn("change_pct", percent("delta_ms", "before_ms", 18, 1)).withColumns(
         grade(

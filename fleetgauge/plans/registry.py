@@ -49,6 +49,33 @@ def _both_phases(capture: Callable[[Telemetry, str], DataFrame], t: Telemetry) -
     return capture(t, baseline.BEFORE).unionByName(capture(t, baseline.AFTER_7D))
 
 
+#: A fleet exported several times: captures on two days, readings before, at and after the second.
+CAPTURE_DAYS, READING_DAYS = (10, 20), (15, 20, 25)
+COUNTED = {
+    "wait_snapshot": ("waiting_tasks_count", "wait_time_ms", "signal_wait_time_ms", "max_wait_time_ms"),
+    "index_usage": ("user_seeks", "user_scans", "user_lookups", "user_updates"),
+}
+
+
+def exported_often(t: Telemetry) -> Telemetry:
+    """Counters as read on several days of January 2024: the n-th capture holds n times the counts, the n-th reading n + 1 times."""
+    tables = {}
+    for name, counters in COUNTED.items():
+        for table, days, more in ((f"{name}_earlier", CAPTURE_DAYS, 1), (name, READING_DAYS, 2)):
+            times = F.array(*[
+                F.struct(instant(datetime(2024, 1, d)).alias("snapshot_ts"), F.lit(n + more).alias("n")) for n, d in enumerate(days)
+            ])
+            rows = t[table].withColumn("_export", F.explode(times))
+            scaled = {c: F.col(c) * F.col("_export.n") for c in counters if c in rows.columns}
+            tables[table] = rows.withColumns({**scaled, "snapshot_ts": F.col("_export.snapshot_ts")}).drop("_export")
+    return t.replaced(**tables)
+
+
+def _exports_delta(t: Telemetry) -> DataFrame:
+    often = exported_often(t)
+    return waiting.wait_delta(waiting.capture_waits(often, "wait_snapshot_earlier"), often["wait_snapshot"])
+
+
 REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q01_uptime_confidence": lambda t: servers.uptime_confidence(t, EVENTS_NOW),
     "q02_activity_log_latest": sessions.activity_log_latest,
@@ -59,6 +86,7 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q04d_wait_delta": lambda t: waiting.wait_delta(
         waiting.capture_waits(t, "wait_snapshot_earlier"), t["wait_snapshot"]
     ),
+    "q04e_wait_delta_exports": _exports_delta,
     "q05_wait_ranking": waiting.wait_ranking,
     "q06_blocking_pairs": sessions.blocking_pairs,
     "q07a_session_groups": lambda t: sessions.session_groups(t, EVENTS_NOW),
@@ -111,6 +139,8 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "q28f_fragmentation_delta": lambda t: baseline.fragmentation_delta(_both_phases(_fragmentation_capture, t)),
     "q28g_wait_change": lambda t: baseline.wait_change(_both_phases(_wait_capture, t)),
     "q28h_qs_reads_impact": lambda t: query_store.reads_impact(t, EVENTS_NOW, ["t1", "t2", "t3", "t4"]),
+    "q28i_index_usage_exports": lambda t: baseline.index_usage_delta(_both_phases(_usage_capture, exported_often(t))),
+    "q28j_wait_change_exports": lambda t: baseline.wait_change(_both_phases(_wait_capture, exported_often(t))),
     "q29a_grant_queue": servers.grant_queue,
     "q29b_wait_actions": waiting.wait_actions,
     "q29c_qs_recent": lambda t: query_store.recent_queries(t, EVENTS_NOW),

@@ -13,6 +13,7 @@ from fleetgauge.functions.timeunits import instant
 from fleetgauge.functions.waits import (
     IDLE_COLLECTOR, IDLE_FULL, IDLE_PATTERNS, IDLE_PLAYBOOK, active_waits, cause, next_report,
 )
+from fleetgauge.operators.asof import as_of_join, time_of
 from fleetgauge.operators.previous import counter_delta, with_previous
 from fleetgauge.operators.topk import top_per
 from fleetgauge.operators.totals import with_totals
@@ -74,18 +75,23 @@ def capture_waits(t: Telemetry, table: str = "wait_snapshot") -> DataFrame:
 
 
 def wait_delta(before: DataFrame, after: DataFrame, include_new: bool = False) -> DataFrame:
-    """Increase per wait type between a capture and a later reading (of one snapshot or several).
+    """Increase per wait type between each reading and the latest capture that is not after it.
 
-    A later reading keeps its snapshot; the capture is one reading of each server. Keeps increases only. New wait types are dropped unless ``include_new``.
+    Readings keep their snapshot. A table without ``snapshot_ts`` is one reading of each
+    server: a capture older than all readings, a reading later than all captures. Keeps
+    increases only. New wait types are dropped unless ``include_new``.
     """
     was = before.select(
-        "server_id", "wait_type",
+        *snapshot_keys(before), "wait_type",
         F.col("wait_time_ms").alias("before_ms"),
         F.col("waiting_tasks_count").alias("before_tasks"),
     )
     keys = snapshot_keys(after)
     now = after.select(*keys, "wait_type", "wait_time_ms", "waiting_tasks_count")
-    joined = now.join(was, ["server_id", "wait_type"], "left" if include_new else "inner")
+    joined = as_of_join(
+        now, was, ["server_id", "wait_type"], time_of(now, "snapshot_ts"), time_of(was, "snapshot_ts"),
+        ["before_ms", "before_tasks"], prefix="", how="left" if include_new else "inner",
+    )
     before_ms = F.coalesce("before_ms", F.lit(0))
     before_tasks = F.coalesce("before_tasks", F.lit(0))
     return (

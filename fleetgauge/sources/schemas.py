@@ -188,17 +188,17 @@ TELEMETRY_SCHEMAS = {
         "collected_at timestamp"
     ),
     "baseline_index": (
-        "phase string, captured_at timestamp, server_id bigint, database_id bigint, table_name string, "
+        "phase string, captured_at timestamp, server_id bigint, snapshot_ts timestamp, database_id bigint, table_name string, "
         "index_name string, seeks bigint, scans bigint, lookups bigint, updates bigint, "
         "counters_since timestamp"
     ),
     "baseline_frag": (
-        "phase string, captured_at timestamp, server_id bigint, database_id bigint, table_name string, "
+        "phase string, captured_at timestamp, server_id bigint, snapshot_ts timestamp, database_id bigint, table_name string, "
         "index_name string, fragmentation_pct decimal(5,1), page_count bigint, record_count bigint, "
         "page_splits bigint"
     ),
     "baseline_wait": (
-        "phase string, captured_at timestamp, server_id bigint, wait_type string, wait_time_ms bigint, "
+        "phase string, captured_at timestamp, server_id bigint, snapshot_ts timestamp, wait_type string, wait_time_ms bigint, "
         "waiting_tasks bigint"
     ),
 }

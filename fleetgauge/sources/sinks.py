@@ -23,11 +23,17 @@ def append_by_date(rows: DataFrame, path: str, time: str) -> None:
 
 
 def save_phase(rows: DataFrame, path: str) -> None:
-    """Store a baseline capture; capturing a phase again replaces it."""
+    """Store a baseline capture with its snapshot (null where the capture has none).
+
+    Captures of several days stay side by side; capturing a phase again replaces that day's.
+    """
+    if "snapshot_ts" not in rows.columns:
+        rows = rows.withColumn("snapshot_ts", F.lit(None).cast("timestamp"))
     (
-        rows.write.mode("overwrite")
+        rows.withColumn("captured_on", F.to_date(F.coalesce("snapshot_ts", "captured_at")))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("phase")
+        .partitionBy("phase", "captured_on")
         .parquet(path)
     )
 

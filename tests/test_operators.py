@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from fleetgauge.operators.asof import as_of_join
 from fleetgauge.operators.waits_for import analyse, per_snapshot
 from fleetgauge.operators.previous import with_previous
 from fleetgauge.operators.running import frequencies, with_rows_below
@@ -152,6 +153,38 @@ def test_waits_per_snapshot(spark):
     assert per_snapshot(df.limit(0), ["server_id"], "n", "p", True).isEmpty()
 
 
+@pytest.mark.parametrize(("how", "slice_unit"), [("inner", "month"), ("left", "day"), ("inner", "hour")])
+def test_as_of_join_against_brute_force(spark, how, slice_unit):
+    """Random times with ties, keys without the other side, and missing times; one hot key holds half of the rows."""
+    rng = random.Random(len(how) + len(slice_unit))
+    moment = lambda: None if rng.random() < 0.05 else datetime(2024, 1, 1) + timedelta(minutes=30 * rng.randrange(4000))
+    key = lambda: 0 if rng.random() < 0.5 else rng.randrange(1, 9)
+    left = [(key(), k, moment()) for k in range(400)]
+    right = [(key(), 1000 + k, moment()) for k in range(150)]
+    now, long_ago = datetime(9999, 1, 1), datetime(1, 1, 1)
+
+    def met(k, t):
+        found = [(r[2] or long_ago, r[1]) for r in right if r[0] == k and (r[2] or long_ago) <= (t or now)]
+        return max(found)[1] if found else None
+
+    want = sorted((k, n, met(k, t)) for k, n, t in left if how == "left" or met(k, t) is not None)
+    a = spark.createDataFrame(left, "k int, n int, t timestamp").repartition(5)
+    b = spark.createDataFrame(right, "k int, v int, t timestamp").repartition(3)
+    joined = as_of_join(a, b, ["k"], F.col("t"), F.col("t"), ["v"], how=how, slice_unit=slice_unit)
+    assert sorted(tuple(r) for r in joined.select("k", "n", "was_v").collect()) == want if how == "inner" else (
+        sorted(tuple(r) for r in joined.select("k", "n", F.coalesce("was_v", F.lit(-1))).collect()) == sorted((k, n, -1 if v is None else v) for k, n, v in want)
+    )
+    assert joined.columns == ["k", "n", "t", "was_v"]
+
+
+def test_as_of_join_spreads_a_hot_key(spark):
+    """No join of pairs, and the sort of one key is cut by time slice."""
+    rows = spark.range(1000).select(F.lit(1).alias("k"), "id", F.timestamp_seconds(F.col("id") * 86400).alias("t"))
+    plan = as_of_join(rows, rows, ["k"], F.col("t"), F.col("t"), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [last(_met") == 1 and "[k" in plan and "_slice" in plan.split("Window [last(_met")[1].split("\n")[0]
+    assert plan.count("Join") == 1
+
+
 def test_wait_delta_options(spark):
     before = spark.createDataFrame([(1, "A", 10, 1), (1, "B", 50, 1)], "server_id int, wait_type string, wait_time_ms long, waiting_tasks_count long")
     after = spark.createDataFrame([(1, "A", 60_011, 3), (1, "B", 50, 1), (1, "C", 10_000, 1)], before.schema)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.plans import baseline, blocking, findings, history, sessions, waiting
-from fleetgauge.plans.registry import REPORTS
+from fleetgauge.plans.registry import REPORTS, exported_often
 from fleetgauge.session import checkpoint_root, work_path
 from fleetgauge.sources.derived import DERIVED
 from fleetgauge.sources.schemas import TELEMETRY_SCHEMAS
@@ -61,6 +61,15 @@ def test_baseline_kept_on_disk(spark, telemetry, tmp_path):
     assert baseline.wait_change(stored, "24h").isEmpty()  # that phase was never captured
 
 
+def test_two_captures_of_a_phase_without_snapshots(spark, telemetry, tmp_path):
+    path = str(tmp_path / "baseline_wait")
+    for day in (28, 31):
+        save_phase(baseline.capture_waits(telemetry, "before", NOW.replace(day=day), waits="wait_snapshot_earlier"), path)
+        save_phase(baseline.capture_waits(telemetry, "7d", NOW.replace(day=day)), path)
+    stored = spark.read.parquet(path).drop("snapshot_ts")
+    assert baseline.wait_change(stored).count() == REPORTS["q28g_wait_change"](telemetry).count()
+
+
 def test_capture_for_a_later_delta(spark, telemetry, tmp_path):
     saved = save_capture(waiting.capture_waits(telemetry, "wait_snapshot_earlier"), str(tmp_path), "c1")
     direct = waiting.wait_delta(waiting.capture_waits(telemetry, "wait_snapshot_earlier"), telemetry["wait_snapshot"])
@@ -105,12 +114,15 @@ def test_feed_by_database(telemetry):
 
 
 def test_written_tables_have_the_declared_schemas(spark, telemetry):
+    exported = telemetry.replaced(**{
+        t: telemetry[t].withColumn("snapshot_ts", F.lit("2024-01-30").cast("timestamp")) for t in ("index_usage", "index_physical", "wait_snapshot")
+    })
     written = {
         "log_wait": waiting.collected_waits(telemetry, NOW),
         "log_block": sessions.collected_blocks(telemetry, NOW),
-        "baseline_index": baseline.capture_index_usage(telemetry, "before", NOW),
-        "baseline_frag": baseline.capture_fragmentation(telemetry, "before", NOW),
-        "baseline_wait": baseline.capture_waits(telemetry, "before", NOW),
+        "baseline_index": baseline.capture_index_usage(exported, "before", NOW),
+        "baseline_frag": baseline.capture_fragmentation(exported, "before", NOW),
+        "baseline_wait": baseline.capture_waits(exported, "before", NOW),
         "session_activity_log": sessions.activity_log_rows(telemetry, NOW),
     }
     for name, rows in written.items():
@@ -213,6 +225,37 @@ def test_two_exports_of_a_server_do_not_mix(telemetry, name):
         assert one.exceptAll(once).isEmpty() and once.exceptAll(one).isEmpty()
 
 
+CAPTURED = ("wait_snapshot_earlier", "index_usage_earlier", "index_physical_earlier", "index_operational", "index_operational_earlier")
+
+
+@pytest.mark.parametrize("name", [
+    "q04c_wait_capture", "q04d_wait_delta", "q28a_capture_index_usage", "q28b_capture_fragmentation", "q28c_capture_waits", "q28d_capture_after",
+    "q28e_index_usage_delta", "q28f_fragmentation_delta", "q28g_wait_change",
+])
+def test_two_exports_of_captures_and_readings_do_not_mix(telemetry, name):
+    """Captures and readings exported twice give exactly twice the rows, each of its own snapshot."""
+    stamps = [datetime(2024, 1, 30), datetime(2024, 1, 31)]
+    times = F.array(*[F.lit(s.isoformat(" ")).cast("timestamp") for s in stamps])
+    twice = {t: telemetry[t].withColumn("snapshot_ts", F.explode(times)) for t in (*COUNTERS, *CAPTURED)}
+    once, both = REPORTS[name](telemetry), REPORTS[name](telemetry.replaced(**twice))
+    assert both.count() == 2 * once.count() > 0
+    for s in stamps:
+        one = both.where(F.col("snapshot_ts") == F.lit(s.isoformat(" ")).cast("timestamp")).select(*once.columns)
+        assert one.exceptAll(once).isEmpty() and once.exceptAll(one).isEmpty()
+
+
+def test_stored_captures_of_several_days_meet_their_readings(spark, telemetry, tmp_path):
+    """Two captures and three readings stored as they come: each reading meets the latest capture before it."""
+    path = str(tmp_path / "baseline_wait")
+    often = exported_often(telemetry)
+    for _ in range(2):  # storing again replaces
+        save_phase(baseline.capture_waits(often, "before", NOW, waits="wait_snapshot_earlier"), path)
+        save_phase(baseline.capture_waits(often, "7d", NOW), path)
+    stored = spark.read.schema(TELEMETRY_SCHEMAS["baseline_wait"] + ", captured_on date").parquet(path)
+    got, want = baseline.wait_change(stored), REPORTS["q28j_wait_change_exports"](telemetry)
+    assert want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_declared_counters_carry_their_snapshot():
     assert all("snapshot_ts timestamp" in TELEMETRY_SCHEMAS[t] for t in [*COUNTERS, "index_operational", "temp_file_space"])
 
