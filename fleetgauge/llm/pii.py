@@ -45,8 +45,8 @@ from pyspark.sql import types as T
 from fleetgauge.llm.common import KeyFilter, field, packed, quoted, saved, structs, to_arrow, unpacked, with_text
 
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-#: One of so many lines tells common terms; lines and words that a task remembers.
-SAMPLE, LINES_KEPT, WORDS_KEPT = 64, 400_000, 300_000
+#: One of so many lines tells common terms; lines and words that a task remembers, and rows that it holds back.
+SAMPLE, LINES_KEPT, WORDS_KEPT, ROWS_HELD = 64, 200_000, 100_000, 100_000
 
 #: The patterns of the four kinds, in the order in which kinds are listed.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -161,10 +161,14 @@ def line_terms(docs: DataFrame, wanted: KeyFilter | None, text: str = "text") ->
             known[word] = h = None if h is None or wanted is not None and h not in wanted else signed(h)
             return h
 
+        def made(lines: list[int], terms: list[int | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(terms, pa.int64())], names=["line", "term"])
+
+        lines: list[int] = []
+        terms: list[int | None] = []
         for batch in batches:
-            lines, terms = [], []
-            for body in batch.column(0).to_pylist():
-                for line in (body or b"").decode("utf-8", "replace").split("\n"):
+            for body in batch.column(0):
+                for line in (body.as_py() or b"").decode("utf-8", "replace").split("\n"):
                     digest = xxhash.xxh64_intdigest(line.encode(), 7) >> 1
                     if digest in seen:
                         continue
@@ -176,11 +180,14 @@ def line_terms(docs: DataFrame, wanted: KeyFilter | None, text: str = "text") ->
                         own = {known[w] if w in known else key(w) for w in set(line.lower().split())} - {None}
                         lines += [digest] * len(own)
                         terms += own
-            if len(seen) > LINES_KEPT:
-                seen.clear()
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(terms, pa.int64())], names=["line", "term"])
+                if len(lines) > ROWS_HELD:
+                    yield made(lines, terms)
+                    lines, terms = [], []
+                if len(seen) > LINES_KEPT:
+                    seen.clear()
+                if len(known) > WORDS_KEPT:
+                    known.clear()
+        yield made(lines, terms)
 
     return docs.select(F.col(quoted(text)).cast("binary").alias("body")).mapInArrow(find, "line bigint, term bigint")
 
