@@ -36,17 +36,31 @@ from fleetgauge.llm.bytelevel import encoder, library
 from fleetgauge.llm.common import columns, field, quoted, saved, structs, to_arrow, unpacked
 
 HUGE, CHUNK, OVERLAP, LIMIT = 32_768, 16_384, 512, 512
-#: Chunks in one Arrow batch.
-SOME = 32
+#: Chunks that a task encodes at once.
+SOME = 16
 
 
-def beginnings(encoding, first: int) -> list[tuple[int, int]]:
-    """(position, tokens before it) of every word of an encoded chunk that begins at `first`."""
-    out, word = [], None
-    for k, (own, (start, _)) in enumerate(zip(encoding.word_ids, encoding.offsets)):
-        if own != word:
-            out.append((first + start, k))
-            word = own
+def beginnings(encoding, first: int, until: int) -> list[tuple[int, int]]:
+    """(position, tokens before it) of the words of an encoded chunk that begin before `until`; the chunk begins at `first`."""
+    out = []
+    for k in range(len(encoding)):
+        at = first + encoding.token_to_chars(k)[0]
+        if at >= until:
+            break
+        if k == 0 or encoding.token_to_word(k) != encoding.token_to_word(k - 1):
+            out.append((at, k))
+    return out
+
+
+def endings(encoding, first: int, since: int, until: int) -> list[tuple[int, int]]:
+    """The same of the words that begin from `since` to `until`."""
+    out = []
+    for k in range(len(encoding) - 1, -1, -1):
+        at = first + encoding.token_to_chars(k)[0]
+        if at < since:
+            break
+        if at <= until and (k == 0 or encoding.token_to_word(k) != encoding.token_to_word(k - 1)):
+            out.append((at, k))
     return out
 
 
@@ -89,13 +103,14 @@ def encoded(pieces: DataFrame, path: str, overlap: int) -> DataFrame:
 
         def each():
             for batch in batches:
-                key, start, after, stop, size, chunk = (c.to_pylist() for c in batch.columns)
-                for k, e in enumerate(tokenizer.encode_batch(chunk, add_special_tokens=False)):
-                    found = beginnings(e, start[k])
-                    certain = stop[k] if stop[k] == size[k] else stop[k] - far
-                    head = [{"pos": p, "before": n} for p, n in found if p < start[k] + overlap]
-                    tail = [{"pos": p, "before": n} for p, n in found if after[k] is not None and after[k] <= p <= certain]
-                    yield key[k], start[k], after[k], len(e), head, tail
+                for some in (batch.slice(k, SOME) for k in range(0, batch.num_rows, SOME)):
+                    rows = list(zip(*(c.to_pylist() for c in some.columns)))
+                    made = tokenizer.encode_batch([r[5] for r in rows], add_special_tokens=False)
+                    for (key, start, after, stop, size, _), e in zip(rows, made):
+                        certain = stop if stop == size else stop - far
+                        head = beginnings(e, start, start + overlap)
+                        tail = [] if after is None else endings(e, start, after, certain)
+                        yield key, start, after, len(e), *([{"pos": p, "before": n} for p, n in x] for x in (head, tail))
 
         yield from in_batches(each(), SPLICES, 256)
 
