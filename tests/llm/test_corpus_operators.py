@@ -147,29 +147,39 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def plain_lines(rows):
-    """Numbers of the lines to drop, by comparing every line with every earlier one."""
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def plain_lines(rows, edits=1):
+    """Numbers of the lines to drop, by comparing every line with every earlier one: by words from eight on, else by characters."""
     lines = []
     for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, signed_key(r[1]))):
         for no, line in enumerate((text or "").split("\n")):
             words = re.findall(r"[^\x20\x09-\x0D]+", line)
-            if len(words) >= line_dedup.LEAST:
-                lines.append((i, text, no, words))
+            if words:
+                lines.append((i, text, no, words if len(words) >= 8 else " ".join(words)))
 
-    def within(a, b):
+    def close(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < line_dedup.NEAR or abs(len(a) - len(b)) > 1:
+        if type(a) is not type(b):
             return False
-        if len(a) == len(b):
-            return sum(x != y for x, y in zip(a, b)) <= 1
-        a, b = sorted((a, b), key=len)
-        return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
-
-    drop = defaultdict(list)
-    for k, (i, text, no, words) in enumerate(lines):
-        if any(within(words, other[3]) for other in lines[:k]):
+        most = min(edits, min(len(a), len(b)) // (16 if isinstance(a, str) else 8))
+        return most > 0 and abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+
+    drop, earlier = defaultdict(list), []
+    for i, text, no, line in lines:
+        if any(close(line, other) for other in earlier):
             drop[i, text].append(no)
+        if line not in earlier:
+            earlier.append(line)
     return [(i, 0 if t is None else t.count("\n") + 1, ",".join(map(str, drop[i, t]))) for i, t in rows]
 
 
@@ -183,7 +193,7 @@ def line_rows():
     base = [[dice.choice(PROSE) for _ in range(n)] for n in (3, 5, 8, 9, 12, 40, 200)]
     rows = [(0, "\n".join(" ".join(w) for w in base))]
     for i in range(1, 30):
-        lines = []
+        lines = [f"Read the whole of chapter {dice.randrange(30)}", dice.choice(["see bel0w, page 1", "see below, page 1", "see below page 1"]), f"p. {i}"]
         for w in base:
             w, kind = list(w), dice.randrange(6)
             k = dice.randrange(len(w))
@@ -206,9 +216,46 @@ def test_line_dedup_against_plain(documents):
     assert sorted(map(tuple, got), key=repr) == sorted(plain_lines(rows), key=repr)
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_with_more_edits(documents, edits):
+    dice = random.Random(edits)
+    rows = []
+    for i in range(25):
+        lines = []
+        for n in (9, 16, 17, 26):
+            w = [PROSE[k % len(PROSE)] for k in range(n)]
+            for _ in range(dice.randrange(4)):
+                k, kind = dice.randrange(len(w)), dice.randrange(3)
+                w[k : k + (kind != 1)] = [] if kind == 0 else [dice.choice(["x", "y"])]
+            lines.append(" ".join(w))
+        short = list("a short line that has some 50 characters or so")[: 30 + 16 * dice.randrange(2)]
+        for _ in range(dice.randrange(4)):
+            short[dice.randrange(len(short))] = dice.choice("xyz")
+        rows.append((i, "\n".join([*lines, "".join(short).replace(" ", "-", 3)])))
+    got = line_dedup.repeats(documents(*rows), edits=edits).collect()
+    want = {i: removed for i, _, removed in plain_lines(rows, edits)}
+    assert {r["id"]: ",".join(map(str, sorted(r["removed"]))) for r in got} == want
+    assert any(want.values()) and want != {i: removed for i, _, removed in plain_lines(rows, 1)}
+
+
+def test_edit_bounds():
+    with pytest.raises(ValueError, match="edit bound"):
+        line_dedup.repeats(None, edits=4)
+    dice = random.Random(1)
+    for _ in range(3000):
+        a = "".join(dice.choices("ab", k=dice.randrange(14, 52)))
+        b = list(a)
+        for _ in range(dice.randrange(5)):
+            k = dice.randrange(len(b))
+            b[k : k + dice.randrange(2)] = dice.choices("ab", k=dice.randrange(2))
+        b = "".join(b)
+        most = min(3, min(len(a), len(b)) // 16)
+        assert line_dedup.within(a, b, 3) == (edit_distance(a, b) <= most)
+
+
 def test_line_dedup_on_documents(documents, small):
     _, rows = small
-    texts = [(r["doc_id"], r["text"]) for r in rows]
+    texts = [(r["doc_id"], r["text"]) for r in rows if len(r["text"] or "") < 4000]
     got = line_dedup.line_report(documents(*texts)).select("doc_id", "n_lines", "removed").collect()
     assert sorted(map(tuple, got)) == sorted(plain_lines(texts))
 
