@@ -94,6 +94,10 @@ class KeyFilter:
         self.mask, self.words = bits - 1, np.zeros(bits // 64, np.uint64)
         self.words[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) & np.uint64(self.mask)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
     def __contains__(self, key: int) -> bool:
         at = key & self.mask
         return bool(int(self.words[at >> 6]) >> (at & 63) & 1)

@@ -13,7 +13,7 @@ import xxhash
 from hard_rows import HARD
 from pyspark.sql import types as T
 
-from fleetgauge.llm import ann, line_dedup, packing, sharding, simhash
+from fleetgauge.llm import ann, line_dedup, near_copies, packing, sharding, simhash
 from fleetgauge.llm.components import components
 from fleetgauge.llm.registry import tokenizer
 
@@ -142,6 +142,25 @@ def test_one_of_each_catches_near_copies(documents):
     assert sorted(r["doc_id"] for r in got) == sorted(set(root.values()))
 
 
+@pytest.mark.parametrize("own", [60, 27, 9])
+def test_pairs_tried_follow_the_documents(documents, monkeypatch, own):
+    """Pages of one template: far from each other, just below the similarity, and near copies. Pairs tried grow with the pages, not their square."""
+    counts, verified = [], near_copies.verified
+
+    def counted(pairs, sets):
+        counts.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    dice, template, n = random.Random(own), [f"t{k}" for k in range(200 - own)], 600
+    pages = [template + [f"p{k}x{j}" for j in range(own)] for k in range(n)]
+    similarity = jaccard(pages[0], pages[1])
+    dice.shuffle(pages)
+    got = simhash.one_of_each(documents(*[(k, " ".join(p)) for k, p in enumerate(pages)])).count()
+    assert got == (1 if similarity >= 0.8 else n)
+    assert sum(counts) <= 3 * n
+
+
 def jaccard(a, b):
     a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
     return len(a & b) / len(a | b)
