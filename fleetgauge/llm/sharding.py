@@ -17,6 +17,9 @@ one label, with those of one first hub together; a hub too large for one cell is
 over several by a hash of the document, so that ordering within cells never meets a hot
 group whole.
 
+Nothing is gathered by a hot key: the sums of a hub by label are few, and its nodes hear them
+in salts of about `HOT`; rows that repeat another whole are numbered before they are placed.
+
 Cases. A null text is as empty: size 1, checksum 0. Repeated rows are of one node and take
 places of their own. Null ids order first. Empty tables give empty results.
 """
@@ -30,6 +33,8 @@ from fleetgauge.llm.common import quoted, saved
 
 SHARDS, ROUNDS, CAPACITY, CELL = 16, 4, 1.03, 4096
 BANDS, STEPS = 16, 16
+#: Nodes of one hub that one task hears at least.
+HOT = 512
 #: A line counts if it has more than white space.
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -45,12 +50,24 @@ def sketched(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+def salted(edges: DataFrame) -> DataFrame:
+    """node, hub, salt, salts: the nodes of a large hub are spread over salts of about `HOT` nodes."""
+    if "n" not in edges.columns:
+        edges = edges.join(edges.groupBy("hub").agg(F.count("*").alias("n")), "hub")
+    salts = F.ceil(F.col("n") / HOT).cast("int")
+    return edges.select("node", "hub", F.pmod(F.xxhash64(F.lit(13), "node"), salts).cast("int").alias("salt"), salts.alias("salts"))
+
+
 def votes(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, wish, gain: the label most of a node's neighbours have, and by how much more than its own."""
+    """node, wish, gain: the label most of a node's neighbours have, and by how much more than its own.
+
+    A hub's sums by label are few; each of its salts gets a copy of them.
+    """
     labelled = edges.join(labels, "node")
-    heard = labelled.groupBy("hub", "label").agg(F.sum("weight").alias("votes")).withColumnRenamed("label", "wish")
+    heard = labelled.groupBy("hub", "label").agg(F.sum("weight").alias("votes"), F.first("salts").alias("salts"))
+    heard = heard.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("label").alias("wish"), "votes")
     seen = (
-        labelled.select("hub", "node", "label", "weight").join(heard, "hub")
+        labelled.select("hub", "salt", "node", "label", "weight").join(heard, ["hub", "salt"])
         .groupBy("node", "wish").agg(F.sum(F.col("votes") - F.when(F.col("wish") == F.col("label"), F.col("weight")).otherwise(0)).alias("votes"), F.first("label").alias("label"))
     )
     best = seen.groupBy("node").agg(
@@ -89,6 +106,7 @@ def granted(requests: DataFrame, loads: dict[int, int], capacity: int) -> list[t
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """node, weight, first, label after the rounds."""
     spark = nodes.sparkSession
+    edges = saved(salted(edges), "salted") if rounds else edges
     labels = saved(nodes.withColumn("label", F.pmod(F.xxhash64(F.lit(3), "first"), F.lit(shards)).cast("int")), "labels")
     for _ in range(rounds):
         loads = {r["label"]: int(r["n"]) for r in labels.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
@@ -110,6 +128,16 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
     return labels
 
 
+def running(cells: DataFrame, group: list[str], by: str) -> DataFrame:
+    """Adds to `start` the documents of the same group that stand before, in the order of `by`; sums come first, so that no window holds more than a group's."""
+    sums = cells.groupBy(*group, by).agg(F.sum("n").alias("sum"))
+    before = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)  # without a group: a row for each shard
+    offsets = sums.select(*group, by, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("more"))
+    start = F.col("start") if "start" in cells.columns else F.lit(0).cast("bigint")
+    others = [c for c in cells.columns if c != "start"]
+    return cells.join(offsets, [*group, by]).select(*others, (start + F.col("more")).alias("start"))
+
+
 def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """id, size, text_crc32, label, shard, slot: a row for every document."""
     rows = saved(sketched(docs, ids, text), "sketched")
@@ -120,21 +148,22 @@ def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", shards: int
     # the hub that links a node to the fewest others, else the node stands for itself
     first = edges.groupBy("node").agg(F.min_by("hub", F.struct("n", "hub")).alias("first"))
     known = nodes.select("node", "weight").join(first, "node", "left").select("node", "weight", F.coalesce("first", "node").alias("first"))
-    labels = propagate(known, edges.select("node", "hub"), shards, rounds)
-    placed = rows.join(labels.select("node", "first", "label"), "node")
+    labels = propagate(known, edges.select("node", "hub", "n"), shards, rounds)
+    # rows that repeat another whole are numbered, so that they part as any others
+    numbered = rows.groupBy("id", "size", "text_crc32", "node").agg(F.count("*").alias("n"))
+    numbered = numbered.select("id", "size", "text_crc32", "node", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+    placed = numbered.join(labels.select("node", "first", "label"), "node")
     total = rows.count()
     parts = max(1, -(-total // (shards * CELL)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "first"), F.lit(parts)).cast("int"))
     heavy = placed.groupBy("label", "part").agg(F.count("*").alias("n")).select("label", "part", F.ceil(F.col("n") / CELL).cast("int").alias("salts"))
-    placed = placed.join(saved(heavy, "cells"), ["label", "part"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "id", "node"), "salts").cast("int"))
-    placed = saved(placed.select("id", "size", "text_crc32", "node", "first", "label", "part", "salt"), "placed")
+    placed = placed.join(saved(heavy, "cells"), ["label", "part"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "id", "node", "copy"), "salts").cast("int"))
+    placed = saved(placed.select("id", "size", "text_crc32", "node", "copy", "first", "label", "part", "salt"), "placed")
     cell = ["label", "part", "salt"]
-    # one row for every CELL documents or so
-    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n"))
-    before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
-    starts = saved(sizes.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("first", "node", "id", "size")) - 1
-    ordered = placed.join(starts, cell).withColumn("place", F.col("start") + inside)
+    sizes = saved(placed.groupBy(*cell).agg(F.count("*").alias("n")), "cell-sizes")  # one row for every CELL documents or so
+    starts = running(running(running(sizes, ["label", "part"], "salt"), ["label"], "part"), [], "label")
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("first", "node", "id", "size", "copy")) - 1
+    ordered = placed.join(starts.drop("n"), cell).withColumn("place", F.col("start") + inside)
     least, extra = divmod(total, shards)
     wide = extra * (least + 1)  # documents of the shards that hold one more
     place = F.col("place")
