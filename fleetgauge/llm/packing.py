@@ -8,6 +8,12 @@ largest weighted dot-product of piece and residual (`dot`), or the smallest weig
 of the residual that would be left (`norm`, the default, which is best-fit when tokens
 weigh most).
 
+Each capacity has two sizes. The preferred ones (`DOCUMENTS` and `ATTENTION`) keep the
+sequences alike in documents and attention cost: a sequence that a piece would take beyond one of
+them is out as long as another one fits. The limits (as many documents as tokens, the
+cost of one document that fills the sequence) are never passed. A sequence is opened only
+where the limits leave none, so that the preferred capacities cost no sequences.
+
 Pieces are dealt by a hash of document and piece into groups of about `GROUP`, packed
 apart: a group leaves at most a few sequences underfull, and the number of groups grows
 with the input. A piece that fills a sequence alone takes one without a search. Results
@@ -32,6 +38,8 @@ from fleetgauge.llm.bytelevel import encoder
 from fleetgauge.llm.common import field, map_bodies, saved, structs, unpacked
 
 SEQUENCE, END, GROUP = 2048, 0, 4096
+#: Preferred capacities: documents of a sequence, and attention cost as a share of a full document's.
+DOCUMENTS, ATTENTION = 16, 0.75
 
 
 def cut(length: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -71,10 +79,13 @@ def best_fit(
     attention: float | None = None,
     weights: tuple[float, float, float] = (1.0, 0.01, 0.05),
     rule: str = "norm",
+    preferred_documents: int = DOCUMENTS,
+    preferred_attention: float = ATTENTION,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of each piece; `lengths` come longest first."""
     capacity = np.array([size, documents, attention or float(size) ** 2])
     scale = np.array(weights) / capacity**2
+    beyond = np.maximum(capacity - np.array([size, preferred_documents, preferred_attention * size**2]), 0)
     sequence, offset = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     left = np.empty((256, 3))
     open_ids, opened = np.empty(256, np.int64), 0
@@ -85,6 +96,9 @@ def best_fit(
         if opened and n < size:
             rest = left[:opened] - need
             fits = (rest >= 0).all(axis=1)
+            preferred = fits & (rest >= beyond).all(axis=1)
+            if preferred.any():
+                fits = preferred
             if fits.any():
                 score = (rest * rest) @ scale if rule == "norm" else -((left[:opened] * need) @ scale)
                 best = int(np.argmin(np.where(fits, score, np.inf)))
@@ -107,7 +121,9 @@ def best_fit(
 def pack(pieces: DataFrame, group: int = GROUP, **capacities) -> DataFrame:
     """Adds `sequence_id` and `offset` to rows of `row`, piece, start, length, ids_crc32."""
     groups = max(1, -(-pieces.count() // group))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col("row"), "piece", "ids_crc32"), F.lit(groups)))
+    # rows that repeat another whole are numbered, so that they part as any others
+    numbered = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("n")).select(*pieces.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+    salted = numbered.withColumn("salt", F.pmod(F.xxhash64(F.col("row"), "piece", "ids_crc32", "copy"), F.lit(groups))).drop("copy")
     schema = T.StructType([f for f in salted.schema if f.name != "salt"] + [field("sequence_id", "bigint"), field("offset", "bigint")])
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
