@@ -26,8 +26,14 @@ f AS (SELECT *, n_words < 10 AS few, 100 * n_repeat_words > 20 * n_words AS repe
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR repeated AS base_failed,
  NOT (few OR repeated OR symbols OR wordlength OR lines OR stutter OR capitals) AS kept, n_lines, n_stutter, n_upper, n_letters,
  CAST(CAST(few AS INT) + 2 * CAST(repeated AS INT) + 4 * CAST(symbols AS INT) + 8 * CAST(wordlength AS INT) + 16 * CAST(lines AS INT)
-  + 32 * CAST(stutter AS INT) + 64 * CAST(capitals AS INT) AS INT) AS failed_bits
-FROM f"""
+  + 32 * CAST(stutter AS INT) + 64 * CAST(capitals AS INT) AS INT) AS failed_bits,
+ NOT (few OR repeated) AS kept_base, NOT (few OR repeated OR symbols OR stutter) AS kept_v1,
+ NOT (few OR repeated OR symbols OR wordlength OR lines OR stutter OR capitals) AS kept_v2, lone_rule,
+ CASE WHEN lone_rule IS NOT NULL THEN count(*) OVER (PARTITION BY lone_rule) END AS lone_rejects
+FROM (SELECT *, CASE WHEN CAST(few AS INT) + CAST(repeated AS INT) + CAST(symbols AS INT) + CAST(wordlength AS INT) + CAST(lines AS INT)
+  + CAST(stutter AS INT) + CAST(capitals AS INT) = 1 THEN CASE WHEN few THEN 'few_words' WHEN repeated THEN 'repeated_windows' WHEN symbols THEN 'many_symbols'
+  WHEN wordlength THEN 'word_length' WHEN lines THEN 'duplicate_lines' WHEN stutter THEN 'stutter' ELSE 'capitals' END END AS lone_rule FROM f) v"""
+
 
 # CRC-32 of an id's digits, a bit at a time: a byte is put in, then eight steps of -1 follow.
 CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(s) + 1),

@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.common import field, map_bodies, unpacked
+from fleetgauge.llm.common import field, map_bodies, saved, unpacked
 
 WHITE = b"\x09\x0a\x0b\x0c\x0d\x20"
 SYMBOLS = b"#*$%&|<>"
@@ -134,12 +134,23 @@ def ablation(ledger_rows: DataFrame) -> DataFrame:
 
 
 def quality_report(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """doc_id, the base measurements, base_failed, kept, the other measurements and failed_bits."""
-    rows = ledger(docs, ["doc_id"])
+    """doc_id, the base measurements, base_failed, kept, the other measurements and failed_bits; then, from the stored ledger, every policy's verdict and the ablation.
+
+    `lone_rule` is the rule without which the policy would keep the document (null if it
+    keeps it, or if several rules fail), and `lone_rejects` the documents that this rule
+    alone rejects.
+    """
+    rows = saved(ledger(docs, ["doc_id"]), "ledger")
     base = F.col("failed_bits").bitwiseAND(F.lit(mask("base"))) != 0
+    alone = ablation(rows).where(F.col("policy") == policy).select(F.col("rule").alias("lone_rule"), F.col("rejected_by_rule_alone").alias("lone_rejects"))
+    failed = F.col("failed_bits").bitwiseAND(F.lit(mask(policy)))
+    lone = F.coalesce(*[F.when(failed == bit(rule), F.lit(rule)) for rule in POLICIES[policy]])
+    judged = rows.withColumns({f"kept_{p}": verdict(rows, p) for p in POLICIES}).withColumn("lone_rule", lone)
     return unpacked(
-        rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        judged.join(F.broadcast(alone), "lone_rule", "left"),  # a row for each rule
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         (~base & verdict(rows, policy)).alias("kept"), "n_lines", "n_stutter", "n_upper", "n_letters", "failed_bits",
+        *[f"kept_{p}" for p in POLICIES], "lone_rule", "lone_rejects",
     )
 
 
