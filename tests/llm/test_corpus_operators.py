@@ -191,7 +191,12 @@ def plain_lines(rows, edits=1):
         if type(a) is not type(b):
             return False
         most = min(edits, min(len(a), len(b)) // (16 if isinstance(a, str) else 8))
-        return most > 0 and abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+        if most == 0 or abs(len(a) - len(b)) > most:
+            return False
+        if most > 1:
+            return edit_distance(a, b) <= most
+        k = next(k for k in range(len(a) + 1) if a[k : k + 1] != b[k : k + 1])  # one unit replaced, left out or put in
+        return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :]
 
     drop, earlier = defaultdict(list), []
     for i, text, no, line in lines:
@@ -274,7 +279,7 @@ def test_edit_bounds():
 
 def test_line_dedup_on_documents(documents, small):
     _, rows = small
-    texts = [(r["doc_id"], r["text"]) for r in rows if len(r["text"] or "") < 4000]
+    texts = [(r["doc_id"], r["text"]) for r in rows]
     got = line_dedup.line_report(documents(*texts)).select("doc_id", "n_lines", "removed").collect()
     assert sorted(map(tuple, got)) == sorted(plain_lines(texts))
 
@@ -335,7 +340,7 @@ def test_cut(length):
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(rule):
     lengths = np.sort(np.random.default_rng(2).integers(1, 1000, 500))[::-1]
-    sequence, offset = packing.best_fit(lengths, size=1000, documents=3, attention=600_000.0 * 2, rule=rule)
+    sequence, offset = packing.best_fit(lengths, size=1000, documents=3, attention=600_000.0 * 2, rule=rule, preferred_documents=2)
     for s in set(sequence.tolist()):
         own = lengths[sequence == s]
         assert own.sum() <= 1000 and len(own) <= 3 and (own.astype(float) ** 2).sum() <= 1_200_000
@@ -344,6 +349,24 @@ def test_best_fit_holds_every_capacity(rule):
         packing.best_fit(np.array([900]), size=1000, attention=10.0)
 
 
+def test_every_capacity_acts_and_costs_no_sequence():
+    """Lifting a preferred capacity changes where pieces go; none of them opens a sequence."""
+    dice = np.random.default_rng(4)
+    lengths = np.sort(np.concatenate([dice.integers(1, 300, 2500), dice.integers(300, 2049, 1500)]))[::-1]
+    both, _ = packing.best_fit(lengths)
+    lifted = [packing.best_fit(lengths, preferred_documents=2048)[0], packing.best_fit(lengths, preferred_attention=1.0)[0]]
+    free, _ = packing.best_fit(lengths, preferred_documents=2048, preferred_attention=1.0)
+    assert all((x != both).any() for x in lifted) and (lifted[0] != lifted[1]).any()
+    assert len(set(both.tolist())) <= len(set(free.tolist())) + 1
+
+    def worst(sequence):
+        documents = np.bincount(sequence)
+        cost = np.bincount(sequence, weights=lengths.astype(float) ** 2)[documents > 1] / 2048**2
+        return (documents > packing.DOCUMENTS).sum(), (cost > packing.ATTENTION).sum()
+
+    assert worst(both)[0] <= worst(free)[0] and worst(both)[1] <= worst(free)[1]
+
+
 def test_best_fit_is_close_to_the_bound():
     lengths = np.sort(np.random.default_rng(3).integers(1, 2049, 4000))[::-1]
     sequence, _ = packing.best_fit(lengths)
@@ -391,6 +414,19 @@ def test_sharding_keeps_copies_together(documents, small):
     assert sum(len(s) > 1 for s in shards.values()) <= 15
 
 
+def test_rows_repeated_in_number_part(documents, monkeypatch):
+    """A row that repeats whole many times is placed row by row, and no cell or group holds all of them."""
+    monkeypatch.setattr(sharding, "CELL", 16)
+    monkeypatch.setattr(sharding, "HOT", 8)
+    rows = [(7, "the same row\nwith a line")] * 500 + [(k, f"text {k}\nwith a line") for k in range(100, 300)]
+    check_shards(rows, sharding.sharding_report(documents(*rows)).collect())
+    pieces = packing.tokenized(documents(*rows), tokenizer(), ["doc_id"]).selectExpr("row", "inline(pieces)")
+    packed = packing.pack(pieces, group=50).collect()
+    assert Counter(r["row"]["doc_id"] for r in packed)[7] == 500
+    groups = {r["sequence_id"] >> 32 for r in packed if r["row"]["doc_id"] == 7}
+    assert len(groups) >= 8
+
+
 def test_label_propagation_joins_neighbours(shipped):
     """Two bipartite clusters with mixed labels come to agree, within capacity."""
     nodes = shipped.createDataFrame([(k, 1, k) for k in range(400)], "node bigint, weight bigint, first bigint")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from hard_rows import HARD
-from test_corpus_operators import ids_of, plain_fingerprint, plain_components, plain_lines
+from test_corpus_operators import ids_of, plain_components, plain_lines
 from test_text_operators import plain_spans
 
 import corpus_pipeline
@@ -26,6 +27,9 @@ def test_stages_against_plain(shipped, tmp_path):
     source = shipped.read.parquet(f"{FOLDER}/documents.parquet").collect()
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "x") for r in source]
     rows += [(10_000 + k if i is not None else None, t, None, None, None, "y") for k, (i, t) in enumerate(HARD)] + rows[:3]
+    for k in range(6):  # near copies by five words that are far from each other by two bits of a fingerprint
+        words = [f"{chr(97 + k)}{j}word" for j in range(120)]
+        rows += [(20_000 + 10 * k + n, " ".join([*words[: 20 * n], *[f"other{n}"] * (n > 0), *words[20 * n + (n > 0) :]]), None, None, None, "x") for n in range(3)]
     docs = table(shipped, rows, f"{tmp_path}/0")
     state = [r[:2] for r in rows]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -35,8 +39,9 @@ def test_stages_against_plain(shipped, tmp_path):
             state = [r for r in state if keep(r[1])]
         elif name == "line_dedup":
             state = [(i, cut(t, drop)) for (i, t), (_, _, drop) in zip(state, plain_lines(state))]
-        elif name == "simhash_near_dedup":
+        elif name == "near_dedup":
             state = one_of_each(state)
+            assert sorted(i for i, _ in state if i and i >= 20_000) == [20_000 + 10 * k for k in range(6)]
         elif name == "pii":
             state = [(i, masked(t)) for i, t in state]
         if name == "best_fit_packing":
@@ -70,12 +75,23 @@ def cut(text, drop):
 
 
 def one_of_each(state):
-    fps = {r: plain_fingerprint(r[1]) for r in state}
-    distinct = sorted(set(fps.values()))
-    links = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if (a ^ b).bit_count() <= 2]
-    root, best = plain_components(links, distinct), {}
+    """Of documents that similar ones connect (five-word shingles, Jaccard 0.8) the one with the smallest id."""
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = {r: shingles(r[1]) for r in state}
+    distinct = sorted(set(sets.values()), key=lambda x: (len(x), sorted(x)))
+    where = defaultdict(list)
+    for k, own in enumerate(distinct):
+        for shingle in own:
+            where[shingle].append(k)
+    pairs = {(a, b) for held in where.values() for a in held for b in held if a < b}
+    links = [(a, b) for a, b in pairs if 5 * len(distinct[a] & distinct[b]) >= 4 * len(distinct[a] | distinct[b])]
+    root, best = plain_components(links, range(len(distinct))), {}
+    place = {own: root[k] for k, own in enumerate(distinct)}
     for r in sorted(state, key=lambda r: (r[0] is None, r[0] or 0)):
-        best.setdefault(root[fps[r]], r)
+        best.setdefault(place[sets[r]], r)
     return list(best.values())
 
 
@@ -92,9 +108,9 @@ def masked(text):
 
 
 def test_run_and_registration(shipped):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "pii", "best_fit_packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "pii", "best_fit_packing"]
     names = queries()
-    assert names["pipeline"] is corpus_pipeline.run and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert names["pipeline"] is corpus_pipeline.run and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert "pipeline" not in oracle_sql()
     rows = corpus_pipeline.run(shipped, FOLDER)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
