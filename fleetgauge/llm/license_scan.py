@@ -4,7 +4,8 @@ A notice of n characters may differ in up to e = max_edits(n) characters. Split
 pieces, at least one piece of any match is unchanged (pigeonhole), so the pieces are exact
 seeds: a plain byte search for them finds every candidate place. Around each hit a window
 of the notice's length plus the edits goes to the regex library's bounded-error matching,
-which verifies the edits and gives the span.
+which verifies the edits and gives the span. Windows that touch are joined and cut again
+to a few lengths of the notice, so that the work follows the text's length.
 
 Texts are compared as words: A-Z in lower case, words are runs of digits, letters and
 non-ASCII characters, one space between them.
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,8 +88,8 @@ def places(words: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def fuzzy(words: bytes) -> list[tuple[str, str, int, int, int]]:
-    """(label, notice, first word, last word, edits) of every notice, none overlapping another of its own."""
+def fuzzy(words: bytes, spaces: np.ndarray) -> list[tuple[str, str, int, int, int]]:
+    """(label, notice, first word, last word, edits) of every notice, none overlapping another of its own; `spaces` are the places of spaces."""
     found = []
     for notice, label, edits, seeds, pattern in searches():
         windows = []
@@ -96,33 +99,46 @@ def fuzzy(words: bytes) -> list[tuple[str, str, int, int, int]]:
                 # one edit may put in a character of up to four bytes
                 windows.append((max(0, hit - at - 4 * edits - 1), min(len(words), hit - at + len(notice) + 4 * edits + 2)))
                 hit = words.find(seed, hit + 1)
-        spans, reach = [], -1
-        for start, end in merged(windows):
+        spans = []
+        for start, end in parts(merged(windows), len(notice) + 8 * edits + 4):
+            while words[start] & 0xC0 == 0x80:  # inside a character
+                start += 1
+            cut = (start > 0 and words[start - 1 : start + 1].find(b" ") < 0, end < len(words) and words[end - 1 : end + 1].find(b" ") < 0)
             window = words[start:end].decode("utf-8", "ignore")
             for m in matches(pattern, window):
-                lead = len(m.group()) - len(m.group().lstrip())
-                first = words[:start].count(b" ") + window[: m.start() + lead].count(" ") - 1
-                last = first + m.group().strip().count(" ")
-                if first > reach:
-                    spans.append((label, notice, first, last, sum(m.fuzzy_counts)))
-                    reach = last
-        found += spans
+                if m.start() == 0 and cut[0] or m.end() == len(window) and cut[1]:
+                    continue  # begins or ends where a word was cut
+                text = m.group()
+                begin = start + len(window[: m.start()].encode()) + len(text) - len(text.lstrip())
+                spans.append((sum(m.fuzzy_counts), begin, begin + len(text.strip().encode())))
+        for cost, begin, end in apart(set(spans)):
+            first, last = np.searchsorted(spaces, (begin, end)).tolist()
+            found.append((label, notice, first - 1, last - 1, cost))
     return closest(found)
 
 
+def parts(windows: list[tuple[int, int]], longest: int):
+    """Windows cut to four times the longest match; neighbours overlap by one of it, so that each match lies whole in one."""
+    for start, end in windows:
+        while end - start > 4 * longest:
+            yield start, start + 4 * longest
+            start += 3 * longest
+        yield start, end
+
+
 def matches(pattern, window: str) -> list:
-    """Matches from left to right, none overlapping: the best one, then the best of the parts before and after it.
+    """Matches of a short window, none overlapping: the best one, then the best of the parts before and after it.
 
     The pattern's best match of a part may leave others with more edits on either side.
     """
-    found, parts = [], [(0, len(window))]
-    while parts:
-        start, end = parts.pop()
+    found, open_ = [], [(0, len(window))]
+    while open_:
+        start, end = open_.pop()
         m = pattern.search(window, start, end)
         if m and m.end() > m.start():
             found.append(m)
-            parts += [(start, m.start()), (m.end(), end)]
-    return sorted(found, key=lambda m: m.start())
+            open_ += [(start, m.start()), (m.end(), end)]
+    return found
 
 
 def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,12 +151,33 @@ def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+class Places:
+    """Intervals that do not overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Put in an interval (both ends included) if none is in its way."""
+        k = bisect_right(self.starts, end)
+        if k and self.ends[k - 1] >= start:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
+def apart(spans) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end) those with fewer edits, then the earlier, none overlapping another."""
+    taken = Places()
+    return [x for x in sorted(spans) if taken.add(x[1], x[2] - 1)]
+
+
 def closest(found):
     """Where two notices claim the same words, the one with fewer edits (then the longer, then the earlier) stays."""
-    kept: list[tuple[str, str, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (x[4], -len(x[1]), x[2], x[1])):
-        if all(x[3] < y[2] or x[2] > y[3] for y in kept):
-            kept.append(x)
+    taken = Places()
+    kept = [x for x in sorted(found, key=lambda x: (x[4], -len(x[1]), x[2], x[1])) if taken.add(x[2], x[3])]
     return sorted(kept, key=lambda x: (x[2], x[1]))
 
 
@@ -148,10 +185,14 @@ def char_spans(body: bytes, found) -> list[dict]:
     """The spans of the notices in code points of the text."""
     if not found:
         return []
-    edges = [m.span() for m in WORDS.finditer(body)]
-    chars = lambda b: len(body[:b].decode("utf-8", "ignore"))
+    wanted = {x[2] for x in found} | {x[3] for x in found}
+    edges = {k: m.span() for k, m in enumerate(WORDS.finditer(body)) if k in wanted}
+    chars, at, n = {0: 0}, 0, 0
+    for place in sorted({p for span in edges.values() for p in span}):  # one pass, from place to place
+        n += len(body[at:place].decode("utf-8", "ignore"))
+        chars[place], at = n, place
     return [
-        {"label": label, "start": chars(edges[first][0]), "end": chars(edges[last][1]), "first_word": first, "last_word": last, "edits": edits}
+        {"label": label, "start": chars[edges[first][0]], "end": chars[edges[last][1]], "first_word": first, "last_word": last, "edits": edits}
         for label, _, first, last, edits in found
     ]
 
@@ -161,12 +202,13 @@ def scan_one(body: bytes | None) -> tuple:
         return 0, 0, None, None, [], [], 0.0, []
     split = body.translate(WORD_BYTES).split()
     words = b" " + b" ".join(split) + b" "
+    spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
     starts, base = [], set()
     for phrase, label in PHRASES.items():
-        for at in places(words, phrase.encode()):
-            starts.append(words[: at + 1].count(b" ") - 1)
-            base.add(label)
-    found = fuzzy(words)
+        at = places(words, phrase.encode())
+        starts += np.searchsorted(spaces, at).tolist()
+        base |= {label} if at else set()
+    found = fuzzy(words, spaces)
     labels = sorted(base | {x[0] for x in found})
     score = 1.0 if base else max((1 - edits / len(notice) for _, notice, _, _, edits in found), default=0.0)
     return (

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,6 +115,64 @@ def test_license_notices_side_by_side():
     assert [(n["label"], n["edits"]) for n in found[7]] == [("gpl-3.0", 2), ("gpl-2.0", 0)]
 
 
+def least_edits(notice, words):
+    """For each word at which a span may begin: the fewest edits between the notice and any run of whole words from there."""
+    out = []
+    for i in range(len(words)):
+        best = len(notice)
+        for j in range(i + 1, min(len(words), i + len(notice.split()) + 3) + 1):
+            text = " ".join(words[i:j])
+            row = list(range(len(text) + 1))
+            for a, x in enumerate(notice, 1):
+                new = [a]
+                for b, y in enumerate(text, 1):
+                    new.append(min(row[b - 1] + (x != y), row[b] + 1, new[-1] + 1))
+                row = new
+            best = min(best, row[-1])
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("notice", ["all rights reserved", "released under the mit license", "gnu affero general public license"])
+def test_license_fuzzy_against_every_place(monkeypatch, notice):
+    """Random texts of damaged notices: whatever edit distance finds at some place is found, and nothing else."""
+    monkeypatch.setattr(license_scan, "NOTICES", {notice: "x"})
+    license_scan.searches.cache_clear()
+    dice, found = random.Random(len(notice)), 0
+    for _ in range(60):
+        words = dice.choices(["some", "rights", "the", "license", "of", "a", notice.split()[0]], k=dice.randrange(8))
+        for _ in range(dice.randrange(1, 4)):
+            damaged = list(notice)
+            for _ in range(dice.randrange(5)):
+                k, kind = dice.randrange(len(damaged)), dice.randrange(3)
+                damaged[k : k + (kind != 1)] = [] if kind == 0 else [dice.choice("abz ")]
+            words += "".join(damaged).split() + dice.choices(["some", "the", "of"], k=dice.randrange(3))
+        most = license_scan.max_edits(notice)
+        least = least_edits(notice, words)
+        spans = license_scan.scan_one(" ".join(words).encode())[7]
+        near = [k for k, n in enumerate(least) if n <= most]
+        assert all(least[s["first_word"]] <= s["edits"] <= most for s in spans)
+        assert all(any(s["first_word"] - most <= k <= s["last_word"] + most for s in spans) for k in near)
+        clear = [k for k in near if all(abs(k - j) >= len(notice.split()) for j in near if j != k)]
+        assert all(any(s["edits"] <= least[k] and s["first_word"] <= k <= s["last_word"] for s in spans) for k in clear)
+        found += len(spans)
+    license_scan.searches.cache_clear()
+    assert found > 40
+
+
+def test_license_time_follows_the_text():
+    """Thousands of damaged notices in one text, one after the other."""
+    took = []
+    for n in (1000, 4000):
+        body = b"all right reserved " * n
+        start = time.process_time()
+        found = license_scan.scan_one(body)
+        took.append(time.process_time() - start)
+        assert [s["first_word"] for s in found[7]] == list(range(0, 3 * n, 3))
+        assert (found[7][-1]["start"], found[7][-1]["end"]) == (19 * n - 19, 19 * n - 1)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_license_pieces_cover_notices():
     for notice in license_scan.NOTICES:
         parts = license_scan.pieces(notice)
