@@ -487,16 +487,47 @@ def test_neighbours_against_plain(shipped):
 
 
 def test_repeated_and_null_ids(shipped):
+    """Only the query's own row is left out: its copies and other rows with its id are candidates."""
     rows = [(100, [0.0, 1.0]), (100, [0.0, 1.0]), (None, [0.0, 1.1]), (7, [0.0, 2.0]), (7, [0.0, 2.0]), (100, [5.0, 5.0])]
     table = shipped.createDataFrame([(i, v, None) for i, v in rows], VECTORS)
-    got = sorted((r["rank"], r["vec_id"], round(r["score"], 3)) for r in ann.ann_report(table).collect() if r["score"] < 1.5)
-    assert got == [(1, None, 0.1), (2, 7, 1.0), (3, 7, 1.0)]
+    found = ann.ann_report(table).collect()
+    near = sorted((r["rank"], r["vec_id"], round(r["score"], 3)) for r in found if r["score"] < 1.5)
+    assert near == [(1, 100, 0.0), (2, None, 0.1), (3, 7, 1.0), (4, 7, 1.0)]
+    assert sorted((r["vec_id"] or 0, round(r["score"], 3)) for r in found if r["score"] > 1.5) == [(0, 6.341), (7, 5.831), (7, 5.831), (100, 6.403), (100, 6.403), (100, 6.403)]
+
+
+def test_largest_ids_and_vectors_repeated_in_number(shipped):
+    most = (1 << 63) - 1
+    rows = [(most, [1.0, 1.0]), (100, [1.0, 1.5])] + [(3, [1.0, 2.0])] * 400 + [(None, [1.0, 1.5])]
+    table = shipped.createDataFrame([(i, v, None) for i, v in rows], VECTORS)
+    got = [(r["vec_id"], r["score"]) for r in ann.ann_report(table).orderBy("rank").collect()]
+    assert got == [(None, 0.0)] + [(3, 0.5)] * 9
+    got = {r["vec_id"] for r in ann.neighbours(table, table.where("vec_id = 100"), 500).collect()}
+    assert got == {None, 3, most}
+
+
+@pytest.mark.parametrize("scale", [1e308, 1e-308, 5e153])
+def test_extreme_vectors_end(shipped, scale):
+    """Finite vectors whose squares, differences or projections leave the range of doubles."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.uniform(-1, 1, 4) * (scale if k % 2 else 1.0)]) for k in range(205)]
+    table = shipped.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.ann_report(table).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    assert set(got) == {0, 100, 200} and all(len(x) == 10 and x == sorted(x) for x in got.values())
+    hits = 0
+    for i, x in got.items():
+        with np.errstate(all="ignore"):
+            far = sorted((float(np.linalg.norm(np.array(v, np.longdouble) - np.array(rows[i][1], np.longdouble))), j) for j, v in rows if j != i)
+        hits += len({j for _, j in x} & {j for _, j in far[:10]})
+    assert hits >= 27
 
 
 def test_neighbours_over_several_blocks(shipped, monkeypatch):
     rows = [(k, v) for k, v in vectors(900) if k < 900]
     monkeypatch.setattr(ann, "BLOCK", 200)
-    monkeypatch.setattr(ann, "QUERIES", 4)
+    monkeypatch.setattr(ann, "LEAST", 100)
     table = shipped.createDataFrame([(i, v, None) for i, v in rows], VECTORS)
     got = defaultdict(list)
     for r in ann.ann_report(table).collect():
