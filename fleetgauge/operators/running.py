@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetgauge.session import work_path
 
 
 def value_counts(df: DataFrame, keys, column: str) -> DataFrame:
@@ -55,44 +60,50 @@ def cuts_below(cuts: Column, value: Column) -> Column:
     return F.coalesce(F.when(chunk > 0, (chunk - 1) * CHUNK + inside), F.lit(0))
 
 
-def with_rows_below(freq: DataFrame, keys=(), slices: int = 256) -> DataFrame:
+def ranges(freq: DataFrame, order, slices: int | None = None) -> DataFrame:
+    """The rows in slices of consecutive ``order``, with ``_slice`` and ``_run``, the sum of ``rows`` before a row in its slice.
+
+    Spark samples the rows for the borders of the slices, so that these follow the data, in
+    size and in number: as many as ``slices``, or as shuffle partitions, of which adaptive
+    execution joins small ones. The result is stored, since borders may differ from one
+    evaluation to the next.
+    """
+    dealt = freq.repartitionByRange(slices, *order) if slices else freq.repartitionByRange(*order)
+    placed = dealt.sortWithinPartitions(*order).withColumn("_slice", F.spark_partition_id())
+    schema = T.StructType([*placed.schema, T.StructField("_run", T.LongType())])
+    at = placed.columns.index("rows")
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            rows = batch.column(at).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(rows)
+            total = int(sums[-1]) if len(sums) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - rows)], names=schema.names)
+
+    path = work_path(freq.sparkSession, "ranges")
+    placed.mapInArrow(run, schema).write.parquet(path)
+    return freq.sparkSession.read.schema(schema).parquet(path)
+
+
+def with_rows_below(freq: DataFrame, keys=(), slices: int | None = None) -> DataFrame:
     """Add ``below`` (rows of smaller values of the same key) and ``total`` (all its rows).
 
-    A two-phase prefix sum. The value range is cut at ``slices - 1`` values that are
-    first in hash order: an even sample of the distinct values, the same on every
-    evaluation. Each slice is summed; the sums of the slices (at most ``slices`` rows
-    per key) give every slice its offset; the rows of a slice are then counted on from
-    it. A key with very many values is spread over its slices.
+    A prefix sum over slices of the range of (key, value): a pass puts the rows into
+    slices and counts inside each, the sums of the slices of a key (a row for each
+    pair of key and slice that meet) give its offsets, a second pass adds them. A key with very many values
+    is spread over as many slices as its rows fill, many small keys share one.
     """
     keys = list(keys)
-    # The filter reads ``rows`` here too, which makes the subquery's aggregate the same as
-    # the main one: Spark runs the scan and its shuffle once and reuses it.
-    cuts = cut_points(
-        freq.where(F.col("rows") > 0)
-        .orderBy(F.xxhash64(*keys, "value"), *keys, "value")
-        .limit(slices - 1)
-    )
-    # Both the sums and the running counts start from this one shuffle: reading ``value``
-    # in both keeps their columns, and with them the exchange, the same.
-    sliced = freq.withColumn("_slice", cuts_below(cuts, F.col("value"))).repartition(*keys, "_slice")
-    sums = sliced.groupBy(*keys, "_slice").agg(
-        F.sum(F.when(F.col("value").isNotNull(), F.col("rows"))).alias("_rows")
-    )
-    by_key = Window.partitionBy(*(keys or [F.lit(0)]))
+    placed = ranges(freq, [*keys, "value"], slices)
+    sums = placed.groupBy(*keys, "_slice").agg(F.sum("rows").alias("_rows"), F.min("_run").alias("_first"))
+    by_key = Window.partitionBy(*(keys or [F.lit(0)]))  # without keys: a row for each slice
     before = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(by_key).alias("total"),
-    )
-    if not keys:
-        offsets = F.broadcast(offsets)  # at most ``slices`` rows
-    inside = (
-        Window.partitionBy(*keys, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        *keys, "_slice", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"), F.sum("_rows").over(by_key).alias("total")
     )
-    running = sliced.withColumn("_before", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
     return (
-        running.join(offsets, [*keys, "_slice"])
-        .withColumn("below", F.col("_offset") + F.col("_before"))
-        .drop("_slice", "_offset", "_before")
+        placed.join(offsets, [*keys, "_slice"])
+        .withColumn("below", F.col("_offset") + F.col("_run") - F.col("_first"))
+        .drop("_slice", "_offset", "_run", "_first")
     )

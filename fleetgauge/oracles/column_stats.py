@@ -85,4 +85,12 @@ FROM behind GROUP BY ALL""", "request_snapshot"),
 WITH RECURSIVE {REACH}
 SELECT server_id, snapshot_ts, name AS first_session_id, s AS session_id, members AS sessions FROM name
 WHERE members > 1 AND snapshot_ts BETWEEN TIMESTAMP '2024-01-30 19:00:00' AND TIMESTAMP '2024-01-30 23:00:00'""", "request_snapshot"),
+    "x15b_heavy_values": " UNION ALL ".join(
+        f"SELECT column_name, value, rows, share_pct, {case(('share_pct >= 90', 'CRITICAL', 'dominant_value'), ('share_pct >= 50', 'ATTENTION', 'skewed'))} FROM ("
+        f"SELECT '{c}' AS column_name, {text} AS value, count(*) AS rows, {pct('count(*)', 'any_value(total)')} AS share_pct "
+        f"FROM lineitem, (SELECT count(*) AS total FROM lineitem) t GROUP BY {c} HAVING count(*) > 0.01 * any_value(total)) y"
+        for c, text in [
+            *((c, f"CAST({c} AS VARCHAR)") for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_partkey")), ("l_quantity", "CAST(l_quantity AS VARCHAR)")
+        ]
+    ),
 }

@@ -52,3 +52,9 @@ ORACLES["x06b_deadlock_counts"] = (
     "SELECT server_id, count(DISTINCT (snapshot_ts, first_session_id)) AS events, count(*) AS sessions "
     f"FROM ({ORACLES['x06_deadlock_window']}) m GROUP BY server_id"
 )
+# Requests are sampled twice, half an hour apart, and every deadlock is in both samples.
+ORACLES["x06c_deadlock_events"] = (
+    "SELECT server_id, first_session_id, count(*) AS sessions, string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY session_id) AS members, "
+    "snapshot_ts AS started, snapshot_ts + INTERVAL 30 MINUTE AS ended, CAST(2 AS BIGINT) AS snapshots "
+    f"FROM ({ORACLES['x06_deadlock_window']}) m GROUP BY server_id, first_session_id, snapshot_ts"
+)

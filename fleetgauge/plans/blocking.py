@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.timeunits import instant
@@ -59,3 +59,26 @@ def mutual_wait_counts(t: Telemetry, start: datetime, end: datetime) -> DataFram
     return mutual_waits(t, start, end).groupBy("server_id").agg(
         F.count_if(first).alias("events"), F.count("*").alias("sessions")
     )
+
+
+def mutual_wait_events(t: Telemetry, start: datetime, end: datetime) -> DataFrame:
+    """Deadlocks as events: the same sessions waiting for each other in consecutive snapshots of a server are one.
+
+    An event has a first and a last snapshot, and how many there are; a snapshot between
+    two without this cycle parts it in two. So the number of events does not follow the
+    rate at which a server is sampled. Members are sessions of one server (32,767 at most).
+    """
+    cycles = mutual_waits(t, start, end).groupBy("server_id", "snapshot_ts", "first_session_id").agg(
+        F.array_sort(F.collect_list("session_id")).alias("members")
+    )
+    every = t["request_snapshot"].where(F.col("snapshot_ts").between(instant(start), instant(end))).select("server_id", "snapshot_ts").distinct()
+    # the snapshots of a server in their order: a row for each, however many requests it holds
+    numbered = every.withColumn("n", F.row_number().over(Window.partitionBy("server_id").orderBy("snapshot_ts")))
+    same = Window.partitionBy("server_id", "members").orderBy("n")
+    islands = cycles.join(numbered, ["server_id", "snapshot_ts"]).withColumn("island", F.col("n") - F.row_number().over(same))
+    return islands.groupBy("server_id", "members", "island").agg(
+        F.min("snapshot_ts").alias("started"), F.max("snapshot_ts").alias("ended"), F.count("*").alias("snapshots")
+    ).select(
+        "server_id", F.col("members")[0].alias("first_session_id"), F.size("members").cast("bigint").alias("sessions"),
+        F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "started", "ended", "snapshots",
+    )

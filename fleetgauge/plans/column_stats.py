@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.numbers import idiv, percent, ratio
 from fleetgauge.functions.severity import ATTENTION, CRITICAL, grade
 from fleetgauge.functions.timeunits import instant
+from fleetgauge.operators.heavy import heavy_values
 from fleetgauge.operators.running import cut_points, cuts_below, frequencies, value_counts, with_rows_below
 from fleetgauge.sources.telemetry import Telemetry
 
@@ -85,6 +86,51 @@ def header(
     )
 
 
+#: Columns of the kinds that a header tells apart; values of one kind have one order.
+KINDS = {
+    "whole": ("bigint", ("tinyint", "smallint", "int", "bigint")), "number": ("double", ("float", "double")),
+    "time": ("timestamp", ("date", "timestamp")), "text": ("string", ("string",)),
+}
+
+
+def _kind(data_type: str) -> tuple[str, str]:
+    if data_type.startswith("decimal"):
+        return "exact", "decimal(38,9)"
+    return next(((k, to) for k, (to, types) in KINDS.items() if data_type in types), ("text", "string"))
+
+
+def headers(df: DataFrame, columns, updated: datetime, steps: int = MAX_STEPS) -> DataFrame:
+    """`header` of several columns in one read of the table.
+
+    Values of all columns go through one aggregation, each in the field of its kind, so
+    that they keep their order; running counts are per column.
+    """
+    types = dict(df.dtypes)
+    fields = {kind: to for kind, to in sorted({_kind(types[c]) for c in columns})}
+
+    def value(column: str) -> Column:
+        own = F.col(column)
+        cells = [(own if _kind(types[column])[0] == kind else F.lit(None)).cast(to).alias(kind) for kind, to in fields.items()]
+        return F.struct(F.lit(column).alias("column_name"), F.when(own.isNotNull(), F.struct(*cells)).alias("value"))
+
+    long = df.select(F.explode(F.array(*[value(c) for c in columns])).alias("c")).select("c.*")
+    counts = value_counts(long, ["column_name"], "value")
+    n = F.col("rows")
+    placed = with_rows_below(counts.where((n > 0) | F.col("value").isNull()), ["column_name"])
+    filled = F.col("value").isNotNull()
+    # a null's count is negative and comes first: it shifts what lies below, and the total
+    nulls = F.coalesce(F.max(F.when(~filled, -n)), F.lit(0))
+    stepped = placed.join(placed.groupBy("column_name").agg(nulls.alias("nulls")), "column_name").withColumn(
+        "step", F.when(filled, idiv((F.col("below") + F.col("nulls")) * steps, F.col("total") + F.col("nulls")))
+    )
+    return stepped.groupBy("column_name").agg(
+        F.sum(F.abs(n)).alias("rows"), F.max("nulls").alias("null_rows"), F.count("step").alias("distinct_values"), F.count_distinct("step").alias("steps"),
+    ).select(
+        "column_name", instant(updated).alias("updated"), "rows", F.col("rows").alias("rows_sampled"), "null_rows", "distinct_values",
+        (F.lit(1.0) / F.nullif("distinct_values", F.lit(0))).alias("density"), "steps",
+    )
+
+
 def density_vector(df: DataFrame, columns) -> DataFrame:
     """1 / distinct combinations for every prefix of the columns.
 
@@ -195,6 +241,19 @@ def skew(df: DataFrame, columns) -> DataFrame:
     )
 
 
+def heavy_hitters(df: DataFrame, columns, share: float = 0.01) -> DataFrame:
+    """The values that hold more than a share of their column, with their rows; memory does not follow the distinct values."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
+    return heavy_values(long, share).select(
+        "column_name", "value", "rows", percent("rows", "total").alias("share_pct")
+    ).withColumns(
+        grade(
+            (F.col("share_pct") >= 90, CRITICAL, "dominant_value"),
+            (F.col("share_pct") >= 50, ATTENTION, "skewed"),
+        )
+    )
+
+
 def parameter_spread(t: Telemetry) -> DataFrame:
     """How far apart the durations of one query lie: maximum over median and minimum.
 

@@ -71,6 +71,12 @@ def exported_often(t: Telemetry) -> Telemetry:
     return t.replaced(**tables)
 
 
+def sampled_twice(t: Telemetry) -> Telemetry:
+    """Requests as a sampler of twice the rate sees them: every state lasts from one sample to the next, half an hour later."""
+    times = F.array("snapshot_ts", F.col("snapshot_ts") + F.expr("INTERVAL 30 MINUTES"))
+    return t.replaced(request_snapshot=t["request_snapshot"].withColumn("snapshot_ts", F.explode(times)))
+
+
 def _exports_delta(t: Telemetry) -> DataFrame:
     often = exported_often(t)
     return waiting.wait_delta(waiting.capture_waits(often, "wait_snapshot_earlier"), often["wait_snapshot"])
@@ -172,6 +178,7 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "x06b_deadlock_counts": lambda t: blocking.mutual_wait_counts(
         t, datetime(2024, 1, 30, 19), datetime(2024, 1, 30, 23)
     ),
+    "x06c_deadlock_events": lambda t: blocking.mutual_wait_events(sampled_twice(t), datetime(2024, 1, 30, 19), datetime(2024, 1, 30, 23)),
     "x07_index_review": indexes.index_review,
     "x08_maintenance_plan": indexes.maintenance_plan,
     "x16_parameter_spread": column_stats.parameter_spread,
@@ -192,10 +199,7 @@ REPORTS["x01_findings_feed"] = lambda t: findings.findings_feed(
 COLUMN_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "x09_histogram": lambda lines: column_stats.histogram(lines, "l_partkey"),
     "x09b_histogram_dates": lambda lines: column_stats.histogram(lines, "l_shipdate", 50),
-    "x10_stat_header": lambda lines: reduce(
-        DataFrame.unionByName,
-        [column_stats.header(lines, c, EVENTS_NOW) for c in ("l_partkey", "l_suppkey", "l_returnflag")],
-    ),
+    "x10_stat_header": lambda lines: column_stats.headers(lines, ["l_partkey", "l_suppkey", "l_returnflag"], EVENTS_NOW),
     "x11_density_vector": lambda lines: column_stats.density_vector(
         lines, ["l_returnflag", "l_suppkey", "l_linenumber"]
     ),
@@ -213,6 +217,9 @@ COLUMN_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
         lines, ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_linenumber"]
     ),
 }
+COLUMN_REPORTS["x15b_heavy_values"] = lambda lines: column_stats.heavy_hitters(
+    lines, ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_partkey"], 0.01
+)
 
 
 # Integers that may be missing; data frames of different engines type them differently.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 from fleetgauge.operators.asof import as_of_join
 from fleetgauge.operators.waits_for import analyse, per_snapshot
 from fleetgauge.operators.previous import with_previous
-from fleetgauge.operators.running import frequencies, with_rows_below
+from fleetgauge.operators.heavy import heavy_values, summaries
+from fleetgauge.operators.running import frequencies, ranges, with_rows_below
 from fleetgauge.operators.topk import top_overall, top_per
-from fleetgauge.plans import baseline, column_stats, waiting
+from fleetgauge.plans import baseline, blocking, column_stats, waiting
 from fleetgauge.sources.base_tables import read_base
 from report_helpers import SMALL, graded
 
@@ -63,6 +65,98 @@ def test_rows_below_in_any_projection(spark):
     assert placed.agg(F.sum("rows")).first()[0] == 1000
 
 
+@pytest.mark.parametrize("skewed", [False, True])
+def test_ranges_follow_the_data(spark, skewed):
+    """A million distinct values, evenly spread or most of them close together: no slice is much over the middle one."""
+    value = "CAST(pow(id / 1000.0, 3) AS BIGINT) + id % 7" if skewed else "id * 7919 % 1000003"
+    freq = spark.range(1_000_000).selectExpr(f"{value} AS value").groupBy("value").agg(F.count("*").alias("rows"))
+    sizes = sorted(r["count"] for r in ranges(freq, ["value"], 40).groupBy("_slice").count().collect())
+    assert len(sizes) >= 38 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_ranges_of_many_small_keys_share_slices(spark):
+    freq = spark.range(20_000).selectExpr("id % 5000 AS k", "id AS value", "id % 3 + 1 AS rows")
+    got = with_rows_below(freq, ["k"], 16)
+    want = freq.selectExpr("k", "value", "coalesce(sum(rows) OVER (PARTITION BY k ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below", "sum(rows) OVER (PARTITION BY k) AS total")
+    got = got.select("k", "value", "below", "total")
+    assert got.count() == 20_000 and got.exceptAll(want).isEmpty()
+
+
+def test_headers_equal_the_header_of_each_column(spark):
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id % 11 > 0 THEN id % 170 END AS whole", "CAST(id % 7 AS DOUBLE) / 3 AS number", "concat('t', id % 900) AS words",
+        "CASE WHEN id % 2 = 0 THEN date_add(DATE '2024-01-01', CAST(id % 400 AS INT)) END AS day", "CAST(id % 13 AS DECIMAL(9,2)) AS money",
+        "CAST(NULL AS BIGINT) AS nothing", "1 AS one",
+    )
+    updated = datetime(2024, 1, 31)
+    got = {r["column_name"]: r.asDict() for r in column_stats.headers(rows, rows.columns, updated, 50).collect()}
+    assert set(got) == set(rows.columns)
+    for c in rows.columns:
+        assert got[c] == column_stats.header(rows, c, updated, 50).first().asDict(), c
+
+
+def test_headers_read_the_table_once(spark):
+    plan = column_stats.headers(read_base(spark, SMALL, "lineitem"), ["l_partkey", "l_suppkey"], datetime(2024, 1, 31))._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan  # what follows reads the stored running counts only
+
+
+@pytest.mark.parametrize("order", ["as it is", "heavy first", "heavy last", "in turn"])
+def test_heavy_values_in_any_order(spark, order):
+    """Values just over and just under the share, among many that a summary has to drop, in orders that wear counters down."""
+    rng, n, share = random.Random(5), 20_000, 0.02
+    heavy = [f"h{k}" for k in range(6) for _ in range(401 + 40 * k)]
+    under = [f"u{k}" for k in range(9) for _ in range(399)]
+    light = [f"x{k}" for k in range(n - len(heavy) - len(under))]
+    rows = heavy + under + light
+    if order == "heavy last":
+        rows = rows[::-1]
+    elif order == "in turn":
+        rows = [v for pair in zip(light, (heavy + under) * 3) for v in pair][: n // 2] + rows
+    elif order == "as it is":
+        rng.shuffle(rows)
+    df = spark.createDataFrame([("c", v) for v in [*rows, None, None]], "column_name string, value string").repartition(3) if order == "as it is" else (
+        spark.createDataFrame([("c", v) for v in rows], "column_name string, value string").coalesce(1)
+    )
+    counts = Counter(v for v in rows)
+    want = {v: c for v, c in counts.items() if c > share * len(rows)}
+    assert {r["value"]: r["rows"] for r in heavy_values(df, share).collect()} == want and len(want) >= 6
+
+
+def test_summaries_are_bounded(spark):
+    df = spark.range(50_000).selectExpr("'c' AS column_name", "CAST(id AS STRING) AS value").repartition(2)
+    assert summaries(df, 10).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] in (None, *range(11))
+    assert heavy_values(df, 0.5).isEmpty() and heavy_values(df.limit(0), 0.5).isEmpty()
+
+
+def test_deadlocks_over_time(make):
+    """Cycles that last, part, come back, and change their members; more samples of the same states give no more events."""
+    rng = random.Random(8)
+    start = datetime(2024, 1, 1)
+    states = []  # per hour: the cycles (as tuples of sessions)
+    for _ in range(40):
+        cycles = [c for c in ((1, 2), (3, 4, 5), (6, 7)) if rng.random() < 0.6]
+        states.append([(3, 4) if c == (3, 4, 5) and rng.random() < 0.3 else c for c in cycles])
+
+    def events(rate):
+        rows = []
+        for h, cycles in enumerate(states):
+            for k in range(rate):
+                ts = start + timedelta(hours=h, minutes=60 * k // rate)
+                rows.append({"server_id": 1, "snapshot_ts": ts, "session_id": 99, "blocking_session_id": 0})
+                rows += [{"server_id": 1, "snapshot_ts": ts, "session_id": a, "blocking_session_id": b} for c in cycles for a, b in zip(c, (*c[1:], c[0]))]
+        found = blocking.mutual_wait_events(make(request_snapshot=rows), start, start + timedelta(days=9)).collect()
+        return sorted((r["members"], r["started"], r["ended"].replace(minute=0), r["snapshots"] // rate) for r in found)
+
+    want = []
+    for c in {c for s in states for c in s}:
+        held = [c in s for s in states]
+        begins = [h for h in range(40) if held[h] and (h == 0 or not held[h - 1])]
+        for b in begins:
+            e = next((h for h in range(b, 40) if not held[h]), 40) - 1
+            want.append((",".join(map(str, c)), start + timedelta(hours=b), start + timedelta(hours=e), e - b + 1))
+    assert events(1) == sorted(want) and events(4) == sorted(want)
+
+
 def test_histogram_properties(spark):
     lines = read_base(spark, SMALL, "lineitem")
     for column in ("l_partkey", "l_shipdate", "l_returnflag", "l_quantity"):
