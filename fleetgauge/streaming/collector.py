@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetgauge.plans.sessions import collected_blocks, collected_sessions
 from fleetgauge.plans.waiting import collected_waits
+from fleetgauge.sources.compaction import read_compacted
 from fleetgauge.sources.sinks import write_batch
 from fleetgauge.sources.telemetry import Telemetry
 from fleetgauge.streaming.live import trigger_of
@@ -61,4 +62,5 @@ def start_collector(
 
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    """A collector log, compacted or not."""
+    return read_compacted(spark, f"{root}/{name}")
