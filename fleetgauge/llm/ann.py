@@ -172,7 +172,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = NEAREST, ids: str =
     most = F.least(F.lit(BLOCK), F.ceil(F.lit(ENTRIES) / F.col("d")))
     blocks = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(workers), F.ceil(F.col("n") / LEAST)))
     # a row for each length of vector
-    grid = saved(base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).select("d", blocks.cast("int").alias("blocks")), "grid")
+    grid = saved(base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).select("d", blocks.cast("int").alias("blocks")), "grid", small=True)
     parts = max(1, grid.agg(F.sum("blocks")).first()[0] or 0)
     salt = F.xxhash64("id", "v")
     distinct = base.groupBy("id", "v").agg(F.count("*").alias("n"))

@@ -63,13 +63,18 @@ def columns(df: DataFrame, names: list[str] | None = None) -> list:
     return [F.col(quoted(c)) for c in (df.columns if names is None else names)]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Files of a saved table that is known to be small.
+FEW = 16
+
+
+def saved(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    It cuts lineage, is computed once, and a lost executor costs a reread at most.
+    It cuts lineage, is computed once, and a lost executor costs a reread at most. A table
+    of which a few tasks can hold every row goes to `FEW` files.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(FEW) if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -50,12 +50,12 @@ def sketched(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
-def salted(edges: DataFrame) -> DataFrame:
+def salted(edges: DataFrame, *more: str) -> DataFrame:
     """node, hub, salt, salts: the nodes of a large hub are spread over salts of about `HOT` nodes."""
     if "n" not in edges.columns:
         edges = edges.join(edges.groupBy("hub").agg(F.count("*").alias("n")), "hub")
     salts = F.ceil(F.col("n") / HOT).cast("int")
-    return edges.select("node", "hub", F.pmod(F.xxhash64(F.lit(13), "node"), salts).cast("int").alias("salt"), salts.alias("salts"))
+    return edges.select("node", "hub", *more, F.pmod(F.xxhash64(F.lit(13), "node"), salts).cast("int").alias("salt"), salts.alias("salts"))
 
 
 def votes(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def granted(requests: DataFrame, loads: dict[int, int], capacity: int) -> list[t
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """node, weight, first, label after the rounds."""
     spark = nodes.sparkSession
-    edges = saved(salted(edges), "salted") if rounds else edges
+    edges = edges if "salt" in edges.columns else saved(salted(edges), "salted")
     labels = saved(nodes.withColumn("label", F.pmod(F.xxhash64(F.lit(3), "first"), F.lit(shards)).cast("int")), "labels")
     for _ in range(rounds):
         loads = {r["label"]: int(r["n"]) for r in labels.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
@@ -144,11 +144,12 @@ def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", shards: int
     nodes = saved(rows.groupBy("node").agg(F.count("*").alias("weight"), F.first("hubs").alias("hubs")), "nodes")
     hubs = nodes.select("node", F.explode("hubs").alias("hub"))
     shared = hubs.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    edges = saved(hubs.join(shared, "hub"), "edges")
+    linked = hubs.join(shared, "hub")
+    edges = saved(salted(linked, "n"), "edges")
     # the hub that links a node to the fewest others, else the node stands for itself
     first = edges.groupBy("node").agg(F.min_by("hub", F.struct("n", "hub")).alias("first"))
     known = nodes.select("node", "weight").join(first, "node", "left").select("node", "weight", F.coalesce("first", "node").alias("first"))
-    labels = propagate(known, edges.select("node", "hub", "n"), shards, rounds)
+    labels = propagate(known, edges.drop("n"), shards, rounds)
     # rows that repeat another whole are numbered, so that they part as any others
     numbered = rows.groupBy("id", "size", "text_crc32", "node").agg(F.count("*").alias("n"))
     numbered = numbered.select("id", "size", "text_crc32", "node", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
@@ -157,10 +158,10 @@ def shard(docs: DataFrame, ids: str = "doc_id", text: str = "text", shards: int
     parts = max(1, -(-total // (shards * CELL)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "first"), F.lit(parts)).cast("int"))
     heavy = placed.groupBy("label", "part").agg(F.count("*").alias("n")).select("label", "part", F.ceil(F.col("n") / CELL).cast("int").alias("salts"))
-    placed = placed.join(saved(heavy, "cells"), ["label", "part"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "id", "node", "copy"), "salts").cast("int"))
+    placed = placed.join(saved(heavy, "cells", small=True), ["label", "part"]).withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "id", "node", "copy"), "salts").cast("int"))
     placed = saved(placed.select("id", "size", "text_crc32", "node", "copy", "first", "label", "part", "salt"), "placed")
     cell = ["label", "part", "salt"]
-    sizes = saved(placed.groupBy(*cell).agg(F.count("*").alias("n")), "cell-sizes")  # one row for every CELL documents or so
+    sizes = saved(placed.groupBy(*cell).agg(F.count("*").alias("n")), "cell-sizes", small=True)  # one row for every CELL documents or so
     starts = running(running(running(sizes, ["label", "part"], "salt"), ["label"], "part"), [], "label")
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy("first", "node", "id", "size", "copy")) - 1
     ordered = placed.join(starts.drop("n"), cell).withColumn("place", F.col("start") + inside)
