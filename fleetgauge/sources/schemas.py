@@ -202,3 +202,18 @@ TELEMETRY_SCHEMAS = {
         "waiting_tasks bigint"
     ),
 }
+
+#: Columns that live exports hold in another type than the declared one: handles and hashes
+#: are binary (hexadecimal text in formats without binary), averages and costs are floats,
+#: and fragmentation is a percentage under another name.
+HANDLE = "handle"
+EXPORTED_TYPES = {
+    "request_snapshot": {"sql_handle": HANDLE},
+    "sql_text": {"sql_handle": HANDLE},
+    "query_stats": {"query_hash": HANDLE, "sql_handle": HANDLE},
+    "cached_plan": {"plan_handle": HANDLE, "sql_handle": HANDLE},
+    "missing_index_stats": {"avg_total_user_cost": "double", "avg_user_impact": "double"},
+    "index_physical": {"fragmentation_tenths": "double"},
+    "qs_runtime": {"avg_duration": "double", "avg_cpu_time": "double", "avg_logical_io_reads": "double"},
+}
+EXPORTED_NAMES = {("index_physical", "fragmentation_tenths"): "fragmentation_pct"}

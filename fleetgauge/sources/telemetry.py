@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.sources.base_tables import read_base
 from fleetgauge.sources.derived import DERIVED, base_tables_of
-from fleetgauge.sources.schemas import TELEMETRY_SCHEMAS
+from fleetgauge.sources.schemas import EXPORTED_NAMES, EXPORTED_TYPES, HANDLE, TELEMETRY_SCHEMAS
 
 SNAPSHOT_KEY = ("server_id", "snapshot_ts")
 
@@ -42,6 +42,16 @@ def since_date(log: DataFrame, since: datetime) -> DataFrame:
     return log.where(F.col("dt") >= F.lit(since.date())) if "dt" in log.columns else log
 
 
+def _as_declared(table: str, name: str, kind: str | None, binary: bool) -> Column:
+    exported = EXPORTED_NAMES.get((table, name), name)
+    value = F.col(exported)
+    if kind == HANDLE:
+        value = F.hex(value) if binary else F.upper(F.regexp_replace(value, "^0[xX]", ""))
+    elif exported != name:  # percent as tenths of a percent
+        value = value * 10
+    return value.alias(name)
+
+
 class Telemetry:
     """Named telemetry tables as lazily built DataFrames."""
 
@@ -71,6 +81,28 @@ class Telemetry:
 
         return cls(spark, load)
 
+    @classmethod
+    def from_exports(cls, spark: SparkSession, root: str, file_format: str = "parquet") -> "Telemetry":
+        """Tables as a live server exports them: binary handles, float averages and costs, fragmentation in percent.
+
+        Handles become hexadecimal text, by which tables join as before; floats stay floats, so that
+        ladders compare what the server reported, and reports round as they always do.
+        """
+
+        def load(name: str) -> DataFrame:
+            kinds = EXPORTED_TYPES.get(name, {})
+            declared = spark.createDataFrame([], TELEMETRY_SCHEMAS[name]).schema
+            binary = file_format in ("parquet", "orc", "avro")
+            schema = ", ".join(
+                f"{EXPORTED_NAMES.get((name, f.name), f.name)} "
+                + {None: f.dataType.simpleString(), HANDLE: "binary" if binary else "string"}.get(kinds.get(f.name), kinds.get(f.name) or "")
+                for f in declared
+            )
+            rows = spark.read.schema(schema).format(file_format).load(f"{root}/{name}")
+            return rows.select(*[_as_declared(name, f.name, kinds.get(f.name), binary) for f in declared])
+
+        return cls(spark, load)
+
     @staticmethod
     def stream(spark: SparkSession, root: str, name: str, file_format: str = "parquet", **options) -> DataFrame:
         """A table's landing folder ``root/<table>`` as a stream, with its declared schema."""

@@ -9,7 +9,7 @@ from fleetgauge.plans import baseline, blocking, findings, history, sessions, wa
 from fleetgauge.plans.registry import REPORTS, exported_often
 from fleetgauge.session import checkpoint_root, work_path
 from fleetgauge.sources.derived import DERIVED
-from fleetgauge.sources.schemas import TELEMETRY_SCHEMAS
+from fleetgauge.sources.schemas import EXPORTED_NAMES, EXPORTED_TYPES, HANDLE, TELEMETRY_SCHEMAS
 from fleetgauge.sources.sinks import append_by_date, save_capture, save_phase, schema_of
 from fleetgauge.sources.telemetry import Telemetry
 
@@ -40,6 +40,33 @@ def test_reports_run_on_exported_files(spark, telemetry, tmp_path, file_format):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+@pytest.mark.parametrize("file_format", ["parquet", "json"])
+def test_reports_run_on_exports_as_they_are(spark, telemetry, tmp_path, file_format):
+    """Binary handles (hexadecimal in text formats), float averages and costs, fragmentation in percent: the same reports."""
+    binary = file_format == "parquet"
+    tables = "request_snapshot session_snapshot sql_text query_stats cached_plan missing_index_group missing_index_stats missing_index_detail index_physical index_dim qs_runtime qs_query qs_text qs_plan qs_interval database_dim".split()
+    for name in tables:
+        rows = telemetry[name]
+        for column, kind in EXPORTED_TYPES.get(name, {}).items():
+            if kind == HANDLE:
+                handle = F.concat(F.lit("02"), F.lpad(F.hex(F.col(column)), 38, "0"))
+                rows = rows.withColumn(column, F.unhex(handle) if binary else F.concat(F.lit("0x"), F.lower(handle)))
+            elif (name, column) in EXPORTED_NAMES:
+                rows = rows.withColumn(EXPORTED_NAMES[name, column], F.col(column).cast("double") / 10).drop(column)
+            else:
+                rows = rows.withColumn(column, F.col(column).cast("double"))
+        rows.write.format(file_format).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").save(str(tmp_path / name))
+    exports = Telemetry.from_exports(spark, str(tmp_path), file_format)
+    handles = {"sql_handle", "query_hash", "plan_handle"}
+    for name in ("q03_active_requests", "q04a_query_cpu", "q08_missing_indexes", "q09a_fragmentation", "q13b_qs_top_duration", "q19a_cached_plans", "q34a_regressions"):
+        want = REPORTS[name](telemetry)
+        got = REPORTS[name](exports)
+        shown = [c for c in want.columns if c not in handles]
+        same = lambda df: df.select(*[F.col(c).cast("double").alias(c) if df.schema[c].dataType.typeName() in ("decimal", "double", "long", "integer") else F.col(c) for c in shown])
+        got, want = same(got), same(want)
+        assert want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), name
+
+
 def test_error_log_from_text_files(spark, tmp_path):
     (tmp_path / "log.txt").write_text("Server is starting up\nnothing\nnow ready; IS STARTING\n")
     log = spark.read.text(str(tmp_path)).select(
