@@ -93,4 +93,12 @@ WHERE members > 1 AND snapshot_ts BETWEEN TIMESTAMP '2024-01-30 19:00:00' AND TI
             *((c, f"CAST({c} AS VARCHAR)") for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_partkey")), ("l_quantity", "CAST(l_quantity AS VARCHAR)")
         ]
     ),
+    "x22_merged_statistics": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS null_rows, {low} AS low, {high} AS high, true AS distinct_within_bound, "
+        "CAST(1 AS INT) AS partitions_read_again FROM lineitem"
+        for c, low, high in [
+            *((c, f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)") for c in ("l_partkey", "l_suppkey", "l_quantity")),
+            ("l_returnflag", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+        ]
+    ),
 }

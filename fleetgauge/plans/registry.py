@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.plans import (
-    baseline, blocking, column_stats, findings, history, indexes, query_store, servers, sessions, statistics, storage, waiting, workload,
+    baseline, blocking, column_stats, findings, history, indexes, query_store, servers, sessions, sketches, statistics, storage, waiting, workload,
 )
 from fleetgauge.functions.timeunits import instant
 from fleetgauge.operators.running import frequencies
@@ -217,6 +217,26 @@ COLUMN_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
         lines, ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_linenumber"]
     ),
 }
+def _refreshed_statistics(lines: DataFrame) -> DataFrame:
+    """Statistics of lineitem by year of shipment, stored, refreshed after one year has grown, merged, and held against exact counts."""
+    spark, columns = lines.sparkSession, ["l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
+    table, store = work_path(spark, "by-year"), work_path(spark, "sketches")
+    by_year = lines.select(*columns, F.year("l_shipdate").alias("year"))
+    last = by_year.agg(F.max("year").alias("y")).first()["y"]
+    rows = by_year.where(F.col("year") < last) if last else by_year
+    rows.write.partitionBy("year").parquet(table)
+    sketches.refresh(spark, table, store, columns, "year")
+    by_year.where(F.col("year") == last).write.mode("append").partitionBy("year").parquet(table)
+    again = sketches.refresh(spark, table, store, columns, "year")
+    found = sketches.statistics(sketches.merged(sketches.stored(spark, table, store, "year")), (0.5,))
+    counted = by_year.select(*columns).agg(*[F.countDistinct(c).alias(c) for c in columns]).unpivot([], columns, "column_name", "exact")
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= F.ceil(F.col("exact") * sketches.DISTINCT_ERROR)
+    return found.join(counted, "column_name").select(
+        "column_name", "rows", "null_rows", "low", "high", close.alias("distinct_within_bound"), F.lit(len(again)).alias("partitions_read_again")
+    )
+
+
+COLUMN_REPORTS["x22_merged_statistics"] = _refreshed_statistics
 COLUMN_REPORTS["x15b_heavy_values"] = lambda lines: column_stats.heavy_hitters(
     lines, ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_partkey"], 0.01
 )

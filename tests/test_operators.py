@@ -13,7 +13,7 @@ from fleetgauge.operators.previous import with_previous
 from fleetgauge.operators.heavy import heavy_values, summaries
 from fleetgauge.operators.running import frequencies, ranges, with_rows_below
 from fleetgauge.operators.topk import top_overall, top_per
-from fleetgauge.plans import baseline, blocking, column_stats, waiting
+from fleetgauge.plans import baseline, blocking, column_stats, sketches, waiting
 from fleetgauge.sources.base_tables import read_base
 from report_helpers import SMALL, graded
 
@@ -157,6 +157,56 @@ def test_deadlocks_over_time(make):
     assert events(1) == sorted(want) and events(4) == sorted(want)
 
 
+def sketch_source(spark):
+    return spark.range(60_000).selectExpr(
+        "CAST(pow(id % 9973, 1.5) AS BIGINT) AS number", "concat('k', id % 17000) AS word", "CASE WHEN id % 10 > 0 THEN CAST(id AS DOUBLE) / 7 END AS gap",
+        "date_add(DATE '2024-01-01', CAST(id % 6 AS INT)) AS dt",
+    )
+
+
+@pytest.mark.parametrize("cut", ["dt", "number % 3", "1"])
+def test_merged_sketches_keep_their_bounds(spark, cut):
+    """However the rows are cut into partitions, merged sketches stay within the stated errors of exact counts and ranks."""
+    rows, columns = sketch_source(spark).withColumn("part", F.expr(cut)), ["number", "word", "gap"]
+    quantiles = (0.1, 0.5, 0.9)
+    found = {r["column_name"]: r for r in sketches.statistics(sketches.merged(sketches.partition_sketches(rows, columns, "part")), quantiles).collect()}
+    for c in columns:
+        values = sorted(r[0] for r in rows.select(c).where(F.col(c).isNotNull()).collect())
+        exact = len(set(values))
+        assert abs(found[c]["distinct_values"] - exact) <= sketches.DISTINCT_ERROR * exact
+        assert (found[c]["rows"], found[c]["null_rows"]) == (60_000, 60_000 - len(values))
+        if c != "word":
+            assert (found[c]["low"], found[c]["high"]) == (values[0], values[-1])
+            for q in quantiles:
+                at = found[c][f"q{round(100 * q)}"]
+                below, up_to = sum(v < at for v in values) / len(values), sum(v <= at for v in values) / len(values)
+                assert below - sketches.RANK_ERROR <= q <= up_to + sketches.RANK_ERROR
+        else:
+            assert found[c]["q50"] is None and found[c]["low"] is None
+
+
+def test_refresh_reads_changed_partitions_only(spark, tmp_path, monkeypatch):
+    table, store, columns = str(tmp_path / "t"), str(tmp_path / "s"), ["number", "word"]
+    rows = sketch_source(spark)
+    rows.where("dt < DATE '2024-01-06'").write.partitionBy("dt").parquet(table)
+    plans, made = [], sketches.partition_sketches
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return made(df, *rest)
+
+    monkeypatch.setattr(sketches, "partition_sketches", seen)
+    days = [datetime(2024, 1, d).date() for d in range(1, 7)]
+    assert sketches.refresh(spark, table, store, columns) == days[:5]
+    assert sketches.refresh(spark, table, store, columns) == [] and len(plans) == 1
+    rows.where("dt = DATE '2024-01-06'").write.mode("append").partitionBy("dt").parquet(table)
+    rows.where("dt = DATE '2024-01-02'").limit(10).write.mode("append").partitionBy("dt").parquet(table)
+    assert sketches.refresh(spark, table, store, columns) == [days[1], days[5]]
+    assert "PartitionFilters: [dt" in plans[1] and "gap" not in plans[1].split("ReadSchema")[0].split("PushedFilters")[0] or "2024-01-02" in plans[1]
+    got = sketches.merged(sketches.stored(spark, table, store)).select("column_name", "rows").collect()
+    assert {r["column_name"]: r["rows"] for r in got} == {"number": 60_010, "word": 60_010}
+
+
 def test_histogram_properties(spark):
     lines = read_base(spark, SMALL, "lineitem")
     for column in ("l_partkey", "l_shipdate", "l_returnflag", "l_quantity"):
