@@ -57,3 +57,5 @@ m AS (SELECT batch, count(*) AS rows, max(ts) AS top FROM e GROUP BY 1),
 l AS (SELECT batch, rows, max(top) OVER (ORDER BY batch) AS latest, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM m)
 SELECT l.batch, l.rows, l.latest, (SELECT count(*) FROM e WHERE e.batch = l.batch AND e.ts < l.earlier - INTERVAL 1 HOUR) AS late_rows FROM l""",
 }
+
+ORACLES["st3b_keyed_delta"] = ORACLES["st3_counter_delta"]

@@ -13,7 +13,7 @@ from fleetgauge.session import prepare, work_path
 from fleetgauge.sources.base_tables import BASE_SCHEMAS, read_base
 from fleetgauge.sources.derived import DERIVED
 from fleetgauge.sources.telemetry import Telemetry
-from fleetgauge.streaming import live
+from fleetgauge.streaming import keyed, live
 from fleetgauge.streaming.collector import read_log, start_collector
 
 
@@ -91,6 +91,15 @@ def counter_delta(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch_id")
 
 
+def keyed_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from Spark's own keyed state; late readings are written apart."""
+    series = Telemetry.derived(prepare(spark), folder)["wait_series"]
+    out, check = work_path(spark, "keyed-deltas"), work_path(spark, "keyed-deltas-state")
+    paths = land(series, by_time(series, "snapshot_ts"), "keyed-readings")
+    each_landing(spark, series.schema, paths, lambda readings: keyed.start_counter_deltas(readings, out, check))
+    return spark.read.parquet(out).where("NOT is_late").select("server_id", "wait_type", "prev_snapshot_ts", "snapshot_ts", "delta_ms", "was_reset")
+
+
 def alerts(spark: SparkSession, folder: str) -> DataFrame:
     databases = Telemetry.derived(prepare(spark), folder)["database_dim"]
     return _run(
@@ -115,6 +124,7 @@ STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st1_collect": collect,
     "st2_hourly": hourly,
     "st3_counter_delta": counter_delta,
+    "st3b_keyed_delta": keyed_delta,
     "st4_alerts": alerts,
     "st5_late": late,
 }
