@@ -67,5 +67,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for one run's tables or state."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for one run's tables or state; `drop_work` takes it away."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = getattr(spark, "_fleetgauge_work", None)
+    if made is None:
+        made = spark._fleetgauge_work = []
+    made.append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Remove the tables between steps that this session has made; for when all results that read them are written.
+
+    Returns how many there were. Logs, baselines and stored findings lie at paths of their own and stay.
+    """
+    made, jvm = getattr(spark, "_fleetgauge_work", None) or [], spark._jvm
+    for path in made:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    count = len(made)
+    made.clear()
+    return count

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +214,15 @@ def test_checkpoints_use_the_folder_the_cluster_names():
     assert checkpoint_root(own) == checkpoint_root(own) == own.used
 
 
+def test_tables_between_steps_are_dropped(spark):
+    from fleetgauge.session import drop_work
+
+    path = work_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and drop_work(spark) >= 1
+    assert not any(Path(path).exists() for path in [path]) and drop_work(spark) == 0
+
+
 def test_forecast_counts_from_as_of(make):
     """Ten daily backups of 1000 to 1090 MB, 10 MB more each day; 2000 MB are reached 91 days after the last."""
     mb = 1024**2
