@@ -79,4 +79,22 @@ FROM (SELECT sx, sy, server_id, database_name, n AS backups, CAST(n * sxy - sx *
  SELECT server_id, database_name, count(*) AS n, sum(CAST(x AS HUGEINT)) AS sx, sum(CAST(y AS HUGEINT)) AS sy, sum(CAST(x AS HUGEINT) * y) AS sxy,
   sum(CAST(x AS HUGEINT) * x) AS sxx
  FROM (SELECT server_id, database_name, {DAY} AS x, {idiv('backup_size', 1024**2)} AS y FROM backupset WHERE type = 'D' AND backup_finish_date <= {ORDERS_NOW}) b GROUP BY ALL) s) y""", "backupset"),
+    "x21b_growth_after_shifts": sql(f"""
+WITH b AS (SELECT server_id, database_name, backup_finish_date, backup_set_id, {DAY} AS x, {idiv('backup_size', 1024**2)} AS y
+ FROM backupset WHERE type = 'D' AND backup_finish_date <= {ORDERS_NOW}),
+s AS (SELECT *, y - lag(y) OVER o AS step FROM b WINDOW o AS (PARTITION BY server_id, database_name ORDER BY backup_finish_date, backup_set_id)),
+u AS (SELECT server_id, database_name, quantile_disc(abs(step), 0.5) AS usual FROM s GROUP BY ALL),
+p AS (SELECT s.*, sum(CASE WHEN abs(step) > usual * 8 AND abs(step) * 10 > abs(y - step) THEN 1 ELSE 0 END)
+ OVER (PARTITION BY server_id, database_name ORDER BY backup_finish_date, backup_set_id ROWS UNBOUNDED PRECEDING) AS part FROM s JOIN u USING (server_id, database_name)),
+l AS (SELECT *, max(part) OVER (PARTITION BY server_id, database_name) AS shifts FROM p QUALIFY part = shifts),
+q AS (SELECT server_id, database_name, shifts, x, y, row_number() OVER (PARTITION BY server_id, database_name ORDER BY backup_finish_date, backup_set_id) - 1 AS i,
+ count(*) OVER (PARTITION BY server_id, database_name) AS n FROM l),
+a AS (SELECT *, (i + CASE WHEN n - 1 <= 16 THEN j ELSE (i * 7919 + j * 104729) % (n - 1) + 1 END) % n AS other
+ FROM (SELECT *, unnest(range(1, least(n - 1, 16) + 1)) AS j FROM q WHERE n > 1) e),
+m AS (SELECT a.server_id, a.database_name, quantile_disc((r.y - a.y) / CAST(r.x - a.x AS DOUBLE), 0.5) AS mb_per_day
+ FROM a JOIN q r ON r.server_id = a.server_id AND r.database_name = a.database_name AND r.i = a.other WHERE r.x <> a.x GROUP BY ALL)
+SELECT *, CASE WHEN mb_per_day > 0 THEN greatest(CAST(ceil((500000 - mb_now) / mb_per_day) AS DOUBLE), 0) END AS days_to_capacity FROM (
+ SELECT q.server_id, q.database_name, CAST(max(shifts) AS BIGINT) AS level_shifts, count(*) AS backups, any_value(mb_per_day) AS mb_per_day,
+  quantile_disc(y - coalesce(mb_per_day, 0) * x, 0.5) AS mb_now
+ FROM q LEFT JOIN m ON m.server_id = q.server_id AND m.database_name = q.database_name GROUP BY q.server_id, q.database_name) y""", "backupset"),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.functions.numbers import count_where, idiv, percent, ratio
@@ -189,6 +189,52 @@ def growth_forecast(t: Telemetry, as_of: datetime, capacity_mb: int = 500_000) -
     )
 
 
+#: A step between backups is a level shift if it is over eight usual steps and a tenth of the size.
+SHIFT_STEPS, SHIFT_SHARE = 8, 10
+PARTNERS = 16
+
+
+def growth_after_shifts(t: Telemetry, as_of: datetime, capacity_mb: int = 500_000) -> DataFrame:
+    """Growth of the full backups since the last level shift per database, and days from ``as_of`` until capacity.
+
+    A purge or a load in the middle of a series bends a least-squares line. Here the series is
+    parted where a step is over `SHIFT_STEPS` times the median step and over a
+    `SHIFT_SHARE`-th of the size before it. The slope of the last part is the median of the
+    slopes between each backup and up to `PARTNERS` others of it, taken by a hash of their
+    numbers; with p such pairs its rank among all pairs' slopes is off by more than e with a
+    probability of 2 exp(-2 p e^2) at most. The size to expect now is the median of the
+    backups' sizes moved along that slope. A series is the backups of one database.
+    """
+    day = boundaries("day", instant(as_of), "backup_finish_date").cast("bigint")
+    size = idiv("backup_size", 1024**2)
+    known = t["backupset"].where((F.col("type") == "D") & (F.col("backup_finish_date") <= instant(as_of)))
+    key = ["server_id", "database_name"]
+    in_time = Window.partitionBy(*key).orderBy("backup_finish_date", "backup_set_id")
+    series = known.select(*key, "backup_finish_date", "backup_set_id", day.alias("x"), size.alias("y")).withColumn("step", F.col("y") - F.lag("y").over(in_time))
+    middle = lambda of: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {of})")
+    usual = series.groupBy(*key).agg(middle("abs(step)").alias("usual"))
+    before = F.col("y") - F.col("step")
+    shift = (F.abs("step") > F.col("usual") * SHIFT_STEPS) & (F.abs("step") * SHIFT_SHARE > F.abs(before))
+    parted = series.join(usual, key).withColumn("part", F.sum(F.coalesce(shift, F.lit(False)).cast("int")).over(in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = Window.partitionBy(*key)
+    last = parted.withColumn("shifts", F.max("part").over(whole)).where(F.col("part") == F.col("shifts"))
+    points = last.select(*key, "shifts", "x", "y", (F.row_number().over(in_time) - 1).alias("i"), F.count("*").over(whole).alias("n"))
+    others = F.least(F.col("n") - 1, F.lit(PARTNERS)).cast("int")
+    # with few others all are taken, else some by a hash that other engines can follow
+    offset = F.when(F.col("n") - 1 <= PARTNERS, F.col("j")).otherwise(F.pmod(F.col("i") * 7919 + F.col("j") * 104729, F.col("n") - 1) + 1)
+    asked = points.where("n > 1").withColumn("j", F.explode(F.sequence(F.lit(1), others))).withColumn("other", F.pmod(F.col("i") + offset, "n"))
+    partner = points.select(*key, F.col("i").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    slopes = asked.join(partner, [*key, "other"]).where("x <> x2").select(*key, ((F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).alias("slope"))
+    slope = slopes.groupBy(*key).agg(middle("slope").alias("mb_per_day"))
+    # days count backwards from as_of, so that a size moves along the slope by x days
+    moved = points.join(slope, key, "left").withColumn("moved", F.col("y") - F.coalesce("mb_per_day", F.lit(0.0)) * F.col("x"))
+    rows = moved.groupBy(*key).agg(
+        F.max("shifts").cast("bigint").alias("level_shifts"), F.count("*").alias("backups"), F.first("mb_per_day").alias("mb_per_day"), middle("moved").alias("mb_now")
+    )
+    left = F.greatest(F.ceil((F.lit(capacity_mb) - F.col("mb_now")) / F.col("mb_per_day")), F.lit(0))
+    return rows.withColumn("days_to_capacity", F.when(F.col("mb_per_day") > 0, left))
+
+
 def restart_events(t: Telemetry, phrases=("is starting", "is now ready")) -> DataFrame:
     """Error-log lines that contain one of the phrases, one row per line and phrase.
 

@@ -187,6 +187,7 @@ REPORTS: dict[str, Callable[[Telemetry], DataFrame]] = {
     "x19_wait_playbook": waiting.dominant_wait,
     "x20_updatestats_scope": statistics.refresh_scope,
     "x21_growth_forecast": lambda t: history.growth_forecast(t, ORDERS_NOW),
+    "x21b_growth_after_shifts": lambda t: history.growth_after_shifts(t, ORDERS_NOW),
 }
 
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -234,6 +234,25 @@ def test_forecast_counts_from_as_of(make):
     assert days([*backups, late], datetime(2024, 1, 11)) == 90  # a backup from after as_of does not count
 
 
+@pytest.mark.parametrize("points", [12, 60])
+def test_a_purge_in_the_middle_does_not_bend_the_forecast(make, points):
+    """Ten MB more each day, a purge of 900 MB half way: the line through all backups falls, the one since the purge rises by ten."""
+    mb = 1024**2
+    sizes = [2000 + 10 * k - 900 * (k >= points // 2) for k in range(points)]
+    start = datetime(2024, 1, 1, 5)
+    backups = [{"server_id": 1, "database_name": "d", "backup_set_id": k, "type": "D", "backup_finish_date": start + timedelta(days=k), "backup_size": s * mb} for k, s in enumerate(sizes)]
+    noisy = {**backups[-3], "database_name": "d", "backup_set_id": 500, "backup_size": sizes[-3] * mb + 60 * mb}  # one odd backup beside
+    as_of = start + timedelta(days=points - 1)
+    row = history.growth_after_shifts(make(backupset=[*backups, noisy]), as_of, 5000).first()
+    assert (row["level_shifts"], row["backups"], row["mb_per_day"], row["mb_now"]) == (1, points - points // 2 + 1, 10.0, float(sizes[-1]))
+    assert row["days_to_capacity"] == -(-(5000 - sizes[-1]) // 10)
+    assert history.growth_forecast(make(backupset=backups), as_of, 5000).first()["mb_per_day"] < 5
+    steady = history.growth_after_shifts(make(backupset=[{**b, "backup_size": (1000 + 10 * k) * mb} for k, b in enumerate(backups)]), as_of, 2000).first()
+    assert (steady["level_shifts"], steady["mb_per_day"]) == (0, 10.0)
+    one = history.growth_after_shifts(make(backupset=backups[:1]), as_of).first()
+    assert (one["backups"], one["mb_per_day"], one["days_to_capacity"]) == (1, None, None)
+
+
 COUNTERS = (
     "server_info query_stats proc_stats trigger_stats wait_snapshot missing_index_group missing_index_stats missing_index_detail "
     "index_physical index_usage stats_properties qs_options process_memory perf_counter server_config buffer_page file_io volume "
