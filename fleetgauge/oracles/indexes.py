@@ -4,12 +4,14 @@ from fleetgauge.oracles.common import CAPTURES, EVENTS_NOW, READINGS, case, days
 
 QN = "'[' || replace({0}, ']', ']]') || ']'"
 SCORE = "CAST(s.avg_total_user_cost * s.avg_user_impact * (s.user_seeks + s.user_scans) AS BIGINT)"
-CREATE = """'CREATE NONCLUSTERED INDEX IX_' || d.table_name || '_' || replace(replace(coalesce(d.equality_columns, ''), '[', ''), ']', '')
+# Fixed value: the options of the index command.
+OPTIONS = "FILLFACTOR=90, ONLINE=OFF, SORT_IN_TEMPDB=ON"
+CREATE = f"""'CREATE NONCLUSTERED INDEX IX_' || d.table_name || '_' || replace(replace(coalesce(d.equality_columns, ''), '[', ''), ']', '')
  || CASE WHEN d.inequality_columns IS NOT NULL THEN '_' || replace(replace(d.inequality_columns, '[', ''), ']', '') ELSE '' END
  || ' ON ' || d.table_name || ' (' || coalesce(d.equality_columns, '')
  || CASE WHEN d.equality_columns IS NOT NULL AND d.inequality_columns IS NOT NULL THEN ', ' ELSE '' END
  || coalesce(d.inequality_columns, '') || ')' || coalesce(' INCLUDE (' || d.included_columns || ')', '')
- || ' WITH (FILLFACTOR=90, ONLINE=OFF, SORT_IN_TEMPDB=ON)'"""
+ || ' WITH ({OPTIONS})'"""
 MISSING = f"""SELECT *, {case(("score > 100000 AND benefit_pct > 70", "CREATE", "high_impact"),
   ("score > 10000", "EVALUATE", "moderate_impact"), otherwise=("LOW", "low_priority"))} FROM (
  SELECT d.server_id, d.database_id, row_number() OVER (PARTITION BY d.server_id, d.database_id

@@ -5,6 +5,7 @@ from fleetgauge.oracles.sessions import DB
 
 DAYS = days("start_time", EVENTS_NOW)
 HOURS = hours("start_time", EVENTS_NOW)
+# The audited settings.
 SETTINGS = (
     "'max server memory (MB)', 'min server memory (MB)', 'max degree of parallelism', "
     "'cost threshold for parallelism', 'optimize for ad hoc workloads', 'xp_cmdshell', "

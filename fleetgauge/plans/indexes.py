@@ -17,6 +17,8 @@ from fleetgauge.sources.telemetry import Telemetry, meet, snapshot_keys
 
 # Above this many rows a full scan for statistics is replaced by a sample.
 FULL_SCAN_ROWS = 10_000_000
+# Fixed value: the options of the index command.
+INDEX_OPTIONS = "FILLFACTOR=90, ONLINE=OFF, SORT_IN_TEMPDB=ON"
 
 
 def missing_indexes(t: Telemetry, top: int = 30) -> DataFrame:
@@ -41,7 +43,7 @@ def missing_indexes(t: Telemetry, top: int = 30) -> DataFrame:
         F.when(equality.isNotNull() & inequality.isNotNull(), ", ").otherwise(""),
         F.coalesce(inequality, F.lit("")), F.lit(")"),
         F.coalesce(F.concat(F.lit(" INCLUDE ("), F.col("included_columns"), F.lit(")")), F.lit("")),
-        F.lit(" WITH (FILLFACTOR=90, ONLINE=OFF, SORT_IN_TEMPDB=ON)"),
+        F.lit(f" WITH ({INDEX_OPTIONS})"),
     )
     return ranked.select(
         *keys, "database_id", "rank", "score", F.col("avg_user_impact").alias("benefit_pct"),
