@@ -71,11 +71,12 @@ def blocking_join(t: Telemetry) -> DataFrame:
 
 def blocking_pairs(t: Telemetry, query_length: int | None = 300) -> DataFrame:
     """One row per blocked request and blocker, with both statements."""
-    pairs = blocking_join(t)
+    # texts last, so that no other shuffle carries them
+    pairs = with_database(blocking_join(t), t)
     keys = snapshot_keys(pairs)
     pairs = with_text(pairs, t, query_length, "blocker_query", "blocker_handle")
     pairs = with_text(pairs, t, query_length, "blocked_query", "blocked_handle")
-    return with_database(pairs, t).select(
+    return pairs.select(
         *keys, "blocking_session_id", "blocker_query", "blocked_session_id", "blocked_query",
         "wait_type", idiv("wait_time", 1000).alias("wait_seconds"), "database_name",
     ).withColumns(
@@ -92,7 +93,7 @@ def collected_sessions(t: Telemetry, collected_at: datetime, own_session: int |
     requests = user_requests(t)
     if own_session is not None:
         requests = requests.where(F.col("session_id") != own_session)
-    rows = with_database(with_text(requests, t), t)
+    rows = with_text(with_database(requests, t), t)  # texts last, so that no other shuffle carries them
     return rows.select(
         *snapshot_keys(rows), instant(collected_at).alias("collected_at"), "session_id", "status",
         "blocking_session_id", "cpu_time", idiv("total_elapsed_time", 1000).alias("elapsed_seconds"),

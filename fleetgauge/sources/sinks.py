@@ -11,7 +11,7 @@ def write_batch(rows: DataFrame, path: str, time: str, batch_id: int) -> None:
     (
         rows.withColumns({"dt": F.to_date(time), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .partitionBy("dt", "batch_id")
         .parquet(path)
     )
@@ -54,5 +54,5 @@ def save_bucketed(rows: DataFrame, table: str, keys, buckets: int, path: str | N
     """Store a table bucketed and sorted by its join keys: tables bucketed alike join and
     aggregate on these keys without a shuffle (the Query Store tables by server and plan,
     requests and sessions by server, snapshot and session)."""
-    writer = rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    writer = rows.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys)
     (writer.option("path", path) if path else writer).saveAsTable(table)

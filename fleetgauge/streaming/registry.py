@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetgauge.session import prepare, work_path
 from fleetgauge.sources.base_tables import BASE_SCHEMAS, read_base
 from fleetgauge.sources.derived import DERIVED
+from fleetgauge.sources.sinks import save_bucketed
 from fleetgauge.sources.telemetry import Telemetry
 from fleetgauge.streaming import keyed, live
 from fleetgauge.streaming.collector import read_log, start_collector
@@ -45,15 +46,28 @@ def _landed_events(spark: SparkSession, folder: str, name: str) -> list[str]:
     return land(events, by_time(events, "ts"), name)
 
 
+def _texts_by_handle(t: Telemetry) -> str:
+    """A table of the statement texts, bucketed by handle: shuffled once, and no more by the batches that look texts up."""
+    path, buckets = work_path(t.spark, "collector-texts"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"collector_texts_{path[-32:]}"
+    save_bucketed(t["sql_text"].repartition(buckets, "sql_handle"), table, ["sql_handle"], buckets, path)
+    return table
+
+
 def collect(spark: SparkSession, folder: str) -> DataFrame:
     """All three collector logs, by their key and main measure; events land in slices of time, a batch each."""
     root, state = work_path(prepare(spark), "collector"), work_path(spark, "collector-state")
+    texts = _texts_by_handle(Telemetry.derived(spark, folder))
 
     def telemetry_of(batch: DataFrame) -> Telemetry:
-        return Telemetry.derived(batch.sparkSession, folder, events=batch)
+        session = batch.sparkSession
+        return Telemetry.derived(session, folder, events=batch).replaced(sql_text=session.table(texts))
 
     paths = _landed_events(spark, folder, "collector-landing")
-    each_landing(spark, BASE_SCHEMAS["events"], paths, lambda events: start_collector(events, telemetry_of, "ts", root, state))
+    try:
+        each_landing(spark, BASE_SCHEMAS["events"], paths, lambda events: start_collector(events, telemetry_of, "ts", root, state))
+    finally:
+        spark.sql(f"DROP TABLE {texts}")
     logs = {
         "session": ("log_session", "session_id", "cpu_time"),
         "wait": ("log_wait", "rank", "wait_time_ms"),

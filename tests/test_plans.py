@@ -10,8 +10,9 @@ from report_helpers import SMALL
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from fleetgauge.plans import lookups, waiting
+from fleetgauge.plans import lookups, sessions, waiting
 from fleetgauge.sources.telemetry import Telemetry
+from fleetgauge.streaming.registry import _texts_by_handle
 
 
 def plan(df) -> str:
@@ -149,3 +150,24 @@ def test_reading_order(telemetry):
     days = [r["days_since_check"] for r in ages]
     known = [d for d in days if d is not None]
     assert known == sorted(known, reverse=True) and days[len(known):] == [None] * (len(days) - len(known))
+
+
+@pytest.mark.parametrize("report", [sessions.collected_sessions, sessions.collected_blocks])
+def test_collected_texts_meet_the_rows_last(telemetry, no_broadcast, report):
+    """No join but those that look texts up has a text below it, so that none shuffles one."""
+    joins = [x for x in plan(report(telemetry, datetime(2024, 1, 31))).splitlines() if "SortMergeJoin" in x]
+    by_text = ["handle" in x for x in joins]
+    assert any(by_text) and by_text == sorted(by_text, reverse=True)
+
+
+def test_bucketed_texts_are_not_shuffled_by_batches(spark, telemetry, no_broadcast):
+    table = _texts_by_handle(telemetry)
+    try:
+        t = telemetry.replaced(sql_text=spark.table(table))
+        for report in (sessions.collected_sessions, sessions.collected_blocks):
+            text = plan(report(t, datetime(2024, 1, 31)))
+            scans = re.findall(r"Bucketed: (true|false)[^\n]*text:string", text)
+            assert scans and set(scans) == {"true"}
+        assert spark.table(table).count() == telemetry["sql_text"].count()
+    finally:
+        spark.sql(f"DROP TABLE {table}")
