@@ -260,17 +260,16 @@ def parameter_spread(t: Telemetry) -> DataFrame:
     The median is the smallest value that at least half of the rows do not exceed,
     found from running counts of the distinct durations.
     """
-    per_plan = (
+    durations = (
         t["qs_runtime"].where(F.col("avg_duration").isNotNull())
-        .groupBy("server_id", "plan_id", F.col("avg_duration").alias("value"))
-        .agg(F.count("*").alias("rows"), F.sum("count_executions").alias("executions"))
+        .select("server_id", "plan_id", F.col("avg_duration").alias("value"), "count_executions")
     )
     plans = t["qs_plan"].select("server_id", "plan_id", "query_id")
     keys = ["server_id", "query_id"]
     freq = (
-        per_plan.join(plans, ["server_id", "plan_id"])
+        durations.join(plans, ["server_id", "plan_id"])
         .groupBy(*keys, "value")
-        .agg(F.sum("rows").alias("rows"), F.sum("executions").alias("executions"))
+        .agg(F.count("*").alias("rows"), F.sum("count_executions").alias("executions"))
     )
     placed = with_rows_below(freq, keys)
     at_median = (F.col("below") + F.col("rows")) * 2 >= F.col("total")

@@ -10,7 +10,7 @@ from report_helpers import SMALL
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from fleetgauge.plans import lookups, sessions, waiting
+from fleetgauge.plans import lookups, registry, sessions, waiting
 from fleetgauge.sources.telemetry import Telemetry
 from fleetgauge.streaming.registry import _texts_by_handle
 
@@ -171,3 +171,12 @@ def test_bucketed_texts_are_not_shuffled_by_batches(spark, telemetry, no_broadca
         assert spark.table(table).count() == telemetry["sql_text"].count()
     finally:
         spark.sql(f"DROP TABLE {table}")
+
+
+def test_sums_by_part_need_no_shuffle_of_lines(spark, telemetry):
+    with registry._lines_by_part(spark, SMALL) as lines:
+        for name in registry.BY_PART:
+            own = Telemetry.derived(spark, SMALL, lineitem=lines)[name]
+            # an index that shares another's lines is named anew, and its sums move once
+            assert plan(own).count("Exchange hashpartitioning") == name.startswith("index_usage"), name
+            assert own.exceptAll(telemetry[name]).isEmpty() and telemetry[name].exceptAll(own).isEmpty()
