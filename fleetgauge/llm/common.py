@@ -55,6 +55,19 @@ def shingle_hashes(body: bytes | None, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(words) - size + 1)
 
 
+def over_half(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, unsigned."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

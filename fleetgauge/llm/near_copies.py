@@ -1,8 +1,11 @@
 """Near copies by their word shingles: Jaccard similarity of `SIMILAR` or more.
 
-A text is the set of its shingles of `SIZE` words (the whole text, if it has fewer). Two
+A text is the set of its shingles of `SIZE` words (the whole text, if it has fewer). Three
 steps find candidates, and none of them moves a set:
 
+* Anchors (`simhash.links`) meet the fingerprints of the sets that are within two bits.
+  Similar sets may well be farther apart, so the other steps follow for all sets.
+
 * MinHash tells the sets that may have a partner at all: `BANDS` buckets of `ROWS` minima
   each, so that a pair of similarity s is missed with probability (1 - s ** ROWS) ** BANDS,
   which is 5e-8 at 0.8 and less above.
@@ -26,6 +29,7 @@ Empty tables give empty results.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import KeyFilter, field, map_bodies, quoted, saved, shingle_hashes
+from fleetgauge.llm.common import KeyFilter, field, map_bodies, over_half, quoted, saved, shingle_hashes, signed
 from fleetgauge.llm.components import components
 
 SIZE, SIMILAR, BANDS, ROWS, SAMPLE = 5, 0.8, 32, 4, 64
@@ -68,7 +72,21 @@ def name_of(own: np.ndarray) -> bytes:
 
 def sketches(bodies: list[bytes | None]) -> list:
     sets = [shingle_set(b) for b in bodies]
-    return [list(map(name_of, sets)), list(map(len, sets)), list(map(buckets, sets))]
+    return [list(map(name_of, sets)), list(map(len, sets)), list(map(buckets, sets)), [signed(over_half(x.view(np.uint64))) for x in sets]]
+
+
+def anchored(nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (left, right) of nodes that may be similar by size, of the fingerprints that `links` connects.
+
+    The sets of one fingerprint meet the smallest of them, and the smallest ones of linked fingerprints each other.
+    """
+    own = nodes.where("size > 0").select("fp", F.struct("size", "node").alias("set"))
+    first = saved(own.groupBy("fp").agg(F.min("set").alias("first")), "first-sets")
+    same = own.join(first, "fp").where("first < set").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    ends = [first.select(F.col("fp").alias(side), F.col("first").alias(name)) for side, name in (("left", "x"), ("right", "y"))]
+    met = links(first.select("fp")).join(ends[0], "left").join(ends[1], "right")
+    pairs = same.union(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return pairs.where("a.size * 5 >= b.size * 4").select(F.col("a.node").alias("left"), F.col("b.node").alias("right"))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -143,8 +161,8 @@ def may_be_similar(size: str, at: str, other_size: str, other_at: str):
     return (F.least(a, b) * 5 >= F.greatest(a, b) * 4) & (rest * 9 >= (a + b) * 4)
 
 
-def rooted(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """node, root for the nodes with a similar one; `wanted` has node and key of those that may have one."""
+def rooted(wanted: DataFrame, docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+    """node, root for the nodes with a similar one; `wanted` has node and key of those that may have one, `pairs` are tried first."""
     sets = saved(sets_of(docs, wanted, text), "shingle-sets")
     placed = saved(prefixes(sets, common(sets)), "prefixes")
     shared = placed.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.when(F.col("smaller"), F.struct("size", "node", "at"))).alias("low"))
@@ -152,7 +170,7 @@ def rooted(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     members = placed.join(shared, "shingle")
     order = F.struct("size", "node") > F.struct("low.size", "low.node")
     tried = saved(
-        members.where(order & may_be_similar("size", "at", "low.size", "low.at")).select(F.col("low.node").alias("left"), F.col("node").alias("right")).distinct(),
+        members.where(order & may_be_similar("size", "at", "low.size", "low.at")).select(F.col("low.node").alias("left"), F.col("node").alias("right")).union(pairs).distinct(),
         "tried",
     )
     links = saved(verified(tried, sets), "near-links")
@@ -171,15 +189,20 @@ def rooted(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return known if more.isEmpty() else components(links.union(more), "left", "right")
 
 
-def near_copies(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
-    """`row` (the carried columns) and `component`, the same for all texts that similar ones connect."""
-    fields = [field("node", "binary"), field("size", "int"), T.StructField("buckets", LONGS)]
+def near_copies(docs: DataFrame, carry: list[str], text: str, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`row` (the carried columns) and `component`, the same for all texts that similar ones connect.
+
+    `links` gives pairs `left`, `right` of near fingerprints (column `fp`).
+    """
+    fields = [field("node", "binary"), field("size", "int"), T.StructField("buckets", LONGS), field("fp", "bigint")]
     marked = saved(map_bodies(docs.withColumn("_key", F.xxhash64(quoted(text))), sketches, fields, [*carry, "_key"], text), "sketches")
-    nodes = marked.groupBy("node").agg(F.first("buckets").alias("buckets"), F.min("row._key").alias("key"))
+    nodes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "buckets", "fp")], F.min("row._key").alias("key"))
     nodes = saved(nodes, "nodes")
     placed = nodes.select("node", "key", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = saved(placed.join(shared, "bucket", "left_semi").select("node", "key").distinct(), "members")
-    roots = saved(rooted(wanted, docs, text), "roots")
+    pairs = saved(anchored(nodes, links), "anchored")
+    ends = nodes.join(pairs.select(F.explode(F.array("left", "right")).alias("node")), "node", "left_semi")
+    wanted = placed.join(shared, "bucket", "left_semi").select("node", "key").union(ends.select("node", "key"))
+    roots = saved(rooted(saved(wanted.distinct(), "members"), docs, text, pairs), "roots")
     row = F.struct(*[F.col(f"row.{quoted(c)}").alias(c) for c in carry]).alias("row")
     return marked.join(roots, "node", "left").select(row, F.coalesce("root", "node").alias("component"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgauge.llm.common import columns, field, map_bodies, quoted, saved, shingle_hashes, unpacked
+from fleetgauge.llm.common import columns, field, map_bodies, over_half, quoted, saved, shingle_hashes, signed, unpacked
 from fleetgauge.llm.components import components
 from fleetgauge.llm.near_copies import near_copies
 
@@ -44,18 +44,7 @@ GENERATOR = 0b101011100011
 
 def fingerprint(body: bytes | None, size: int = 3) -> int:
     """Unsigned SimHash of the text's word shingles of this size."""
-    hashes = shingle_hashes(body, size)
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+    return over_half(shingle_hashes(body, size))
 
 
 def fingerprints(docs: DataFrame, carry: list[str] | None = None, text: str = "text", size: int = 3) -> DataFrame:
@@ -163,10 +152,11 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of near copies the document with the smallest (id, text hash), a null id last; of rows that repeat it whole, one.
 
-    Near copies are those of `near_copies` (five words, Jaccard), not the fingerprints of op5.
+    Near copies are those of `near_copies` (five words, Jaccard). Fingerprints of five words meet at the anchors
+    first; what they link is verified, and pairs beyond two bits are found by `near_copies` alone.
     """
     source = docs.select(F.col(quoted(ids)).alias("id"), F.xxhash64(quoted(text)).alias("key"), F.col(quoted(text)).alias("body"))
-    grouped = near_copies(source, ["id", "key"], "body")
+    grouped = near_copies(source, ["id", "key"], "body", links)
     order = F.struct(F.col("row.id").isNull(), F.col("row.id"), F.col("row.key"))
     counted = grouped.groupBy("component", "row").agg(F.count("*").alias("n"))
     first = counted.groupBy("component").agg(F.min_by(F.struct("row", "n"), order).alias("first"))

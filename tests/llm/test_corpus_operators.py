@@ -161,6 +161,25 @@ def test_pairs_tried_follow_the_documents(documents, monkeypatch, own):
     assert sum(counts) <= 3 * n
 
 
+def test_near_copies_meet_at_anchors(documents, monkeypatch):
+    """Copies whose fingerprints lie within two bits are found by the anchors alone."""
+    monkeypatch.setattr(near_copies, "prefixes", lambda sets, last: PREFIXES(sets, last).where("false"))
+    words = [f"w{k}" for k in range(2000)]
+    pages = [words, [*words[:-1], "end"], [*words[:-1], "other"], [f"x{k}" for k in range(2000)], ["few", "words"], []]
+    calls, links = [], simhash.links
+
+    def met(distinct):
+        calls.append(distinct)
+        return links(distinct)
+
+    monkeypatch.setattr(simhash, "links", met)
+    got = simhash.one_of_each(documents(*[(k, " ".join(p)) for k, p in enumerate(pages)])).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 3, 4, 5] and len(calls) == 1
+
+
+PREFIXES = near_copies.prefixes
+
+
 def jaccard(a, b):
     a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
     return len(a & b) / len(a | b)
