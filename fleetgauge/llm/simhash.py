@@ -17,6 +17,10 @@ all that share a point are within two bits of each other, so a link to the small
 each point (65 points for each) loses none of their connections. Both ways are exact, so
 that the switch changes the plan only, never the result.
 
+Replicas and points are many times the rows of their input. Spark takes them for as few,
+and would broadcast them where the fingerprints alone are small; their joins ask for a
+merge of shuffled rows, so that no more than a part of them is ever in one place.
+
 Cases. Null, empty and white-space texts have fingerprint zero and are linked like any
 other; texts of one or two words hash as one shingle. Equal rows share fingerprint and
 component. A component whose doc_ids are all null has a null component_id. Empty tables
@@ -119,7 +123,7 @@ def links(distinct: DataFrame) -> DataFrame:
     lone = homes.join(crowded, "anchor", "left_anti")
     differing = F.bit_count(F.col("left").bitwiseXOR(F.col("right")))
     compared = (
-        lone.join(replicas.select("anchor", F.col("fp").alias("right")), "anchor")
+        lone.join(replicas.select("anchor", F.col("fp").alias("right")).hint("merge"), "anchor")
         .where((F.col("left") < F.col("right")) & (differing <= THRESHOLD))
         .select("left", "right").distinct()
     )
@@ -129,7 +133,7 @@ def links(distinct: DataFrame) -> DataFrame:
     flips = [F.col("fp").bitwiseXOR(F.lit(v).cast("bigint")) for v in (0, *(signed(1 << k) for k in range(64)))]
     points = near.select("fp", F.explode(F.array(*flips)).alias("point"))
     smallest = points.groupBy("point").agg(F.min("fp").alias("left"))
-    shared = points.join(smallest, "point").where("left < fp").select("left", F.col("fp").alias("right")).distinct()
+    shared = points.hint("merge").join(smallest, "point").where("left < fp").select("left", F.col("fp").alias("right")).distinct()
     return compared.union(shared)
 
 

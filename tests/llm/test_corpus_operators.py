@@ -94,6 +94,21 @@ def test_links_connect_what_brute_force_connects(shipped, monkeypatch, crowd):
     assert plain_components([(r["left"], r["right"]) for r in pairs], signed) == plain_components(want, signed)
 
 
+@pytest.mark.parametrize("crowd", [0, 64])
+def test_replicas_are_not_broadcast(shipped, monkeypatch, capsys, tmp_path, crowd):
+    """Spark takes them for as few as the fingerprints that they are made of, here a table of known size."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    dice = random.Random(5)
+    fps = [simhash.signed(dice.getrandbits(64)) for _ in range(50)]
+    shipped.createDataFrame([(f,) for f in [*fps, *(f ^ 1 for f in fps)]], "fp bigint").write.parquet(f"{tmp_path}/fps")
+    found = simhash.links(shipped.read.parquet(f"{tmp_path}/fps"))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan
+    assert not re.search(r"BroadcastHashJoin.*Inner", plan)
+    assert {(r["left"], r["right"]) for r in found.collect()} == {(min(f, f ^ 1), max(f, f ^ 1)) for f in fps}
+
+
 def test_every_pair_within_two_bits_meets_at_a_home():
     dice = random.Random(9)
     for _ in range(60):
